@@ -1 +1 @@
-
+"""Operators over boxes, runs and labels."""

@@ -152,9 +152,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, k: int = 128, sl
         if tried is not None:
             pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            if step == hub_rounds:
+                break
+            continue
         near = materialise(_overlap(pairs, groups, "sketch", estimated), "near-pairs")
         found = materialise(_overlap(near, sets, "set", exact), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+        tried = pairs if tried is None else materialise(tried.unionByName(pairs), "tried")
         links = found if links is None else links.unionByName(found)
         components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     # a component is named by its smallest doc_id

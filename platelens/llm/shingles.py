@@ -50,7 +50,8 @@ def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
     ends = np.cumsum(sizes)
     h = np.zeros(len(words), np.uint64)
     for k in range(n):
-        h[: len(words) - k] = mix(h[: len(words) - k] ^ words[k:]) + np.uint64(k + 1)
+        m = max(0, len(words) - k)
+        h[:m] = mix(h[:m] ^ words[k:]) + np.uint64(k + 1)
     sets = []
     for end, size in zip(ends.tolist(), sizes.tolist()):
         start = end - size

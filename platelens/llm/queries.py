@@ -11,6 +11,7 @@ from .exact_dedup import exact_dedup
 from .html_extract import extract_text
 from .minhash import near_duplicates
 from .packing import piece_digests
+from .toxicity import toxicity
 from .warc import warc_roundtrip
 
 
@@ -32,6 +33,11 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(load(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity(docs, load(spark, sf_dir, "labels")).drop("text")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -44,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_toxicity": op4_toxicity,
     "op8_warc": op8_warc,
     "op10_minhash": op10_minhash,
 }

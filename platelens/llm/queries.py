@@ -10,6 +10,7 @@ from .common import load
 from .exact_dedup import exact_dedup
 from .html_extract import extract_text
 from .minhash import near_duplicates
+from .ngram_lm import lm_scores
 from .packing import piece_digests
 from .toxicity import toxicity
 from .warc import warc_roundtrip
@@ -38,6 +39,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, load(spark, sf_dir, "labels")).drop("text")
 
 
+def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(load(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -51,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
+    "op6_ngram_lm": op6_ngram_lm,
     "op8_warc": op8_warc,
     "op10_minhash": op10_minhash,
 }

@@ -12,6 +12,7 @@ from .html_extract import extract_text
 from .minhash import near_duplicates
 from .ngram_lm import lm_scores
 from .packing import piece_digests
+from .pii import find_pii
 from .toxicity import toxicity
 from .warc import warc_roundtrip
 
@@ -43,6 +44,10 @@ def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(load(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(load(spark, sf_dir, "documents"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_toxicity": op4_toxicity,
     "op6_ngram_lm": op6_ngram_lm,
+    "op7_pii": op7_pii,
     "op8_warc": op8_warc,
     "op10_minhash": op10_minhash,
 }

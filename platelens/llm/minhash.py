@@ -8,9 +8,8 @@ probability below 1e-9, and not at all while both sets have at most k values). S
 `k - min_overlap + 1` rarest values in the lists, of which unlike documents share few. Candidate pairs are
 filtered by the estimate from the union's sketch and verified on the full sets.
 
-Lists are never expanded into all their pairs: in some rounds each list pairs its members with one hub each,
-and what that links is one component. Only pairs of a list whose ends are still in different components
-are then paired off and verified, so no link between components is missed.
+Lists are never expanded into all their pairs: in some rounds each list pairs its members with one hub, and what that links is one component. Members of a list that are still in different components are then compared
+block by block on their full sets, with only links leaving a task, so no link between components is missed.
 
 Defined results: null text or text without words has an empty set, is linked with nothing and is its own
 component; rows of one set are linked; a null doc_id never names a component unless its class has no other;
@@ -20,6 +19,7 @@ an empty table gives no rows; extra columns don't matter.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -99,7 +99,46 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, k: int = 128, slack: float = 5.5, hub_rounds: int = 3) -> DataFrame:
+def _family_links(placed: DataFrame, mixed: DataFrame, sets: DataFrame, num: int, block: int = 256) -> DataFrame:
+    """Links (a, b) between members of one list that are in different components. Lists of one hub are one
+    family. A family is cut into blocks, and a task compares two blocks at a time on their full sets, so a
+    task holds at most 2 * `block` sets (on average) and only links leave it."""
+    families = materialise(placed.join(mixed.select("value", "hub").hint("merge"), "value").select("hub", "class", "component").distinct(), "families")
+    sizes = families.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = families.join(sizes.hint("merge"), "hub").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    spread = dealt.select("hub", "class", "component", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = spread.select("hub", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "class", "component")
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(part["i"].iloc[0]), int(part["j"].iloc[0])
+        values = [np.frombuffer(x, "<u8") for x in part["set"]]
+        sizes_ = np.array([len(v) for v in values])
+        rows = np.repeat(np.arange(len(values)), sizes_)
+        _, column, often = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
+        shared = often[column] > 1
+        rows, column = rows[shared], column[shared]
+        column = np.unique(column, return_inverse=True)[1]
+        common = np.zeros((len(values), len(values)), np.float32)
+        for at in range(0, int(column.max(initial=-1)) + 1, 8192):
+            inside = (column >= at) & (column < at + 8192)
+            x = np.zeros((len(values), 8192), np.float32)
+            x[rows[inside], column[inside] - at] = 1
+            common += x @ x.T
+        common = np.rint(common).astype(np.int64)
+        near = 100 * common >= num * (sizes_[:, None] + sizes_[None, :] - common)
+        mine, component, name = part["mine"].to_numpy(), pd.factorize(part["component"])[0], part["class"].to_numpy()
+        near &= component[:, None] != component[None, :]
+        near &= (mine[:, None] == i) & (mine[None, :] == j)
+        a, b = np.nonzero(near)
+        lo = [min(name[p], name[q]) for p, q in zip(a, b)]
+        hi = [max(name[p], name[q]) for p, q in zip(a, b)]
+        return pd.DataFrame({"a": lo, "b": hi})
+
+    with_sets = keyed.join(sets.select("class", "set").hint("merge"), "class")
+    return with_sets.groupBy("hub", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, k: int = 128, slack: float = 5.5, hub_rounds: int = 2) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept. Two documents are linked when
     100 * |intersection| >= num * |union| of their n-word shingle sets."""
     t = num / 100
@@ -142,23 +181,18 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, k: int = 128, sl
     for step in range(hub_rounds + 1):
         placed = lists.join(components.withColumnRenamed("node", "class").hint("merge"), "class", "left").select("value", "class", F.coalesce("component", "class").alias("component")) if links is not None else lists.withColumn("component", F.col("class"))
         mixed = placed.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("class", F.xxhash64(F.lit(step), "class")).alias("hub"), F.min_by("component", F.xxhash64(F.lit(step), "class")).alias("hub_component")).filter("lo <> hi")
-        if step < hub_rounds:
-            pairs = placed.join(mixed.hint("merge"), "value").filter("component <> hub_component").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b"))
-        else:  # what hubs have not joined: every pair of a list from two components
-            left = placed.join(mixed.select("value").hint("merge"), "value", "left_semi")
-            right = left.select("value", F.col("class").alias("other"), F.col("component").alias("other_component"))
-            pairs = left.join(right.hint("merge"), "value").filter("class < other AND component <> other_component").select(F.col("class").alias("a"), F.col("other").alias("b"))
-        pairs = pairs.distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            if step == hub_rounds:
-                break
-            continue
-        near = materialise(_overlap(pairs, groups, "sketch", estimated), "near-pairs")
-        found = materialise(_overlap(near, sets, "set", exact), "links")
-        tried = pairs if tried is None else materialise(tried.unionByName(pairs), "tried")
+        if step == hub_rounds:  # what hubs have not joined
+            found = materialise(_family_links(placed, mixed, sets, num), "links")
+        else:
+            pairs = placed.join(mixed.hint("merge"), "value").filter("component <> hub_component").select(F.least("hub", "class").alias("a"), F.greatest("hub", "class").alias("b")).distinct()
+            if tried is not None:
+                pairs = pairs.join(tried.hint("merge"), ["a", "b"], "left_anti")
+            pairs = materialise(pairs, "pairs")
+            if pairs.isEmpty():
+                continue
+            near = materialise(_overlap(pairs, groups, "sketch", estimated), "near-pairs")
+            found = materialise(_overlap(near, sets, "set", exact), "links")
+            tried = pairs if tried is None else materialise(tried.unionByName(pairs), "tried")
         links = found if links is None else links.unionByName(found)
         components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     # a component is named by its smallest doc_id

@@ -14,6 +14,7 @@ from .minhash import near_duplicates
 from .ngram_lm import lm_scores
 from .packing import piece_digests
 from .pii import find_pii
+from .substring_dedup import cut_repeats
 from .toxicity import toxicity
 from .warc import warc_roundtrip
 
@@ -57,6 +58,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_roundtrip(load(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(load(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), n=3, num=85)
 
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_ngram_lm": op6_ngram_lm,
     "op7_pii": op7_pii,
     "op8_warc": op8_warc,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_minhash": op10_minhash,
 }
 

@@ -17,7 +17,7 @@ def match_ground_truth(det: DataFrame, gt: DataFrame, t: float = 0.5, key: str =
     ground truth, which holds the strongest that asked; the fixpoint is the sequential result."""
     boxes = det.select(key, "det_seq", "conf", "x1", "y1", "x2", "y2")
     pairs = fixed_pairs(boxes, gt.select(key, "gt_id", "x1", "y1", "x2", "y2"), key, cell).withColumn("iou", iou()).filter(F.col("iou") >= t)
-    taste = W.partitionBy(key, "det_seq").orderBy(F.desc("iou"), "r_gt_id")
+    taste = W.partitionBy(key, "det_seq").orderBy(F.desc("iou"), "gt_id")
     asks = cut_lineage(pairs.select(key, "det_seq", "conf", F.col("r_gt_id").alias("gt_id"), "iou").withColumn("choice", F.row_number().over(taste)))
     at = asks.select(key, "det_seq").distinct().withColumn("choice", F.lit(1))
     for _ in range(max_rounds):

@@ -1 +1 @@
-
+"""Composite jobs and the registered queries."""

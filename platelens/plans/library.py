@@ -1,4 +1,4 @@
 """All registered queries of the library."""
 
-from . import table_queries  # noqa: F401
+from . import raster_queries, table_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401

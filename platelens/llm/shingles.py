@@ -62,3 +62,37 @@ def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
         else:
             sets.append(np.zeros(0, np.uint64))
     return sets
+
+
+_BYTE = np.random.default_rng(11).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z count as a-z
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, kept for the longest stretch so far."""
+    if not _powers or len(_powers[0]) < n:
+        _powers.clear()
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            table = np.full(max(n, 1 << 20), base, np.uint64)
+            table[0] = 1
+            _powers.append(np.multiply.accumulate(table))
+    return _powers
+
+
+def word_values(data: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, hash) of each word of the bytes, words being what the bytes of `between` separate: a
+    polynomial of random byte values modulo 2**64, by differences of a running sum, stirred with the length
+    at the end."""
+    n = len(data)
+    up, down = _power_tables(n)
+    edge = np.flatnonzero(np.diff(np.concatenate([[True], between[data], [True]])))
+    start, stop = edge[::2], edge[1::2]
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
+    h = (sums[stop] - sums[start]) * down[start]
+    return start, mix(h ^ ((stop - start).astype(np.uint64) * np.uint64(0xFF51AFD7ED558CCD)))

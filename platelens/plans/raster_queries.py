@@ -13,8 +13,8 @@ from .registry import query, rounded
 _RUNS = """, isl AS (SELECT plate_id, y, x, x - row_number() OVER (PARTITION BY plate_id, y ORDER BY x) AS g FROM fx_mask),
   runs AS (SELECT plate_id, y, min(x) AS x0, max(x) AS x1 FROM isl GROUP BY plate_id, y, g)"""
 _LABELS = """, e AS (SELECT a.plate_id, a.y AS ay, a.x0 AS ax, b.y AS by_, b.x0 AS bx FROM runs a JOIN runs b ON a.plate_id = b.plate_id AND a.y = b.y + 1 AND a.x0 <= b.x1 + {k} AND a.x1 + {k} >= b.x0),
-  both AS (SELECT * FROM e UNION ALL SELECT plate_id, by_, bx, ay, ax FROM e),
-  reach AS (SELECT plate_id, y AS sy, x0 AS sx, y, x0 FROM runs UNION SELECT r.plate_id, r.sy, r.sx, b.by_, b.bx FROM reach r JOIN both b ON r.plate_id = b.plate_id AND r.y = b.ay AND r.x0 = b.ax),
+  ways AS (SELECT * FROM e UNION ALL SELECT plate_id, by_, bx, ay, ax FROM e),
+  reach AS (SELECT plate_id, y AS sy, x0 AS sx, y, x0 FROM runs UNION SELECT r.plate_id, r.sy, r.sx, b.by_, b.bx FROM reach r JOIN ways b ON r.plate_id = b.plate_id AND r.y = b.ay AND r.x0 = b.ax),
   lab AS (SELECT plate_id, sy AS y, sx AS x0, min(y * 1000 + x0) AS label FROM reach GROUP BY plate_id, sy, sx),
   full_ AS (SELECT runs.*, lab.label FROM runs JOIN lab USING (plate_id, y, x0)),
   sizes AS (SELECT plate_id, label, sum(x1 - x0 + 1)::BIGINT AS area FROM full_ GROUP BY ALL)"""
@@ -72,7 +72,7 @@ def r12_largest_component(spark: SparkSession, d: str) -> DataFrame:
 def r12_remove_small_holes(spark: SparkSession, d: str) -> DataFrame:
     mask = view(spark, d, "fx_mask")
     plates = mask.groupBy("plate_id").agg(F.lit(64).alias("width"), F.lit(50).alias("height"))
-    grid = plates.select("plate_id", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("bigint").alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(49))).cast("bigint").alias("y")).filter("x % 4 = 0 OR y % 4 = 0")
+    grid = plates.select("plate_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))).alias("x")).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(49).cast("bigint"))).alias("y")).filter("x % 4 = 0 OR y % 4 = 0")
     pix = mask.filter("(x * 7 + y * 3) % 4 > 0").unionByName(grid).distinct()
     full = R.to_pixels_of(R.remove_small_holes(R.to_runs(pix), plates, 5))
     return full.groupBy("plate_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("x") * 31 + F.col("y") * 17).alias("checksum"))

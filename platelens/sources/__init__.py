@@ -1 +1 @@
-
+"""Readers and writers of plates, detections, annotations and reports."""

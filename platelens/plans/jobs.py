@@ -1,16 +1,157 @@
-"""User-level jobs."""
+"""User-level jobs, and the places where a user's own models plug in."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import view
 from ..functions import geometry as G
-from ..operators import filters, summaries, suppress
+from ..operators import filters, labels, raster, spatial, summaries, suppress, tiles
+
+Model = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+
+
+def score_tiles(tile_rows: DataFrame, model: Model, key: str = "plate_id") -> DataFrame:
+    """Boxes (key, tile_id, x1, y1, x2, y2, conf, class) that a user's function finds in batches of tiles; it
+    is called once per task with an iterator, so it can load its weights once."""
+    kind = tile_rows.schema[key].dataType.simpleString()
+    return tile_rows.mapInPandas(model, f"{key} {kind}, tile_id int, x1 double, y1 double, x2 double, y2 double, conf double, class int")
+
+
+def score_crops(crops: DataFrame, model: Callable[[pd.Series], pd.Series], column: str = "features", name: str = "p") -> DataFrame:
+    """Adds the probability that a user's vectorised function gives each crop."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield model(batch)
+
+    return crops.withColumn(name, score(column))
+
+
+def mask_boxes(boxes: DataFrame, model: Model, key: str = "plate_id", seq: str = "det_seq") -> DataFrame:
+    """Runs (key, seq, y, x0, x1) that a user's segmenter gives for batches of boxes."""
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema.fields}
+    return boxes.mapInPandas(model, f"{key} {kinds[key]}, {seq} {kinds[seq]}, y int, x0 int, x1 int")
+
+
+def detect_tiled(plates: DataFrame, model: Model, size: int = 1280, overlap: int = 256, conf: float = 0.6, iou: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(detections with ids, counts per plate): grid, scoring, threshold, image coordinates, suppression."""
+    grid = tiles.tile_grid(plates, size, overlap)
+    found = filters.min_confidence(score_tiles(grid, model), conf)
+    everywhere = suppress.cut_lineage(tiles.tile_to_global(found, grid).withColumn("det_seq", F.xxhash64("tile_id", "x1", "y1", "x2", "y2", "conf")))
+    kept = summaries.assign_detection_id(suppress.nms_global(everywhere, iou, mixed_sizes=True))
+    return kept, summaries.nms_counts(everywhere, kept, grid)
+
+
+def physical_measurements(props: DataFrame, scale: Column, unit: str) -> DataFrame:
+    """Region properties in physical units."""
+    return props.select("*", *G.to_physical(scale, unit, "major", "minor", "area"))
+
+
+def measure_from_masks(boxes: DataFrame, runs: DataFrame, scale: Column, unit: str = "um", key: str = "plate_id", seq: str = "det_seq") -> DataFrame:
+    """Each box's mask (runs keyed by key and seq) as one region; boxes without a mask are measured by their
+    sides and have mask_available false."""
+    props = raster.region_props(runs, key, seq).join(raster.solidity(runs, key, seq).select(key, seq, "solidity").hint("merge"), [key, seq])
+    props = props.join(raster.perimeter(raster.to_pixels_of(runs), key, seq).hint("merge"), [key, seq])
+    joined = boxes.select(key, seq, "x1", "y1", "x2", "y2").join(props.select(key, seq, "area", "major", "minor", "eccentricity", "solidity", "perimeter").hint("merge"), [key, seq], "left")
+    return physical_measurements(with_fallback(joined), scale, unit)
+
+
+def with_fallback(rows: DataFrame) -> DataFrame:
+    """Measurements of a box by its sides where its region has none."""
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    side = {"major": F.greatest(w, h), "minor": F.least(w, h), "area": w * h, "perimeter": 2 * (w + h), "eccentricity": F.lit(0.0), "solidity": F.lit(0.0)}
+    flagged = rows.withColumn("mask_available", F.col("area").isNotNull())
+    return flagged.withColumns({c: F.coalesce(F.col(c).cast("double"), v.cast("double")) for c, v in side.items()})
+
+
+def measure_fast(boxes: DataFrame, px: DataFrame, plates: DataFrame, scale: Column, pad: int = 5, block: int = 51, min_size: int = 50, unit: str = "mm", key: str = "plate_id", seq: str = "det_seq") -> DataFrame:
+    """Each box's largest dark region in its padded crop: local threshold inside the crop, small objects
+    removed, region properties; boxes without a region get method no_contour_fallback."""
+    sized = boxes.join(plates.select(key, "width", "height"), key).select(key, seq, "x1", "y1", "x2", "y2", *G.pad_clip(pad, "width", "height"))
+    crops = spatial.crop_join(sized.select(key, seq, "px1", "py1", "px2", "py2"), px).select(F.struct(key, seq).alias("plate_id"), "x", "y", F.col("v").cast("double").alias("v"))
+    dark = raster.local_threshold_mask(crops, block)
+    region = raster.largest_component(raster.remove_small_objects(raster.label_runs(raster.to_runs(dark), 8), min_size))
+    runs = region.select(F.col(f"plate_id.{key}").alias(key), F.col(f"plate_id.{seq}").alias(seq), "y", "x0", "x1")
+    out = measure_from_masks(boxes, runs, scale, unit, key, seq)
+    return out.withColumn("method", F.when(F.col("mask_available"), "fast").otherwise("no_contour_fallback"))
+
+
+def propose_cv(px: DataFrame, plates: DataFrame, background: int = 25, min_size: int = 50) -> DataFrame:
+    """Proposals with runs measured: contrast, background, Otsu, cleaning, components, contour filter, rank."""
+    flat = raster.subtract_background(raster.clahe(px, plates), "tophat", background)
+    labelled = suppress.cut_lineage(raster.remove_small_objects(raster.label_runs(raster.to_runs(raster.threshold(flat, "otsu")), 8), min_size))
+    props = raster.region_props(labelled, "plate_id", "label").join(raster.solidity(labelled, "plate_id", "label").select("plate_id", "label", "solidity").hint("merge"), ["plate_id", "label"])
+    kept = filters.contour_filter(props)
+    return kept.withColumn("conf", G.proposal_confidence("shape", eccentricity="eccentricity", solidity="solidity"))
+
+
+def propose_cv_fast(px: DataFrame, plates: DataFrame, background: int = 25, scale: float = 3.0, preset: str = "detect", ring: int = 100, shrink: float = 50, min_size: int = 50) -> DataFrame:
+    """Boxes of components inside the plate, scaled about their centres, filtered and suppressed."""
+    circle = raster.plate_circle(px, plates, ring=ring)
+    flat = raster.subtract_background(raster.clahe(px, plates), "tophat", background)
+    mask = raster.threshold(flat, "otsu").join(circle.select("plate_id", "cx", "cy", "radius").hint("merge"), "plate_id")
+    inside = filters.inside_plate(mask, "cx", "cy", "radius", shrink).select("plate_id", "x", "y")
+    return _boxes(raster.remove_small_objects(raster.label_runs(raster.to_runs(inside), 8), min_size), plates, scale, preset)
+
+
+def _boxes(labelled: DataFrame, plates: DataFrame, scale: float, preset: str) -> DataFrame:
+    props = suppress.cut_lineage(raster.region_props(labelled, "plate_id", "label")).join(plates.select("plate_id", "width", "height"), "plate_id")
+    box = props.select("plate_id", "label", F.col("area").alias("pixels"), F.col("bbox_x1").alias("x"), F.col("bbox_y1").alias("y"), (F.col("bbox_x2") - F.col("bbox_x1")).alias("w"), (F.col("bbox_y2") - F.col("bbox_y1")).alias("h"), "width", "height")
+    scaled = box.select("*", *G.scale_clip(scale, "width", "height")).withColumn("area", F.col("sw") * F.col("sh")).withColumn("bbox_area", F.col("w") * F.col("h"))
+    rows = filters.area_filter(scaled, preset).select("plate_id", "area", F.col("sx").alias("x1"), F.col("sy").alias("y1"), (F.col("sx") + F.col("sw")).alias("x2"), (F.col("sy") + F.col("sh")).alias("y2"), G.aspect_eccentricity("sw", "sh").alias("eccentricity"), G.proposal_confidence("fill", area="pixels", bbox_area="bbox_area").alias("conf"), "label")
+    rows = suppress.cut_lineage(summaries.number_rows(rows, "det_seq", "plate_id", F.asc("label")).drop("label"))
+    return suppress.nms_proposals(rows, mixed_sizes=True)
+
+
+def propose_multifeature(px: DataFrame, plates: DataFrame, threshold: int = 40, scale: float = 1.5, ring: int = 100, shrink: float = 50, min_size: int = 50) -> DataFrame:
+    """Boxes of salient regions: edges, local variance and local contrast weighted into one map."""
+    edge = raster.edges(px).withColumn("e", F.lit(1.0))
+    maps = raster.local_std(raster.local_variance(px, 21), 15).join(edge.hint("merge"), ["plate_id", "x", "y"], "left").select("plate_id", "x", "y", F.coalesce("e", F.lit(0.0)).alias("e"), "local_variance", "local_std")
+    map_ = raster.saliency(maps, {"local_variance": 0.5, "e": 0.3, "local_std": 0.2})
+    circle = raster.plate_circle(px, plates, ring=ring)
+    salient = filters.inside_plate(map_.filter(F.col("v") > threshold).join(circle.select("plate_id", "cx", "cy", "radius").hint("merge"), "plate_id"), "cx", "cy", "radius", shrink)
+    return _boxes(raster.remove_small_objects(raster.label_runs(raster.to_runs(salient.select("plate_id", "x", "y")), 8), min_size), plates, scale, "feature")
+
+
+def propose_blob(px: DataFrame, plates: DataFrame, sigmas: list[float], ring: int = 100) -> DataFrame:
+    """Boxes around Laplacian blobs of the plate (a 0-255 raster), ranked by size."""
+    inside = raster.mask_plate(px, raster.plate_circle(px, plates, ring=ring), plates)
+    blobs = raster.blob_log(inside.withColumn("v", F.col("v") / 255), sigmas)
+    boxes = raster.blob_to_box(blobs, plates).withColumn("conf", F.least(F.lit(1.0), F.col("sigma") * 2**0.5 / max(sigmas)))
+    return summaries.number_rows(boxes, "rank", "plate_id", F.desc("conf"), F.asc("blob_id"))
+
+
+def classify_and_filter(proposals: DataFrame, model: Callable[[pd.Series], pd.Series], t: float = 0.97, column: str = "features") -> DataFrame:
+    """Measured proposals that the user's classifier accepts and the morphology filter keeps, numbered."""
+    scored = suppress.cut_lineage(score_crops(proposals, model, column))
+    ok = (F.col("p") >= t) & filters.morphology_reason().isNull()
+    return summaries.assign_organism_id(scored, ok)
+
+
+def batch_plates(catalog: DataFrame, measured: DataFrame) -> DataFrame:
+    """Summary of all plates of a catalog, the ones without results included."""
+    return summaries.batch_summary(catalog, measured)
+
+
+def build_tiled_dataset(rois: DataFrame, plates: DataFrame, splits: DataFrame, size: int = 1280, overlap: int = 256) -> DataFrame:
+    """Label rows (plate, tile, split, bx, by, bw, bh) of a detector's training tiles."""
+    rows = tiles.global_to_tile(tiles.roi_tile_join(rois, plates, size, overlap), size)
+    return labels.assign_split(rows, splits).withColumn("tile_name", tiles.names()["tile_name"])
+
+
+def build_label_dataset(positives: DataFrame, truth: DataFrame, negatives: DataFrame, id_column: str, val_frac: float = 0.2) -> DataFrame:
+    """(path, label, split) of a classifier's training crops."""
+    return summaries.shuffle_split(labels.unify_labels(positives, truth, negatives, id_column), "path", "label", val_frac=val_frac)
 
 
 def detection_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections of all plates: confidence filter, suppression, ids, physical sizes, summary per plate."""
     det = filters.min_confidence(view(spark, sf_dir, "fx_det"))
     kept = summaries.assign_detection_id(suppress.nms_global(det))
     sized = kept.select("plate_id", "detection_id", *G.to_physical(F.lit(8.666), "um", F.greatest("w", "h"), F.least("w", "h"), F.col("w") * F.col("h")))

@@ -338,7 +338,7 @@ def solidity(runs: DataFrame, *keys: str) -> DataFrame:
         point = lambda y, x: F.struct(y.cast("double").alias("y"), x.cast("double").alias("x"))
         return F.flatten(F.transform("l", lambda e: F.array(point(e["y"], e[field]), point(e["y"] + 1, e[field]))))
 
-    hulls = regions.select(*keys, "area", chain(corners("x0"), 1).alias("a"), chain(corners("x1"), -1).alias("b"))
+    hulls = regions.select(*keys, "area", chain(corners("x0"), -1).alias("a"), chain(corners("x1"), 1).alias("b"))
     # shoelace over the left chain upwards and the right one back
     ring = F.concat("a", F.reverse("b"))
     hulls = hulls.select(*keys, "area", ring.alias("ring"))

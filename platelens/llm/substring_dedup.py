@@ -157,13 +157,15 @@ def shared_windows(rows: np.ndarray, sizes: np.ndarray, owner: np.ndarray, lengt
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 24, batch_bytes: int = 2 << 20) -> DataFrame:
-    """The batches (batch, ids, sizes, blob), each with `ranges`: its repeated byte ranges, by shard."""
+def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 24, batch_bytes: int = 2 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
+    """The batches (batch, ids, sizes, blob), each with `ranges`: its repeated byte ranges, by shard. There
+    is a shard for each shard_bytes of text, so what a shard sorts keeps its size as the corpus grows."""
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, width = f"text_batches_{uuid.uuid4().hex}", length - q + 1
-    _packed_batches(docs, batch_bytes).write.bucketBy(shards, "batch").option("path", fresh_path(spark, "text-batches")).saveAsTable(name)
+    _packed_batches(docs, batch_bytes).write.bucketBy(buckets, "batch").option("path", fresh_path(spark, "text-batches")).saveAsTable(name)
     batches = spark.table(name)
+    shards = max(buckets, batches.count() * batch_bytes // shard_bytes)
 
     def ask(rows):
         for b in rows:

@@ -157,7 +157,7 @@ def shared_windows(rows: np.ndarray, sizes: np.ndarray, owner: np.ndarray, lengt
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 24, batch_bytes: int = 2 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 24, batch_bytes: int = 2 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
     """The batches (batch, ids, sizes, blob), each with `ranges`: its repeated byte ranges, by shard. There
     is a shard for each shard_bytes of text, so what a shard sorts keeps its size as the corpus grows."""
     spark = docs.sparkSession

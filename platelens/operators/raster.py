@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .components import connected_components
+from .components import connected_components, cut_lineage
 
 KEY = "plate_id"
 
@@ -205,8 +205,8 @@ def edges(px: DataFrame, low: float = 30, high: float = 100, blur: int = 5) -> D
     near = g.select(KEY, F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("m").alias("nm"))
     sides = g.select("*", F.explode(F.array(F.lit(-1), F.lit(1))).alias("s")).withColumn("nx", F.col("x") + F.col("s") * F.col("dx")).withColumn("ny", F.col("y") + F.col("s") * F.col("dy"))
     thin = sides.join(near.hint("merge"), [KEY, "nx", "ny"], "left").groupBy(KEY, "x", "y", "m").agg(F.max(F.coalesce("nm", F.lit(0.0))).alias("best")).filter(f"m >= best AND m > {low}")
-    runs = to_runs(thin)
-    labels = label_runs(runs, 8)
+    thin = cut_lineage(thin)
+    labels = cut_lineage(label_runs(to_runs(thin), 8))
     strong = to_pixels_of(labels).join(thin.filter(F.col("m") > high).select(KEY, "x", "y").hint("merge"), [KEY, "x", "y"], "left_semi").select(KEY, "label").distinct()
     kept = to_pixels_of(labels).join(strong.hint("merge"), [KEY, "label"], "left_semi").select(KEY, "x", "y")
     grown = kept.select(KEY, F.explode(F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("p")).select(KEY, "p.*").distinct()
@@ -228,6 +228,7 @@ def label_runs(runs: DataFrame, connectivity: int = 8, cell: int = 64) -> DataFr
     """Adds label, the struct (y, x0) of the component's first run. Runs of adjacent lines meet by equality
     on (image, line, cell of x), each pair in the cell where its overlap begins."""
     reach = {4: 0, 8: 1}[connectivity]
+    runs = cut_lineage(runs)  # read several times below
     wide = runs.select(KEY, "y", "x0", "x1").withColumn("__c", F.explode(F.sequence(F.floor((F.col("x0") - reach) / cell).cast("int"), F.floor((F.col("x1") + reach) / cell).cast("int"))))
     upper = wide.select(KEY, (F.col("y") + 1).alias("y"), "__c", F.col("x0").alias("u0"), F.col("x1").alias("u1"))
     touch = (F.col("x0") <= F.col("u1") + reach) & (F.col("x1") >= F.col("u0") - reach)
@@ -381,8 +382,6 @@ def downscale(px: DataFrame, plates: DataFrame, max_side: int = 1024) -> DataFra
 def blob_log(px: DataFrame, sigmas: list[float], min_response: float = 0.01, overlap: float = 0.5) -> DataFrame:
     """Blobs (plate_id, blob_id, x, y, sigma, response): maxima over place and scale of the scale-normalised
     Laplacian of the 0-1 raster; of two discs whose overlap exceeds `overlap` of the smaller, the larger stays."""
-    from .suppress import cut_lineage
-
     layers = None
     for s, sigma in enumerate(sigmas):
         soft = local_mean(px, 2 * int(3 * sigma + 0.5) + 1, "gaussian", sigma).select(KEY, "x", "y", F.col("local_mean").alias("v"))

@@ -157,13 +157,6 @@ def x03_measure_from_masks(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("plate_id", "det_seq", "mask_available", "area", "major", "minor", "solidity", "perimeter", "length_um"), "major", "minor", "solidity", "perimeter", "length_um", digits=4)
 
 
-@query()
-def x05_propose_cv_fast(spark: SparkSession, d: str) -> DataFrame:
-    px = view(spark, d, "fx_gray")
-    plates = px.groupBy("plate_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
-    return jobs.propose_cv_fast(px, plates, background=3, scale=9.0, preset="any", ring=4, shrink=2, min_size=3)
-
-
 @query(
     duck("fx_det")
     + """ SELECT plate_id, det_seq, CASE WHEN det_seq % 3 > 0 THEN w * 10 ELSE greatest(w, h) END AS major, CASE WHEN det_seq % 3 > 0 THEN h ELSE least(w, h) END AS minor,

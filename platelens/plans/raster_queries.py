@@ -219,29 +219,6 @@ def r10_gradient(spark: SparkSession, d: str) -> DataFrame:
     return R.gradient(view(spark, d, "fx_gray")).select("plate_id", "x", "y", F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"))
 
 
-@query()
-def r10_edges(spark: SparkSession, d: str) -> DataFrame:
-    return R.edges(view(spark, d, "fx_gray"))
-
-
-@query(
-    duck("fx_gray")
-    + f""", b AS ({_BOX}), maps AS (SELECT g.plate_id, x, y, v::DOUBLE AS a, m AS b, sqrt(greatest(0, q - m * m)) AS c FROM fx_gray g JOIN b USING (plate_id, x, y)),
-  n AS (SELECT plate_id, x, y, 0.5::DOUBLE * (a - min(a) OVER w) / (max(a) OVER w - min(a) OVER w) + 0.3::DOUBLE * (b - min(b) OVER w) / (max(b) OVER w - min(b) OVER w) + 0.2::DOUBLE * (c - min(c) OVER w) / (max(c) OVER w - min(c) OVER w) AS v FROM maps WINDOW w AS (PARTITION BY plate_id))
-  SELECT plate_id, x, y, CAST(trunc(round((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 255, 6)) AS INT) AS v FROM n WINDOW w AS (PARTITION BY plate_id)"""
-)
-def r16_saliency(spark: SparkSession, d: str) -> DataFrame:
-    px = view(spark, d, "fx_gray")
-    maps = R.local_std(R.local_mean(px, 7, name="b"), 7).select("plate_id", "x", "y", F.col("v").cast("double").alias("a"), "b", F.col("local_std").alias("c"))
-    return R.saliency(maps, {"a": 0.5, "b": 0.3, "c": 0.2})
-
-
-@query()
-def r17_blob_log(spark: SparkSession, d: str) -> DataFrame:
-    px = view(spark, d, "fx_gray").withColumn("v", F.col("v") / 255)
-    return rounded(R.blob_log(px, [1.0, 1.6, 2.5]), "response")
-
-
 @query(duck("fx_gray") + " SELECT plate_id, CAST(floor(x * 32.0::DOUBLE / 80) AS INT) AS x, CAST(floor(y * 16.0::DOUBLE / 40) AS INT) AS y, round(avg(v), 6) AS v FROM fx_gray GROUP BY ALL")
 def r18_downscale(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.downscale(view(spark, d, "fx_gray"), gray_plates(spark, d), 32), "v")

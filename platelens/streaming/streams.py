@@ -33,16 +33,21 @@ def progress(done: DataFrame, total: int, key: str = "plate_id") -> DataFrame:
     return done.agg(n).select("completed", F.lit(total).alias("total"), F.floor(F.col("completed") * 100 / total).alias("percent"))
 
 
+def _watermarked(events: DataFrame, time: str, watermark: str) -> DataFrame:
+    """A watermark takes timestamps with a time zone only."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, watermark)
+
+
 def throughput(events: DataFrame, window: str = "1 hour", slide: str | None = None, watermark: str = "2 hours", time: str = "ts", value: str = "value") -> DataFrame:
     """Organisms and plates per event-time window; rows later than the watermark are dropped by a stream."""
-    rows = events.withWatermark(time, watermark) if events.isStreaming else events
+    rows = _watermarked(events, time, watermark) if events.isStreaming else events
     span = F.window(time, window, slide) if slide else F.window(time, window)
     return rows.groupBy(span.alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("organisms")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "organisms")
 
 
 def sessions(events: DataFrame, gap: str = "10 minutes", watermark: str = "2 hours", key: str = "user_id", time: str = "ts", value: str = "value") -> DataFrame:
     """The same per plate and session, a session ending after `gap` without rows."""
-    rows = events.withWatermark(time, watermark) if events.isStreaming else events
+    rows = _watermarked(events, time, watermark) if events.isStreaming else events
     return rows.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("organisms")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "organisms")
 
 
@@ -50,4 +55,4 @@ def stream_dedup(events: DataFrame, *keys: str, time: str = "ts", watermark: str
     """Replayed rows removed; state is kept for the watermark only."""
     if not events.isStreaming:
         return events.dropDuplicates(list(keys))
-    return events.withWatermark(time, watermark).dropDuplicatesWithinWatermark(list(keys))
+    return _watermarked(events, time, watermark).dropDuplicatesWithinWatermark(list(keys))

@@ -139,7 +139,7 @@ def test_ingest_and_discover(spark, tmp_path):
     (tmp_path / "ROI_k1").mkdir()
     (tmp_path / "ROI_k1" / "a.zip").write_bytes(b"1,2,3,4")
     (tmp_path / "ROI_k1" / "b.zip").write_bytes(b"bad")
-    (tmp_path / "ROI_k1" / "p.JPG").write_bytes(b"")
+    (tmp_path / "ROI_k1" / "p.JPG").write_bytes(b"x")
 
     def decode(data):
         left, top, width, height = map(int, data.decode().split(","))

@@ -252,15 +252,29 @@ def j02_iou_pairs_mixed_sizes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(spatial.iou_pairs(view(spark, d, "fx_det"), 0.25, strict=False, cell=16, mixed_sizes=True), "iou")
 
 
+def crops(det: DataFrame, gray: DataFrame) -> DataFrame:
+    """Pixels and their sum in the padded crop of each box, scaled to the gray raster."""
+    a, c = (F.col("x1") / 13).cast("int"), (F.col("y1") / 26).cast("int")
+    boxes = det.select("plate_id", "det_seq", a.alias("x1"), c.alias("y1"), (a + 4).alias("x2"), (c + 4).alias("y2")).select("plate_id", "det_seq", *G.pad_clip(2, 80, 40))
+    return spatial.crop_join(boxes, gray).groupBy("plate_id", "det_seq").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+
+
 @query(
     duck("fx_det", "fx_gray")
     + """, b AS (SELECT plate_id, det_seq, CAST(trunc(x1 / 13) AS INT) AS a, CAST(trunc(y1 / 26) AS INT) AS c FROM fx_det WHERE det_seq < 40)
     SELECT b.plate_id, det_seq, count(*) AS n, sum(v) AS total FROM b JOIN fx_gray g ON b.plate_id = g.plate_id AND g.x >= greatest(0, a - 2) AND g.x < least(80, a + 6) AND g.y >= greatest(0, c - 2) AND g.y < least(40, c + 6) GROUP BY b.plate_id, det_seq"""
 )
 def j03_crop_join(spark: SparkSession, d: str) -> DataFrame:
-    a, c = (F.col("x1") / 13).cast("int"), (F.col("y1") / 26).cast("int")
-    boxes = view(spark, d, "fx_det").filter("det_seq < 40").select("plate_id", "det_seq", a.alias("x1"), c.alias("y1"), (a + 4).alias("x2"), (c + 4).alias("y2")).select("plate_id", "det_seq", *G.pad_clip(2, 80, 40))
-    return spatial.crop_join(boxes, view(spark, d, "fx_gray")).groupBy("plate_id", "det_seq").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+    return crops(view(spark, d, "fx_det").filter("det_seq < 40"), view(spark, d, "fx_gray"))
+
+
+@query(
+    duck("fx_det", "fx_gray")
+    + """, b AS (SELECT plate_id, det_seq, CAST(trunc(x1 / 13) AS INT) AS a, CAST(trunc(y1 / 26) AS INT) AS c FROM fx_det)
+    SELECT b.plate_id, det_seq, count(*) AS n, sum(v) AS total FROM b JOIN fx_gray g ON b.plate_id = g.plate_id AND g.x >= greatest(0, a - 2) AND g.x < least(80, a + 6) AND g.y >= greatest(0, c - 2) AND g.y < least(40, c + 6) GROUP BY b.plate_id, det_seq"""
+)
+def j03_crop_join_all(spark: SparkSession, d: str) -> DataFrame:
+    return crops(view(spark, d, "fx_det"), view(spark, d, "fx_gray"))
 
 
 @query(duck("fx_plate") + " SELECT plate_id, coalesce(split_assigned, 'test') AS split FROM fx_plate")
@@ -269,6 +283,12 @@ def j04_assign_split(spark: SparkSession, d: str) -> DataFrame:
     return labels.assign_split(p.select("plate_id"), p.select("plate_id", F.col("split_assigned").alias("split")).filter("split IS NOT NULL"))
 
 
+def with_measurements(det: DataFrame, measured: DataFrame) -> DataFrame:
+    left = det.select("plate_id", F.col("det_seq").alias("detection_id"), F.col("conf").alias("confidence"))
+    right = measured.select("plate_id", F.col("det_seq").alias("detection_id"), (F.col("w") * 8.666).alias("length_um"), F.round("conf", 1).alias("confidence"))
+    return labels.join_measurements(left, right)
+
+
 @query(
     duck("fx_det")
     + """, a AS (SELECT plate_id, det_seq AS detection_id, conf AS confidence_det FROM fx_det), b AS (SELECT plate_id, det_seq AS detection_id, w * 8.666 AS length_um, round(conf, 1) AS confidence_meas FROM fx_det WHERE det_seq % 2 = 0)
@@ -276,9 +296,17 @@ def j04_assign_split(spark: SparkSession, d: str) -> DataFrame:
 )
 def j05_join_measurements(spark: SparkSession, d: str) -> DataFrame:
     det = view(spark, d, "fx_det")
-    left = det.select("plate_id", F.col("det_seq").alias("detection_id"), F.col("conf").alias("confidence"))
-    right = det.filter("det_seq % 2 = 0").select("plate_id", F.col("det_seq").alias("detection_id"), (F.col("w") * 8.666).alias("length_um"), F.round("conf", 1).alias("confidence"))
-    return labels.join_measurements(left, right)
+    return with_measurements(det, det.filter("det_seq % 2 = 0"))
+
+
+@query(
+    duck("fx_det")
+    + """, a AS (SELECT plate_id, det_seq AS detection_id, conf AS confidence_det FROM fx_det), b AS (SELECT plate_id, det_seq AS detection_id, w * 8.666 AS length_um, round(conf, 1) AS confidence_meas FROM fx_det)
+    SELECT a.plate_id, a.detection_id, confidence_det, length_um, confidence_meas FROM a JOIN b ON a.plate_id = b.plate_id AND a.detection_id = b.detection_id"""
+)
+def j05_join_measurements_all(spark: SparkSession, d: str) -> DataFrame:
+    det = view(spark, d, "fx_det")
+    return with_measurements(det, det)
 
 
 @query(duck("fx_plate", "fx_det") + " SELECT d.plate_id, det_seq, round(w * coalesce(um_per_pixel, 8.666), 6) AS length_um FROM fx_det d LEFT JOIN fx_plate p ON d.plate_id = p.plate_id")
@@ -440,6 +468,11 @@ def a06_measurement_summary(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(rounded(s, "mean_area", "median_area", digits=1), "mean_volume", "median_volume", digits=4), "total_volume", digits=3)
 
 
+def plate_batch(plates: DataFrame, measurements: DataFrame) -> DataFrame:
+    s = summaries.batch_summary(plates, measurements)
+    return rounded(s.withColumn("avg_volume", F.round(F.col("avg_volume_um3") / 1e9, 4)).drop("avg_volume_um3"), "avg_length_um", "avg_width_um", digits=3)
+
+
 @query(
     duck("fx_meas", "fx_plate")
     + _PHYS
@@ -447,8 +480,17 @@ def a06_measurement_summary(spark: SparkSession, d: str) -> DataFrame:
     SELECT f.plate_id, coalesce(n, 0) AS organisms, round(coalesce(l, 0), 3) AS avg_length_um, round(coalesce(w, 0), 3) AS avg_width_um, round(coalesce(v, 0), 4) AS avg_volume, CASE WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS status FROM fx_plate f LEFT JOIN p ON f.plate_id = p.plate_id"""
 )
 def a07_batch_summary(spark: SparkSession, d: str) -> DataFrame:
-    s = summaries.batch_summary(view(spark, d, "fx_plate"), physical(spark, d).filter("plate_id % 4 <> 0"))
-    return rounded(s.withColumn("avg_volume", F.round(F.col("avg_volume_um3") / 1e9, 4)).drop("avg_volume_um3"), "avg_length_um", "avg_width_um", digits=3)
+    return plate_batch(view(spark, d, "fx_plate"), physical(spark, d).filter("plate_id % 4 <> 0"))
+
+
+@query(
+    duck("fx_meas", "fx_plate")
+    + _PHYS
+    + """, p AS (SELECT plate_id, count(*) AS n, avg(l) AS l, avg(w) AS w, avg(v) / 1e9 AS v FROM ph GROUP BY plate_id)
+    SELECT f.plate_id, coalesce(n, 0) AS organisms, round(coalesce(l, 0), 3) AS avg_length_um, round(coalesce(w, 0), 3) AS avg_width_um, round(coalesce(v, 0), 4) AS avg_volume, CASE WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS status FROM fx_plate f LEFT JOIN p ON f.plate_id = p.plate_id"""
+)
+def a07_batch_summary_all(spark: SparkSession, d: str) -> DataFrame:
+    return plate_batch(view(spark, d, "fx_plate"), physical(spark, d))
 
 
 @query(duck("fx_det", "fx_plate") + _grid_sql(256, 64) + " SELECT p.plate_id, (SELECT count(*) FROM tiles t WHERE t.plate_id = p.plate_id) AS num_tiles, (SELECT count(*) FROM fx_det f WHERE f.plate_id = p.plate_id) AS before, (SELECT count(*) FROM fx_det f WHERE f.plate_id = p.plate_id AND conf >= 0.6) AS after FROM fx_plate p")

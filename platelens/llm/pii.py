@@ -1,16 +1,18 @@
 """Personal data: fixed patterns, and a skip-chain conditional random field that adds what they miss.
 
 Nodes of a document are its pattern matches and the other chunks that hold a digit or '@'. Chain edges join
-neighbours, twin edges join a node to the next one of the same content (a number's last seven digits, an
-address' local part, or the text), skip edges to the next one of the same shape, so edges grow with the nodes
-and not with their square. Labels are the four kinds and none. Loopy belief
-propagation passes messages along all; pattern matches are clamped to their kind, so that they stay, and
-what they say reaches repeated and similar chunks. A free node whose best kind has at least `min_probability`
-becomes a span.
+neighbours, twin edges join a node to a pattern match of the same content (a number's last seven digits, an
+address' local part, or the text) or, without one, to the next node of it, skip edges to the next one of the
+same shape, so edges grow with the nodes and not with their square. Labels are the four kinds and none. Loopy
+belief propagation passes messages along all until each document's settle; pattern matches are clamped to their
+kind, so that they stay, and what they say reaches repeated and similar chunks, a repeated one at any distance
+in one step. A free node whose best kind has at least `min_probability` becomes a span.
 
 Parameters are fitted piecewise on a bounded sample (`max_sample` documents of smallest hash of doc_id among
 those that have nodes): node weights by multinomial logistic regression of kinds on shapes and neighbouring
-words, edge potentials from smoothed counts of label pairs.
+words, chain and skip potentials from smoothed counts of label pairs. Twins agree by a fixed potential, since the
+patterns' labels can't show it: what they miss is unlabelled there. So a chunk of a match's content is no example
+of none; it is left out of the regression and has the match's kind in the label pairs.
 
 Defined results: null or empty text has no spans; a table without matches trains a model that adds nothing;
 repeated rows are judged alike; offsets are code points, the end exclusive; counts are of pattern matches.
@@ -39,6 +41,8 @@ _ANY = re.compile(r"[0-9@]")
 _CHUNK = re.compile(r"[^\s\"'<>,;|]*[0-9@][^\s\"'<>,;|]*")
 _EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 _BUCKETS = 1 << 14
+#: Log potential of one kind on both ends of a twin edge, and the change of a message that counts as settled.
+_AGREE, _SETTLED = 8.0, 1e-4
 
 
 def luhn(digits: str) -> bool:
@@ -118,16 +122,34 @@ class Nodes:
         return [zlib.crc32(n.encode()) % _BUCKETS for n in names]
 
     def edges(self) -> list[list[tuple[int, int]]]:
-        """Chain, twin and skip edges: neighbours, and successive nodes of one content or one shape."""
+        """Chain, twin and skip edges: neighbours; a node and the last match of its content before it (or the
+        first behind it; the next node where no match has it); successive nodes of one shape."""
         chain = [(i, i + 1) for i in range(len(self.spans) - 1)]
         twin, skip, last = [], [], {}
-        for i, (t, s) in enumerate(zip(self.texts, self.shapes)):
-            for edges, key in ((twin, content(t)), (skip, ("shape", s))):
-                if key in last:
-                    edges.append((last[key], i))
-                last[key] = i
+        keys = [content(t) for t in self.texts]
+        match = {}
+        for i in reversed(range(len(keys))):
+            if self.spans[i][2] != NONE:
+                match[keys[i]] = i
+        for i, (key, s) in enumerate(zip(keys, self.shapes)):
+            to = match.get(key, last.get(key))
+            if to is not None and to != i:
+                twin.append((to, i))
+            if key not in match or self.spans[i][2] != NONE:
+                (match if key in match else last)[key] = i
+            if ("shape", s) in last:
+                skip.append((last["shape", s], i))
+            last["shape", s] = i
         return [chain, twin, skip]
 
+    def silver(self, twin: list[tuple[int, int]]) -> list[int]:
+        """The patterns' labels; a node that they miss has the kind of the match that it repeats."""
+        label = [kind for _, _, kind in self.spans]
+        for a, b in twin:
+            if self.spans[b][2] == NONE:
+                label[b] = self.spans[a][2]
+        return label
+
 
 def content(token: str) -> tuple[str, str]:
     """What repeated mentions of one thing have in common however they are written."""
@@ -146,7 +168,7 @@ class SkipChainCRF:
 
     @classmethod
     def fit(cls, features: np.ndarray, labels: np.ndarray, pairs: list[np.ndarray], steps: int = 200, l2: float = 1e-3) -> SkipChainCRF:
-        """features: (nodes, 6) buckets; pairs: for each sort of edge (edges, 2) labels of their ends."""
+        """features: (nodes, 6) buckets; pairs: for chain and skip edges (edges, 2) labels of their ends."""
         k, n = NONE + 1, len(labels)
         w = np.zeros((_BUCKETS, k))
         if n:
@@ -172,10 +194,12 @@ class SkipChainCRF:
             margin = joint.sum(1)
             return np.clip(np.log(joint / np.outer(margin, margin)), -3, 3)
 
-        return cls(w, [potential(p) for p in pairs])
+        chain, skip = map(potential, pairs)
+        return cls(w, [chain, _AGREE * np.eye(k), skip])
 
-    def marginals(self, features: np.ndarray, clamped: np.ndarray, sorts: list[np.ndarray], rounds: int = 8, damping: float = 0.3) -> np.ndarray:
-        """Beliefs of the nodes of many documents at once by damped loopy sum-product; clamped: label or -1."""
+    def marginals(self, features: np.ndarray, clamped: np.ndarray, sorts: list[np.ndarray], doc: np.ndarray, damping: float = 0.3) -> np.ndarray:
+        """Beliefs of the nodes of many documents at once by damped loopy sum-product; clamped: label or -1;
+        doc: which document a node belongs to. A document rests when its messages have settled."""
         n, k = len(features), NONE + 1
         node = self.weights[features].sum(1) if n else np.zeros((0, k))
         held = np.flatnonzero(clamped >= 0)
@@ -187,14 +211,22 @@ class SkipChainCRF:
         pot = np.concatenate([pot, pot.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         message = np.zeros((len(src), k))
-        for _ in range(rounds):
+        live, of, rounds = np.arange(len(src)), doc[src], 0
+        while len(live):
             total = node.copy()
-            np.add.at(total, dst, message)
-            into = (total[src] - message[back])[:, :, None] + pot
+            np.add.at(total, dst[live], message[live])
+            into = (total[src[live]] - message[back[live]])[:, :, None] + pot[live]
             top = into.max(1)
             new = top + np.log(np.exp(into - top[:, None, :]).sum(1))
             new -= new.max(1, keepdims=True)
-            message = damping * message + (1 - damping) * new
+            new = damping * message[live] + (1 - damping) * new
+            moved = np.zeros(int(doc[-1]) + 1)
+            np.maximum.at(moved, of[live], np.abs(new - message[live]).max(1))
+            message[live] = new
+            live = live[moved[of[live]] > _SETTLED]
+            rounds += 1
+            if rounds % 100 == 0:  # messages that go round in circles are damped until they rest
+                damping = (1 + damping) / 2
         np.add.at(node, dst, message)
         node -= node.max(1, keepdims=True)
         e = np.exp(node)
@@ -213,30 +245,33 @@ def train_crf(docs: DataFrame, max_sample: int = 4_000) -> SkipChainCRF:
             rows = []
             for text in b.column(1).to_pylist():
                 d = Nodes(text or "", pattern_spans(text))
-                label = [s[2] for s in d.spans]
-                rows.append(([x for f in d.features for x in f], label, *([label[i] for e in edges for i in e] for edges in d.edges())))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in range(5)], ["features", "labels", "chain", "twin", "skip"])
+                chain, twin, skip = d.edges()
+                label = d.silver(twin)
+                sure = [i for i, s in enumerate(d.spans) if s[2] == label[i]]
+                rows.append(([x for i in sure for x in d.features[i]], [label[i] for i in sure], *([label[i] for e in edges for i in e] for edges in (chain, skip))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in range(4)], ["features", "labels", "chain", "skip"])
 
     # bounded by max_sample documents; a node is 6 small integers
-    data = sample.mapInArrow(nodes, "features array<int>, labels array<int>, chain array<int>, twin array<int>, skip array<int>").toPandas()
+    data = sample.mapInArrow(nodes, "features array<int>, labels array<int>, chain array<int>, skip array<int>").toPandas()
     flat = lambda c, width: np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in data[c])]).reshape(-1, width)
-    return SkipChainCRF.fit(flat("features", 6), flat("labels", 1).ravel(), [flat(c, 2) for c in ("chain", "twin", "skip")])
+    return SkipChainCRF.fit(flat("features", 6), flat("labels", 1).ravel(), [flat(c, 2) for c in ("chain", "skip")])
 
 
 def add_spans(texts: list[str | None], crf: SkipChainCRF, min_probability: float) -> list[tuple[list, list]]:
     """(pattern spans, all spans) of each text; the field runs over all texts of the batch at once."""
     bases = [pattern_spans(t) for t in texts]
     docs = [Nodes(t, b) if t and _ANY.search(t) else None for t, b in zip(texts, bases)]
-    features, clamped, sorts, offset, n = [], [], ([], [], []), [], 0
-    for d in docs:
+    features, clamped, sorts, offset, of, n = [], [], ([], [], []), [], [], 0
+    for k, d in enumerate(docs):
         offset.append(n)
         if d:
             features += d.features
             clamped += [-1 if kind == NONE else kind for _, _, kind in d.spans]
             for found, edges in zip(sorts, d.edges()):
                 found += [(i + n, j + n) for i, j in edges]
+            of += [k] * len(d.spans)
             n += len(d.spans)
-    belief = crf.marginals(np.array(features, np.int64).reshape(-1, 6), np.array(clamped, np.int64), [np.array(e, np.int64).reshape(-1, 2) for e in sorts])
+    belief = crf.marginals(np.array(features, np.int64).reshape(-1, 6), np.array(clamped, np.int64), [np.array(e, np.int64).reshape(-1, 2) for e in sorts], np.array(of, np.int64))
     best, sure = belief[:, :NONE].argmax(1), belief[:, :NONE].max(1, initial=0.0)
     out = []
     for d, base, at in zip(docs, bases, offset):

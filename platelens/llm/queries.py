@@ -47,7 +47,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scores(load(spark, sf_dir, "documents"))
+    return lm_scores(load(spark, sf_dir, "documents"), min_trigram=1)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

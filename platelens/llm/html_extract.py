@@ -169,8 +169,7 @@ def page_blocks(html: str) -> tuple[list[tuple[str, bool, int, str]], dict[str,
             flush()
         elif node.noise and not stack[-1].noise:
             flush_inline()
-        if len(stack) < 200:
-            stack.append(node)
+        stack.append(node)
         if node.path != stack[-2].path:
             counts[node.path] += 1
     while len(stack) > 1:

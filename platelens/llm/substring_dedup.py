@@ -4,15 +4,19 @@ Every window of `length` bytes belongs to the least hash of the q-grams in it. W
 that share it are one stretch, and equal windows, wherever they are, have equal least hashes and so meet in
 one shard. Steps, all over batches of documents whose packed bytes are a table bucketed by batch:
 
-1. Each batch sends the least hashes of its stretches to their shards; the shards answer, bit by bit, which
-   occur in more than one document. Most text ends here.
-2. Stretches of the others go to their shards, each distinct one once per batch with its occurrences. A
-   shard keeps each distinct stretch once with the smallest doc_id (so a passage that a third of the corpus
-   shares is one stretch), builds the suffix array of what is left by induced sorting, reads off which
-   suffixes share `length` bytes, and knows for each window the smallest doc_id it starts in. Occurrences in
-   larger doc_ids are sent back as byte ranges.
+1. Each batch sends the least hashes of its stretches to groups of shards; a group answers, bit by bit, which
+   occur in more than one document, and which have so many stretches that no shard should get them all. Most
+   text ends here.
+2. Stretches of the others go to their shards, each distinct one once per batch with its occurrences; where
+   the least hash is a hot one, window by window, dealt by the windows' own hashes. A shard keeps each distinct
+   stretch once with the smallest doc_id (so a passage that a third of the corpus shares is one stretch), builds
+   the suffix array of what is left by induced sorting, gets the permuted common prefixes, and so knows for each
+   window the smallest doc_id it starts in. Occurrences in larger doc_ids are sent back as byte ranges.
 3. Each batch unites its ranges and cuts them out.
 
+A group has the shards of about `group_bytes` of text and sorts them one after the other, so batch and group
+meet in one row, and what a task holds and sorts keeps its size as the corpus grows.
+
 Defined results: null text is empty; texts shorter than `length` bytes stay whole; a null doc_id counts as
 larger than all others; rows of one doc_id remove nothing from each other; an empty table gives no rows.
 """
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh_path, materialise
 from .shingles import mix
-from .suffix_array import common_prefix_at_least, suffix_array
+from .suffix_array import permuted_prefixes, suffix_array
 
 _NULL = np.iinfo(np.int64).max
 #: Never a byte of UTF-8.
@@ -89,7 +93,16 @@ class Batch:
 
 
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    """Least hashes lie near 0, so their bits are stirred first."""
+    return ((mix(hashes) >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+
+
+def _by_number(number: np.ndarray):
+    """(a number, its places) for each distinct number, the places in order."""
+    order = np.argsort(number, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], number[order][1:] != number[order][:-1], [True]])) if len(order) else [0]
+    for a, z in zip(edges, edges[1:]):
+        yield int(number[order[a]]), order[a:z]
 
 
 def _packed_batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
@@ -111,25 +124,25 @@ def _packed_batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
 
 
 def _binary_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    kinds = [pa.int32() if n == "shard" else pa.int64() if n == "batch" else pa.binary() for n in names]
+    kinds = [pa.int32() if n == "part" else pa.list_(pa.binary()) if n == "pieces" else pa.list_(pa.int32()) if n == "shards" else pa.int64() if n == "batch" else pa.binary() for n in names]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
 
 def _distinct_hashes(batch: Batch, length: int, q: int):
-    """(stretches, sorted distinct hashes, which of them are in two documents of the batch)."""
+    """(stretches, sorted distinct hashes, stretches of each, which of them are in two documents of the batch)."""
     starts, count, low, doc = batch.stretches(length, q)
     order = np.lexsort((doc, low))
-    hashes, first = np.unique(low[order], return_index=True)
+    hashes, first, often = np.unique(low[order], return_index=True, return_counts=True)
     many = np.zeros(len(hashes), bool)
     if len(hashes):
         d = doc[order]
         many = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-    return (starts, count, low, doc), hashes, many
+    return (starts, count, low, doc), hashes, often, many
 
 
 def _with_answers(batches: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """The batches, each with its shards' answers; the answers of a batch are bounded by its size."""
-    per_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("shard", "bits")).alias(name))
+    """The batches, each with its groups' answers; the answers of a batch are bounded by its size."""
+    per_batch = answers.groupBy("batch").agg(F.collect_list(F.struct("part", "bits")).alias(name))
     return batches.join(per_batch.hint("shuffle_hash"), "batch", "left")
 
 
@@ -146,7 +159,7 @@ def shared_windows(rows: np.ndarray, sizes: np.ndarray, owner: np.ndarray, lengt
     sa = suffix_array(t, depth=length + 2)
     whole = offset[sa] + length <= sizes[row[sa]]
     # a suffix that holds a window follows at once on those that share it
-    joined = common_prefix_at_least(t, sa, length)
+    joined = permuted_prefixes(t, sa, _BREAK)[sa] >= length
     group = np.cumsum(~joined | ~whole)[whole]
     at = sa[whole]
     out = np.full((len(rows), width), _NULL, np.int64)
@@ -157,95 +170,122 @@ def shared_windows(rows: np.ndarray, sizes: np.ndarray, owner: np.ndarray, lengt
     return out
 
 
-def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 24, batch_bytes: int = 2 << 20, shard_bytes: int = 1 << 20) -> DataFrame:
-    """The batches (batch, ids, sizes, blob), each with `ranges`: its repeated byte ranges, by shard. There
-    is a shard for each shard_bytes of text, so what a shard sorts keeps its size as the corpus grows."""
+def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 24, batch_bytes: int = 3 << 20, shard_bytes: int = 1 << 20, group_bytes: int = 16 << 20, hot: int = 4096) -> DataFrame:
+    """The batches (batch, ids, sizes, blob), each with `ranges`: its repeated byte ranges, by group. A least
+    hash with over `hot` stretches is a hot one."""
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, width = f"text_batches_{uuid.uuid4().hex}", length - q + 1
     _packed_batches(docs, batch_bytes).write.bucketBy(buckets, "batch").option("path", fresh_path(spark, "text-batches")).saveAsTable(name)
     batches = spark.table(name)
-    shards = max(buckets, batches.count() * batch_bytes // shard_bytes)
+    size = batches.count() * batch_bytes
+    parts = max(buckets, size // group_bytes)
+    per_part = max(1, size // (parts * shard_bytes))
 
     def ask(rows):
         for b in rows:
             for number, ids, sizes, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
-                _, hashes, many = _distinct_hashes(Batch(ids, sizes, blob), length, q)
-                shard = _shard(hashes, shards)
-                cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+                _, hashes, often, many = _distinct_hashes(Batch(ids, sizes, blob), length, q)
                 out = []
-                for s in np.unique(shard).tolist():
-                    a, z = cuts[s], cuts[s + 1]
-                    # the lower 48 bits tell hashes of a shard apart; a chance match costs work, not results
-                    low = np.ascontiguousarray(hashes[a:z]).view(np.uint8).reshape(-1, 8)[:, :6]
-                    out.append((number, s, low.tobytes() + np.packbits(many[a:z]).tobytes(), int(z - a).to_bytes(8, "little")))
-                yield _binary_rows(out, ["batch", "shard", "hashes", "n"])
+                for part, at in _by_number(_shard(hashes, parts)):
+                    # the lower 48 bits tell hashes of a group apart, and counts end at 255: chance costs work, not results
+                    low = hashes[at].view(np.uint8).reshape(-1, 8)[:, :6]
+                    out.append((number, part, low.tobytes() + np.minimum(often[at], 255).astype(np.uint8).tobytes() + np.packbits(many[at]).tobytes(), len(at).to_bytes(8, "little")))
+                if out:
+                    yield _binary_rows(out, ["batch", "part", "hashes", "n"])
 
     def answer(part: pd.DataFrame) -> pd.DataFrame:
-        values, many, cuts = [], [], [0]
+        values, counts, many, cuts = [], [], [], [0]
         for blob, size in zip(part["hashes"], part["n"]):
             n = int.from_bytes(size, "little")
             raw = np.zeros((n, 8), np.uint8)
             raw[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
             values.append(raw.view(np.uint64).ravel())
-            many.append(np.unpackbits(np.frombuffer(blob, np.uint8, offset=6 * n), count=n).astype(bool))
+            counts.append(np.frombuffer(blob, np.uint8, n, 6 * n))
+            many.append(np.unpackbits(np.frombuffer(blob, np.uint8, offset=7 * n), count=n).astype(bool))
             cuts.append(cuts[-1] + n)
         _, back, often = np.unique(np.concatenate(values), return_inverse=True, return_counts=True)
-        yes = np.bincount(back, np.concatenate(many), len(often)) + (often > 1)
-        yes = yes[back] > 0
-        return pd.DataFrame({"batch": part["batch"], "shard": part["shard"], "bits": [np.packbits(yes[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]})
+        yes = (np.bincount(back, np.concatenate(many), len(often)) + (often > 1) > 0)[back]
+        full = (np.bincount(back, np.concatenate(counts), len(often)) > hot)[back]
+        bits = [np.packbits(yes[a:b]).tobytes() + np.packbits(full[a:b]).tobytes() for a, b in zip(cuts, cuts[1:])]
+        return pd.DataFrame({"batch": part["batch"], "part": part["part"], "bits": bits})
 
-    answers = batches.mapInArrow(ask, "batch long, shard int, hashes binary, n binary").groupBy("shard").applyInPandas(answer, "batch long, shard int, bits binary")
+    answers = batches.mapInArrow(ask, "batch long, part int, hashes binary, n binary").groupBy("part").applyInPandas(answer, "batch long, part int, bits binary")
 
     def send(rows):
         for b in rows:
             for number, ids, sizes, blob, bits in zip(*(b.column(i).to_pylist() for i in range(5))):
                 batch = Batch(ids, sizes, blob)
-                (starts, count, low, doc), hashes, _ = _distinct_hashes(batch, length, q)
-                shared = np.zeros(len(hashes), bool)
-                shard = _shard(hashes, shards)
-                cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-                for x in bits or []:
-                    a, z = cuts[x["shard"]], cuts[x["shard"] + 1]
-                    shared[a:z] = np.unpackbits(np.frombuffer(x["bits"], np.uint8), count=z - a).astype(bool)
-                keep = np.flatnonzero(shared[np.searchsorted(hashes, low)])
+                (starts, count, low, doc), hashes, _, _ = _distinct_hashes(batch, length, q)
+                shared, full = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+                said = {x["part"]: x["bits"] for x in bits or []}
+                for part, at in _by_number(_shard(hashes, parts)):
+                    got = np.frombuffer(said[part], np.uint8).reshape(2, -1)
+                    shared[at], full[at] = (np.unpackbits(g, count=len(at)).astype(bool) for g in got)
+                place = np.searchsorted(hashes, low)
+                keep = np.flatnonzero(shared[place])
+                split = full[place[keep]]
                 starts, count, low, doc = starts[keep], count[keep], low[keep], doc[keep]
-                shard = _shard(low, shards)
                 padded = np.concatenate([batch.text, np.zeros(length + width, np.uint8)])
+                if split.any():
+                    each = np.flatnonzero(split)
+                    which = np.repeat(each, count[each])
+                    windows = starts[which] + np.arange(len(which)) - np.repeat(np.cumsum(count[each]) - count[each], count[each])
+                    starts, doc = np.concatenate([starts[~split], windows]), np.concatenate([doc[~split], doc[which]])
+                    low = np.concatenate([low[~split], _window_hashes(padded, windows, length)])
+                    count = np.concatenate([count[~split], np.ones(len(windows), np.int64)])
+                where = _shard(low, parts * per_part)  # the shards of one group follow each other
                 out = []
-                order = np.argsort(shard, kind="stable")
-                edges = np.flatnonzero(np.concatenate([[True], shard[order][1:] != shard[order][:-1], [True]])) if len(order) else [0]
-                for a, z in zip(edges, edges[1:]):
-                    at = order[a:z]
-                    size = count[at] + length - 1
-                    rows_ = padded[starts[at][:, None] + np.arange(length + width - 1)]
-                    rows_[np.arange(length + width - 1) >= size[:, None]] = _BREAK
-                    rows_, owner, which = _distinct_rows(rows_, batch.ids[doc[at]])
-                    out.append((number, int(shard[at[0]]), zlib.compress(rows_.tobytes(), 1), owner.tobytes(), zlib.compress(b"".join(x.astype(np.int64).tobytes() for x in (which, batch.ids[doc[at]], starts[at])), 1)))
+                for part, mine in _by_number(where // np.uint64(per_part)):
+                    names, pieces = [], []
+                    for shard, inner in _by_number(where[mine]):
+                        at = mine[inner]
+                        size = count[at] + length - 1
+                        rows_ = padded[starts[at][:, None] + np.arange(length + width - 1)]
+                        rows_[np.arange(length + width - 1) >= size[:, None]] = _BREAK
+                        rows_, owner, which = _distinct_rows(rows_, batch.ids[doc[at]])
+                        names.append(shard % per_part)
+                        pieces += [zlib.compress(rows_.tobytes(), 1), owner.tobytes(), zlib.compress(b"".join(x.astype(np.int64).tobytes() for x in (which, batch.ids[doc[at]], starts[at])), 1)]
+                    out.append((number, part, names, pieces))
                 if out:
-                    yield _binary_rows(out, ["batch", "shard", "rows", "owners", "places"])
+                    yield _binary_rows(out, ["batch", "part", "shards", "pieces"])
 
     def sort(part: pd.DataFrame) -> pd.DataFrame:
         wide = length + width - 1
-        texts = [np.frombuffer(zlib.decompress(x), np.uint8).reshape(-1, wide) for x in part["rows"]]
-        base = np.cumsum([0] + [len(x) for x in texts])
-        rows_, owner, which = _distinct_rows(np.concatenate(texts), np.concatenate([np.frombuffer(x, np.int64) for x in part["owners"]]))
-        least = shared_windows(rows_, (rows_ != _BREAK).sum(1), owner, length)
-        found = []
-        for k, places in enumerate(part["places"]):
-            row, ids, starts = np.frombuffer(zlib.decompress(places), np.int64).reshape(3, -1)
-            again = least[which[base[k] + row]] < ids[:, None]
-            edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-            r, a = np.nonzero(edge == 1)
-            _, z = np.nonzero(edge == -1)
-            found.append(np.concatenate([starts[r] + a, starts[r] + z - 1 + length]).astype(np.int64).tobytes())
-        return pd.DataFrame({"batch": part["batch"], "shard": part["shard"], "bits": found})
-
-    sent = _with_answers(batches, answers, "bits").select("batch", "ids", "sizes", "blob", "bits").mapInArrow(send, "batch long, shard int, rows binary, owners binary, places binary")
-    ranges = materialise(sent.groupBy("shard").applyInPandas(sort, "batch long, shard int, bits binary"), "ranges")
+        inside: dict[int, list[tuple[int, int]]] = {}
+        for k, shards in enumerate(part["shards"]):
+            for i, shard in enumerate(shards):
+                inside.setdefault(int(shard), []).append((k, i))
+        found: list[list[np.ndarray]] = [[] for _ in range(len(part))]
+        pieces = part["pieces"].tolist()
+        for members in inside.values():  # one shard after the other
+            texts = [np.frombuffer(zlib.decompress(pieces[k][3 * i]), np.uint8).reshape(-1, wide) for k, i in members]
+            base = np.cumsum([0] + [len(x) for x in texts])
+            rows_, owner, which = _distinct_rows(np.concatenate(texts), np.concatenate([np.frombuffer(pieces[k][3 * i + 1], np.int64) for k, i in members]))
+            least = shared_windows(rows_, (rows_ != _BREAK).sum(1), owner, length)
+            for at, (k, i) in zip(base, members):
+                row, ids, starts = np.frombuffer(zlib.decompress(pieces[k][3 * i + 2]), np.int64).reshape(3, -1)
+                again = least[which[at + row]] < ids[:, None]
+                edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+                r, a = np.nonzero(edge == 1)
+                _, z = np.nonzero(edge == -1)
+                found[k].append(np.stack([starts[r] + a, starts[r] + z - 1 + length]))
+        return pd.DataFrame({"batch": part["batch"], "part": part["part"], "bits": [np.concatenate(f, axis=1).astype(np.int64).tobytes() for f in found]})
+
+    sent = _with_answers(batches, answers, "bits").select("batch", "ids", "sizes", "blob", "bits").mapInArrow(send, "batch long, part int, shards array<int>, pieces array<binary>")
+    ranges = materialise(sent.groupBy("part").applyInPandas(sort, "batch long, part int, bits binary"), "ranges")
     return _with_answers(batches, ranges, "ranges").select("batch", "ids", "sizes", "blob", "ranges")
 
 
+def _window_hashes(padded: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the `length` bytes from each start on."""
+    view = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    h = np.zeros(len(starts), np.uint64)
+    for k in [*range(0, length - 8, 8), length - 8]:
+        h = mix(h ^ view[starts + k])
+    return h
+
+
 def _distinct_rows(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(distinct rows, least owner of each, which of them each row is)."""
     key = np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel()

@@ -131,17 +131,26 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     return _induce(t, smaller, ordered)
 
 
-def common_prefix_at_least(t: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
-    """For each place in sa after the first: whether its suffix shares `length` letters with the one before.
-    Permuted order: suffixes are visited by their place in t, each with its predecessor."""
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, stop: int) -> np.ndarray:
+    """For each place in t: how many letters its suffix shares with the suffix before it in sa, up to the first
+    letter `stop` (letters `stop` end every text in t, so the work is bounded by the longest text). The order
+    is permuted: prefixes are looked up by the place in t, each with its predecessor there."""
+    n = len(t)
+    before = np.full(n, -1, np.int64)
+    before[sa[1:]] = sa[:-1]
+    ends = np.append(np.flatnonzero(t == stop), n)
     padded = np.concatenate([t, np.zeros(8, np.uint8)])
-    view = np.ndarray((len(t) + 1,), "<u8", padded, strides=(1,))
-    out = np.zeros(len(sa), bool)
-    rank = np.empty(len(t), np.int64)
-    rank[sa] = np.arange(len(sa))
-    at = rank[rank > 0]
-    at = at[(sa[at] + length <= len(t)) & (sa[at - 1] + length <= len(t))]
-    for k in [*range(0, length - 8, 8), length - 8]:
-        at = at[view[sa[at] + k] == view[sa[at - 1] + k]]
-    out[at] = True
+    view = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
+    out = np.zeros(n, np.int64)
+    at = np.flatnonzero(before >= 0)
+    left, k = np.minimum(ends[np.searchsorted(ends, at)] - at, n - before[at]), 0
+    while len(at):
+        unlike = view[at + k] ^ view[before[at] + k]
+        same = unlike == 0
+        low = np.bitwise_count(~unlike[~same] & (unlike[~same] - np.uint64(1))).astype(np.int64) // 8  # equal bytes in front
+        out[at[~same]] = np.minimum(k + low, left[~same])
+        done = same & (left <= k + 8)
+        out[at[done]] = left[done]
+        k += 8
+        at, left = at[same & ~done], left[same & ~done]
     return out

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from platelens.llm.substring_dedup import cut_repeats
-from platelens.llm.suffix_array import common_prefix_at_least, suffix_array
+from platelens.llm.suffix_array import permuted_prefixes, suffix_array
 
 
 @pytest.mark.parametrize("letters", [1, 2, 3, 26, 256])
@@ -18,8 +18,14 @@ def test_suffix_array_matches_sorting(letters):
             b = t.tobytes()
             sa = suffix_array(t)
             assert sa.tolist() == sorted(range(len(b)), key=lambda i: b[i:])
-            want = [False] + [b[i : i + 9] == b[j : j + 9] and max(i, j) + 9 <= len(b) for i, j in zip(sa, sa[1:])]
-            assert common_prefix_at_least(t, sa, 9).tolist() == want
+            for stop in (0, 1000):
+                want = {int(sa[0]): 0}
+                for j, i in zip(sa.tolist(), sa[1:].tolist()):
+                    k = 0
+                    while max(i, j) + k < len(b) and b[i + k] == b[j + k] and b[i + k] != stop:
+                        k += 1
+                    want[i] = k
+                assert permuted_prefixes(t, sa, stop).tolist() == [want[i] for i in range(len(b))]
 
 
 def brute(rows, length=50):
@@ -59,4 +65,6 @@ def test_edges(spark):
     rows += [(100, "a" * 400), (101, "a" * 49), (102, "b" + "a" * 70 + "c"), (103, None), (104, ""), (105, passage), (105, passage), (None, passage), (106, "ab" * 200), (107, "c" + "ab" * 100), (50, "a" * 55)]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, batch int").repartition(3)
     assert got(cut_repeats(docs, batch_bytes=700)) == brute(rows)
+    # every least hash a hot one, many shards in few groups
+    assert got(cut_repeats(docs, batch_bytes=700, hot=0, shard_bytes=50, group_bytes=4000)) == brute(rows)
     assert cut_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -4,18 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which a cluster names in spark.checkpoint.dir. Where that is
+    unset, a local session gets a fresh folder under /tmp, set for later calls; on a cluster this is an error,
+    since executors would not see each other's files."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the shared folder that the session names in spark.checkpoint.dir (a fresh folder under
-    /tmp where that is unset), so that a lost executor costs no recomputation of earlier rounds."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """Checkpoint to the shared folder, so that a lost executor costs no recomputation of earlier rounds."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
@@ -24,18 +35,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round hands every node the smallest label among its neighbours' and its own, then jumps to that
     label's own label, so that labels travel twice as far each round. Both joins are by key and shuffled;
-    labels are one row a node, and a node of very many edges is folded by map-side minima.
+    labels are one row a node, and a node of very many edges is folded by map-side minima. A row carries the
+    label it had, so that a look at the written labels tells whether they have settled.
     """
     both = cut_lineage(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct())
     labels = cut_lineage(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("component")))
     for _ in range(max_rounds):
         seen = both.join(labels.hint("merge"), F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "component")
-        low = seen.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"))
+        own = labels.select("node", "component", F.col("component").alias("before"))
+        low = seen.unionByName(own, allowMissingColumns=True).groupBy("node").agg(F.min("component").alias("component"), F.max("before").alias("before"))
         up = labels.select(F.col("node").alias("parent"), F.col("component").alias("above"))
-        jumped = low.join(up.hint("merge"), F.col("component") == F.col("parent"), "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"))
+        jumped = low.join(up.hint("merge"), F.col("component") == F.col("parent"), "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"), "before")
         new = cut_lineage(jumped)
-        changed = new.join(labels.withColumnRenamed("component", "before").hint("merge"), "node").filter("component <> before").limit(1).count()
-        labels = new
-        if not changed:
+        labels = new.select("node", "component")
+        if new.filter("component <> before").isEmpty():
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -29,11 +29,12 @@ from ..operators.components import connected_components
 from .common import materialise
 from .shingles import shingle_sets
 
-SKETCHED = "doc_id long, n_shingles long, class binary, sketch binary"
+SKETCHED = "doc_id long, n_shingles long, class binary, sketch binary, digest binary"
 
 
 def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
-    """doc_id, size and 128-bit name of the shingle set, and its k smallest values (little-endian)."""
+    """doc_id, size and 128-bit name of the shingle set, its k smallest values (little-endian), and the text's
+    digest."""
 
     def sketch(batches):
         for batch in batches:
@@ -41,11 +42,15 @@ def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
                 b = batch.slice(at, 512)
                 sets = shingle_sets(b.column(1).to_pylist(), n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:k].tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "n_shingles", "class", "sketch"],
+                    [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s[:k].tobytes() for s in sets], pa.binary()), b.column(2)],
+                    ["doc_id", "n_shingles", "class", "sketch", "digest"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(sketch, SKETCHED)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), _digest()).mapInArrow(sketch, SKETCHED)
+
+
+def _digest():
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("digest")
 
 
 def _values(classes: DataFrame) -> DataFrame:
@@ -138,9 +143,8 @@ def _family_links(placed: DataFrame, mixed: DataFrame, sets: DataFrame, num: int
     return with_sets.groupBy("hub", "i", "j").applyInPandas(compare, "a binary, b binary").distinct()
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, k: int = 128, slack: float = 5.5, hub_rounds: int = 2) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept. Two documents are linked when
-    100 * |intersection| >= num * |union| of their n-word shingle sets."""
+def _components(docs: DataFrame, n: int, num: int, k: int, slack: float, hub_rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(the sketches' rows, (class, component) of each class of documents with words)."""
     t = num / 100
     # what a linked pair shares of k values, less `slack` standard deviations
     min_share = max(0.0, t - slack * (t * (1 - t) / k) ** 0.5)
@@ -195,16 +199,40 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, k: int = 128, sl
             tried = pairs if tried is None else materialise(tried.unionByName(pairs), "tried")
         links = found if links is None else links.unionByName(found)
         components = connected_components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    named = groups.select("class").join(components.withColumnRenamed("node", "class").hint("merge"), "class", "left")
+    return rows, materialise(named.select("class", F.coalesce("component", "class").alias("component")), "components")
+
+
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, k: int = 128, slack: float = 5.5, hub_rounds: int = 2) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept. Two documents are linked when
+    100 * |intersection| >= num * |union| of their n-word shingle sets."""
+    rows, components = _components(docs, n, num, k, slack, hub_rounds)
+    with_words = rows.filter("n_shingles > 0")
     # a component is named by its smallest doc_id
-    named = groups.select("class", "rep").join(components.withColumnRenamed("node", "class").hint("merge"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    verdict = materialise(named.join(lowest.hint("merge"), "component").select("class", "component_id"), "verdicts")
-    linked = rows.filter("n_shingles > 0").join(verdict.hint("merge"), "class").select("doc_id", "n_shingles", "component_id")
+    per_class = with_words.groupBy("class").agg(F.min("doc_id").alias("rep")).join(components.hint("merge"), "class")
+    lowest = per_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    verdict = materialise(components.join(lowest.hint("merge"), "component").select("class", "component_id"), "verdicts")
+    linked = with_words.join(verdict.hint("merge"), "class").select("doc_id", "n_shingles", "component_id")
     alone = rows.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs of which one document of each component stays."""
-    kept = near_duplicates(docs, **options).filter("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def drop_near_duplicates(docs: DataFrame, n: int = 5, num: int = 80, k: int = 128, slack: float = 5.5, hub_rounds: int = 2) -> DataFrame:
+    """The rows of docs of which one row of each component stays: that of the smallest doc_id (null is larger
+    than all) and, where rows share it, of the smallest digest of the text; of rows alike in both, any one. Rows
+    without words all stay. The columns of docs, whatever their names."""
+    rows, components = _components(docs, n, num, k, slack, hub_rounds)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    per_class = rows.filter("n_shingles > 0").groupBy("class").agg(F.min(first).alias("first"))
+    winners = per_class.join(components.hint("merge"), "class").groupBy("component").agg(F.min("first").alias("first")).select("first.doc_id", "first.digest")
+    keys = rows.filter("n_shingles = 0").select("doc_id", "digest").unionByName(winners).distinct()
+    keys = materialise(keys.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__text")), "winners")
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__text"))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("__own"), _digest().alias("__digest"))
+    kept = keyed.join(keys.hint("merge"), same, "left_semi")
+    # rows alike in id and text: few, and none behind an exact dedup
+    again = materialise(rows.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("__id"), F.col("digest").alias("__text")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "repeated")
+    if not again.isEmpty():
+        once = kept.join(again.hint("merge"), same, "left_semi").groupBy("__own", "__digest").agg(F.first("row").alias("row")).select("row", "__own", "__digest")
+        kept = kept.join(again.hint("merge"), same, "left_anti").unionByName(once)
+    return kept.select("row.*")

@@ -55,4 +55,11 @@ def test_empty_null_ids_and_the_stage(spark):
     docs = spark.createDataFrame([(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (9, "q"), (None, "zz")], "doc_id long, text string")
     rows = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(docs).collect()}
     assert rows == {(None, 5, False), (5, 5, True), (9, 9, True), (None, None, True)}
-    assert sorted(r.doc_id or 0 for r in drop_near_duplicates(docs).collect()) == [0, 0, 5, 5, 9]
+    assert sorted(r.doc_id or 0 for r in drop_near_duplicates(docs).collect()) == [0, 5, 9]
+    # rows are judged by id and text: a near copy without an id goes, other rows that share an id stay
+    long = [f"w{i}" for i in range(80)]
+    near = " ".join(long[:79] + ["x"])
+    rows = [(None, near, 1), (None, "other words that nobody else has here", 2), (7, " ".join(long), 3), (7, "seven other words in the second row", 4), (8, None, 5), (8, None, 6), (9, near, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, digest long")
+    assert sorted(r.digest for r in drop_near_duplicates(docs).collect()) == [2, 3, 4, 5, 6]
+    assert drop_near_duplicates(docs).columns == docs.columns

@@ -2,20 +2,24 @@
 
 Nodes of a document are its pattern matches and the other chunks that hold a digit or '@'. Chain edges join
 neighbours, twin edges join a node to a pattern match of the same content (a number's last seven digits, an
-address' local part, or the text) or, without one, to the next node of it, skip edges to the next one of the
-same shape, so edges grow with the nodes and not with their square. Labels are the four kinds and none. Loopy
-belief propagation passes messages along all until each document's settle; pattern matches are clamped to their
-kind, so that they stay, and what they say reaches repeated and similar chunks, a repeated one at any distance
-in one step. A free node whose best kind has at least `min_probability` becomes a span.
-
-Parameters are fitted piecewise on a bounded sample (`max_sample` documents of smallest hash of doc_id among
-those that have nodes): node weights by multinomial logistic regression of kinds on shapes and neighbouring
-words, chain and skip potentials from smoothed counts of label pairs. Twins agree by a fixed potential, since the
-patterns' labels can't show it: what they miss is unlabelled there. So a chunk of a match's content is no example
-of none; it is left out of the regression and has the match's kind in the label pairs.
-
-Defined results: null or empty text has no spans; a table without matches trains a model that adds nothing;
-repeated rows are judged alike; offsets are code points, the end exclusive; counts are of pattern matches.
+address' local part, or the text), skip edges to the next node of the same shape, so edges grow with the nodes and
+not with their square. Labels are the four kinds and none. Loopy belief propagation passes messages along all until
+each document's settle; pattern matches are clamped to their kind, so that they stay, and what they say reaches
+repeated and similar chunks, a repeated one at any distance in one step. A free node whose best kind has at least
+`min_probability` becomes a span. Twin edges begin at matches only: mentions that no pattern has ever matched
+(a number that fails its check, written twice) say nothing to each other.
+
+Parameters are fitted piecewise on a bounded sample (`max_sample` documents of smallest hash of doc_id among those
+that have nodes). In training a share of the matches is hidden: they are free nodes whose kind is known, as those
+will be that the patterns miss, and the edges are drawn as if no pattern had matched them. Node weights come from
+multinomial logistic regression of kinds on shapes and neighbouring words, the potentials of each sort of edge from
+counts of label pairs; those of twin edges begin with counts by which twins agree, since repeats are rare in small
+samples. A free chunk of a match's content is no example of none; it is left out of the regression and has the
+match's kind in the label pairs.
+
+Defined results: null or empty text has no spans; a table without matches trains a model that adds nothing; of a
+doc_id that repeats in the sample the text of smallest hash trains; repeated rows are judged alike; offsets are code
+points, the end exclusive; counts are of pattern matches; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -41,8 +45,11 @@ _ANY = re.compile(r"[0-9@]")
 _CHUNK = re.compile(r"[^\s\"'<>,;|]*[0-9@][^\s\"'<>,;|]*")
 _EMAIL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-@")
 _BUCKETS = 1 << 14
-#: Log potential of one kind on both ends of a twin edge, and the change of a message that counts as settled.
-_AGREE, _SETTLED = 8.0, 1e-4
+#: Pairs of each kind by which twins agree before any are seen, the largest log potential of chain and skip edges
+#: and of twins, and the change of a message that counts as settled.
+_AGREE, _MOST, _MOST_TWIN, _SETTLED = 1000.0, 3.0, 8.0, 1e-4
+#: One match in so many is hidden in training.
+_HIDDEN = 3
 
 
 def luhn(digits: str) -> bool:
@@ -71,7 +78,7 @@ def pattern_spans(text: str | None) -> list[tuple[int, int, int]]:
     if not text or not _ANY.search(text):
         return []
     spans = [(0, a, b) for a, b in _emails(text)]
-    spans += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 10) and max(map(len, m[0].split("."))) < 10]
+    spans += [(1, m.start(), m.end()) for m in _IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or 0) <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         digits = re.sub("[ -]", "", m[0])
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -121,34 +128,37 @@ class Nodes:
         names = ("s" + s, "g" + signs, f"d{min(digits, 20)}", f"l{min((b - a) // 4, 12)}", "b" + (before[-1].lower() if before else ""), "n" + (after[0].lower() if after else ""))
         return [zlib.crc32(n.encode()) % _BUCKETS for n in names]
 
-    def edges(self) -> list[list[tuple[int, int]]]:
+    def edges(self, hidden: frozenset[int] = frozenset()) -> list[list[tuple[int, int]]]:
         """Chain, twin and skip edges: neighbours; a node and the last match of its content before it (or the
-        first behind it; the next node where no match has it); successive nodes of one shape."""
+        first behind it); successive nodes of one shape. Hidden matches count as nodes that no pattern matches."""
         chain = [(i, i + 1) for i in range(len(self.spans) - 1)]
         twin, skip, last = [], [], {}
         keys = [content(t) for t in self.texts]
+        sure = [kind != NONE and i not in hidden for i, (_, _, kind) in enumerate(self.spans)]
         match = {}
         for i in reversed(range(len(keys))):
-            if self.spans[i][2] != NONE:
+            if sure[i]:
                 match[keys[i]] = i
         for i, (key, s) in enumerate(zip(keys, self.shapes)):
-            to = match.get(key, last.get(key))
-            if to is not None and to != i:
+            to = match.get(key, i)
+            if to != i:
                 twin.append((to, i))
-            if key not in match or self.spans[i][2] != NONE:
-                (match if key in match else last)[key] = i
-            if ("shape", s) in last:
-                skip.append((last["shape", s], i))
-            last["shape", s] = i
+            if sure[i]:
+                match[key] = i
+            if s in last:
+                skip.append((last[s], i))
+            last[s] = i
         return [chain, twin, skip]
 
-    def silver(self, twin: list[tuple[int, int]]) -> list[int]:
-        """The patterns' labels; a node that they miss has the kind of the match that it repeats."""
+    def training(self) -> tuple[list[int], list[int], list[list[tuple[int, int]]]]:
+        """(label of each node, nodes whose label is sure, edges) with a share of the matches hidden, by content,
+        place and neighbourhood. A node that patterns miss has the kind of the match that it repeats."""
+        hidden = frozenset(i for i, (a, _, kind) in enumerate(self.spans) if kind != NONE and zlib.crc32(f"{a} {self.texts[i]}".encode()) % _HIDDEN == 0)
         label = [kind for _, _, kind in self.spans]
-        for a, b in twin:
+        for a, b in self.edges()[1]:
             if self.spans[b][2] == NONE:
                 label[b] = self.spans[a][2]
-        return label
+        return label, [i for i, (_, _, kind) in enumerate(self.spans) if kind == label[i]], self.edges(hidden)
 
 
 def content(token: str) -> tuple[str, str]:
@@ -168,7 +178,7 @@ class SkipChainCRF:
 
     @classmethod
     def fit(cls, features: np.ndarray, labels: np.ndarray, pairs: list[np.ndarray], steps: int = 200, l2: float = 1e-3) -> SkipChainCRF:
-        """features: (nodes, 6) buckets; pairs: for chain and skip edges (edges, 2) labels of their ends."""
+        """features: (nodes, 6) buckets; pairs: for chain, twin and skip edges (edges, 2) labels of their ends."""
         k, n = NONE + 1, len(labels)
         w = np.zeros((_BUCKETS, k))
         if n:
@@ -186,16 +196,22 @@ class SkipChainCRF:
         else:
             w[:, NONE] = 1.0
 
+        def joint(pairs: np.ndarray, before: np.ndarray) -> np.ndarray:
+            """Shares of the label pairs, in either order; before: counts to begin with."""
+            counts = 1.0 + before
+            np.add.at(counts, (pairs[:, 0], pairs[:, 1]), 1.0)
+            return (counts + counts.T) / (2 * counts.sum())
+
         def potential(pairs: np.ndarray) -> np.ndarray:
             """log of how much likelier two labels meet on an edge than apart."""
-            joint = np.full((k, k), 1.0)
-            np.add.at(joint, (pairs[:, 0], pairs[:, 1]), 1.0)
-            joint = (joint + joint.T) / (2 * joint.sum())
-            margin = joint.sum(1)
-            return np.clip(np.log(joint / np.outer(margin, margin)), -3, 3)
+            j = joint(pairs, np.zeros((k, k)))
+            return np.clip(np.log(j / np.outer(j.sum(1), j.sum(1))), -_MOST, _MOST)
 
-        chain, skip = map(potential, pairs)
-        return cls(w, [chain, _AGREE * np.eye(k), skip])
+        chain, twin, skip = pairs
+        # a twin edge begins at a match, so what counts is how likely each label is behind a match's kind
+        given = joint(twin, _AGREE * np.diag([1.0] * NONE + [0.0]))
+        given = np.maximum(np.log(given / given.max(1, keepdims=True)), -_MOST_TWIN)
+        return cls(w, [potential(chain), given, potential(skip)])
 
     def marginals(self, features: np.ndarray, clamped: np.ndarray, sorts: list[np.ndarray], doc: np.ndarray, damping: float = 0.3) -> np.ndarray:
         """Beliefs of the nodes of many documents at once by damped loopy sum-product; clamped: label or -1;
@@ -235,26 +251,27 @@ class SkipChainCRF:
 
 def train_crf(docs: DataFrame, max_sample: int = 4_000) -> SkipChainCRF:
     """Fit on at most max_sample documents that have a digit or '@'."""
+    docs = docs.select("doc_id", "text")
     able = docs.filter(F.col("text").rlike("[0-9@]"))
     # at most max_sample ids: a proven bound for the broadcast
     ids = materialise(able.select("doc_id").dropna().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample).distinct(), "pii-sample")
-    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])
+    sample = docs.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def nodes(batches):
-        for b in batches:
-            rows = []
-            for text in b.column(1).to_pylist():
-                d = Nodes(text or "", pattern_spans(text))
-                chain, twin, skip = d.edges()
-                label = d.silver(twin)
-                sure = [i for i, s in enumerate(d.spans) if s[2] == label[i]]
-                rows.append(([x for i in sure for x in d.features[i]], [label[i] for i in sure], *([label[i] for e in edges for i in e] for edges in (chain, skip))))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in range(4)], ["features", "labels", "chain", "skip"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                rows = []
+                for text in batch.column(1).slice(at, 512).to_pylist():
+                    d = Nodes(text or "", pattern_spans(text))
+                    label, sure, edges = d.training()
+                    rows.append(([x for i in sure for x in d.features[i]], [label[i] for i in sure], *([label[i] for e in found for i in e] for found in edges)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.list_(pa.int32())) for i in range(5)], names)
 
     # bounded by max_sample documents; a node is 6 small integers
-    data = sample.mapInArrow(nodes, "features array<int>, labels array<int>, chain array<int>, skip array<int>").toPandas()
+    names = ["features", "labels", "chain", "twin", "skip"]
+    data = sample.mapInArrow(nodes, ", ".join(f"{n} array<int>" for n in names)).toPandas()
     flat = lambda c, width: np.concatenate([np.zeros(0, np.int64), *(np.asarray(x, np.int64) for x in data[c])]).reshape(-1, width)
-    return SkipChainCRF.fit(flat("features", 6), flat("labels", 1).ravel(), [flat(c, 2) for c in ("chain", "skip")])
+    return SkipChainCRF.fit(flat("features", 6), flat("labels", 1).ravel(), [flat(c, 2) for c in names[2:]])
 
 
 def add_spans(texts: list[str | None], crf: SkipChainCRF, min_probability: float) -> list[tuple[list, list]]:

@@ -1,16 +1,20 @@
 """Main text of HTML pages by template deduction from equivalence classes.
 
-Tokens are the element paths of a page (tag, class and id). Each has an occurrence vector: how often it
-occurs on each page of its host. The vectors are never built: a token keeps the XOR of a hash of (page,
-count) over all pages, which map-side aggregation folds, so a host with a third of all pages is a few rows
-before the shuffle. Tokens of a host with one fingerprint form an equivalence class. Classes that are
-frequent and in page order are valid, and are nested by their paths into the host's template. Its slots are
-judged by what they hold over all pages (text, link text, how the site names them), and each page's text is
-taken from the slot that holds the article.
-
-Defined results: null or empty html has empty text; a page whose host has too few pages for a valid class
-is judged on its own tokens; a page without an element that holds text has empty text; broken markup is
-read leniently, and a tag that the page's end cuts off is dropped; null urls are one host.
+Tokens of a page are its element paths (tag, class and id) and its runs of text, each at its path. Each has an
+occurrence vector: how often it occurs on each page of its host. The vectors are never built: a token keeps the sum
+of a 64-bit hash of (page, count) over all pages, in two halves, which map-side aggregation folds, so a host with a
+third of all pages is a few rows before the shuffle, and rows that repeat don't cancel. Tokens of a host with one
+fingerprint form an equivalence class. Classes that are frequent and in page order are valid, and are nested by
+their paths into the host's template; text in them is the template's own. The remaining slots are judged by the text
+that varies in them: from the page down, the slot that keeps most of it. What a site calls its elements decides only
+between nested slots that hold the same text, and lessens the weight of text in what is named as an advert, comments
+or the like. Each page's text is what its article's slot has besides the template's text and such elements.
+
+Defined results: null or empty html has empty text; a page whose host has too few pages for a valid class, or whose
+pages are all alike, is judged on its own tokens; a page without an element that holds text has empty text; broken
+markup is read leniently, and a tag that the page's end cuts off is dropped; null urls are one host; a page's key is
+(page_id, url), and rows that repeat it weigh as often as they occur; elements of any depth count, but those more
+than 60 levels down share one path, so that a page's paths stay short; extra columns don't matter.
 """
 
 from __future__ import annotations
@@ -21,9 +25,12 @@ from collections import defaultdict
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -41,6 +48,9 @@ NOISE_WORDS = frozenset(
     "sponsor sponsored subscribe taboola toolbar widget".split()
 )
 ARTICLE_WORDS = frozenset("article main story post entry content articlebody".split())
+#: Elements of the text itself, never a slot of their own.
+TEXT_TAGS = frozenset("p li ul ol dl dd dt td th tr tbody blockquote pre h1 h2 h3 h4 h5 h6".split())
+_DEEPEST = 60
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -53,22 +63,32 @@ def _noise_names(names: str) -> bool:
 
 
 class Node:
-    """An open element: its path token and whether it or an element around it is noise."""
+    """An open element: its path token, whether it is noise in any slot, and the paths of the blocks from the
+    page down to it that are named as noise."""
 
-    __slots__ = ("tag", "path", "noise", "link", "article")
+    __slots__ = ("tag", "path", "depth", "noise", "named", "link", "article")
 
     def __init__(self, tag: str, names: str, hidden: bool, parent: Node | None):
         inside = parent is not None and parent.article
-        step = tag + "".join("." + re.sub(r"\d+", "#", n) for n in names.split()[:3])
-        self.tag = tag
-        self.path = step if parent is None else parent.path if tag not in BLOCK and not names else f"{parent.path}>{step}"
+        self.tag, self.depth, self.noise, self.named = tag, 0, False, ()
         self.article = inside or tag in ("article", "main")
-        self.noise = (parent is not None and parent.noise) or hidden or tag in NOISE_TAGS or (tag == "header" and not inside) or (bool(names) and tag not in ("html", "body") and _noise_names(names))
         self.link = tag == "a" or (parent is not None and parent.link)
+        if parent is None:
+            self.path = tag
+            return
+        self.depth = parent.depth + (tag in BLOCK or bool(names))
+        if self.depth == parent.depth or self.depth > _DEEPEST + 1:
+            self.path = parent.path
+        else:
+            self.path = parent.path + ">" + (tag + "".join("." + re.sub(r"\d+", "#", n) for n in names.split()) if self.depth <= _DEEPEST else "*")
+        called = bool(names) and tag not in ("html", "body") and _noise_names(names)
+        self.noise = parent.noise or hidden or tag in NOISE_TAGS or (tag == "header" and not inside) or (called and tag not in BLOCK)
+        self.named = (*parent.named, self.path) if called and tag in BLOCK else parent.named
 
 
-def page_blocks(html: str) -> tuple[list[tuple[str, bool, int, str]], dict[str, int]]:
-    """([(path, noise, characters in links, text)] of the page's blocks in order, {path: occurrences})."""
+def page_blocks(html: str) -> tuple[list[tuple[str, tuple[str, ...], int, str]], dict[str, int]]:
+    """([(path, paths around it named as noise, characters in links, text)] of the page's blocks in order but for
+    those that are noise in any slot, {path: occurrences})."""
     root = Node("#page", "", False, None)
     stack, blocks, counts, piece, links, at = [root], [], defaultdict(int), [], 0, 0
     inline: list[tuple[str, int]] = []  # what a block has so far when inline noise interrupts it
@@ -79,8 +99,8 @@ def page_blocks(html: str) -> tuple[list[tuple[str, bool, int, str]], dict[str,
             flush_inline() if stack[-1].noise else piece.insert(0, inline.pop()[0])
         if piece:
             text = " ".join(htmllib.unescape("".join(piece)).split())
-            if text:
-                blocks.append((stack[-1].path, stack[-1].noise, links, text))
+            if text and not stack[-1].noise:
+                blocks.append((stack[-1].path, stack[-1].named, links, text))
             piece.clear()
         links = 0
 
@@ -180,36 +200,53 @@ def page_blocks(html: str) -> tuple[list[tuple[str, bool, int, str]], dict[str,
     return blocks, counts
 
 
-def path_table(html: str) -> list[tuple[str, int, int, int, int, bool]]:
-    """(path, occurrences, rank on the page, characters, characters in links, noise) of each path token."""
+def _run(text: str) -> int:
+    """A run of text as a token."""
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _weight(text: str, links: int, named: tuple[str, ...]) -> int:
+    """What a block says for the slots around it, in tenths of characters: links say nothing, text in what is
+    named as noise a tenth."""
+    return max(0, len(text) - links) * (1 if named else 10)
+
+
+def page_tokens(html: str) -> list[tuple[str, bool, int, int, int, int]]:
+    """(path, whether it is a run of text, run, occurrences, rank on the page, weight) of each token; the weight
+    of an element path is that of all text in it."""
     blocks, counts = page_blocks(html)
-    chars, links, noise = defaultdict(int), defaultdict(int), {}
-    for path, is_noise, in_links, text in blocks:
-        chars[path] += len(text)
-        links[path] += in_links
-        noise[path] = is_noise
-    for path in chars:
-        counts.setdefault(path, 0)
-    return [(p, c, k, chars[p], links[p], noise.get(p, False)) for k, (p, c) in enumerate(counts.items())]
-
-
-def equivalence_classes(tokens: pd.DataFrame, pages: int, min_support: float, min_pages: int) -> list[list[str]]:
-    """Valid classes of one host's tokens (path, pages, fingerprint, rank): at least two tokens of one
-    fingerprint, frequent enough. Tokens are kept in page order; one whose order varies against the first
-    token of its class (it opens before the token that encloses it) makes the class invalid."""
+    weights, runs = defaultdict(int), defaultdict(lambda: [0, 0])
+    for path, named, links, text in blocks:
+        w = _weight(text, links, named)
+        at = path
+        while at:
+            weights[at] += w
+            at = at.rpartition(">")[0]
+        run = runs[path, _run(text)]
+        run[0] += 1
+        run[1] += w
+    counts = {"#page": 1, **counts}
+    rank = {p: k for k, p in enumerate(counts)}
+    out = [(p, False, 0, c, rank[p], weights[p]) for p, c in counts.items()]
+    return out + [(p, True, r, n, rank.get(p, 0), w) for (p, r), (n, w) in runs.items()]
+
+
+def equivalence_classes(tokens: pd.DataFrame) -> list[pd.DataFrame]:
+    """The valid classes of one host's frequent tokens (path, text, run, lo, hi, rank): at least two tokens of one
+    fingerprint. Paths are kept in page order; a class is invalid if an element in it opens, over all pages,
+    before one in it that encloses it."""
     found = []
-    for _, part in tokens.groupby("fingerprint", sort=False):
-        part = part.sort_values("rank")
-        support = int(part["pages"].iloc[0])
-        if len(part) < 2 or support < max(min_pages, min_support * pages):
+    for _, part in tokens.sort_values("rank", kind="stable").groupby(["lo", "hi"], sort=False):
+        if len(part) < 2:
             continue
-        paths, seen, valid = part["path"].tolist(), set(), True
+        paths = part.loc[~part["text"], "path"].tolist()
+        seen, valid = set(), True
         for p in paths:
             parent = p.rpartition(">")[0]
             valid &= parent not in paths or parent in seen
             seen.add(p)
         if valid:
-            found.append(paths)
+            found.append(part)
     return found
 
 
@@ -222,92 +259,107 @@ def _score(path: str) -> int:
     return int(any(w in ARTICLE_WORDS for w in _NAME_WORDS.findall(names.lower())))
 
 
-def article_slot(template: list[str], tokens: list[tuple[str, int, int, bool]]) -> str | None:
-    """The template path whose slot holds the article: from the page down, the child that holds most of
-    the text outside links and noise, or that the site names as its article."""
-
-    def own(path: str) -> int:
-        return sum(max(0, c - n) for p, c, n, noise in tokens if not noise and (p == path or p.startswith(path + ">")))
-
-    total = own("#page")
-    if not total:
-        return None
-    named = sorted(((-_score(p), -own(p), p.count(">"), p) for p in template if _score(p) and own(p) * 20 >= total))
-    if named:
-        return named[0][-1]
-    at = "#page"
-    while True:
-        children = [p for p in template if p.startswith(at + ">") and own(p) * 10 >= total * 7 and p.rpartition(">")[2].partition(".")[0] not in ("p", "li", "ul", "ol", "td", "tr", "blockquote", "pre")]
-        if not children:
-            return at
-        at = min(children, key=lambda p: (p.count(">"), p))
+def article_slot(weights: dict[str, int], share: float = 0.6) -> str | None:
+    """The path whose slot holds the article. weights: of each slot, and of the page, the text that varies in it.
+    From the page down, each step takes the slot that keeps `share` of the weight at least; of these nested ones
+    the outermost that the site names as its article is taken, or else the innermost."""
+    at, chain = "#page", []
+    while weights.get(at, 0) > 0:
+        inside = [p for p, w in weights.items() if p.startswith(at + ">") and w >= share * weights[at] and p.rpartition(">")[2].partition(".")[0] not in TEXT_TAGS]
+        if not inside:
+            break
+        at = min(inside, key=lambda p: (p.count(">"), p))
+        chain.append(at)
+    return next((p for score in (2, 1, 0) for p in (chain if score else chain[-1:]) if _score(p) >= score), None)
 
 
-def page_text(html: str, slot: str | None) -> str:
-    """The text of the page's blocks in the slot; without one, in the slot that the page itself shows."""
+def page_text(html: str, slot: str | None, runs: frozenset[int] = frozenset()) -> str:
+    """The text of the page's blocks in the slot, without the template's runs of text; without a slot, or on a
+    page that lacks it, in the slot that the page itself shows."""
     blocks, counts = page_blocks(html)
+    if runs:
+        blocks = [b for b in blocks if _run(b[3]) not in runs]
     if slot is None or not any(p == slot or p.startswith(slot + ">") for p in counts):
-        per = defaultdict(lambda: [0, 0, False])
-        for path, noise, links, text in blocks:
-            per[path][0] += len(text)
-            per[path][1] += links
-            per[path][2] = noise
-        slot = article_slot(list(counts), [(p, c, n, noise) for p, (c, n, noise) in per.items()])
-        if slot is None:
-            return ""
-    return " ".join(text for path, noise, _, text in blocks if not noise and (path == slot or path.startswith(slot + ">")))
+        weights = defaultdict(int)
+        for path, named, links, text in blocks:
+            at = path
+            while at:
+                weights[at] += _weight(text, links, named)
+                at = at.rpartition(">")[0]
+        slot = article_slot({p: w for p, w in weights.items() if counts.get(p, 1) == 1}) or "#page"
+    inside = slot + ">"
+    return " ".join(text for path, named, _, text in blocks if (path == slot or path.startswith(inside)) and not any(p.startswith(inside) for p in named))
 
 
 def host(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))
 
 
-def deduce_templates(pages: DataFrame, min_support: float = 0.3, min_pages: int = 3) -> DataFrame:
-    """(host, slot): the article's slot in the template of each host that has one. All pages count."""
+TEMPLATE = "host string, slot string, runs array<long>"
+
+
+def deduce_templates(pages: DataFrame, min_support: float = 0.3, min_pages: int = 3, text_support: float = 0.9, text_pages: int = 5) -> DataFrame:
+    """(host, slot, runs): the article's slot in each host's template (null if that shows none) and the template's
+    own runs of text. All pages count. A token is frequent on min_support of a host's pages, and min_pages at
+    least; text becomes the template's on text_support of them, and text_pages at least."""
 
     def tokens(batches):
-        for b in batches:
-            out = [(i, h, *row) for i, h, text in zip(*(b.column(k).to_pylist() for k in range(3))) for row in path_table(text or "")]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["page", "host", "path", "n", "rank", "chars", "links", "noise"])
-
-    # a page is named by its content and address: page_id may be null or repeat
-    rows = pages.select(F.xxhash64("page_id", "url").alias("page"), host().alias("host"), "html").mapInArrow(tokens, "page long, host string, path string, n long, rank long, chars long, links long, noise boolean")
-    vectors = rows.groupBy("host", "path").agg(
-        F.count(F.lit(1)).alias("pages"),
-        F.bit_xor(F.xxhash64("page", "n")).alias("fingerprint"),
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                out = [(i, h, *row) for i, h, text in zip(*(b.column(k).to_pylist() for k in range(3))) for row in page_tokens(text or "")]
+                kinds = [pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["page", "host", "path", "text", "run", "n", "rank", "weight"])
+
+    key = F.xxhash64("page_id", "url")
+    rows = pages.select(key.alias("page"), host().alias("host"), "html").mapInArrow(tokens, "page long, host string, path string, text boolean, run long, n long, rank long, weight long")
+    hashed = rows.withColumn("h", F.xxhash64("page", "n"))
+    vectors = hashed.groupBy("host", "path", "text", "run").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col("h").bitwiseAND(0xFFFFFFFF)).alias("lo"),
+        F.sum(F.shiftrightunsigned("h", 32)).alias("hi"),
         F.avg("rank").alias("rank"),
-        F.sum("chars").alias("chars"),
-        F.sum("links").alias("links"),
-        F.bool_and("noise").alias("noise"),
+        F.sum("weight").alias("weight"),
+        F.max("n").alias("most"),
     )
+    sizes = pages.select(host().alias("host"), key.alias("page")).groupBy("host").agg(F.count(F.lit(1)).alias("of"), F.countDistinct("page").alias("pages"))
+    # a run seen once is a text of its own; what is left of a host grows with its pages' size, not their number
+    often = vectors.filter("rows > 1 OR NOT text").join(sizes.hint("merge"), "host").withColumn("seen", F.col("rows") / F.col("of") * F.col("pages") + 1e-9)
+    frequent = often.filter(F.col("seen") >= F.greatest(F.lit(min_pages), F.col("pages") * F.when(F.col("text"), text_support).otherwise(min_support)))
 
     def template(part: pd.DataFrame) -> pd.DataFrame:
-        pages_of_host = int(part["pages"].max())
-        classes = equivalence_classes(part, pages_of_host, min_support, min_pages)
-        paths = sorted({p for c in classes for p in c}, key=lambda p: (p.count(">"), p))
-        slot = article_slot(paths, list(part[["path", "chars", "links", "noise"]].itertuples(index=False, name=None))) if paths else None
-        return pd.DataFrame({"host": [part["host"].iloc[0]], "slot": [slot]})
-
-    # one group has the distinct paths of one host, not its pages
-    return vectors.groupBy("host").applyInPandas(template, "host string, slot string").filter("slot IS NOT NULL")
+        classes = equivalence_classes(part)
+        empty = pd.DataFrame({"host": [], "slot": [], "runs": []}, dtype=object)
+        if not classes:
+            return empty
+        found = pd.concat(classes)
+        fixed = found[found["text"] & (found["seen"] >= text_pages)]
+        weights = {p: int(w) for p, w, most in found.loc[~found["text"], ["path", "weight", "most"]].itertuples(index=False, name=None) if most == 1}
+        for path, w in fixed[["path", "weight"]].itertuples(index=False, name=None):
+            for p in weights:
+                if path == p or path.startswith(p + ">"):
+                    weights[p] -= int(w)
+        if weights.get("#page", 0) <= 0:
+            return empty  # nothing varies
+        return pd.DataFrame({"host": [part["host"].iloc[0]], "slot": [article_slot(weights)], "runs": [sorted(set(fixed["run"].tolist()))]})
+
+    return frequent.groupBy("host").applyInPandas(template, TEMPLATE)
 
 
 def extract_text(pages: DataFrame, broadcast_bytes: int = 8 << 20, **options) -> DataFrame:
     """page_id, url, text, n_chars of every page. The templates are broadcast while their measured size is
     within broadcast_bytes; beyond that they are joined by host, where adaptive execution splits hot hosts."""
-    from .common import materialise
-
     templates = materialise(deduce_templates(pages, **options), "templates")
-    size = templates.agg(F.sum(F.length("host") + F.length("slot") + 64)).first()[0] or 0
+    size = templates.agg(F.sum(F.length("host") + F.coalesce(F.length("slot"), F.lit(0)) + 8 * F.size("runs") + 64)).first()[0] or 0
     found = F.broadcast(templates) if size <= broadcast_bytes else templates.hint("merge")
-    rows = pages.select("page_id", "url", "html", host().alias("host")).join(found, "host", "left").select("page_id", "url", "html", "slot")
+    rows = pages.select("page_id", "url", "html", host().alias("host")).join(found, "host", "left").select("page_id", "url", "html", "slot", "runs")
 
     def extract(batches):
-        for b in batches:
-            ids, urls, htmls, slots = (b.column(i) for i in range(4))
-            texts = [page_text(h, s) if h else "" for h, s in zip(htmls.to_pylist(), slots.to_pylist())]
-            yield pa.RecordBatch.from_arrays([ids, urls, pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                b = batch.slice(at, 256)
+                texts = [page_text(h, s, frozenset(r or ())) if h else "" for h, s, r in zip(*(b.column(i).to_pylist() for i in (2, 3, 4)))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
     return rows.mapInArrow(extract, f"page_id {kind}, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))

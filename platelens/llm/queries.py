@@ -83,7 +83,7 @@ ORACLE_SQL: dict[str, str] = {
     "op1_html_extract": r"""
         WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
              b AS (SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(p|h[1-6]|br|ul|li|div)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS body FROM a),
-             c AS (SELECT page_id, url, replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS body FROM b)
+             c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;?', '&', 'g') AS body FROM b)
         SELECT page_id, url, trim(regexp_replace(body, '\s+', ' ', 'g')) AS text, length(trim(regexp_replace(body, '\s+', ' ', 'g'))) AS n_chars FROM c""",
     "op3_exact_dedup": r"""
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),

@@ -24,18 +24,19 @@ def area_filter(df: DataFrame, preset: str = "any", column: str = "area") -> Dat
 
 
 def morphology_reason(
-    area="area", major="major", minor="minor", solidity="solidity", eccentricity="eccentricity", min_eccentricity: float = 0.86
-) -> Column:
-    """Why a measured object is rejected, null if it isn't; a missing measurement counts as 0."""
+    area="area", major="major", minor="minor", solidity="solidity", eccentricity="eccentricity", min_eccentricity: float = 0.86,
+    areas=(200, 20_000), majors=(40, 600), minors=(6, 250), min_solidity: float = 0.60, ratios=(0.08, 0.65),
+) -> Column:
+    """Why a measured object is rejected, null if it isn't; a missing measurement counts as 0. Ranges hold both ends."""
     v = {k: F.coalesce(F.col(c), F.lit(0)) for k, c in (("area", area), ("major", major), ("minor", minor), ("solidity", solidity), ("ecc", eccentricity))}
     ratio = F.when(v["major"] > 0, v["minor"] / v["major"]).otherwise(1.0)
     return (
-        F.when(~v["area"].between(200, 20_000), "area")
-        .when(~v["major"].between(40, 600), "major")
-        .when(~v["minor"].between(6, 250), "minor")
-        .when(v["solidity"] < 0.60, "solidity")
+        F.when(~v["area"].between(*areas), "area")
+        .when(~v["major"].between(*majors), "major")
+        .when(~v["minor"].between(*minors), "minor")
+        .when(v["solidity"] < min_solidity, "solidity")
         .when(v["ecc"] < min_eccentricity, "eccentricity")
-        .when(~ratio.between(0.08, 0.65), "axis_ratio")
+        .when(~ratio.between(*ratios), "axis_ratio")
     )
 
 
@@ -43,12 +44,12 @@ def morphology_filter(df: DataFrame, **options) -> DataFrame:
     return df.filter(morphology_reason(**options).isNull())
 
 
-def contour_filter(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("area").between(200, 20_000) & F.col("eccentricity").between(0.70, 0.999) & (F.col("solidity") >= 0.50))
+def contour_filter(df: DataFrame, areas=(200, 20_000)) -> DataFrame:
+    return df.filter(F.col("area").between(*areas) & F.col("eccentricity").between(0.70, 0.999) & (F.col("solidity") >= 0.50))
 
 
-def shape_keep(area="area", extent="extent", aspect="aspect", solidity="solidity", expanded="expanded_area") -> Column:
-    return (F.col(area) >= 10) & (F.col(extent) >= 0.2) & (F.col(aspect) <= 5) & (F.col(solidity) >= 0.3) & F.col(expanded).between(2500, 100_000)
+def shape_keep(area="area", extent="extent", aspect="aspect", solidity="solidity", expanded="expanded_area", min_area: float = 10, min_expanded: float = 2500, max_expanded: float = 100_000) -> Column:
+    return (F.col(area) >= min_area) & (F.col(extent) >= 0.2) & (F.col(aspect) <= 5) & (F.col(solidity) >= 0.3) & F.col(expanded).between(min_expanded, max_expanded)
 
 
 def shape_filter_counts(df: DataFrame, key: str = "plate_id", **columns) -> DataFrame:

@@ -120,6 +120,15 @@ def morphology_ellipse(px: DataFrame, op: str, k: int) -> DataFrame:
     return moved.groupBy(KEY, "x", "y").agg(pick("v").alias("v")).join(px.select(KEY, "x", "y").hint("merge"), [KEY, "x", "y"], "left_semi")
 
 
+def close_mask(mask: DataFrame, px: DataFrame, k: int = 1, times: int = 1) -> DataFrame:
+    """The mask's pixels (plate_id, x, y) with gaps closed by a disc of radius k, `times` times; px has the
+    image's pixels."""
+    v = px.select(KEY, "x", "y").join(mask.select(KEY, "x", "y", F.lit(1).alias("v")).hint("merge"), [KEY, "x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
+    for op in ["dilate"] * times + ["erode"] * times:
+        v = morphology_ellipse(v, op, k)
+    return v.filter("v = 1").select(KEY, "x", "y")
+
+
 def subtract_background(px: DataFrame, op: str = "tophat", k: int = 25) -> DataFrame:
     """'tophat'/'blackhat' as such; 'opening': gray minus its opening, not below 0."""
     if op == "opening":
@@ -159,7 +168,9 @@ def local_threshold_mask(px: DataFrame, block: int = 51, offset: float = 0.02) -
 
 
 def local_mean(px: DataFrame, block: int, kernel: str = "box", sigma: float | None = None, column: str = "v", name: str = "local_mean") -> DataFrame:
-    """Adds the mean over a square, or the Gaussian-weighted one; at the border over what is there."""
+    """Adds the mean over a square, or the Gaussian-weighted one; at the border over what is there. A line's
+    pixels are gathered by a window frame, so each axis shuffles a row a pixel; where an image has gaps, what a
+    line has counts for the pixels that it has."""
     k = block // 2
     if kernel == "box":
         rows = px.withColumn("__s", F.sum(column).over(_line("x", k))).withColumn("__n", F.count(column).over(_line("x", k)))
@@ -167,15 +178,16 @@ def local_mean(px: DataFrame, block: int, kernel: str = "box", sigma: float | No
     if kernel != "gaussian":
         raise ValueError(f"no such kernel: {kernel}")
     sigma = sigma or block / 6
-    weights = [math.exp(-d * d / (2 * sigma * sigma)) for d in range(-k, k + 1)]
+    weights = F.array(*(F.lit(math.exp(-d * d / (2 * sigma * sigma))) for d in range(-k, k + 1)))
 
     def along(df: DataFrame, axis: str) -> DataFrame:
-        other = "y" if axis == "x" else "x"
-        moved = df.select(KEY, other, F.explode(F.array(*(F.struct((F.col(axis) + d).alias(axis), (F.col("__s") * w).alias("__s"), (F.col("__w") * w).alias("__w")) for d, w in zip(range(-k, k + 1), weights)))).alias("p")).select(KEY, other, "p.*")
-        return moved.groupBy(KEY, "x", "y").agg(F.sum("__s").alias("__s"), F.sum("__w").alias("__w"))
+        near = df.withColumn("__near", F.collect_list(F.struct(F.col(axis).alias("p"), "__s", "__w")).over(_line(axis, k)))
+        weight = lambda e: F.get(weights, (e["p"] - F.col(axis) + k).cast("int"))
+        total = lambda c: F.aggregate("__near", F.lit(0.0), lambda t, e: t + e[c] * weight(e)).alias(c)
+        return near.select(*(F.col(c) for c in df.columns if c not in ("__s", "__w")), total("__s"), total("__w"))
 
-    smooth = along(along(px.select(KEY, "x", "y", F.col(column).cast("double").alias("__s"), F.lit(1.0).alias("__w")), "x"), "y")
-    return px.join(smooth.select(KEY, "x", "y", (F.col("__s") / F.col("__w")).alias(name)).hint("merge"), [KEY, "x", "y"])
+    smooth = along(along(px.select("*", F.col(column).cast("double").alias("__s"), F.lit(1.0).alias("__w")), "x"), "y")
+    return smooth.select(*px.columns, (F.col("__s") / F.col("__w")).alias(name))
 
 
 def local_variance(px: DataFrame, block: int = 21) -> DataFrame:
@@ -413,9 +425,9 @@ def blob_log(px: DataFrame, sigmas: list[float], min_response: float = 0.01, ove
     return blobs.join(gone.hint("merge"), [KEY, "blob_id"], "left_anti").select(KEY, "blob_id", "x", "y", sigma.alias("sigma"), "response")
 
 
-def blob_to_box(blobs: DataFrame, plates: DataFrame) -> DataFrame:
-    """x1, y1, x2, y2 of blobs: half a side is int(2.5 * sigma * sqrt(2)), clipped; areas 1500 to 100000."""
+def blob_to_box(blobs: DataFrame, plates: DataFrame, min_area: float = 1500, max_area: float = 100_000) -> DataFrame:
+    """x1, y1, x2, y2 of blobs: half a side is int(2.5 * sigma * sqrt(2)), clipped; of areas within the limits."""
     half = (F.col("sigma") * math.sqrt(2) * 2.5).cast("int")
     b = blobs.join(plates.select(KEY, "width", "height"), KEY)
     b = b.select(*blobs.columns, F.greatest(F.lit(0), F.col("x").cast("int") - half).alias("x1"), F.greatest(F.lit(0), F.col("y").cast("int") - half).alias("y1"), F.least(F.col("width").cast("int"), F.col("x").cast("int") + half).alias("x2"), F.least(F.col("height").cast("int"), F.col("y").cast("int") + half).alias("y2"))
-    return b.withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).filter("area BETWEEN 1500 AND 100000")
+    return b.withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).filter(F.col("area").between(min_area, max_area))

@@ -12,40 +12,44 @@ def _cell_range(low: Column, high: Column, cell: int) -> Column:
     return F.sequence(F.floor(low / cell).cast("int"), F.floor(high / cell).cast("int"))
 
 
-def _bucketed(boxes: DataFrame, cell: int) -> DataFrame:
-    """A row for each cell that the box touches, with the number of its size class: boxes of more than four
-    cells a side get larger cells, so that no box fills more than 25."""
-    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(1))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(side / (4 * cell)))).cast("int")
-    return boxes.withColumn("__level", level)
+def _size_class(x1: str, y1: str, x2: str, y2: str, cell: int) -> Column:
+    """Boxes of more than four cells a side get larger cells, twice as large a class, so that no box touches more
+    than 25 cells of its class."""
+    side = F.greatest(F.col(x2) - F.col(x1), F.col(y2) - F.col(y1), F.lit(1))
+    return F.greatest(F.lit(0), F.ceil(F.log2(side / (4 * cell)))).cast("int")
 
 
 def box_pairs(left: DataFrame, right: DataFrame, key: str = "plate_id", cell: int = 64) -> DataFrame:
-    """Pairs of boxes of one image that touch; right's columns (but for key) get the prefix r_. A pair that
-    shares several cells is emitted only in the cell of its common top-left corner."""
-    a = _bucketed(left, cell)
-    b = _bucketed(right.select(key, *(F.col(c).alias(f"r_{c}") for c in right.columns if c != key)).withColumnsRenamed({"r_x1": "x1", "r_y1": "y1", "r_x2": "x2", "r_y2": "y2"}), cell)
-    levels = F.sequence(F.lit(0), F.lit(12))
-    # a box meets others on the level of the larger one: it is spread over cells of its own level and of those above
-    def spread(df: DataFrame) -> DataFrame:
-        out = df.withColumn("__grid", F.explode(F.filter(levels, lambda k: k >= F.col("__level"))))
-        size = F.lit(cell) * F.pow(F.lit(2), F.col("__grid"))
-        xs = F.sequence(F.floor(F.col("x1") / size).cast("int"), F.floor(F.col("x2") / size).cast("int"))
-        ys = F.sequence(F.floor(F.col("y1") / size).cast("int"), F.floor(F.col("y2") / size).cast("int"))
-        return out.withColumn("__cx", F.explode(xs)).withColumn("__cy", F.explode(ys))
-
-    b = b.withColumnsRenamed({"__level": "__r_level"})
-    top = F.greatest("__level", "__r_level")
-    sa = spread(a)
-    sb = spread(b.withColumnRenamed("__r_level", "__level")).withColumnsRenamed({"x1": "r_x1", "y1": "r_y1", "x2": "r_x2", "y2": "r_y2", "__level": "__r_level"})
-    size = F.lit(cell) * F.pow(F.lit(2), F.col("__grid"))
-    corner_x, corner_y = F.greatest("x1", "r_x1"), F.greatest("y1", "r_y1")
-    return (
-        sa.join(sb.hint("merge"), [key, "__grid", "__cx", "__cy"])  # generators' sizes are unknown to Spark
-        .filter((F.col("__grid") == top) & (F.floor(corner_x / size) == F.col("__cx")) & (F.floor(corner_y / size) == F.col("__cy")))
-        .filter((corner_x <= F.least("x2", "r_x2")) & (corner_y <= F.least("y2", "r_y2")))
-        .drop("__grid", "__cx", "__cy", "__level", "__r_level")
-    )
+    """Pairs of boxes of one image that touch; right's columns (but for key) get the prefix r_. Boxes meet in the
+    cells of the larger one's size class: larger ones are spread over the cells of their own class only, smaller
+    ones over those of each class above theirs, in two joins by (image, class, cell). So a class's cells hold the
+    pairs of its own boxes and no pairs of smaller ones. The classes are those that occur, one number for each
+    doubling of the size. A pair that shares several cells is emitted in the cell of its common top-left corner."""
+    names = ("x1", "y1", "x2", "y2")
+    a = left.withColumn("__class", _size_class(*names, cell))
+    b = right.select(key, *(F.col(c).alias(f"r_{c}") for c in right.columns if c != key))
+    b = b.withColumn("__r_class", _size_class(*(f"r_{c}" for c in names), cell))
+    found = a.select("__class").union(b.select("__r_class")).distinct().collect()  # a few dozen numbers
+    classes = F.array(*(F.lit(k) for k in sorted(r[0] for r in found if r[0] is not None))).cast("array<int>")
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("__grid"))
+
+    def spread(df: DataFrame, prefix: str, own: str, grid: Column) -> DataFrame:
+        out = df.withColumn("__grid", grid).drop(own)
+        cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(prefix + lo) / size).cast("long"), F.floor(F.col(prefix + hi) / size).cast("long")))
+        return out.withColumn("__cx", cells("x1", "x2")).withColumn("__cy", cells("y1", "y2"))
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        corner_x, corner_y = F.greatest("x1", "r_x1"), F.greatest("y1", "r_y1")
+        return (
+            x.join(y.hint("merge"), [key, "__grid", "__cx", "__cy"])  # generators' sizes are unknown to Spark
+            .filter((F.floor(corner_x / size) == F.col("__cx")) & (F.floor(corner_y / size) == F.col("__cy")))
+            .filter((corner_x <= F.least("x2", "r_x2")) & (corner_y <= F.least("y2", "r_y2")))
+            .drop("__grid", "__cx", "__cy")
+        )
+
+    larger_left = meet(spread(a, "", "__class", F.col("__class")), spread(b, "r_", "__r_class", F.explode(F.filter(classes, lambda k: k >= F.col("__r_class")))))
+    larger_right = meet(spread(a, "", "__class", F.explode(F.filter(classes, lambda k: k > F.col("__class")))), spread(b, "r_", "__r_class", F.col("__r_class")))
+    return larger_left.unionByName(larger_right)
 
 
 def fixed_pairs(left: DataFrame, right: DataFrame, key: str, cell: int) -> DataFrame:

@@ -46,7 +46,7 @@ def batch_summary(catalog: DataFrame, rows: DataFrame, key: str = "plate_id") ->
 
 def nms_counts(before: DataFrame, after: DataFrame, tiles: DataFrame, key: str = "plate_id") -> DataFrame:
     count = lambda df, name: df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    joined = count(tiles, "num_tiles").join(count(before, "before"), key, "left").join(count(after, "after"), key, "left")
+    joined = count(tiles, "num_tiles").join(count(before, "before").hint("merge"), key, "left").join(count(after, "after").hint("merge"), key, "left")
     return joined.select(key, "num_tiles", F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
 
 

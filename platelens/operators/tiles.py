@@ -41,7 +41,7 @@ def tile_grid(plates: DataFrame, size: int = 1280, overlap: int = 256, mode: str
 def tile_to_global(boxes: DataFrame, tiles: DataFrame, key: str = "plate_id") -> DataFrame:
     """Boxes of tiles in image coordinates; joined by (key, tile_id)."""
     offsets = tiles.select(key, "tile_id", "x_off", "y_off")
-    moved = boxes.join(offsets, [key, "tile_id"])
+    moved = boxes.join(offsets.hint("merge"), [key, "tile_id"])  # a generator's size is unknown to Spark
     for c, off in (("x1", "x_off"), ("y1", "y_off"), ("x2", "x_off"), ("y2", "y_off")):
         moved = moved.withColumn(c, F.col(c) + F.col(off))
     return moved.drop("x_off", "y_off")

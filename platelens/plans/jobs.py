@@ -16,10 +16,21 @@ Model = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
 def score_tiles(tile_rows: DataFrame, model: Model, key: str = "plate_id") -> DataFrame:
-    """Boxes (key, tile_id, x1, y1, x2, y2, conf, class) that a user's function finds in batches of tiles; it
-    is called once per task with an iterator, so it can load its weights once."""
+    """Boxes (key, tile_id, x1, y1, x2, y2, conf, class) that a user's function finds in batches of tiles, and
+    their place (pos) among those of their tile in the function's order; it is called once per task with an
+    iterator, so it can load its weights once."""
     kind = tile_rows.schema[key].dataType.simpleString()
-    return tile_rows.mapInPandas(model, f"{key} {kind}, tile_id int, x1 double, y1 double, x2 double, y2 double, conf double, class int")
+
+    def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple, int] = {}  # a tile's rows come from one task
+        for found in model(batches):
+            tile = list(zip(found[key], found["tile_id"]))
+            before = [seen.get(t, 0) for t in tile]
+            pos = found.groupby([key, "tile_id"], sort=False).cumcount() + before
+            seen.update({t: int(p) + 1 for t, p in zip(tile, pos)})
+            yield found.assign(pos=pos.astype("int64"))
+
+    return tile_rows.mapInPandas(numbered, f"{key} {kind}, tile_id int, x1 double, y1 double, x2 double, y2 double, conf double, class int, pos long")
 
 
 def score_crops(crops: DataFrame, model: Callable[[pd.Series], pd.Series], column: str = "features", name: str = "p") -> DataFrame:
@@ -40,10 +51,12 @@ def mask_boxes(boxes: DataFrame, model: Model, key: str = "plate_id", seq: str =
 
 
 def detect_tiled(plates: DataFrame, model: Model, size: int = 1280, overlap: int = 256, conf: float = 0.6, iou: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """(detections with ids, counts per plate): grid, scoring, threshold, image coordinates, suppression."""
+    """(detections with ids, counts per plate): grid, scoring, threshold, image coordinates, suppression. det_seq
+    is the order of arrival, by tile and then by place in it, which settles equal confidences."""
     grid = tiles.tile_grid(plates, size, overlap)
     found = filters.min_confidence(score_tiles(grid, model), conf)
-    everywhere = suppress.cut_lineage(tiles.tile_to_global(found, grid).withColumn("det_seq", F.xxhash64("tile_id", "x1", "y1", "x2", "y2", "conf")))
+    order = F.shiftleft(F.col("tile_id").cast("long"), 32) + F.col("pos")
+    everywhere = suppress.cut_lineage(tiles.tile_to_global(found, grid).withColumn("det_seq", order).drop("pos"))
     kept = summaries.assign_detection_id(suppress.nms_global(everywhere, iou, mixed_sizes=True))
     return kept, summaries.nms_counts(everywhere, kept, grid)
 
@@ -82,49 +95,92 @@ def measure_fast(boxes: DataFrame, px: DataFrame, plates: DataFrame, scale: Colu
     return out.withColumn("method", F.when(F.col("mask_available"), "fast").otherwise("no_contour_fallback"))
 
 
-def propose_cv(px: DataFrame, plates: DataFrame, background: int = 25, min_size: int = 50) -> DataFrame:
-    """Proposals with runs measured: contrast, background, Otsu, cleaning, components, contour filter, rank."""
-    flat = raster.subtract_background(raster.clahe(px, plates), "tophat", background)
-    labelled = suppress.cut_lineage(raster.remove_small_objects(raster.label_runs(raster.to_runs(raster.threshold(flat, "otsu")), 8), min_size))
-    props = raster.region_props(labelled, "plate_id", "label").join(raster.solidity(labelled, "plate_id", "label").select("plate_id", "label", "solidity").hint("merge"), ["plate_id", "label"])
-    kept = filters.contour_filter(props)
-    return kept.withColumn("conf", G.proposal_confidence("shape", eccentricity="eccentricity", solidity="solidity"))
+def _cleaned(mask: DataFrame, px: DataFrame, min_size: int, close: int, times: int = 1) -> DataFrame:
+    """Labelled runs of a mask: small objects removed, gaps closed."""
+    large = raster.remove_small_objects(raster.label_runs(raster.to_runs(mask), 8), min_size)
+    closed = raster.close_mask(raster.to_pixels_of(large), px, close, times)
+    return suppress.cut_lineage(raster.label_runs(raster.to_runs(suppress.cut_lineage(closed)), 8))
+
+
+def _foreground(px: DataFrame, plates: DataFrame, background: int) -> DataFrame:
+    """Contrast, background and Otsu's threshold."""
+    return raster.threshold(raster.subtract_background(raster.clahe(px, plates), "tophat", background), "otsu")
+
+
+def _ranked(rows: DataFrame, seq: str) -> DataFrame:
+    return summaries.number_rows(rows, "rank", "plate_id", F.desc("conf"), F.asc(seq))
+
+
+def _with_solidity(labelled: DataFrame) -> DataFrame:
+    props = raster.region_props(labelled, "plate_id", "label")
+    return props.join(raster.solidity(labelled, "plate_id", "label").select("plate_id", "label", "solidity").hint("merge"), ["plate_id", "label"])
+
 
+def propose_cv(px: DataFrame, plates: DataFrame, background: int = 25, min_size: int = 50, close: int = 1, areas=(200, 20_000)) -> DataFrame:
+    """Proposals with their regions measured, ranked by confidence: contrast, background, Otsu, cleaning, closing,
+    components, contour filter."""
+    kept = filters.contour_filter(_with_solidity(_cleaned(_foreground(px, plates, background), px, min_size, close)), areas)
+    return _ranked(kept.withColumn("conf", G.proposal_confidence("shape", eccentricity="eccentricity", solidity="solidity")), "label")
 
-def propose_cv_fast(px: DataFrame, plates: DataFrame, background: int = 25, scale: float = 3.0, preset: str = "detect", ring: int = 100, shrink: float = 50, min_size: int = 50) -> DataFrame:
-    """Boxes of components inside the plate, scaled about their centres, filtered and suppressed."""
+
+def proposal_boxes(proposals: DataFrame) -> DataFrame:
+    """The boxes alone of propose_cv's proposals."""
+    return proposals.select("plate_id", "rank", F.col("bbox_x1").alias("x1"), F.col("bbox_y1").alias("y1"), F.col("bbox_x2").alias("x2"), F.col("bbox_y2").alias("y2"))
+
+
+def propose_cv_fast(
+    px: DataFrame, plates: DataFrame, background: int = 25, scale: float = 3.0, preset: str = "detect", ring: int = 100, shrink: float = 50, min_size: int = 50, close: int = 1, min_eccentricity: float = 0.6
+) -> DataFrame:
+    """Boxes of components inside the plate, scaled about their centres, filtered by area and eccentricity,
+    suppressed and ranked."""
     circle = raster.plate_circle(px, plates, ring=ring)
-    flat = raster.subtract_background(raster.clahe(px, plates), "tophat", background)
-    mask = raster.threshold(flat, "otsu").join(circle.select("plate_id", "cx", "cy", "radius").hint("merge"), "plate_id")
+    mask = _foreground(px, plates, background).join(circle.select("plate_id", "cx", "cy", "radius").hint("merge"), "plate_id")
     inside = filters.inside_plate(mask, "cx", "cy", "radius", shrink).select("plate_id", "x", "y")
-    return _boxes(raster.remove_small_objects(raster.label_runs(raster.to_runs(inside), 8), min_size), plates, scale, preset)
+    boxes = _scaled(raster.region_props(_cleaned(inside, px, min_size, close), "plate_id", "label"), plates, scale)
+    return _suppressed(filters.area_filter(boxes, preset).filter(F.col("eccentricity") >= min_eccentricity))
+
+
+def _scaled(props: DataFrame, plates: DataFrame, scale: float) -> DataFrame:
+    """Boxes of regions, scaled about their centres: x1 to y2, area and eccentricity of the box, and `conf`, the
+    share of its area that the region fills."""
+    sized = props.join(plates.select("plate_id", "width", "height"), "plate_id")
+    box = sized.select("plate_id", "label", F.col("area").alias("pixels"), F.col("bbox_x1").alias("x"), F.col("bbox_y1").alias("y"), (F.col("bbox_x2") - F.col("bbox_x1")).alias("w"), (F.col("bbox_y2") - F.col("bbox_y1")).alias("h"), "width", "height")
+    scaled = box.select("*", *G.scale_clip(scale, "width", "height")).withColumn("area", F.col("sw") * F.col("sh"))
+    return scaled.select("plate_id", "label", "area", F.col("sx").alias("x1"), F.col("sy").alias("y1"), (F.col("sx") + F.col("sw")).alias("x2"), (F.col("sy") + F.col("sh")).alias("y2"), G.aspect_eccentricity("sw", "sh").alias("eccentricity"), G.proposal_confidence("fill", area="pixels", bbox_area="area").alias("conf"))
 
 
-def _boxes(labelled: DataFrame, plates: DataFrame, scale: float, preset: str) -> DataFrame:
-    props = suppress.cut_lineage(raster.region_props(labelled, "plate_id", "label")).join(plates.select("plate_id", "width", "height"), "plate_id")
-    box = props.select("plate_id", "label", F.col("area").alias("pixels"), F.col("bbox_x1").alias("x"), F.col("bbox_y1").alias("y"), (F.col("bbox_x2") - F.col("bbox_x1")).alias("w"), (F.col("bbox_y2") - F.col("bbox_y1")).alias("h"), "width", "height")
-    scaled = box.select("*", *G.scale_clip(scale, "width", "height")).withColumn("area", F.col("sw") * F.col("sh")).withColumn("bbox_area", F.col("w") * F.col("h"))
-    rows = filters.area_filter(scaled, preset).select("plate_id", "area", F.col("sx").alias("x1"), F.col("sy").alias("y1"), (F.col("sx") + F.col("sw")).alias("x2"), (F.col("sy") + F.col("sh")).alias("y2"), G.aspect_eccentricity("sw", "sh").alias("eccentricity"), G.proposal_confidence("fill", area="pixels", bbox_area="bbox_area").alias("conf"), "label")
-    rows = suppress.cut_lineage(summaries.number_rows(rows, "det_seq", "plate_id", F.asc("label")).drop("label"))
-    return suppress.nms_proposals(rows, mixed_sizes=True)
+def _suppressed(rows: DataFrame) -> DataFrame:
+    numbered = suppress.cut_lineage(summaries.number_rows(rows, "det_seq", "plate_id", F.asc("label")).drop("label"))
+    return _ranked(suppress.nms_proposals(numbered, mixed_sizes=True), "det_seq")
 
 
-def propose_multifeature(px: DataFrame, plates: DataFrame, threshold: int = 40, scale: float = 1.5, ring: int = 100, shrink: float = 50, min_size: int = 50) -> DataFrame:
-    """Boxes of salient regions: edges, local variance and local contrast weighted into one map."""
-    edge = raster.edges(px).withColumn("e", F.lit(1.0))
+def propose_multifeature(px: DataFrame, plates: DataFrame, threshold: int = 40, scale: float = 1.5, ring: int = 100, shrink: float = 50, min_size: int = 100, close: int = 2, times: int = 2, low: float = 30, high: float = 100, **shape) -> DataFrame:
+    """Boxes of salient regions inside the plate that the shape filter keeps, with their mean saliency as
+    confidence: edges, local variance and local contrast weighted into one map. shape: limits of shape_keep."""
+    edge = raster.edges(px, low, high).withColumn("e", F.lit(1.0))
     maps = raster.local_std(raster.local_variance(px, 21), 15).join(edge.hint("merge"), ["plate_id", "x", "y"], "left").select("plate_id", "x", "y", F.coalesce("e", F.lit(0.0)).alias("e"), "local_variance", "local_std")
-    map_ = raster.saliency(maps, {"local_variance": 0.5, "e": 0.3, "local_std": 0.2})
+    map_ = suppress.cut_lineage(raster.saliency(maps, {"local_variance": 0.5, "e": 0.3, "local_std": 0.2}))
     circle = raster.plate_circle(px, plates, ring=ring)
     salient = filters.inside_plate(map_.filter(F.col("v") > threshold).join(circle.select("plate_id", "cx", "cy", "radius").hint("merge"), "plate_id"), "cx", "cy", "radius", shrink)
-    return _boxes(raster.remove_small_objects(raster.label_runs(raster.to_runs(salient.select("plate_id", "x", "y")), 8), min_size), plates, scale, "feature")
-
-
-def propose_blob(px: DataFrame, plates: DataFrame, sigmas: list[float], ring: int = 100) -> DataFrame:
-    """Boxes around Laplacian blobs of the plate (a 0-255 raster), ranked by size."""
-    inside = raster.mask_plate(px, raster.plate_circle(px, plates, ring=ring), plates)
-    blobs = raster.blob_log(inside.withColumn("v", F.col("v") / 255), sigmas)
-    boxes = raster.blob_to_box(blobs, plates).withColumn("conf", F.least(F.lit(1.0), F.col("sigma") * 2**0.5 / max(sigmas)))
-    return summaries.number_rows(boxes, "rank", "plate_id", F.desc("conf"), F.asc("blob_id"))
+    props = suppress.cut_lineage(_with_solidity(_cleaned(salient.select("plate_id", "x", "y"), px, min_size, close, times)))
+    boxes = suppress.cut_lineage(_scaled(props, plates, scale))
+    w, h = F.col("bbox_x2") - F.col("bbox_x1"), F.col("bbox_y2") - F.col("bbox_y1")
+    shapes = props.select("plate_id", "label", "solidity", F.col("area").alias("pixels"), (F.col("area") / (w * h)).alias("extent"), (F.greatest(w, h) / F.least(w, h)).alias("aspect"))
+    kept = boxes.drop("conf").join(shapes.hint("merge"), ["plate_id", "label"]).filter(filters.shape_keep(area="pixels", expanded="area", **shape)).drop("pixels", "extent", "aspect", "solidity")
+    cut = kept.select("plate_id", "label", *(F.col(c).cast("int").alias(f"p{c}") for c in ("x1", "y1", "x2", "y2")))
+    mean = raster.region_mean(cut, map_, "label").select("plate_id", "label", (F.col("mean_value") / 255).alias("conf"))
+    return _suppressed(kept.join(mean.hint("merge"), ["plate_id", "label"]))
+
+
+def propose_blob(px: DataFrame, plates: DataFrame, sigmas: list[float], ring: int = 100, shrink: float = 50, min_area: float = 1500) -> DataFrame:
+    """Boxes around Laplacian blobs of the plate (a 0-255 raster, outside the plate its mean), ranked by size."""
+    circle = raster.plate_circle(px, plates, ring=ring).select("plate_id", "cx", "cy", "radius")
+    mean = px.groupBy("plate_id").agg(F.avg("v").alias("mean"))
+    dx, dy, r = F.col("x") - F.col("cx"), F.col("y") - F.col("cy"), F.greatest(F.lit(10), F.col("radius") - shrink)
+    inside = px.join(circle.hint("merge"), "plate_id").join(mean.hint("merge"), "plate_id").select("plate_id", "x", "y", (F.when(dx * dx + dy * dy <= r * r, F.col("v")).otherwise(F.col("mean")) / 255).alias("v"))
+    blobs = raster.blob_log(suppress.cut_lineage(inside), sigmas)
+    boxes = raster.blob_to_box(blobs, plates, min_area).withColumn("conf", F.least(F.lit(1.0), F.col("sigma") * 2**0.5 / max(sigmas)))
+    return _ranked(boxes, "blob_id")
 
 
 def classify_and_filter(proposals: DataFrame, model: Callable[[pd.Series], pd.Series], t: float = 0.97, column: str = "features") -> DataFrame:
@@ -134,6 +190,21 @@ def classify_and_filter(proposals: DataFrame, model: Callable[[pd.Series], pd.Se
     return summaries.assign_organism_id(scored, ok)
 
 
+def analyze_plates(px: DataFrame, plates: DataFrame, boxes: DataFrame, classifier: Callable[[pd.Series], pd.Series], segmenter: Model, t: float = 0.97, pad: int = 5, scale: Column | None = None, **limits) -> DataFrame:
+    """From rasters and proposed boxes (plate_id, det_seq, x1, y1, x2, y2) to organisms: dark plates brightened,
+    the padded crops' mean gray given to the user's classifier, masks of the accepted from the user's segmenter,
+    measured, filtered by morphology (limits as morphology_reason takes them) and numbered."""
+    bright = suppress.cut_lineage(raster.normalize_brightness(px))
+    sized = boxes.select("plate_id", "det_seq", "x1", "y1", "x2", "y2").join(plates.select("plate_id", "width", "height"), "plate_id")
+    crops = sized.select("plate_id", "det_seq", *G.pad_clip(pad, "width", "height"))
+    features = raster.region_mean(crops, bright, "det_seq").select("plate_id", "det_seq", F.col("mean_value").alias("features"))
+    accepted = filters.min_confidence(suppress.cut_lineage(score_crops(features, classifier)), t, "p").select("plate_id", "det_seq", "p")
+    chosen = suppress.cut_lineage(boxes.join(accepted.hint("merge"), ["plate_id", "det_seq"]))
+    measured = measure_from_masks(chosen, suppress.cut_lineage(mask_boxes(chosen.select("plate_id", "det_seq", "x1", "y1", "x2", "y2"), segmenter)), F.lit(8.666) if scale is None else scale)
+    rows = suppress.cut_lineage(measured.join(accepted.hint("merge"), ["plate_id", "det_seq"]))
+    return summaries.assign_organism_id(rows, filters.morphology_reason(**limits).isNull())
+
+
 def batch_plates(catalog: DataFrame, measured: DataFrame) -> DataFrame:
     """Summary of all plates of a catalog, the ones without results included."""
     return summaries.batch_summary(catalog, measured)

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the files.
 DETECTION_CSV = "x1 double, y1 double, x2 double, y2 double, width double, height double, confidence double, class int"
 ROI_CSV = "plate_id string, image_name string, x int, y int, w int, h int, roi_name string, roi_type string"
 CALIBRATION_JSON = "image string, ruler_mm double, ruler_um double, ruler_px double, um_per_pixel double"
@@ -98,9 +99,15 @@ def ingest_rois(spark: SparkSession, paths: list[str], decoder: Callable[[bytes]
     return good, rows.filter(f"error IS NULL AND NOT ({ok})").drop("error"), rows.filter("error IS NOT NULL").select("path", "error")
 
 
+def image_of(path: Column) -> Column:
+    """The image of a detection file: its folder image_id=..., as write_detections makes them, or its name."""
+    folder = F.regexp_extract(path, "/image_id=([^/]+)/", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_replace(stem(path), "_detections$", ""))
+
+
 def read_detections(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema(DETECTION_CSV).option("header", True).csv(path)
-    return rows.select(F.regexp_replace(stem(F.col("_metadata.file_path")), "_detections$", "").alias("image_id"), "*")
+    rows = spark.read.schema(DETECTION_CSV).option("header", True).option("recursiveFileLookup", True).csv(path)
+    return rows.select(image_of(F.col("_metadata.file_path")).alias("image_id"), "*")
 
 
 def detection_rows(det: DataFrame, *keep: str) -> DataFrame:
@@ -149,7 +156,7 @@ def write_split(rows: DataFrame, path: str) -> None:
 def run_metadata(plates: DataFrame, counts: DataFrame, tile_size: int, overlap: int, conf: float, iou: float, key: str = "plate_id") -> DataFrame:
     """(key, json): one document per plate."""
     doc = F.struct(F.col(key).cast("string").alias("image"), F.array("width", "height").alias("image_size"), F.lit(tile_size).alias("tile_size"), F.lit(overlap).alias("overlap"), F.lit(conf).alias("conf_threshold"), F.lit(iou).alias("iou_threshold"), "num_tiles", F.col("before").alias("detections_before_nms"), F.col("after").alias("detections_after_nms"))
-    return plates.join(counts, key).select(key, F.to_json(doc).alias("json"))
+    return plates.join(counts.hint("merge"), key).select(key, F.to_json(doc).alias("json"))
 
 
 def batch_config(plates: DataFrame, model: str, um_per_pixel: float, device: str, image: str = "image_name") -> DataFrame:

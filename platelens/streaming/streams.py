@@ -6,14 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import cut_lineage
+from ..operators.summaries import number_rows
 from ..operators.suppress import nms_global
-from ..sources.tables import DETECTION_CSV, stem
+from ..sources.tables import DETECTION_CSV, image_of
 
 
 def stream_detections(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of detection files in a folder; a file is one complete plate. det_seq is the order in the file."""
-    rows = spark.readStream.schema(DETECTION_CSV).option("header", True).csv(path)
-    return rows.select(F.regexp_replace(stem(F.col("_metadata.file_path")), "_detections$", "").alias("plate_id"), "*", F.col("_metadata.file_modification_time").alias("arrived"))
+    """Rows of detection files in a folder, with the place of their split in the file; a file is one complete
+    plate."""
+    rows = spark.readStream.schema(DETECTION_CSV).option("header", True).option("recursiveFileLookup", True).csv(path)
+    return rows.select(image_of(F.col("_metadata.file_path")).alias("plate_id"), "*", F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("arrived"))
 
 
 def suppress_arrivals(stream: DataFrame, out: str, checkpoint: str, t: float = 0.5):
@@ -21,16 +24,17 @@ def suppress_arrivals(stream: DataFrame, out: str, checkpoint: str, t: float = 0
     whole, so suppression inside a batch is exact; a batch that is repeated overwrites its own folder."""
 
     def run(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumnRenamed("confidence", "conf").withColumn("det_seq", F.xxhash64("x1", "y1", "x2", "y2", "conf"))
-        nms_global(rows.dropDuplicates(["plate_id", "det_seq"]), t).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        # the order in the file: by split, and in a split as read; written before it is used twice
+        read = batch.withColumnRenamed("confidence", "conf").withColumn("__at", F.monotonically_increasing_id())
+        rows = cut_lineage(number_rows(read, "det_seq", "plate_id", F.asc("block"), F.asc("__at")).drop("__at", "block"))
+        nms_global(rows, t, mixed_sizes=True).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def progress(done: DataFrame, total: int, key: str = "plate_id") -> DataFrame:
-    """completed, total and whole percent. Streams need complete mode, and plates that arrive once."""
-    n = (F.approx_count_distinct(key) if done.isStreaming else F.count_distinct(key)).alias("completed")
-    return done.agg(n).select("completed", F.lit(total).alias("total"), F.floor(F.col("completed") * 100 / total).alias("percent"))
+    """completed, total and whole percent. Streams need complete mode; their state is a row for each plate."""
+    return done.select(key).filter(F.col(key).isNotNull()).dropDuplicates([key]).agg(F.count(F.lit(1)).alias("completed")).select("completed", F.lit(total).alias("total"), F.floor(F.col("completed") * 100 / total).alias("percent"))
 
 
 def _watermarked(events: DataFrame, time: str, watermark: str) -> DataFrame:

@@ -184,3 +184,24 @@ def test_user_models(spark):
 
     found, counts = jobs.detect_tiled(plates, model, 60, 20)
     assert found.count() == 8 and {(r.num_tiles, r.before, r.after) for r in counts.collect()} == {(4, 4, 4)}
+
+
+def test_boxes_of_any_size_meet_once(spark):
+    rows = [(1, i, float(i * 7 % 90), float(i * 11 % 80), 10.0 + i % 5, 8.0) for i in range(60)]
+    rows += [(1, 100, 0.0, 0.0, 2e6, 2e6), (1, 101, 5.0, 5.0, 2e6, 2e6), (1, 102, 50.0, 40.0, 0.0, 0.0), (1, 103, 10.0, 10.0, 700.0, 3.0), (2, 104, 0.0, 0.0, 5e9, 5e9)]
+    boxes = spark.createDataFrame([(p, s, x, y, x + w, y + h) for p, s, x, y, w, h in rows], "plate_id int, det_seq int, x1 double, y1 double, x2 double, y2 double")
+    got = [(r.det_seq, r.r_det_seq) for r in spatial.box_pairs(boxes, boxes, cell=4).collect()]
+    want = {(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] <= b[2] + b[4] and b[2] <= a[2] + a[4] and a[3] <= b[3] + b[5] and b[3] <= a[3] + a[5]}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_equal_boxes_of_one_tile_collapse(spark):
+    def model(batches):
+        for b in batches:
+            for conf in (0.9, 0.9, 0.7):
+                yield pd.DataFrame({"plate_id": b["plate_id"], "tile_id": b["tile_id"].astype("int32"), "x1": 3.0, "y1": 4.0, "x2": 20.0, "y2": 30.0, "conf": conf, "class": 0})
+
+    plates = spark.createDataFrame([(1, 100, 100)], "plate_id int, width int, height int")
+    kept, counts = jobs.detect_tiled(plates, model, 100, 20)
+    assert [(r.det_seq, r.conf) for r in kept.collect()] == [(1, 0.9)]  # of equal confidences the later one wins
+    assert [(r.before, r.after) for r in counts.collect()] == [(3, 1)]

@@ -36,13 +36,13 @@ def s09_measurement_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("plate_id", "detection_id", "bbox_width_px", "bbox_height_px", "length_mm", "confidence", "class", "method", F.lit(len(rows.columns) - 1).alias("n_columns"))
 
 
-@query(duck("fx_plate", "fx_det") + _grid_sql(256, 64) + " SELECT p.plate_id, (SELECT count(*) FROM tiles t WHERE t.plate_id = p.plate_id) AS num_tiles, (SELECT count(*) FROM fx_det f WHERE f.plate_id = p.plate_id) AS before, CAST(p.plate_id AS VARCHAR) AS image, width FROM fx_plate p")
+@query("WITH kept AS (" + _nms_sql(0.5, "true") + ")" + (duck("fx_plate", "fx_det") + _grid_sql(256, 64)).replace("WITH RECURSIVE", ",", 1) + " SELECT p.plate_id, (SELECT count(*) FROM tiles t WHERE t.plate_id = p.plate_id) AS num_tiles, (SELECT count(*) FROM fx_det f WHERE f.plate_id = p.plate_id) AS before, (SELECT count(*) FROM kept f WHERE f.plate_id = p.plate_id) AS after, CAST(p.plate_id AS VARCHAR) AS image, width FROM fx_plate p")
 def s10_run_metadata(spark: SparkSession, d: str) -> DataFrame:
     plates, det = view(spark, d, "fx_plate"), view(spark, d, "fx_det")
-    counts = summaries.nms_counts(det, det, tiles.tile_grid(plates, 256, 64))
+    counts = summaries.nms_counts(det, suppress.nms_global(det), tiles.tile_grid(plates, 256, 64))
     doc = tables.run_metadata(plates, counts, 256, 64, 0.6, 0.5)
-    parsed = F.from_json("json", "image string, image_size array<int>, num_tiles long, detections_before_nms long")
-    return doc.select("plate_id", parsed.alias("j")).select("plate_id", F.col("j.num_tiles").alias("num_tiles"), F.col("j.detections_before_nms").alias("before"), F.col("j.image").alias("image"), F.col("j.image_size")[0].alias("width"))
+    parsed = F.from_json("json", "image string, image_size array<int>, num_tiles long, detections_before_nms long, detections_after_nms long")
+    return doc.select("plate_id", parsed.alias("j")).select("plate_id", F.col("j.num_tiles").alias("num_tiles"), F.col("j.detections_before_nms").alias("before"), F.col("j.detections_after_nms").alias("after"), F.col("j.image").alias("image"), F.col("j.image_size")[0].alias("width"))
 
 
 @query(duck("fx_plate") + ", l AS (SELECT list_sort(list(image_name)) AS images, count(*) AS num_plates FROM fx_plate) SELECT unnest(images) AS image, num_plates FROM l")
@@ -64,7 +64,13 @@ def s14_coco_annotations(spark: SparkSession, d: str) -> DataFrame:
     return tables.coco_annotations(view(spark, d, "fx_det")).select("id", "image_id", F.col("bbox")[0].alias("x"), F.col("bbox")[2].alias("w"), "area", "score")
 
 
-@query()
+@query(
+    duck("fx_plate", "fx_roi")
+    + _ROI_TILES
+    + """, c AS (SELECT plate_id, tile_id, greatest(0, x - x_off) AS a, greatest(0, y - y_off) AS b, least(256, x + w - x_off) AS c, least(256, y + h - y_off) AS d FROM lab),
+    n AS (SELECT plate_id, tile_id, list_transform([(a + c) / 512.0::DOUBLE, (b + d) / 512.0::DOUBLE, (c - a) / 256.0::DOUBLE, (d - b) / 256.0::DOUBLE], lambda v: printf('%.6f', floor(v * 1000000 + 0.5) / 1000000)) AS v FROM c)
+    SELECT plate_id, printf('%s_tile_%04d', CAST(plate_id AS VARCHAR), tile_id) AS tile_name, array_to_string(list_sort(list('0 ' || array_to_string(v, ' '))), chr(10)) AS body FROM n GROUP BY plate_id, tile_id"""
+)
 def s12_yolo_labels(spark: SparkSession, d: str) -> DataFrame:
     rows = tiles.global_to_tile(roi_tiles(spark, d), 256).withColumn("tile_name", tiles.names()["tile_name"])
     return tables.yolo_labels(rows, "plate_id", "tile_name")
@@ -110,9 +116,18 @@ def stub_detector(batches):
             yield pd.DataFrame({"plate_id": t["plate_id"], "tile_id": t["tile_id"].astype("int32"), "x1": x * 1.0, "y1": y * 1.0, "x2": x + 60.0, "y2": y + 50.0, "conf": 0.5 + (t["tile_id"] * 7 + k * 3 + t["plate_id"]) % 50 / 100.0, "class": 0})
 
 
-@query()
+_FOUND = (
+    duck("fx_plate")
+    + _grid_sql(256, 64)
+    + """, k AS (SELECT t.*, k FROM tiles t, (SELECT unnest([0, 1]) AS k)),
+    fx_det AS (SELECT plate_id, tile_id, (tile_id::BIGINT << 32) + k AS det_seq, ((tile_id * 37 + k * 11) % 150 + x_off)::DOUBLE AS x1, ((tile_id * 53 + k * 7) % 150 + y_off)::DOUBLE AS y1, ((tile_id * 37 + k * 11) % 150 + x_off + 60)::DOUBLE AS x2,
+      ((tile_id * 53 + k * 7) % 150 + y_off + 50)::DOUBLE AS y2, 60.0::DOUBLE AS w, 50.0::DOUBLE AS h, 0.5::DOUBLE + CAST((tile_id * 7 + k * 3 + plate_id) % 50 AS DOUBLE) / 100.0::DOUBLE AS conf, 0 AS class FROM k WHERE 0.5::DOUBLE + CAST((tile_id * 7 + k * 3 + plate_id) % 50 AS DOUBLE) / 100.0::DOUBLE >= 0.6)"""
+)
+
+
+@query(_nms_sql(0.5, "true").replace(duck("fx_det"), _FOUND, 1).replace("SELECT plate_id, det_seq, conf FROM fx_det WHERE", "SELECT plate_id, tile_id, det_seq, x1, y1, x2, y2, conf FROM fx_det WHERE", 1))
 def x01_detect_tiled(spark: SparkSession, d: str) -> DataFrame:
-    return jobs.detect_tiled(view(spark, d, "fx_plate"), stub_detector, 256, 64)[0]
+    return jobs.detect_tiled(view(spark, d, "fx_plate"), stub_detector, 256, 64)[0].select("plate_id", "tile_id", "det_seq", "x1", "y1", "x2", "y2", "conf")
 
 
 @query(

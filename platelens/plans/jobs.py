@@ -103,8 +103,8 @@ def _cleaned(mask: DataFrame, px: DataFrame, min_size: int, close: int, times: i
 
 
 def _foreground(px: DataFrame, plates: DataFrame, background: int) -> DataFrame:
-    """Contrast, background and Otsu's threshold."""
-    return raster.threshold(raster.subtract_background(raster.clahe(px, plates), "tophat", background), "otsu")
+    """Contrast, background and Otsu's threshold, which looks at the pixels twice."""
+    return raster.threshold(suppress.cut_lineage(raster.subtract_background(raster.clahe(px, plates), "tophat", background)), "otsu")
 
 
 def _ranked(rows: DataFrame, seq: str) -> DataFrame:

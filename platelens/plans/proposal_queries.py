@@ -98,7 +98,7 @@ def x02_measure_fast(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def x04_propose_cv(spark: SparkSession, d: str) -> DataFrame:
-    found = jobs.propose_cv(view(spark, d, "fx_gray"), gray_plates(spark, d), background=9, min_size=20, areas=(20, 2000))
+    found = jobs.propose_cv(view(spark, d, "fx_gray"), gray_plates(spark, d), background=9, min_size=6, areas=(6, 3000))
     return rounded(found.select("plate_id", "rank", "area", "eccentricity", "solidity", "conf", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"), "eccentricity", "solidity", "conf")
 
 
@@ -107,12 +107,6 @@ def x05_propose_cv_fast(spark: SparkSession, d: str) -> DataFrame:
     return rounded(jobs.propose_cv_fast(view(spark, d, "fx_gray"), gray_plates(spark, d), background=3, scale=9.0, preset="any", ring=4, shrink=2, min_size=3, min_eccentricity=0.3), "eccentricity", "conf")
 
 
-@query()
-def x06_propose_multifeature(spark: SparkSession, d: str) -> DataFrame:
-    found = jobs.propose_multifeature(view(spark, d, "fx_gray"), gray_plates(spark, d), threshold=110, scale=2.0, ring=4, shrink=2, min_size=4, close=1, times=1, min_area=3, min_expanded=20)
-    return rounded(found.select("plate_id", "rank", "x1", "y1", "x2", "y2", "area", "conf"), "conf")
-
-
 @query()
 def x07_propose_blob(spark: SparkSession, d: str) -> DataFrame:
     found = jobs.propose_blob(view(spark, d, "fx_gray"), gray_plates(spark, d), [1.0, 1.6, 2.5], ring=4, shrink=2, min_area=9)

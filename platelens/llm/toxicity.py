@@ -10,8 +10,10 @@ bound); feature counts are made by Spark over that sample, and only the chosen f
 reach the driver, at most `max_features` a category. Scoring covers every row and whole texts.
 
 Defined results: null or empty text scores like a document without any known feature; without labels, or
-where a category has one class only, its probability is that class's share (0 without rows); repeated rows
-score alike; extra columns pass through.
+where a category has one class only, its probability is that class's share (0 without rows); labels that
+contradict each other count as the larger one in each category; a repeated doc_id trains once, on the smallest
+feature set of its texts; repeated rows score alike; extra columns pass through, except that toxicity() leaves out
+those named as its own results (drop_toxic keeps all columns as they are).
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 _RUN = re.compile(r"[^\W\d_]+|[^\w\s]+")
-_CACHE_WORDS = 500_000
+_CACHE_WORDS = 200_000
+#: Texts that are taken out of Arrow at a time.
+_SLICE = 256
 
 
 def word_features(word: str) -> set[int]:
@@ -141,23 +146,26 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
     """labels has doc_id; categories maps each name to a boolean expression over its columns, in the order
     of the chain. Rows with a null doc_id or category are left out."""
     names = list(categories)
-    wanted = labels.select("doc_id", *(c.cast("int").alias(f"c{i}") for i, c in enumerate(categories.values()))).dropna().dropDuplicates(["doc_id"])
+    wanted = labels.select("doc_id", *(c.cast("int").alias(f"c{i}") for i, c in enumerate(categories.values()))).dropna().groupBy("doc_id").agg(*(F.max(f"c{i}").alias(f"c{i}") for i in range(len(categories))))
     # at most max_labelled rows of a few integers: a proven bound for the broadcast
     sample = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    rows = materialise(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "labelled")
 
     def counts(batches):
-        for b in batches:
-            ys = np.array([b.column(2 + i).to_pylist() for i in range(len(names))], np.int64).reshape(len(names), -1)
-            ids, who = [], []
-            for k, text in enumerate(b.column(1).to_pylist()):
-                got = {f for w in set((text or "").lower().split()) for f in word_features(w)}
-                ids += got
-                who += [k] * len(got)
-            found, at = np.unique(np.array(ids, np.int64), return_inverse=True)
-            n = np.bincount(at, minlength=len(found))
-            positive = [np.bincount(at, y[np.array(who, np.int64)], len(found)).astype(np.int64) if len(found) else n for y in ys]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (found, n.astype(np.int64), *positive)], ["feature", "n", *(f"p{i}" for i in range(len(names)))])
+        for batch in batches:
+            for start in range(0, batch.num_rows, _SLICE):
+                b = batch.slice(start, _SLICE)
+                ys = np.array([b.column(2 + i).to_pylist() for i in range(len(names))], np.int64).reshape(len(names), -1)
+                ids, sizes = array("q"), []
+                for text in b.column(1).to_pylist():
+                    got = {f for w in set((text or "").lower().split()) for f in word_features(w)}
+                    ids.extend(got)
+                    sizes.append(len(got))
+                found, at = np.unique(np.frombuffer(ids, np.int64), return_inverse=True)
+                who = np.repeat(np.arange(len(sizes)), sizes)
+                n = np.bincount(at, minlength=len(found)).astype(np.int64)
+                positive = [np.bincount(at, y[who], len(found)).astype(np.int64) for y in ys]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (found, n, *positive)], ["feature", "n", *(f"p{i}" for i in range(len(names)))])
 
     schema = ", ".join(["feature long", "n long", *(f"p{i} long" for i in range(len(names)))])
     totals = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(f"c{i}").alias(f"p{i}") for i in range(len(names)))).first()
@@ -174,17 +182,22 @@ def train_chain(docs: DataFrame, labels: DataFrame, categories: dict[str, Column
 
     def known(batches):
         table = FeatureMap(chosen)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([table.document(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), *(b.column(2 + i) for i in range(len(names)))], ["doc_id", "features", *(f"c{i}" for i in range(len(names)))])
+        for batch in batches:
+            for start in range(0, batch.num_rows, _SLICE):
+                b = batch.slice(start, _SLICE)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([table.document(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32())), *(b.column(2 + i) for i in range(len(names)))], ["doc_id", "features", *cs])
 
+    cs = [f"c{i}" for i in range(len(names))]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    features = rows.mapInArrow(known, f"doc_id {kind}, features array<int>, " + ", ".join(f"{c} int" for c in cs))
     # bounded: at most max_labelled rows of at most max_features * len(categories) small integers
-    data = rows.mapInArrow(known, "doc_id long, features array<int>, " + ", ".join(f"c{i} int" for i in range(len(names)))).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
-    y = data[[f"c{i}" for i in range(len(names))]].to_numpy(np.int64)
+    data = features.groupBy("doc_id").agg(F.min("features").alias("features"), *(F.max(c).alias(c) for c in cs)).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
+    y = data[cs].to_numpy(np.int64)
     return ClassifierChain.fit(chosen, [list(f) for f in data["features"]], y, folds)
 
 
-def score_toxicity(docs: DataFrame, chain: ClassifierChain, names: list[str]) -> DataFrame:
-    """Adds p_<category> for each category to the rows of docs."""
+def score_toxicity(docs: DataFrame, chain: ClassifierChain, names: list[str], prefix: str = "p_") -> DataFrame:
+    """Adds <prefix><category> for each category to the rows of docs, whose columns have other names."""
     shared = docs.sparkSession.sparkContext.broadcast((chain.chosen, chain.links))  # at most max_features a category
     fields = [f.name for f in docs.schema.fields]
     at = fields.index("text")
@@ -193,12 +206,12 @@ def score_toxicity(docs: DataFrame, chain: ClassifierChain, names: list[str]) ->
         chosen, links = shared.value
         model, table = ClassifierChain(chosen, links), FeatureMap(chosen)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                b = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, _SLICE):
+                b = batch.slice(start, _SLICE)
                 p = model.predict([table.document(t) for t in b.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, i]) for i in range(len(names)))], [*fields, *(f"p_{n}" for n in names)])
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, i]) for i in range(len(names)))], [*fields, *(prefix + n for n in names)])
 
-    columns = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"p_{n} double" for n in names])
+    columns = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{prefix}{n}` double" for n in names])
     return docs.mapInArrow(score, columns)
 
 
@@ -214,5 +227,14 @@ def categories() -> dict[str, Column]:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.4, **options) -> DataFrame:
     """The rows of docs with p_<category>, toxic and kept."""
     chain = train_chain(docs, labels, categories(), **options)
-    scored = score_toxicity(docs, chain, list(CATEGORIES))
+    scored = score_toxicity(docs.drop(*(f"p_{c}" for c in CATEGORIES), "toxic", "kept"), chain, list(CATEGORIES))
     return scored.withColumn("toxic", F.col("p_toxic") >= threshold).withColumn("kept", F.col("p_toxic") < threshold)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.4, **options) -> DataFrame:
+    """The rows of docs that aren't toxic, with the columns of docs whatever their names."""
+    chain = train_chain(docs, labels, categories(), **options)
+    prefix = "__p_"
+    while any(f.startswith(prefix) for f in docs.columns):
+        prefix = "_" + prefix
+    return score_toxicity(docs, chain, list(CATEGORIES), prefix).filter(F.col(f"{prefix}toxic") < threshold).select(*(F.col(f"`{c}`") for c in docs.columns))

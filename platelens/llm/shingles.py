@@ -5,21 +5,9 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_CACHE_WORDS = 1_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class _Words(dict):
-    """Word (bytes) to 64-bit hash, computed at first sight."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_words = _Words()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(32))
@@ -29,18 +17,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes | None], stretch: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in a row, number of words of each text). Words are what white space
-    [\\x20\\x09-\\x0D] separates, with A-Z lower-cased."""
-    if len(_words) > _CACHE_WORDS:
-        _words.clear()
-    split = [t.lower().split() if t else [] for t in texts]
-    sizes = np.fromiter(map(len, split), np.int64, len(split))
-    out, at, get = np.empty(int(sizes.sum()), np.uint64), 0, _words.__getitem__
-    for words in split:
-        out[at : at + len(words)] = np.fromiter(map(get, words), np.uint64, len(words))
-        at += len(words)
-    return out, sizes
+    [\\x20\\x09-\\x0D] separates, with A-Z lower-cased. Texts are taken together up to `stretch` bytes."""
+    hashes, sizes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size < stretch):
+            size += len(texts[upto] or b"") + 1
+            upto += 1
+        part = [t or b"" for t in texts[at:upto]]
+        start, h = word_values(np.frombuffer(b"\n".join(part) + b"\n", np.uint8))
+        ends = np.cumsum([len(t) + 1 for t in part])
+        hashes.append(h)
+        sizes.append(np.bincount(np.searchsorted(ends, start, side="right"), minlength=len(part)))
+        at = upto
+    return np.concatenate(hashes), np.concatenate(sizes)
 
 
 def shingle_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -72,7 +64,6 @@ _BASE = 0x9E3779B97F4A7C15
 _powers: list[np.ndarray] = []
 
 
-
 def _power_tables(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, kept for the longest stretch so far."""
     if not _powers or len(_powers[0]) < n:
@@ -84,10 +75,25 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_values(data: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+def word_values(data: np.ndarray, between: np.ndarray = _SPACE, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """(first byte, hash) of each word of the bytes, words being what the bytes of `between` separate: a
     polynomial of random byte values modulo 2**64, by differences of a running sum, stirred with the length
-    at the end."""
+    at the end. Bytes are taken in pieces that end between words, so working memory follows the piece (or the
+    longest word)."""
+    starts, hashes, at = [], [], 0
+    while at < len(data) or not starts:
+        upto = min(at + piece, len(data))
+        while upto < len(data) and not between[data[upto]]:
+            gap = np.flatnonzero(between[data[upto : upto + piece]])
+            upto = upto + int(gap[0]) if len(gap) else min(upto + piece, len(data))
+        start, h = _piece_values(data[at:upto], between)
+        starts.append(start + at)
+        hashes.append(h)
+        at = upto
+    return (starts[0], hashes[0]) if len(starts) == 1 else (np.concatenate(starts), np.concatenate(hashes))
+
+
+def _piece_values(data: np.ndarray, between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     up, down = _power_tables(n)
     edge = np.flatnonzero(np.diff(np.concatenate([[True], between[data], [True]])))

@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .alignment import align_tokens
 from .common import load
 from .decontaminate import find_leaks
 from .exact_dedup import exact_dedup
 from .html_extract import extract_text
+from .line_dedup import kept_texts
 from .minhash import near_duplicates
 from .ngram_lm import lm_scores
 from .packing import piece_digests
+from .periodic_runs import periodic_runs, repeated_tail
 from .pii import find_pii
 from .substring_dedup import cut_repeats
 from .toxicity import toxicity
@@ -66,6 +70,28 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"), n=3, num=85)
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(load(spark, sf_dir, "documents"), change=repeated_tail)
+    none = F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("length"), F.lit(1).cast("long").alias("period"))
+    # of runs of one exponent the first stays; they are in order
+    best = F.reduce("runs", none, lambda most, r: F.when(r["length"] * most["period"] > most["length"] * r["period"], r).otherwise(most))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    some = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    return some.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kept_texts(load(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_tokens(load(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_packing": op2_packing,
@@ -77,6 +103,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_minhash": op10_minhash,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_line_dedup": op12_line_dedup,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -96,4 +125,12 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN g.first_id IS NULL OR p.page_id = g.first_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN p.page_id <> g.first_id THEN g.first_id END AS refers_to
         FROM p LEFT JOIN g USING (payload_digest)""",
+    "op12_line_dedup": """
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+             k AS (SELECT doc_id, pos, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+             s AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+             m AS (SELECT k.doc_id, k.pos, k.line, s.last IS NOT NULL AND s.last <> k.doc_id AS gone FROM k LEFT JOIN s USING (key))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
 }

@@ -67,11 +67,11 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, text: str = "
 
 
 def drop_exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of docs that stay; rows that repeat doc_id and text leave one."""
-    kept = exact_dedup(docs, index).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
-    rows = docs.withColumn("__digest", text_digest()).join(
-        kept.withColumnRenamed("__digest", "__kept_digest").hint("merge"),
-        F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept_digest")),
-        "left_semi",
-    )
-    return rows.dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    """The rows of docs that stay; rows that repeat doc_id and text leave one. The columns of docs, whatever their
+    names."""
+    verdicts = exact_dedup(docs.select("doc_id", "text"), index).filter("kept")
+    kept = verdicts.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept")).distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    keyed = docs.select(row, F.col("doc_id").alias("__own"), text_digest().alias("__digest"))
+    stay = keyed.join(kept.hint("merge"), F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept")), "left_semi")
+    return stay.dropDuplicates(["__own", "__digest"]).select("row.*")

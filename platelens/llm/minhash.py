@@ -150,7 +150,7 @@ def _components(docs: DataFrame, n: int, num: int, k: int, slack: float, hub_rou
     min_share = max(0.0, t - slack * (t * (1 - t) / k) ** 0.5)
     rows = materialise(sketches(docs, n, k), "sketches")
     groups = materialise(
-        rows.filter("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes"
+        rows.filter("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes"
     )
     lists = materialise(inverted_lists(groups, k, min_share), "lists")
 
@@ -165,19 +165,19 @@ def _components(docs: DataFrame, n: int, num: int, k: int, slack: float, hub_rou
         common = _common(x, y)
         return 100 * common >= num * (m + n_ - common)
 
-    # the full sets of the classes that are in any list, made once from the documents
+    # the full sets of the classes that are in any list, made once from a row of each: that of the smallest doc_id,
+    # told from others of that id, or of none, by its text
     members = lists.select("class").distinct()
-    ids = groups.join(members.hint("merge"), "class", "left_semi").select(F.col("rep").alias("doc_id"), "class")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).join(ids.hint("merge"), "doc_id")
+    chosen = groups.join(members.hint("merge"), "class", "left_semi").select("class", F.col("rep.doc_id").alias("__id"), F.col("rep.digest").alias("__text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("__own"), F.col("text").cast("binary").alias("text"), _digest())
+    texts = keyed.join(chosen.hint("merge"), F.col("__own").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__text")))
 
     def full(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
                 sets = shingle_sets(b.column(0).to_pylist(), n)
-                names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-                same = [x == y for x, y in zip(names, b.column(1).to_pylist())]  # an id may repeat with another text
-                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "n_shingles", "set"]).filter(pa.array(same, pa.bool_()))
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "n_shingles", "set"])
 
     sets = materialise(texts.select("text", "class").mapInArrow(full, "class binary, n_shingles long, set binary"), "sets").dropDuplicates(["class"])
     links, tried = None, None

@@ -1,12 +1,13 @@
-"""Connected components of an edge table by minimum labels and pointer jumping."""
+"""Connected components of an edge table by contraction, and what rounds of an algorithm share."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,21 +37,47 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (src, dst), component being the smallest node reachable.
 
-    Each round hands every node the smallest label among its neighbours' and its own, then jumps to that
-    label's own label, so that labels travel twice as far each round. Both joins are by key and shuffled;
-    labels are one row a node, and a node of very many edges is folded by map-side minima. A row carries the
-    label it had, so that a look at the written labels tells whether they have settled.
+    Each round contracts: a node points to that of itself and its neighbours which comes first in an order by hash,
+    then to where that one points, and edges are drawn between what their ends point to. Edges within one node fall
+    away, repeated ones become one, and nodes without edges are settled, so the edge list shrinks by a factor each
+    round, whatever the ids' order: a chain of rising ids is as good as any. At the end the rounds are followed
+    backwards, and every component is named by its smallest node.
     """
-    both = cut_lineage(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src <> dst").distinct())
-    labels = cut_lineage(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("component")))
-    for _ in range(max_rounds):
-        seen = both.join(labels.hint("merge"), F.col("dst") == F.col("node")).select(F.col("src").alias("node"), "component")
-        own = labels.select("node", "component", F.col("component").alias("before"))
-        low = seen.unionByName(own, allowMissingColumns=True).groupBy("node").agg(F.min("component").alias("component"), F.max("before").alias("before"))
-        up = labels.select(F.col("node").alias("parent"), F.col("component").alias("above"))
-        jumped = low.join(up.hint("merge"), F.col("component") == F.col("parent"), "left").select("node", F.least("component", F.coalesce("above", "component")).alias("component"), "before")
-        new = cut_lineage(jumped)
-        labels = new.select("node", "component")
-        if new.filter("component <> before").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    left = cut_lineage(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct())
+    rounds: list[DataFrame] = []
+    for step in range(max_rounds):
+        if left.isEmpty():
+            break
+        first = lambda c: F.struct(F.xxhash64(F.lit(step), c).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
+        ends = left.select(F.col("src").alias("node"), F.least(first("src"), first("dst")).alias("to")).unionByName(left.select(F.col("dst").alias("node"), F.least(first("src"), first("dst")).alias("to")))
+        points = cut_lineage(ends.groupBy("node").agg(F.min("to").alias("to")).select("node", F.col("to.n").alias("to")))
+        onward = points.select(F.col("node").alias("to"), F.col("to").alias("last"))
+        hops = cut_lineage(points.join(onward.hint("merge"), "to").select("node", F.col("last").alias("root")))
+        rounds.append(hops)
+        a, b = hops.select(F.col("node").alias("src"), F.col("root").alias("a")), hops.select(F.col("node").alias("dst"), F.col("root").alias("b"))
+        moved = left.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").filter("a <> b")
+        left = cut_lineage(moved.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    if not rounds:
+        return left.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    found = rounds[-1]
+    for hops in reversed(rounds[:-1]):
+        known = found.select(F.col("node").alias("root"), F.col("root").alias("last"))
+        found = cut_lineage(hops.join(known.hint("merge"), "root", "left").select("node", F.coalesce("last", "root").alias("root")))
+    names = cut_lineage(found.groupBy("root").agg(F.min("node").alias("component")))
+    return cut_lineage(found.join(names.hint("merge"), "root").select("node", "component"))
+
+
+def exact_ranks(rows: DataFrame, *order: Column, name: str = "rank") -> tuple[DataFrame, DataFrame]:
+    """(rows with `name`, their number from 1 on in the given order, and `part`; (part, n) for each part). The order
+    must tell rows apart. Rows are dealt out by ranges of sampled quantiles and sorted inside, so a part is a range
+    of ranks; what a part adds to its rows' own numbers is the sum of the sizes before it, a table of a row a
+    part."""
+    numbered = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    written = cut_lineage(numbered).withColumn("part", F.shiftright("__at", 33).cast("int"))
+    sizes = written.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = cut_lineage(sizes.select("part", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    ranked = written.join(F.broadcast(offsets.select("part", "before")), "part")
+    return ranked.withColumn(name, F.col("before") + F.col("__at").bitwiseAND((1 << 33) - 1) + 1).drop("__at", "before"), offsets.select("part", "n")

@@ -7,28 +7,45 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.geometry import iou
-from .components import cut_lineage
+from .components import cut_lineage, exact_ranks
 from .spatial import fixed_pairs
 
 
+def overlapping(det: DataFrame, gt: DataFrame, t: float, key: str, cell: int) -> DataFrame:
+    """(key, det_seq, conf, gt_id, iou) of detections and ground truth with IoU of at least t."""
+    boxes = det.select(key, "det_seq", "conf", "x1", "y1", "x2", "y2")
+    pairs = fixed_pairs(boxes, gt.select(key, "gt_id", "x1", "y1", "x2", "y2"), key, cell).withColumn("iou", iou()).filter(F.col("iou") >= t)
+    return pairs.select(key, "det_seq", "conf", F.col("r_gt_id").alias("gt_id"), "iou")
+
+
 def match_ground_truth(det: DataFrame, gt: DataFrame, t: float = 0.5, key: str = "plate_id", cell: int = 64, max_rounds: int = 1000) -> DataFrame:
     """(key, det_seq, gt_id): each detection, strongest first, takes its best free ground truth of IoU at
     least t. The sequential rule is run as rounds of proposals: every free detection asks its best untried
     ground truth, which holds the strongest that asked; the fixpoint is the sequential result."""
-    boxes = det.select(key, "det_seq", "conf", "x1", "y1", "x2", "y2")
-    pairs = fixed_pairs(boxes, gt.select(key, "gt_id", "x1", "y1", "x2", "y2"), key, cell).withColumn("iou", iou()).filter(F.col("iou") >= t)
-    taste = W.partitionBy(key, "det_seq").orderBy(F.desc("iou"), "gt_id")
-    asks = cut_lineage(pairs.select(key, "det_seq", "conf", F.col("r_gt_id").alias("gt_id"), "iou").withColumn("choice", F.row_number().over(taste)))
-    at = asks.select(key, "det_seq").distinct().withColumn("choice", F.lit(1))
+    return _matched(overlapping(det, gt, t, key, cell), [key], max_rounds)
+
+
+def match_at_thresholds(det: DataFrame, gt: DataFrame, thresholds: list[float], key: str = "plate_id", cell: int = 64, max_rounds: int = 1000) -> DataFrame:
+    """As match_ground_truth, with a column `threshold`: the matches at each of the thresholds, from one table of
+    pairs and one run of rounds."""
+    pairs = overlapping(det, gt, min(thresholds), key, cell)
+    each = F.explode(F.filter(F.array(*(F.lit(float(t)) for t in sorted(thresholds))), lambda t: t <= F.col("iou")))
+    return _matched(pairs.withColumn("threshold", each), ["threshold", key], max_rounds)
+
+
+def _matched(pairs: DataFrame, keys: list[str], max_rounds: int) -> DataFrame:
+    """The rounds, in which pairs of different keys don't meet."""
+    taste = W.partitionBy(*keys, "det_seq").orderBy(F.desc("iou"), "gt_id")
+    asks = cut_lineage(pairs.withColumn("choice", F.row_number().over(taste)))
+    at = asks.filter("choice = 1").select(*keys, "det_seq", "choice")
+    rank = W.partitionBy(*keys, "gt_id").orderBy(F.desc("conf"), F.desc("det_seq"))
     for _ in range(max_rounds):
-        asked = asks.join(at.hint("merge"), [key, "det_seq", "choice"])
-        rank = W.partitionBy(key, "gt_id").orderBy(F.desc("conf"), F.desc("det_seq"))
+        asked = asks.join(at.hint("merge"), [*keys, "det_seq", "choice"])
         held = cut_lineage(asked.withColumn("__n", F.row_number().over(rank)))
-        refused = held.filter("__n > 1").select(key, "det_seq")
-        if refused.isEmpty():
-            return held.select(key, "det_seq", "gt_id", "iou")
+        if held.filter("__n > 1").isEmpty():
+            return held.select(*keys, "det_seq", "gt_id", "iou")
         # who was refused asks the next one; who has no next one drops out
-        at = cut_lineage(held.select(key, "det_seq", F.when(F.col("__n") > 1, F.col("choice") + 1).otherwise(F.col("choice")).alias("choice")))
+        at = held.select(*keys, "det_seq", F.when(F.col("__n") > 1, F.col("choice") + 1).otherwise(F.col("choice")).alias("choice"))
     raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
 
 
@@ -61,31 +78,47 @@ def threshold_sweep(det: DataFrame, gt: DataFrame, matches: DataFrame, threshold
     return _rates(one.select(F.explode(F.array(*(F.struct(F.lit(float(t)).alias("threshold"), F.col(f"tp{i}").alias("tp"), F.col(f"fp{i}").alias("fp"), (F.col("n_gt") - F.col(f"tp{i}")).alias("fn")) for i, t in enumerate(thresholds)))).alias("s")).select("s.*"))
 
 
-def average_precision(det: DataFrame, gt: DataFrame, matches: DataFrame, key: str = "plate_id", buckets: int = 1024) -> DataFrame:
-    """Area under the precision envelope (one row: ap). Ranks run over all detections, so they are made from
-    confidence buckets and their sums, with windows only inside a bucket and over the bucket totals."""
-    d, _ = match_flags(det, gt, matches, key)
-    d = d.select(key, "det_seq", "conf", F.col("tp").cast("int").alias("tp"), F.least(F.lit(buckets - 1), F.floor(F.col("conf") * buckets)).alias("bucket"))
-    totals = d.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("tp").alias("t"))
-    before = W.partitionBy(F.lit(0)).orderBy(F.desc("bucket")).rowsBetween(W.unboundedPreceding, -1)  # over `buckets` rows
-    totals = totals.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"))
-    inside = W.partitionBy("bucket").orderBy(F.desc("conf"), key, "det_seq")
-    ranked = d.join(F.broadcast(totals), "bucket").withColumn("rank", F.col("n0") + F.row_number().over(inside)).withColumn("hits", F.col("t0") + F.sum("tp").over(inside.rowsBetween(W.unboundedPreceding, 0)))
-    points = ranked.filter("tp = 1").select("bucket", "hits", (F.col("hits") / F.col("rank")).alias("precision"))
-    # envelope: the best precision at this or any later hit
-    best = points.groupBy("bucket").agg(F.max("precision").alias("top"))
-    after = W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    best = best.select("bucket", F.coalesce(F.max("top").over(after), F.lit(0.0)).alias("later"))
-    rest = W.partitionBy("bucket").orderBy("hits").rowsBetween(0, W.unboundedFollowing)
-    envelope = points.withColumn("inside", F.max("precision").over(rest)).join(F.broadcast(best), "bucket").select(F.greatest("inside", "later").alias("p"))
-    return envelope.agg(F.coalesce(F.sum("p"), F.lit(0.0)).alias("area")).crossJoin(gt.agg(F.count(F.lit(1)).alias("n_gt"))).select(F.when(F.col("n_gt") > 0, F.col("area") / F.col("n_gt")).otherwise(0.0).alias("ap"))
-
-
-def mean_average_precision(det: DataFrame, gt: DataFrame, key: str = "plate_id") -> DataFrame:
-    """ap50 and the mean over IoU 0.50, 0.55, ..., 0.95."""
-    per = None
-    for i in range(10):
-        t = round(0.5 + 0.05 * i, 2)
-        one = average_precision(det, gt, match_ground_truth(det, gt, t, key), key).withColumn("iou", F.lit(t))
-        per = one if per is None else per.unionByName(one)
-    return per.agg(F.max(F.when(F.col("iou") == 0.5, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))
+def average_precision(det: DataFrame, gt: DataFrame, matches: DataFrame, key: str = "plate_id") -> DataFrame:
+    """Area under the precision envelope (one row: ap)."""
+    at = _precision_areas(det, matches.withColumn("threshold", F.lit(0.0)), [0.0], key)
+    return _per_truth(at, gt).select("ap")
+
+
+def mean_average_precision(det: DataFrame, gt: DataFrame, thresholds: list[float] | None = None, key: str = "plate_id") -> DataFrame:
+    """ap50 and the mean over IoU 0.50, 0.55, ..., 0.95, or over the thresholds given."""
+    per = average_precisions(det, gt, thresholds or [round(0.5 + 0.05 * i, 2) for i in range(10)], key)
+    return per.agg(F.max(F.when(F.col("threshold") == 0.5, F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))
+
+
+def average_precisions(det: DataFrame, gt: DataFrame, thresholds: list[float], key: str = "plate_id") -> DataFrame:
+    """(threshold, ap): the average precision at each IoU threshold."""
+    return _per_truth(_precision_areas(det, match_at_thresholds(det, gt, thresholds, key), thresholds, key), gt)
+
+
+def _per_truth(areas: DataFrame, gt: DataFrame) -> DataFrame:
+    total = gt.agg(F.count(F.lit(1)).alias("n_gt"))  # one row, and one a threshold
+    return areas.crossJoin(F.broadcast(total)).select("threshold", F.when(F.col("n_gt") > 0, F.col("area") / F.col("n_gt")).otherwise(0.0).alias("ap"))
+
+
+def _precision_areas(det: DataFrame, matches: DataFrame, thresholds: list[float], key: str) -> DataFrame:
+    """(threshold, area): the sum of the best precision at or behind each hit, over detections by falling
+    confidence. Detections are ranked once; hits are then numbered within the ranges of ranks, and what the ranges
+    before and behind a hit add is a row a range and threshold."""
+    ranked, _ = exact_ranks(det.select(key, "det_seq", "conf"), F.desc("conf"), F.asc(key), F.asc("det_seq"))
+    hits = matches.select("threshold", key, "det_seq").join(ranked.select(key, "det_seq", "rank", "part").hint("merge"), [key, "det_seq"])
+    hits = cut_lineage(hits.select("threshold", "part", "rank"))
+    inside = W.partitionBy("threshold", "part").orderBy("rank")
+    counts = hits.groupBy("threshold", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy("threshold").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    counts = cut_lineage(counts.select("threshold", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
+    points = hits.join(F.broadcast(counts), ["threshold", "part"]).withColumn("precision", (F.col("before") + F.row_number().over(inside)) / F.col("rank"))
+    points = cut_lineage(points.select("threshold", "part", "rank", "precision"))
+    behind = W.partitionBy("threshold").orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+    best = points.groupBy("threshold", "part").agg(F.max("precision").alias("top"))
+    best = cut_lineage(best.select("threshold", "part", F.coalesce(F.max("top").over(behind), F.lit(0.0)).alias("later")))
+    # backwards, since a frame up to the end is gone through again for each row
+    rest = W.partitionBy("threshold", "part").orderBy(F.desc("rank")).rowsBetween(W.unboundedPreceding, 0)
+    envelope = points.withColumn("inside", F.max("precision").over(rest)).join(F.broadcast(best), ["threshold", "part"])
+    areas = envelope.groupBy("threshold").agg(F.sum(F.greatest("inside", "later")).alias("area"))
+    wanted = det.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    return wanted.join(areas, "threshold", "left").select("threshold", F.coalesce("area", F.lit(0.0)).alias("area"))

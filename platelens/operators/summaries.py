@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .components import cut_lineage, exact_ranks
+
 
 def roi_counts(rois: DataFrame, by: str = "plate_id") -> DataFrame:
     return rois.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by)
@@ -23,17 +25,49 @@ def dataset_stats(labels: DataFrame, splits: list[str]) -> DataFrame:
 
 
 def measurement_summary(rows: DataFrame, unit: str = "um", key: str | None = "plate_id", overall: bool = False) -> DataFrame:
-    """Counts, means, exact medians and sums of length, width, area and volume per image, or over all."""
-    l, w, a, v = f"length_{unit}", f"width_{unit}", f"area_{unit}2", f"volume_{unit}3"
-    grouped = rows.agg if key is None else (rows.rollup(key) if overall else rows.groupBy(key)).agg
-    median = lambda c: F.percentile(c, 0.5)
-    return grouped(
-        F.count(F.lit(1)).alias("organisms"),
-        F.avg(l).alias("mean_length"), median(l).alias("median_length"), F.min(l).alias("min_length"), F.max(l).alias("max_length"),
-        F.avg(w).alias("mean_width"), median(w).alias("median_width"),
-        F.avg(a).alias("mean_area"), median(a).alias("median_area"),
-        F.avg(v).alias("mean_volume"), median(v).alias("median_volume"), F.sum(v).alias("total_volume"),
-    )
+    """Counts, means, exact medians and sums of length, width, area and volume per image, or over all (key None; with
+    `overall`, a row more). An image's medians are taken of its organisms in one task; those over all come from
+    ranks, for which no task has more than a range of them."""
+    l, w, a, v = names = f"length_{unit}", f"width_{unit}", f"area_{unit}2", f"volume_{unit}3"
+    short = ("length", "width", "area", "volume")
+
+    def sums(df, median) -> DataFrame:
+        found = df.agg(
+            F.count(F.lit(1)).alias("organisms"),
+            *(F.avg(c).alias(f"mean_{n}") for n, c in zip(short, names)), F.min(l).alias("min_length"), F.max(l).alias("max_length"), F.sum(v).alias("total_volume"),
+            *(F.percentile(c, 0.5).alias(f"median_{n}") for n, c in zip(short, names) if median),
+        )
+        return found
+
+    columns = ["organisms", "mean_length", "median_length", "min_length", "max_length", "mean_width", "median_width", "mean_area", "median_area", "mean_volume", "median_volume", "total_volume"]
+    per = None
+    if key is not None:
+        per = sums(rows.groupBy(key), True).select(key, *columns)
+        if not overall:
+            return per
+    rows = cut_lineage(rows.select(l, w, a, v))
+    every = sums(rows, False)
+    for name, column in zip(short, names):
+        every = every.crossJoin(F.broadcast(exact_median(rows, column).withColumnRenamed("median", f"median_{name}")))  # a row each
+    if per is None:
+        return every.select(*columns)
+    return per.unionByName(every.select(F.lit(None).cast(per.schema[key].dataType).alias(key), *columns))
+
+
+def exact_median(rows: DataFrame, column: str) -> DataFrame:
+    """One row: the median of the column's values that aren't null, the mean of the middle two of an even number."""
+    values = rows.select(F.col(column).cast("double").alias("value")).filter("value IS NOT NULL")
+    # equal values are one row, so that a value that fills the table is no large range
+    counted = values.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    ranked, parts = exact_ranks(counted, F.asc("value"))
+    ranked = cut_lineage(ranked)
+    before = W.partitionBy(F.lit(0)).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranked.groupBy("part").agg(F.sum("n").alias("of"))  # a row a part
+    sizes = sizes.select("part", F.coalesce(F.sum("of").over(before), F.lit(0)).alias("before"), F.sum("of").over(W.partitionBy(F.lit(0))).alias("all"))
+    placed = ranked.join(F.broadcast(sizes), "part").withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy("part").orderBy("rank")))
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+    has = lambda k: (F.col("upto") >= k) & (F.col("upto") - F.col("n") < k)
+    return placed.agg(((F.max(F.when(has(low), F.col("value"))) + F.max(F.when(has(high), F.col("value")))) / 2).alias("median"))
 
 
 def batch_summary(catalog: DataFrame, rows: DataFrame, key: str = "plate_id") -> DataFrame:
@@ -96,17 +130,14 @@ def stratified_sample(df: DataFrame, n: int, stratum: str, *identity: str, seed:
     return df.withColumn("__d", digest).withColumn("__n", F.row_number().over(W.partitionBy(stratum).orderBy("__d", *identity))).filter(F.col("__n") <= n).drop("__d", "__n")
 
 
-def shuffle_split(df: DataFrame, *identity: str, val_frac: float = 0.2, seed: str = "42", buckets: int = 256) -> DataFrame:
-    """Adds split: the first int(n * val_frac) rows in hash order are 'val', the others 'train'. The exact
-    rank comes from row numbers inside hash buckets and the buckets' sizes, not from one global window."""
+def shuffle_split(df: DataFrame, *identity: str, val_frac: float = 0.2, seed: str = "42") -> DataFrame:
+    """Adds split: the first int(n * val_frac) rows in hash order are 'val', the others 'train'. The rank is exact,
+    and no window spans all rows."""
     digest = F.md5(F.concat_ws("|", F.lit(seed), *(F.col(c).cast("string") for c in identity)))
-    rows = df.withColumn("__d", digest).withColumn("__b", F.conv(F.substring("__d", 1, 2), 16, 10).cast("int") % buckets)
-    sizes = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = W.partitionBy(F.lit(0)).orderBy("__b")  # at most `buckets` rows
-    sizes = sizes.select("__b", (F.sum("__n").over(before) - F.col("__n")).alias("__before"), F.sum("__n").over(W.partitionBy(F.lit(0))).alias("__all"))
-    rank = F.col("__before") + F.row_number().over(W.partitionBy("__b").orderBy("__d", *identity))
-    split = F.when(rank <= F.floor(F.col("__all") * val_frac), "val").otherwise("train")
-    return rows.join(F.broadcast(sizes), "__b").withColumn("split", split).select(*df.columns, "split")
+    ranked, parts = exact_ranks(df.withColumn("__d", digest), F.asc("__d"), *(F.asc(c) for c in identity), name="__rank")
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("__all"))  # one row
+    split = F.when(F.col("__rank") <= F.floor(F.col("__all") * val_frac), "val").otherwise("train")
+    return ranked.crossJoin(F.broadcast(total)).withColumn("split", split).select(*df.columns, "split")
 
 
 def ruler_from_ticks(ticks: DataFrame, tick_um: float = 5000, max_variation: float = 0.15, default: float = 8.666, key: str = "image_id") -> DataFrame:

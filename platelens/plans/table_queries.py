@@ -423,6 +423,51 @@ def a11_average_precision(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluate.average_precision(*_matched(spark, d)), "ap")
 
 
+_PHYS = ", ph AS (SELECT plate_id, major_px * 8.666 AS l, minor_px * 8.666 AS w, area_px * pow(8.666, 2) AS a, pi() * pow(minor_px * 8.666 / 2, 2) * (major_px * 8.666) AS v FROM fx_meas)"
+
+
+def physical(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "fx_meas").select("plate_id", *G.to_physical(F.lit(8.666), "um"))
+
+
+# the ten thresholds' matches in one recursion: a threshold and plate take the place of a plate
+_MATCH_AT = """, cand AS (SELECT d.plate_id, d.det_seq, g.gt_id, d.conf,
+    greatest(0, least(d.x2, g.x2) - greatest(d.x1, g.x1)) * greatest(0, least(d.y2, g.y2) - greatest(d.y1, g.y1)) AS common, d.w * d.h + (g.x2 - g.x1) * (g.y2 - g.y1) AS total
+    FROM fx_det d JOIN fx_gt g ON d.plate_id = g.plate_id AND d.x1 < g.x2 AND g.x1 < d.x2 AND d.y1 < g.y2 AND g.y1 < d.y2),
+  ts AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS t),
+  ok AS (SELECT *, common / (total - common) AS iou FROM cand JOIN ts ON common / (total - common) >= t),
+  per AS (SELECT t, plate_id, det_seq, conf, list(gt_id ORDER BY iou DESC, gt_id) AS gts FROM ok GROUP BY ALL),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY t, plate_id ORDER BY conf DESC, det_seq DESC) AS k FROM per),
+  walk AS (SELECT t, plate_id, 0::BIGINT AS k, []::BIGINT[] AS taken, NULL::BIGINT AS det_seq, NULL::BIGINT AS gt_id FROM (SELECT DISTINCT t, plate_id FROM rk)
+    UNION ALL SELECT t, plate_id, k, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, det_seq, pick FROM (SELECT w.t, w.plate_id, r.k, w.taken, r.det_seq, list_filter(r.gts, lambda e: NOT list_contains(w.taken, e))[1] AS pick FROM walk w JOIN rk r ON r.t = w.t AND r.plate_id = w.plate_id AND r.k = w.k + 1)),
+  m AS (SELECT t, plate_id, det_seq, gt_id FROM walk WHERE gt_id IS NOT NULL),
+  f AS (SELECT ts.t, d.plate_id, d.det_seq, d.conf, (m.gt_id IS NOT NULL)::INT AS tp FROM ts CROSS JOIN fx_det d LEFT JOIN m ON m.t = ts.t AND m.plate_id = d.plate_id AND m.det_seq = d.det_seq),
+  r AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY conf DESC, plate_id, det_seq) AS n, sum(tp) OVER (PARTITION BY t ORDER BY conf DESC, plate_id, det_seq ROWS UNBOUNDED PRECEDING) AS hits FROM f),
+  p AS (SELECT t, n, tp, max(hits / n) OVER (PARTITION BY t ORDER BY n DESC ROWS UNBOUNDED PRECEDING) AS env FROM r),
+  aps AS (SELECT t, coalesce(sum(env) FILTER (tp = 1), 0) / (SELECT count(*) FROM fx_gt) AS ap FROM p GROUP BY t)"""
+_THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
+
+
+@query(duck("fx_det", "fx_gt") + _MATCH_AT + " SELECT round(max(ap) FILTER (t = 0.5), 6) AS ap50, round(avg(ap), 6) AS ap50_95 FROM aps")
+def a11_map(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.mean_average_precision(view(spark, d, "fx_det"), view(spark, d, "fx_gt")), "ap50", "ap50_95")
+
+
+@query(duck("fx_det", "fx_gt") + _MATCH_AT + " SELECT t AS threshold, round(ap, 6) AS ap FROM aps")
+def a11_average_precisions(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(evaluate.average_precisions(view(spark, d, "fx_det"), view(spark, d, "fx_gt"), _THRESHOLDS), "ap")
+
+
+@query(
+    duck("fx_meas")
+    + _PHYS
+    + """ SELECT count(*) AS organisms, round(quantile_cont(l, 0.5), 3) AS median_length, round(quantile_cont(w, 0.5), 3) AS median_width, round(quantile_cont(a, 0.5), 1) AS median_area, round(quantile_cont(v, 0.5) / 1e9, 4) AS median_volume FROM ph"""
+)
+def a06_overall_medians(spark: SparkSession, d: str) -> DataFrame:
+    s = summaries.measurement_summary(physical(spark, d), key=None).withColumn("median_volume", F.col("median_volume") / 1e9)
+    return rounded(rounded(rounded(s, "median_length", "median_width", digits=3), "median_area", digits=1), "median_volume", digits=4).select("organisms", "median_length", "median_width", "median_area", "median_volume")
+
+
 @query(duck("fx_roi") + " SELECT plate_id, count(*) AS n FROM fx_roi GROUP BY plate_id")
 def a04_roi_counts(spark: SparkSession, d: str) -> DataFrame:
     return summaries.roi_counts(view(spark, d, "fx_roi"))
@@ -445,13 +490,6 @@ def a05_dataset_stats(spark: SparkSession, d: str) -> DataFrame:
     return summaries.dataset_stats(labels.assign_split(roi_tiles(spark, d), p), ["train", "val", "test", "extra"])
 
 
-_PHYS = ", ph AS (SELECT plate_id, major_px * 8.666 AS l, minor_px * 8.666 AS w, area_px * pow(8.666, 2) AS a, pi() * pow(minor_px * 8.666 / 2, 2) * (major_px * 8.666) AS v FROM fx_meas)"
-
-
-def physical(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "fx_meas").select("plate_id", *G.to_physical(F.lit(8.666), "um"))
-
-
 _SUMMARY = ("mean_length", "median_length", "min_length", "max_length", "mean_width", "median_width", "mean_area", "median_area", "mean_volume", "median_volume", "total_volume")
 
 

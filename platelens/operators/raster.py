@@ -5,11 +5,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .components import connected_components, cut_lineage
+from .lines import along, running, running_ellipse, smoothed, within
 
 KEY = "plate_id"
 
@@ -74,50 +77,68 @@ def clahe(px: DataFrame, plates: DataFrame, clip: float = 2.0, grid: int = 8) ->
     fx, fy = (F.col("x") + 0.5) / F.col("tw") - 0.5, (F.col("y") + 0.5) / F.col("th") - 0.5
     placed = sized.withColumn("fx", fx).withColumn("fy", fy)
     last_x, last_y = F.ceil(F.col("width") / F.col("tw")).cast("int") - 1, F.ceil(F.col("height") / F.col("th")).cast("int") - 1
-    corners = []
-    for dx in (0, 1):
-        for dy in (0, 1):
-            wx = F.col("fx") - F.floor("fx") if dx else 1 - (F.col("fx") - F.floor("fx"))
-            wy = F.col("fy") - F.floor("fy") if dy else 1 - (F.col("fy") - F.floor("fy"))
-            corners.append(F.struct(F.greatest(F.lit(0), F.least(last_x, F.floor("fx").cast("int") + dx)).alias("tx"), F.greatest(F.lit(0), F.least(last_y, F.floor("fy").cast("int") + dy)).alias("ty"), (wx * wy).alias("w")))
-    spread = placed.select(KEY, "x", "y", "v", F.explode(F.array(*corners)).alias("c")).select(KEY, "x", "y", "v", "c.*")
-    mixed = spread.join(lut.hint("merge"), [*tile, "v"]).groupBy(KEY, "x", "y").agg(F.sum(F.col("w") * F.col("out")).alias("v"))
-    return mixed.withColumn("v", F.floor(F.round("v", 6) + 0.5).cast("int"))
+    # a pixel's four nearest tiles are those around the corner of tiles that it is nearest to: the quarters of a tile
+    # that share one share their four tables, which meet them in one row
+    corner_x, corner_y = F.floor("fx").cast("int"), F.floor("fy").cast("int")
+    tables = lut.groupBy(KEY, "tx", "ty").agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "out"))), lambda e: e["out"]).alias("table"))
+    inner = lambda c, last: F.greatest(F.lit(0), F.least(last, c))
+    corners = placed.select(KEY, corner_x.alias("cx"), corner_y.alias("cy"), last_x.alias("last_x"), last_y.alias("last_y")).distinct()
+    spread = corners.select(KEY, "cx", "cy", F.explode(F.array(*(F.struct(F.lit(2 * dy + dx).alias("k"), inner(F.col("cx") + dx, F.col("last_x")).alias("tx"), inner(F.col("cy") + dy, F.col("last_y")).alias("ty")) for dx in (0, 1) for dy in (0, 1)))).alias("t")).select(KEY, "cx", "cy", "t.*")
+    four = spread.join(tables.hint("merge"), tile).groupBy(KEY, "cx", "cy").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "table"))), lambda e: e["table"]).alias("tables"))
+    met = placed.withColumn("cx", corner_x).withColumn("cy", corner_y).join(four.hint("merge"), [KEY, "cx", "cy"])
+    wx, wy = F.col("fx") - F.floor("fx"), F.col("fy") - F.floor("fy")
+    parts = [(wx if dx else 1 - wx) * (wy if dy else 1 - wy) * F.get(F.get("tables", F.lit(2 * dy + dx)), F.col("v").cast("int")) for dx in (0, 1) for dy in (0, 1)]
+    return met.select(KEY, "x", "y", F.floor(F.round(parts[0] + parts[1] + parts[2] + parts[3], 6) + 0.5).cast("int").alias("v"))
 
 
-def dilate(px: DataFrame, k: int, column: str = "v") -> DataFrame:
-    """Maximum over a square of 2k+1 pixels."""
-    return px.withColumn(column, F.max(column).over(_line("x", k))).withColumn(column, F.max(column).over(_line("y", k)))
+def _extrema(px: DataFrame, k: int, column: str, pick: np.ufunc, border: str, plates: DataFrame | None) -> DataFrame:
+    kind = {column: px.schema[column].dataType}
+    fill = -np.inf if pick is np.maximum else np.inf
+    one = lambda df, axis: along(df, axis, k, kind, lambda lines: {column: running(lines.get(column, fill), k, pick)})
+    return within(px, plates, border, k, lambda df: one(one(df, "x"), "y")).select(*px.columns)
 
 
-def erode(px: DataFrame, k: int, column: str = "v") -> DataFrame:
-    return px.withColumn(column, F.min(column).over(_line("x", k))).withColumn(column, F.min(column).over(_line("y", k)))
+def dilate(px: DataFrame, k: int, column: str = "v", border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
+    """Maximum over a square of 2k+1 pixels; with border='reflect', of the image mirrored at its edges."""
+    return _extrema(px, k, column, np.maximum, border, plates)
 
 
-def morphology(px: DataFrame, op: str, k: int) -> DataFrame:
+def erode(px: DataFrame, k: int, column: str = "v", border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
+    return _extrema(px, k, column, np.minimum, border, plates)
+
+
+def morphology(px: DataFrame, op: str, k: int, border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
     """erode, dilate, open, close, tophat (v - open) or blackhat (close - v) with a square."""
+    rule = {"border": border, "plates": plates}
     if op == "erode":
-        return erode(px, k)
+        return erode(px, k, **rule)
     if op == "dilate":
-        return dilate(px, k)
+        return dilate(px, k, **rule)
     if op == "open":
-        return dilate(erode(px, k), k)
+        return dilate(erode(px, k, **rule), k, **rule)
     if op == "close":
-        return erode(dilate(px, k), k)
+        return erode(dilate(px, k, **rule), k, **rule)
     if op == "tophat":
-        return dilate(erode(px.withColumn("__v", F.col("v")), k), k).withColumn("v", F.col("__v") - F.col("v")).drop("__v")
+        return morphology(px.withColumn("__v", F.col("v")), "open", k, **rule).withColumn("v", F.col("__v") - F.col("v")).drop("__v")
     if op == "blackhat":
-        return erode(dilate(px.withColumn("__v", F.col("v")), k), k).withColumn("v", F.col("v") - F.col("__v")).drop("__v")
+        return morphology(px.withColumn("__v", F.col("v")), "close", k, **rule).withColumn("v", F.col("v") - F.col("__v")).drop("__v")
     raise ValueError(f"no such operation: {op}")
 
 
-def morphology_ellipse(px: DataFrame, op: str, k: int) -> DataFrame:
-    """erode or dilate with a disc of radius k: each row's extent for each distance, combined over rows."""
-    pick = {"erode": F.min, "dilate": F.max}[op]
+def morphology_ellipse(px: DataFrame, op: str, k: int, border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
+    """erode or dilate with a disc of radius k: rows give a pixel the extremum of each half width that the disc has,
+    columns combine them, so each axis shuffles a row a pixel."""
+    pick = {"erode": np.minimum, "dilate": np.maximum}[op]
+    fill = -np.inf if pick is np.maximum else np.inf
     halves = [int(math.sqrt(k * k - d * d)) for d in range(k + 1)]
-    wide = px.select("*", *(pick("v").over(_line("x", h)).alias(f"__{h}") for h in sorted(set(halves))))
-    moved = wide.select(KEY, "x", F.explode(F.array(*(F.struct((F.col("y") + d).alias("y"), F.col(f"__{halves[abs(d)]}").alias("v")) for d in range(-k, k + 1)))).alias("p")).select(KEY, "x", "p.*")
-    return moved.groupBy(KEY, "x", "y").agg(pick("v").alias("v")).join(px.select(KEY, "x", "y").hint("merge"), [KEY, "x", "y"], "left_semi")
+    columns = {h: f"__{h}" for h in sorted(set(halves))}
+    kind = px.schema["v"].dataType
+
+    def disc(df: DataFrame) -> DataFrame:
+        wide = along(df, "x", k, {c: T.DoubleType() for c in columns.values()}, lambda lines: {c: running(lines.get("v", fill), h, pick) for h, c in columns.items()})
+        return along(wide, "y", k, {"v": kind}, lambda lines: {"v": running_ellipse(lines, columns, halves, pick)}).drop(*columns.values())
+
+    return within(px, plates, border, k, disc).select(*px.columns)
 
 
 def close_mask(mask: DataFrame, px: DataFrame, k: int = 1, times: int = 1) -> DataFrame:
@@ -167,36 +188,40 @@ def local_threshold_mask(px: DataFrame, block: int = 51, offset: float = 0.02) -
     return local_mean(px, block, "gaussian", (block - 1) / 6).filter(F.col("v") < F.col("local_mean") - offset).select(KEY, "x", "y")
 
 
-def local_mean(px: DataFrame, block: int, kernel: str = "box", sigma: float | None = None, column: str = "v", name: str = "local_mean") -> DataFrame:
-    """Adds the mean over a square, or the Gaussian-weighted one; at the border over what is there. A line's
-    pixels are gathered by a window frame, so each axis shuffles a row a pixel; where an image has gaps, what a
-    line has counts for the pixels that it has."""
+def local_mean(px: DataFrame, block: int, kernel: str = "box", sigma: float | None = None, column: str = "v", name: str = "local_mean", border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
+    """Adds the mean over a square, or the Gaussian-weighted one. At the border it is over what is there, or with
+    border='reflect' over the image mirrored at its edges; where an image has gaps, over the pixels it has. A
+    Gaussian is taken line by line, at a cost that doesn't grow with its width."""
     k = block // 2
     if kernel == "box":
-        rows = px.withColumn("__s", F.sum(column).over(_line("x", k))).withColumn("__n", F.count(column).over(_line("x", k)))
-        return rows.withColumn(name, F.sum("__s").over(_line("y", k)) / F.sum("__n").over(_line("y", k))).drop("__s", "__n")
+        def box(df: DataFrame) -> DataFrame:
+            rows = df.withColumn("__s", F.sum(column).over(_line("x", k))).withColumn("__n", F.count(column).over(_line("x", k)))
+            return rows.withColumn(name, F.sum("__s").over(_line("y", k)) / F.sum("__n").over(_line("y", k))).drop("__s", "__n")
+
+        return within(px, plates, border, k, box)
     if kernel != "gaussian":
         raise ValueError(f"no such kernel: {kernel}")
     sigma = sigma or block / 6
-    weights = F.array(*(F.lit(math.exp(-d * d / (2 * sigma * sigma))) for d in range(-k, k + 1)))
+    weights = np.exp(-(np.arange(-k, k + 1) ** 2) / (2 * sigma * sigma))
+    kinds = {"__s": T.DoubleType(), "__w": T.DoubleType()}
+    step = lambda lines: {c: smoothed(lines.get(c, 0.0), weights) for c in kinds}
 
-    def along(df: DataFrame, axis: str) -> DataFrame:
-        near = df.withColumn("__near", F.collect_list(F.struct(F.col(axis).alias("p"), "__s", "__w")).over(_line(axis, k)))
-        weight = lambda e: F.get(weights, (e["p"] - F.col(axis) + k).cast("int"))
-        total = lambda c: F.aggregate("__near", F.lit(0.0), lambda t, e: t + e[c] * weight(e)).alias(c)
-        return near.select(*(F.col(c) for c in df.columns if c not in ("__s", "__w")), total("__s"), total("__w"))
+    def gaussian(df: DataFrame) -> DataFrame:
+        there = F.col(column).isNotNull().cast("double")
+        start = df.withColumn("__s", F.coalesce(F.col(column).cast("double"), F.lit(0.0))).withColumn("__w", there)
+        return along(along(start, "x", k, kinds, step), "y", k, kinds, step).withColumn(name, F.col("__s") / F.col("__w")).drop("__s", "__w")
 
-    smooth = along(along(px.select("*", F.col(column).cast("double").alias("__s"), F.lit(1.0).alias("__w")), "x"), "y")
-    return smooth.select(*px.columns, (F.col("__s") / F.col("__w")).alias(name))
+    return within(px, plates, border, k, gaussian).select(*px.columns, name)
 
 
-def local_variance(px: DataFrame, block: int = 21) -> DataFrame:
-    both = local_mean(local_mean(px.withColumn("__q", F.col("v") * F.col("v")), block, name="__m"), block, column="__q", name="__mq")
+def local_variance(px: DataFrame, block: int = 21, border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
+    rule = {"border": border, "plates": plates}
+    both = local_mean(local_mean(px.withColumn("__q", F.col("v") * F.col("v")), block, name="__m", **rule), block, column="__q", name="__mq", **rule)
     return both.withColumn("local_variance", F.col("__mq") - F.col("__m") * F.col("__m")).drop("__q", "__m", "__mq")
 
 
-def local_std(px: DataFrame, block: int = 15) -> DataFrame:
-    return local_variance(px, block).withColumn("local_std", F.sqrt(F.greatest(F.lit(0.0), F.col("local_variance")))).drop("local_variance")
+def local_std(px: DataFrame, block: int = 15, border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
+    return local_variance(px, block, border, plates).withColumn("local_std", F.sqrt(F.greatest(F.lit(0.0), F.col("local_variance")))).drop("local_variance")
 
 
 def gradient(px: DataFrame) -> DataFrame:

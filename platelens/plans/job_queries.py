@@ -141,6 +141,43 @@ def x09_detection_summary(spark: SparkSession, d: str) -> DataFrame:
     return s
 
 
+def failing_detector(batches):
+    """Boxes of 8x8 pixels by the tile's place; none for every fourth plate, and an error at the one after it."""
+    for t in batches:
+        bad = t.loc[t["plate_id"] % 4 == 3, "plate_id"]
+        if len(bad):
+            raise ValueError(f"no model for plate {bad.min()}")
+        t = t[t["plate_id"] % 4 != 2]
+        for k in (0, 1):
+            x, y = (t["tile_id"] * 7 + k * 2) % 20, (t["tile_id"] * 5 + k) % 20
+            yield pd.DataFrame({"plate_id": t["plate_id"], "tile_id": t["tile_id"].astype("int32"), "x1": x * 1.0, "y1": y * 1.0, "x2": x + 8.0, "y2": y + 8.0, "conf": 0.6 + (t["tile_id"] * 7 + k * 3 + t["plate_id"]) % 40 / 100.0, "class": 0})
+
+
+_BATCH_FOUND = (
+    duck("fx_gray")
+    + ", gp AS (SELECT DISTINCT plate_id, 80 AS width, 40 AS height FROM fx_gray WHERE plate_id IN (SELECT s_suppkey FROM supplier))"
+    + _grid_sql(32, 8).replace("fx_plate", "gp")
+    + """, k AS (SELECT t.*, k FROM tiles t, (SELECT unnest([0, 1]) AS k) WHERE plate_id % 4 < 2),
+    fx_det AS (SELECT plate_id, tile_id, (tile_id::BIGINT << 32) + k AS det_seq, ((tile_id * 7 + k * 2) % 20 + x_off)::DOUBLE AS x1, ((tile_id * 5 + k) % 20 + y_off)::DOUBLE AS y1, ((tile_id * 7 + k * 2) % 20 + x_off + 8)::DOUBLE AS x2,
+      ((tile_id * 5 + k) % 20 + y_off + 8)::DOUBLE AS y2, 8.0::DOUBLE AS w, 8.0::DOUBLE AS h, 0.6::DOUBLE + CAST((tile_id * 7 + k * 3 + plate_id) % 40 AS DOUBLE) / 100.0::DOUBLE AS conf, 0 AS class FROM k)"""
+)
+
+
+@query(
+    "WITH kept AS ("
+    + _nms_sql(0.5, "true").replace(duck("fx_det"), _BATCH_FOUND, 1)
+    + """), c AS (SELECT plate_id, count(*) AS n FROM kept GROUP BY plate_id), r AS (SELECT DISTINCT vec_id // 50 AS plate_id FROM embeddings)
+    SELECT s_suppkey AS plate_id, coalesce(n, 0) AS organisms, CASE WHEN r.plate_id IS NULL THEN 'missing' WHEN s_suppkey % 4 = 3 THEN 'failed' WHEN n IS NULL THEN 'empty' ELSE 'ok' END AS status,
+      CASE WHEN r.plate_id IS NOT NULL AND s_suppkey % 4 = 3 THEN concat('ValueError: no model for plate ', s_suppkey) END AS error FROM supplier LEFT JOIN r ON r.plate_id = s_suppkey LEFT JOIN c ON c.plate_id = s_suppkey"""
+)
+def x09_batch_plates(spark: SparkSession, d: str) -> DataFrame:
+    """All suppliers' plates; most have no raster, and the model fails at every fourth."""
+    catalog = view(spark, d, "fx_plate").select("plate_id", F.lit(80).alias("width"), F.lit(40).alias("height"))
+    px = view(spark, d, "fx_gray").withColumn("v", F.col("v") / 255)
+    summary, _, _ = jobs.batch_plates(catalog, px, failing_detector, F.lit(8.666), 32, 8, 0.6, 0.5, pad=3, block=7, min_size=3)
+    return summary.select("plate_id", "organisms", "status", "error")
+
+
 @query(duck("fx_plate", "fx_roi") + _ROI_TILES + " SELECT lab.plate_id, roi_id, printf('%s_tile_%04d', CAST(lab.plate_id AS VARCHAR), tile_id) AS tile_name, coalesce(split_assigned, 'test') AS split FROM lab JOIN fx_plate p ON lab.plate_id = p.plate_id")
 def x10_build_tiled_dataset(spark: SparkSession, d: str) -> DataFrame:
     plates = view(spark, d, "fx_plate")

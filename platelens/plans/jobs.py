@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view
 from ..functions import geometry as G
-from ..operators import filters, labels, raster, spatial, summaries, suppress, tiles
+from ..operators import crops, filters, labels, raster, spatial, summaries, suppress, tiles
 
 Model = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -33,15 +33,51 @@ def score_tiles(tile_rows: DataFrame, model: Model, key: str = "plate_id") -> Da
     return tile_rows.mapInPandas(numbered, f"{key} {kind}, tile_id int, x1 double, y1 double, x2 double, y2 double, conf double, class int, pos long")
 
 
-def score_crops(crops: DataFrame, model: Callable[[pd.Series], pd.Series], column: str = "features", name: str = "p") -> DataFrame:
-    """Adds the probability that a user's vectorised function gives each crop."""
+def score_tiles_guarded(tile_rows: DataFrame, model: Model, key: str = "plate_id") -> tuple[DataFrame, DataFrame]:
+    """(boxes as of score_tiles, errors (key, error)): a plate for whose tiles the user's function raises is an error
+    row and loses its boxes, and the others go on. The function is called anew for each batch of tiles, and where it
+    raises for each plate of the batch, so what it loads it should remember."""
+    kind = tile_rows.schema[key].dataType.simpleString()
+    columns = ["x1", "y1", "x2", "y2", "conf", "class"]
+
+    def called(batch: pd.DataFrame) -> pd.DataFrame:
+        found = [f for f in model(iter([batch])) if len(f)]
+        return pd.concat(found)[[key, "tile_id", *columns]] if found else pd.DataFrame(columns=[key, "tile_id", *columns])
+
+    def guarded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple, int] = {}
+        for batch in batches:
+            try:
+                parts = [(called(batch), None)]
+            except Exception:  # noqa: BLE001  whatever a user's function raises belongs to its plate
+                parts = []
+                for _, own in batch.groupby(key, sort=False):
+                    try:
+                        parts.append((called(own), None))
+                    except Exception as error:  # noqa: BLE001
+                        parts.append((pd.DataFrame({key: [own[key].iloc[0]]}), f"{type(error).__name__}: {error}"))
+            for found, error in parts:
+                tile = list(zip(found[key], found["tile_id"])) if error is None else []
+                pos = found.groupby([key, "tile_id"], sort=False).cumcount() + [seen.get(t, 0) for t in tile] if tile else pd.Series(dtype="int64")
+                seen.update({t: int(p) + 1 for t, p in zip(tile, pos)})
+                yield found.reindex(columns=[key, "tile_id", *columns]).assign(pos=pos, error=error)
+
+    scored = suppress.cut_lineage(tile_rows.mapInPandas(guarded, f"{key} {kind}, tile_id int, x1 double, y1 double, x2 double, y2 double, conf double, class int, pos long, error string"))
+    # tiles of a plate may have been scored in several batches
+    errors = suppress.cut_lineage(scored.filter("error IS NOT NULL").groupBy(key).agg(F.min("error").alias("error")))
+    boxes = scored.filter("error IS NULL").drop("error").join(errors.select(key).hint("merge"), key, "left_anti")
+    return boxes, errors
+
+
+def score_crops(rows: DataFrame, model: Callable[[pd.Series], pd.Series], column: str = "features", name: str = "p") -> DataFrame:
+    """Adds the probability that a user's vectorised function gives each row's crop."""
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield model(batch)
 
-    return crops.withColumn(name, score(column))
+    return rows.withColumn(name, score(column))
 
 
 def mask_boxes(boxes: DataFrame, model: Model, key: str = "plate_id", seq: str = "det_seq") -> DataFrame:
@@ -54,7 +90,11 @@ def detect_tiled(plates: DataFrame, model: Model, size: int = 1280, overlap: int
     """(detections with ids, counts per plate): grid, scoring, threshold, image coordinates, suppression. det_seq
     is the order of arrival, by tile and then by place in it, which settles equal confidences."""
     grid = tiles.tile_grid(plates, size, overlap)
-    found = filters.min_confidence(score_tiles(grid, model), conf)
+    return _everywhere(score_tiles(grid, model), grid, conf, iou)
+
+
+def _everywhere(scored: DataFrame, grid: DataFrame, conf: float, iou: float) -> tuple[DataFrame, DataFrame]:
+    found = filters.min_confidence(scored, conf)
     order = F.shiftleft(F.col("tile_id").cast("long"), 32) + F.col("pos")
     everywhere = suppress.cut_lineage(tiles.tile_to_global(found, grid).withColumn("det_seq", order).drop("pos"))
     kept = summaries.assign_detection_id(suppress.nms_global(everywhere, iou, mixed_sizes=True))
@@ -83,14 +123,12 @@ def with_fallback(rows: DataFrame) -> DataFrame:
     return flagged.withColumns({c: F.coalesce(F.col(c).cast("double"), v.cast("double")) for c, v in side.items()})
 
 
-def measure_fast(boxes: DataFrame, px: DataFrame, plates: DataFrame, scale: Column, pad: int = 5, block: int = 51, min_size: int = 50, unit: str = "mm", key: str = "plate_id", seq: str = "det_seq") -> DataFrame:
+def measure_fast(boxes: DataFrame, px: DataFrame, plates: DataFrame, scale: Column, pad: int = 5, block: int = 51, min_size: int = 50, offset: float = 0.02, unit: str = "mm", key: str = "plate_id", seq: str = "det_seq") -> DataFrame:
     """Each box's largest dark region in its padded crop: local threshold inside the crop, small objects
     removed, region properties; boxes without a region get method no_contour_fallback."""
-    sized = boxes.join(plates.select(key, "width", "height"), key).select(key, seq, "x1", "y1", "x2", "y2", *G.pad_clip(pad, "width", "height"))
-    crops = spatial.crop_join(sized.select(key, seq, "px1", "py1", "px2", "py2"), px).select(F.struct(key, seq).alias("plate_id"), "x", "y", F.col("v").cast("double").alias("v"))
-    dark = raster.local_threshold_mask(crops, block)
-    region = raster.largest_component(raster.remove_small_objects(raster.label_runs(raster.to_runs(dark), 8), min_size))
-    runs = region.select(F.col(f"plate_id.{key}").alias(key), F.col(f"plate_id.{seq}").alias(seq), "y", "x0", "x1")
+    sized = boxes.join(plates.select(key, "width", "height").hint("merge"), key).select(key, seq, "x1", "y1", "x2", "y2", *G.pad_clip(pad, "width", "height"))
+    pixels = spatial.crop_join(sized.select(key, seq, "px1", "py1", "px2", "py2"), px).select(key, seq, "x", "y", "v")
+    runs = suppress.cut_lineage(crops.largest_dark_regions(pixels, block, offset, min_size, key, seq))
     out = measure_from_masks(boxes, runs, scale, unit, key, seq)
     return out.withColumn("method", F.when(F.col("mask_available"), "fast").otherwise("no_contour_fallback"))
 
@@ -143,7 +181,7 @@ def propose_cv_fast(
 def _scaled(props: DataFrame, plates: DataFrame, scale: float) -> DataFrame:
     """Boxes of regions, scaled about their centres: x1 to y2, area and eccentricity of the box, and `conf`, the
     share of its area that the region fills."""
-    sized = props.join(plates.select("plate_id", "width", "height"), "plate_id")
+    sized = props.join(plates.select("plate_id", "width", "height").hint("merge"), "plate_id")
     box = sized.select("plate_id", "label", F.col("area").alias("pixels"), F.col("bbox_x1").alias("x"), F.col("bbox_y1").alias("y"), (F.col("bbox_x2") - F.col("bbox_x1")).alias("w"), (F.col("bbox_y2") - F.col("bbox_y1")).alias("h"), "width", "height")
     scaled = box.select("*", *G.scale_clip(scale, "width", "height")).withColumn("area", F.col("sw") * F.col("sh"))
     return scaled.select("plate_id", "label", "area", F.col("sx").alias("x1"), F.col("sy").alias("y1"), (F.col("sx") + F.col("sw")).alias("x2"), (F.col("sy") + F.col("sh")).alias("y2"), G.aspect_eccentricity("sw", "sh").alias("eccentricity"), G.proposal_confidence("fill", area="pixels", bbox_area="area").alias("conf"))
@@ -195,9 +233,9 @@ def analyze_plates(px: DataFrame, plates: DataFrame, boxes: DataFrame, classifie
     the padded crops' mean gray given to the user's classifier, masks of the accepted from the user's segmenter,
     measured, filtered by morphology (limits as morphology_reason takes them) and numbered."""
     bright = suppress.cut_lineage(raster.normalize_brightness(px))
-    sized = boxes.select("plate_id", "det_seq", "x1", "y1", "x2", "y2").join(plates.select("plate_id", "width", "height"), "plate_id")
-    crops = sized.select("plate_id", "det_seq", *G.pad_clip(pad, "width", "height"))
-    features = raster.region_mean(crops, bright, "det_seq").select("plate_id", "det_seq", F.col("mean_value").alias("features"))
+    sized = boxes.select("plate_id", "det_seq", "x1", "y1", "x2", "y2").join(plates.select("plate_id", "width", "height").hint("merge"), "plate_id")
+    cut = sized.select("plate_id", "det_seq", *G.pad_clip(pad, "width", "height"))
+    features = raster.region_mean(cut, bright, "det_seq").select("plate_id", "det_seq", F.col("mean_value").alias("features"))
     accepted = filters.min_confidence(suppress.cut_lineage(score_crops(features, classifier)), t, "p").select("plate_id", "det_seq", "p")
     chosen = suppress.cut_lineage(boxes.join(accepted.hint("merge"), ["plate_id", "det_seq"]))
     measured = measure_from_masks(chosen, suppress.cut_lineage(mask_boxes(chosen.select("plate_id", "det_seq", "x1", "y1", "x2", "y2"), segmenter)), F.lit(8.666) if scale is None else scale)
@@ -205,9 +243,25 @@ def analyze_plates(px: DataFrame, plates: DataFrame, boxes: DataFrame, classifie
     return summaries.assign_organism_id(rows, filters.morphology_reason(**limits).isNull())
 
 
-def batch_plates(catalog: DataFrame, measured: DataFrame) -> DataFrame:
-    """Summary of all plates of a catalog, the ones without results included."""
-    return summaries.batch_summary(catalog, measured)
+def batch_plates(catalog: DataFrame, px: DataFrame, model: Model, scale: Column, size: int = 1280, overlap: int = 256, conf: float = 0.6, iou: float = 0.5, **measuring) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(summary, measurements, counts) of all plates of a catalog (plate_id, width, height) in one job: tiled
+    detection, measurement on the rasters px, and a row of the summary for each plate asked for.
+
+    status: 'missing' for plates without a raster, which are not scored; 'failed' for those at which the model
+    raised, with what it said in `error`; 'empty' where nothing was found; else 'ok'. The first three have zeros.
+    measuring: options of measure_fast."""
+    there = suppress.cut_lineage(px.select("plate_id").distinct())
+    missing = labels.missing_images(catalog.select("plate_id"), there, "plate_id")
+    plates = suppress.cut_lineage(catalog.join(there.hint("merge"), "plate_id", "left_semi"))
+    grid = suppress.cut_lineage(tiles.tile_grid(plates, size, overlap))
+    scored, errors = score_tiles_guarded(grid, model)
+    kept, counts = _everywhere(scored, grid, conf, iou)
+    kept = suppress.cut_lineage(kept)
+    rows = suppress.cut_lineage(measure_fast(kept, px, plates, scale, unit="um", **measuring))
+    summary = summaries.batch_summary(catalog, rows).drop("status")
+    told = summary.join(errors.hint("merge"), "plate_id", "left").join(missing.select("plate_id", F.lit(True).alias("lacks")).hint("merge"), "plate_id", "left")
+    status = F.when(F.col("lacks"), "missing").when(F.col("error").isNotNull(), "failed").when(F.col("organisms") == 0, "empty").otherwise("ok")
+    return told.withColumn("status", status).drop("lacks"), rows, counts
 
 
 def build_tiled_dataset(rois: DataFrame, plates: DataFrame, splits: DataFrame, size: int = 1280, overlap: int = 256) -> DataFrame:

@@ -96,6 +96,42 @@ def x02_measure_fast(spark: SparkSession, d: str) -> DataFrame:
     return rounded(out.select("plate_id", "det_seq", "area", "major", "minor", "solidity", "perimeter", "length_mm", "method"), "major", "minor", "solidity", "perimeter", "length_mm", digits=4)
 
 
+# regions of the crops: masks by separable Gaussian sums inside each crop, components by reachability between runs
+_REGIONS = """, b AS (SELECT plate_id, det_seq, CAST(floor(x1 / 13) AS BIGINT) AS a, CAST(floor(y1 / 26) AS BIGINT) AS c FROM fx_det WHERE plate_id IN (SELECT plate_id FROM fx_gray)),
+  cr AS (SELECT b.plate_id, det_seq, x, y, v / 255.0::DOUBLE AS v FROM b JOIN fx_gray g ON g.plate_id = b.plate_id AND x >= greatest(0, a - 3) AND x < least(80, a + 7) AND y >= greatest(0, c - 3) AND y < least(40, c + 7)),
+  ax AS (SELECT g.plate_id, g.det_seq, g.x, g.y, g.v, sum(n.v * exp(-pow(n.x - g.x, 2) / 2.0::DOUBLE)) AS s, sum(exp(-pow(n.x - g.x, 2) / 2.0::DOUBLE)) AS w
+    FROM cr g JOIN cr n ON n.plate_id = g.plate_id AND n.det_seq = g.det_seq AND n.y = g.y AND abs(n.x - g.x) <= 3 GROUP BY ALL),
+  gm AS (SELECT g.plate_id, g.det_seq, g.x, g.y, g.v, sum(n.s * exp(-pow(n.y - g.y, 2) / 2.0::DOUBLE)) / sum(n.w * exp(-pow(n.y - g.y, 2) / 2.0::DOUBLE)) AS m
+    FROM ax g JOIN ax n ON n.plate_id = g.plate_id AND n.det_seq = g.det_seq AND n.x = g.x AND abs(n.y - g.y) <= 3 GROUP BY ALL),
+  dark AS (SELECT plate_id, det_seq, x, y FROM gm WHERE v < m - 0.02::DOUBLE),
+  isl AS (SELECT *, x - row_number() OVER (PARTITION BY plate_id, det_seq, y ORDER BY x) AS g FROM dark),
+  runs AS (SELECT plate_id, det_seq, y, min(x) AS x0, max(x) AS x1 FROM isl GROUP BY plate_id, det_seq, y, g),
+  e AS (SELECT a.plate_id, a.det_seq, a.y AS ay, a.x0 AS ax, b.y AS by_, b.x0 AS bx FROM runs a JOIN runs b ON a.plate_id = b.plate_id AND a.det_seq = b.det_seq AND a.y = b.y + 1 AND a.x0 <= b.x1 + 1 AND a.x1 + 1 >= b.x0),
+  ways AS (SELECT * FROM e UNION ALL SELECT plate_id, det_seq, by_, bx, ay, ax FROM e),
+  reach AS (SELECT plate_id, det_seq, y AS sy, x0 AS sx, y, x0 FROM runs UNION SELECT r.plate_id, r.det_seq, r.sy, r.sx, b.by_, b.bx FROM reach r JOIN ways b ON r.plate_id = b.plate_id AND r.det_seq = b.det_seq AND r.y = b.ay AND r.x0 = b.ax),
+  lab AS (SELECT plate_id, det_seq, sy AS y, sx AS x0, min(y * 1000 + x0) AS label FROM reach GROUP BY plate_id, det_seq, sy, sx),
+  full_ AS (SELECT runs.*, lab.label FROM runs JOIN lab USING (plate_id, det_seq, y, x0)),
+  best AS (SELECT plate_id, det_seq, label FROM (SELECT plate_id, det_seq, label, sum(x1 - x0 + 1) AS area FROM full_ GROUP BY ALL) WHERE area >= 3 QUALIFY row_number() OVER (PARTITION BY plate_id, det_seq ORDER BY area DESC, label) = 1),
+  px AS (SELECT plate_id, det_seq, unnest(range(x0, x1 + 1)) AS x, y FROM full_ JOIN best USING (plate_id, det_seq, label)),
+  mo AS (SELECT plate_id, det_seq, count(*) AS area, var_pop(x) AS vx, var_pop(y) AS vy, covar_pop(x, y) AS vxy FROM px GROUP BY ALL),
+  la AS (SELECT *, (vx + vy) / 2 + sqrt(pow(vx - vy, 2) / 4 + vxy * vxy) AS l1, greatest(0, (vx + vy) / 2 - sqrt(pow(vx - vy, 2) / 4 + vxy * vxy)) AS l2 FROM mo),
+  nb AS (SELECT p.plate_id, p.det_seq, p.x, p.y, count(n.x) AS n FROM px p LEFT JOIN px n ON n.plate_id = p.plate_id AND n.det_seq = p.det_seq AND abs(p.x - n.x) + abs(p.y - n.y) = 1 GROUP BY ALL),
+  bd AS (SELECT * FROM nb WHERE n < 4),
+  code AS (SELECT p.plate_id, p.det_seq, p.x, p.y, 1 + 2 * count(*) FILTER (abs(p.x - q.x) + abs(p.y - q.y) = 1) + 10 * count(*) FILTER (abs(p.x - q.x) = 1 AND abs(p.y - q.y) = 1) AS k
+    FROM bd p LEFT JOIN bd q ON p.plate_id = q.plate_id AND p.det_seq = q.det_seq AND abs(p.x - q.x) <= 1 AND abs(p.y - q.y) <= 1 AND NOT (p.x = q.x AND p.y = q.y) GROUP BY ALL),
+  per AS (SELECT plate_id, det_seq, sum(CASE WHEN k IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN k IN (21, 33) THEN sqrt(2) WHEN k IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END) AS perimeter FROM code GROUP BY ALL)
+  SELECT b.plate_id, b.det_seq, coalesce(area, 16)::DOUBLE AS area, round(coalesce(4 * sqrt(l1), 4), 4) AS major, round(coalesce(4 * sqrt(CASE WHEN l2 < 1e-9 THEN 0 ELSE l2 END), 4), 4) AS minor, round(coalesce(perimeter, 16), 4) AS perimeter,
+    round(coalesce(4 * sqrt(l1), 4) * 8.666, 3) AS length_mm, CASE WHEN area IS NULL THEN 'no_contour_fallback' ELSE 'fast' END AS method FROM b LEFT JOIN la USING (plate_id, det_seq) LEFT JOIN per USING (plate_id, det_seq)"""
+
+
+@query(duck("fx_det", "fx_gray") + _REGIONS)
+def x02_measured_regions(spark: SparkSession, d: str) -> DataFrame:
+    """What SQL can measure of x02's regions: all but the hulls."""
+    px = view(spark, d, "fx_gray").withColumn("v", F.col("v") / 255)
+    out = jobs.measure_fast(gray_boxes(spark, d), px, gray_plates(spark, d), F.lit(8666.0), pad=3, block=7, min_size=3)
+    return rounded(rounded(out.select("plate_id", "det_seq", "area", "major", "minor", "perimeter", "length_mm", "method"), "major", "minor", "perimeter", digits=4), "length_mm", digits=3)
+
+
 @query()
 def x04_propose_cv(spark: SparkSession, d: str) -> DataFrame:
     found = jobs.propose_cv(view(spark, d, "fx_gray"), gray_plates(spark, d), background=9, min_size=6, areas=(6, 3000))

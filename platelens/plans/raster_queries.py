@@ -210,6 +210,38 @@ def r09_local_std(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.local_std(view(spark, d, "fx_gray"), 7).select("plate_id", "x", "y", "local_std"), "local_std", digits=4)
 
 
+# the image with a frame of three pixels in which it is mirrored, edge pixels included
+_MIRRORED = """, mir AS (SELECT plate_id, a.p AS x, b.q AS y, v FROM range(-3, 83) a(p), range(-3, 43) b(q), fx_gray g
+    WHERE g.x = CASE WHEN p < 0 THEN -1 - p WHEN p >= 80 THEN 159 - p ELSE p END AND g.y = CASE WHEN q < 0 THEN -1 - q WHEN q >= 40 THEN 79 - q ELSE q END),
+  win AS (SELECT a.plate_id, a.x, a.y, avg(b.v) AS m, avg(b.v * b.v) AS q, max(b.v) AS hi, min(b.v) AS lo,
+    max(b.v) FILTER (pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 9) AS disc FROM fx_gray a JOIN mir b ON a.plate_id = b.plate_id AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.y BETWEEN a.y - 3 AND a.y + 3 GROUP BY ALL)"""
+
+
+@query(duck("fx_gray") + _MIRRORED + " SELECT plate_id, x, y, round(m, 6) AS local_mean, round(sqrt(greatest(0, q - m * m)), 4) AS local_std FROM win")
+def r08_r09_reflected(spark: SparkSession, d: str) -> DataFrame:
+    rule = {"border": "reflect", "plates": gray_plates(spark, d)}
+    means = R.local_mean(view(spark, d, "fx_gray"), 7, **rule)
+    return rounded(rounded(R.local_std(means, 7, **rule).select("plate_id", "x", "y", "local_mean", "local_std"), "local_mean"), "local_std", digits=4)
+
+
+@query(duck("fx_gray") + _MIRRORED + " SELECT plate_id, x, y, hi AS dilated, lo AS eroded, disc FROM win")
+def r05_reflected(spark: SparkSession, d: str) -> DataFrame:
+    px, rule = view(spark, d, "fx_gray"), {"border": "reflect", "plates": gray_plates(spark, d)}
+    both = R.erode(R.dilate(px.withColumn("dilated", F.col("v")).withColumn("eroded", F.col("v")), 3, "dilated", **rule), 3, "eroded", **rule)
+    disc = R.morphology_ellipse(px, "dilate", 3, **rule).withColumnRenamed("v", "disc")
+    return both.drop("v").join(disc.hint("merge"), ["plate_id", "x", "y"])
+
+
+@query(
+    duck("fx_gray")
+    + """, k AS (SELECT unnest(range(-40, 41)) AS d, exp(-(d * d) / (2.0::DOUBLE * 12 * 12)) AS w),
+  row AS (SELECT g.plate_id, g.x, g.y, sum(h.v * k.w) AS s, sum(k.w) AS w FROM fx_gray g JOIN fx_gray h ON h.plate_id = g.plate_id AND h.y = g.y AND abs(h.x - g.x) <= 40 JOIN k ON k.d = h.x - g.x GROUP BY ALL)
+  SELECT r.plate_id, r.x, r.y, round(sum(q.s * k.w) / sum(q.w * k.w), 6) AS local_mean FROM row r JOIN row q ON q.plate_id = r.plate_id AND q.x = r.x AND abs(q.y - r.y) <= 40 JOIN k ON k.d = q.y - r.y GROUP BY ALL"""
+)
+def r08_gaussian_wide(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(R.local_mean(view(spark, d, "fx_gray"), 81, "gaussian", 12).select("plate_id", "x", "y", "local_mean"), "local_mean")
+
+
 @query(
     duck("fx_gray")
     + """, n AS (SELECT g.plate_id, g.x, g.y, sum(b.v * (b.x - g.x) * (2 - abs(b.y - g.y)))::BIGINT AS gx, sum(b.v * (b.y - g.y) * (2 - abs(b.x - g.x)))::BIGINT AS gy, count(*) AS c FROM fx_gray g JOIN fx_gray b ON g.plate_id = b.plate_id AND b.x BETWEEN g.x - 1 AND g.x + 1 AND b.y BETWEEN g.y - 1 AND g.y + 1 GROUP BY ALL)

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 STEP = "block long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups string, pair long, docs binary, times binary"
 #: Documents of one block, by number and bytes (a longer text is a block of its own); stretches that a task remembers.
@@ -379,6 +379,7 @@ def align_tokens(docs: DataFrame, byte_bpe: str, piece_bpe: str, digest: bool =
     counts = materialise(counts.withColumn("best", (F.col("count") == F.max("count").over(same_a)).cast("long")), "pair-counts")
     weighted = pairs.join(counts.hint("merge"), "pair").select("block", "docs", "times", "count", "best")
     sums = materialise(weighted.groupBy("block").applyInPandas(_sum_up, "block long, place int, n_best long, count_sum long"), "alignment-sums")
+    discard(counts)
     rows = steps.filter("pair is null").drop("pair", "docs", "times").join(sums.hint("merge"), ["block", "place"], "left")
     return rows.select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_overlaps", F.coalesce("n_best", F.lit(0)).alias("n_best"), F.coalesce("count_sum", F.lit(0)).alias("count_sum"), "groups"

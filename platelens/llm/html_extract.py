@@ -8,7 +8,8 @@ fingerprint form an equivalence class. Classes that are frequent and in page ord
 their paths into the host's template; text in them is the template's own. The remaining slots are judged by the text
 that varies in them: from the page down, the slot that keeps most of it. What a site calls its elements decides only
 between nested slots that hold the same text, and lessens the weight of text in what is named as an advert, comments
-or the like. Each page's text is what its article's slot has besides the template's text and such elements.
+or the like. Each page's text is what its article's slot has besides the template's text and such blocks; paragraphs,
+list items and the like, and phrases within them, stay whatever they are called, unless their text is the template's.
 
 Defined results: null or empty html has empty text; a page whose host has too few pages for a valid class, or whose
 pages are all alike, is judged on its own tokens; a page without an element that holds text has empty text; broken
@@ -50,6 +51,8 @@ NOISE_WORDS = frozenset(
 ARTICLE_WORDS = frozenset("article main story post entry content articlebody".split())
 #: Elements of the text itself, never a slot of their own.
 TEXT_TAGS = frozenset("p li ul ol dl dd dt td th tr tbody blockquote pre h1 h2 h3 h4 h5 h6".split())
+#: Elements that are a piece of the text whatever they are called: only the template's own text goes from them.
+PROSE_TAGS = frozenset("p li dd dt td th blockquote pre h1 h2 h3 h4 h5 h6".split())
 _DEEPEST = 60
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
@@ -63,14 +66,14 @@ def _noise_names(names: str) -> bool:
 
 
 class Node:
-    """An open element: its path token, whether it is noise in any slot, and the paths of the blocks from the
-    page down to it that are named as noise."""
+    """An open element: its path token, whether it is noise in any slot, whether it is a phrase within a block that
+    is named as noise, and the paths of the blocks from the page down to it that are named so."""
 
-    __slots__ = ("tag", "path", "depth", "noise", "named", "link", "article")
+    __slots__ = ("tag", "path", "depth", "noise", "phrase", "named", "link", "article")
 
     def __init__(self, tag: str, names: str, hidden: bool, parent: Node | None):
         inside = parent is not None and parent.article
-        self.tag, self.depth, self.noise, self.named = tag, 0, False, ()
+        self.tag, self.depth, self.noise, self.phrase, self.named = tag, 0, False, False, ()
         self.article = inside or tag in ("article", "main")
         self.link = tag == "a" or (parent is not None and parent.link)
         if parent is None:
@@ -82,28 +85,46 @@ class Node:
         else:
             self.path = parent.path + ">" + (tag + "".join("." + re.sub(r"\d+", "#", n) for n in names.split()) if self.depth <= _DEEPEST else "*")
         called = bool(names) and tag not in ("html", "body") and _noise_names(names)
-        self.noise = parent.noise or hidden or tag in NOISE_TAGS or (tag == "header" and not inside) or (called and tag not in BLOCK)
-        self.named = (*parent.named, self.path) if called and tag in BLOCK else parent.named
+        self.noise = parent.noise or hidden or tag in NOISE_TAGS or (tag == "header" and not inside)
+        self.phrase = called and tag not in BLOCK
+        self.named = (*parent.named, self.path) if called and tag in BLOCK and tag not in PROSE_TAGS else parent.named
 
 
-def page_blocks(html: str) -> tuple[list[tuple[str, tuple[str, ...], int, str]], dict[str, int]]:
+def _words(text: str) -> str:
+    return " ".join(htmllib.unescape(text).split())
+
+
+def page_blocks(html: str, runs: frozenset[int] = frozenset()) -> tuple[list[tuple[str, tuple[str, ...], int, str]], dict[str, int], list[tuple[str, str]]]:
     """([(path, paths around it named as noise, characters in links, text)] of the page's blocks in order but for
-    those that are noise in any slot, {path: occurrences})."""
+    those that are noise in any slot, {path: occurrences}, [(path, text)] of the phrases within blocks that are named
+    as noise). Phrases of which the template has the text are left out of their blocks."""
     root = Node("#page", "", False, None)
     stack, blocks, counts, piece, links, at = [root], [], defaultdict(int), [], 0, 0
     inline: list[tuple[str, int]] = []  # what a block has so far when inline noise interrupts it
+    phrases: list[tuple[str, str]] = []
+    begun: list[int] = []  # where in the piece the open phrases begin
 
     def flush() -> None:
         nonlocal links
         while inline:  # noise that was never closed ends with its block
             flush_inline() if stack[-1].noise else piece.insert(0, inline.pop()[0])
+        while begun:
+            end_phrase()
         if piece:
-            text = " ".join(htmllib.unescape("".join(piece)).split())
+            text = _words("".join(piece))
             if text and not stack[-1].noise:
                 blocks.append((stack[-1].path, stack[-1].named, links, text))
             piece.clear()
         links = 0
 
+    def end_phrase() -> None:
+        at = begun.pop()
+        text = _words("".join(piece[at:]))
+        if text and not stack[-1].noise:
+            phrases.append((stack[-1].path, text))
+            if _run(text) in runs:
+                del piece[at:]
+
     def add(text: str) -> None:
         nonlocal links
         piece.append(text)
@@ -113,6 +134,9 @@ def page_blocks(html: str) -> tuple[list[tuple[str, tuple[str, ...], int, str]],
     def close(to: int) -> None:
         if any(n.tag in BLOCK for n in stack[to:]):
             flush()
+        elif begun and any(n.phrase for n in stack[to:]):
+            for _ in range(min(len(begun), sum(n.phrase for n in stack[to:]))):
+                end_phrase()
         del stack[to:]
 
     def flush_inline() -> None:
@@ -188,7 +212,11 @@ def page_blocks(html: str) -> tuple[list[tuple[str, tuple[str, ...], int, str]],
         if tag in BLOCK:
             flush()
         elif node.noise and not stack[-1].noise:
+            while begun:
+                end_phrase()
             flush_inline()
+        elif node.phrase and not node.noise:
+            begun.append(len(piece))
         stack.append(node)
         if node.path != stack[-2].path:
             counts[node.path] += 1
@@ -197,7 +225,7 @@ def page_blocks(html: str) -> tuple[list[tuple[str, tuple[str, ...], int, str]],
             flush_inline()
         close(len(stack) - 1)
     flush()
-    return blocks, counts
+    return blocks, counts, phrases
 
 
 def _run(text: str) -> int:
@@ -214,8 +242,10 @@ def _weight(text: str, links: int, named: tuple[str, ...]) -> int:
 def page_tokens(html: str) -> list[tuple[str, bool, int, int, int, int]]:
     """(path, whether it is a run of text, run, occurrences, rank on the page, weight) of each token; the weight
     of an element path is that of all text in it."""
-    blocks, counts = page_blocks(html)
+    blocks, counts, phrases = page_blocks(html)
     weights, runs = defaultdict(int), defaultdict(lambda: [0, 0])
+    for path, text in phrases:
+        runs[path, _run(text)][0] += 1
     for path, named, links, text in blocks:
         w = _weight(text, links, named)
         at = path
@@ -276,7 +306,7 @@ def article_slot(weights: dict[str, int], share: float = 0.6) -> str | None:
 def page_text(html: str, slot: str | None, runs: frozenset[int] = frozenset()) -> str:
     """The text of the page's blocks in the slot, without the template's runs of text; without a slot, or on a
     page that lacks it, in the slot that the page itself shows."""
-    blocks, counts = page_blocks(html)
+    blocks, counts, _ = page_blocks(html, runs)
     if runs:
         blocks = [b for b in blocks if _run(b[3]) not in runs]
     if slot is None or not any(p == slot or p.startswith(slot + ">") for p in counts):

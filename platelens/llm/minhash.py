@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import materialise
+from .common import discard, materialise
 from .shingles import shingle_sets
 
 SKETCHED = "doc_id long, n_shingles long, class binary, sketch binary, digest binary"
@@ -69,7 +69,7 @@ def _values(classes: DataFrame) -> DataFrame:
 
 
 def inverted_lists(classes: DataFrame, k: int, min_share: float) -> DataFrame:
-    """(value, class): lists of at least two classes, of each class only its rarest values. Two classes with
+    """(value, class), written: lists of at least two classes, of each class only its rarest values. Two classes with
     at least min_share of their smaller sketch in common meet in one of these lists."""
     values = materialise(_values(classes), "sketch-values")
     shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -78,7 +78,10 @@ def inverted_lists(classes: DataFrame, k: int, min_share: float) -> DataFrame:
     per = met.groupBy("class").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list("entry")).alias("entries"))
     need = F.greatest(F.lit(1), F.ceil(F.col("kept") * min_share)).cast("int")
     room = F.col("kept") - need + 1 - (F.col("kept") - F.size("entries"))
-    return per.withColumn("room", room).filter("room > 0").select("class", F.explode(F.slice("entries", 1, F.col("room"))).alias("e")).select(F.col("e.value").alias("value"), "class")
+    lists = per.withColumn("room", room).filter("room > 0").select("class", F.explode(F.slice("entries", 1, F.col("room"))).alias("e")).select(F.col("e.value").alias("value"), "class")
+    written = materialise(lists, "lists")
+    discard(values)
+    return written
 
 
 def _overlap(pairs: DataFrame, named: DataFrame, column: str, judge) -> DataFrame:
@@ -148,11 +151,13 @@ def _components(docs: DataFrame, n: int, num: int, k: int, slack: float, hub_rou
     t = num / 100
     # what a linked pair shares of k values, less `slack` standard deviations
     min_share = max(0.0, t - slack * (t * (1 - t) / k) ** 0.5)
-    rows = materialise(sketches(docs, n, k), "sketches")
+    sketched = materialise(sketches(docs, n, k), "sketches")
     groups = materialise(
-        rows.filter("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes"
+        sketched.filter("n_shingles > 0").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")), "classes"
     )
-    lists = materialise(inverted_lists(groups, k, min_share), "lists")
+    rows = materialise(sketched.drop("sketch"), "set-names")  # the classes have the sketches
+    discard(sketched)
+    lists = inverted_lists(groups, k, min_share)
 
     def estimated(x, y, m, n_):
         if 100 * min(m, n_) < num * max(m, n_):

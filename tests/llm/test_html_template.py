@@ -44,3 +44,11 @@ def test_very_long_and_odd_pages(spark):
     rows = [(1, "http://l.example/", long, 1, "x"), (2, None, None, 1, "x"), (None, None, "<p>\ud83d\ude00 a", 1, "x")]
     got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, PAGES)).collect()}
     assert got[1] == " ".join(["word & here"] * 100_000) and got[2] == "" and got[None].endswith(" a")
+
+
+def test_prose_stays_whatever_it_is_called(spark):
+    page = '<html><body><div class="nav"><a href="/">Home</a></div><article><h1>T{k}</h1><p class="reader">To the reader {k}.</p><p>The <span class="ad">best{k}</span> of <b class="search-hit">it {k}</b>.<span class="ad">buy now</span></p><ul class="menu"><li>m{k}</li></ul><div class="comments"><p>nice {k}</p></div></article></body></html>'
+    rows = [(k, "http://x.example/p", page.replace("{k}", str(k))) for k in range(8)] + [(90, "http://lone.example/p", page.replace("{k}", "9"))]
+    got = {r.page_id: r.text for r in extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T3 To the reader 3. The best3 of it 3."
+    assert got[90] == "T9 To the reader 9. The best9 of it 9.buy now"

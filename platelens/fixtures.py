@@ -55,7 +55,15 @@ SELECT vec_id DIV 50 AS plate_id, (vec_id % 50) % 10 * 8 + i % 8 AS x, (vec_id %
   greatest(0, least(255, CAST(floor(CAST(v AS DOUBLE) * 255 + 128) AS INT))) AS v
 FROM embeddings LATERAL VIEW posexplode(embedding) e AS i, v""",
 }
+#: Bright objects on a dark ground, one in each 16x12 cell of a 64x48 raster; their sizes come from lineitem.
+_SCENE = """
+SELECT g.plate_id, g.x, g.y, CAST(CASE WHEN g.x % 16 BETWEEN 3 AND 2 + c.w AND g.y % 12 BETWEEN 3 AND 2 + c.h THEN 150 + c.b ELSE 2 + (g.x * 5 + g.y * 3 + g.plate_id) % 3 END AS INT) AS v
+FROM ({grid}) g LEFT JOIN (
+  SELECT l_suppkey AS plate_id, l_partkey % 16 AS cell, 3 + CAST(sum(l_quantity) AS BIGINT) % 9 AS w, 3 + count(*) % 5 AS h, sum(l_orderkey) % 80 AS b FROM lineitem GROUP BY l_suppkey, l_partkey % 16) c
+ON c.plate_id = g.plate_id AND c.cell = ((g.y - g.y % 12) * 4 / 12) + (g.x - g.x % 16) / 16"""
+_SPARK_ONLY["fx_scene"] = _SCENE.format(grid="SELECT plate_id, x, y FROM (SELECT DISTINCT l_suppkey AS plate_id FROM lineitem) p LATERAL VIEW explode(sequence(0L, 63L)) a AS x LATERAL VIEW explode(sequence(0L, 47L)) b AS y")
 _DUCK_ONLY = {
+    "fx_scene": _SCENE.format(grid="SELECT plate_id, x, y FROM (SELECT DISTINCT l_suppkey AS plate_id FROM lineitem) p, range(0, 64) a(x), range(0, 48) b(y)"),
     "fx_gray": """
 SELECT vec_id // 50 AS plate_id, (vec_id % 50) % 10 * 8 + i % 8 AS x, (vec_id % 50) // 10 * 8 + i // 8 AS y,
   greatest(0, least(255, CAST(floor(CAST(v AS DOUBLE) * 255 + 128) AS INT))) AS v

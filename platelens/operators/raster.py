@@ -214,14 +214,19 @@ def local_mean(px: DataFrame, block: int, kernel: str = "box", sigma: float | No
     return within(px, plates, border, k, gaussian).select(*px.columns, name)
 
 
-def local_variance(px: DataFrame, block: int = 21, border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
+def _moments(px: DataFrame, block: int, name: str, border: str, plates: DataFrame | None) -> DataFrame:
+    """px and the variance over a square, as `name`."""
     rule = {"border": border, "plates": plates}
     both = local_mean(local_mean(px.withColumn("__q", F.col("v") * F.col("v")), block, name="__m", **rule), block, column="__q", name="__mq", **rule)
-    return both.withColumn("local_variance", F.col("__mq") - F.col("__m") * F.col("__m")).drop("__q", "__m", "__mq")
+    return both.withColumn(name, F.col("__mq") - F.col("__m") * F.col("__m")).drop("__q", "__m", "__mq")
+
+
+def local_variance(px: DataFrame, block: int = 21, border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
+    return _moments(px, block, "local_variance", border, plates)
 
 
 def local_std(px: DataFrame, block: int = 15, border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
-    return local_variance(px, block, border, plates).withColumn("local_std", F.sqrt(F.greatest(F.lit(0.0), F.col("local_variance")))).drop("local_variance")
+    return _moments(px, block, "local_std", border, plates).withColumn("local_std", F.sqrt(F.greatest(F.lit(0.0), F.col("local_std"))))
 
 
 def gradient(px: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..fixtures import duck, view
-from ..operators.components import shared_folder
+from ..operators import tiles
+from ..operators.components import cut_lineage, shared_folder
 from ..sources import tables
 from ..streaming import streams
 from . import jobs
@@ -35,6 +36,29 @@ def png(rows: list[bytes], width: int) -> bytes:
 def s02_s03_images(spark: SparkSession, d: str) -> DataFrame:
     """Bands of 16 lines as pictures, found, decoded and unpacked again."""
     path = folder(spark, "pictures")
+    bands = view(spark, d, "fx_gray").withColumn("name", F.concat_ws("_", F.lit("plate"), "plate_id", F.floor(F.col("y") / 16)))
+    written = write_pictures(bands, path)  # one picture of a bounded band each
+    catalog = tables.plate_catalog(spark, [path], "*.png")
+    images = tables.read_images(spark, [path])
+    if catalog.count() != written:
+        raise ValueError("pictures are missing")
+    return tables.to_pixels(images, band=7)
+
+
+@query(duck("fx_gray") + " SELECT plate_id, y, x, v AS r, 255 - v AS g, v // 2 AS b FROM fx_gray")
+def s02_tiled_plates(spark: SparkSession, d: str) -> DataFrame:
+    """Plates as overlapping tile files with a table of offsets, read back as whole pictures."""
+    path = folder(spark, "tiles")
+    px = cut_lineage(view(spark, d, "fx_gray"))
+    plates = px.groupBy("plate_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    grid = cut_lineage(tiles.tile_grid(plates, 32, 8).withColumn("tile_name", F.format_string("%s_tile_%04d", F.col("plate_id").cast("string"), F.col("tile_id").cast("int"))))
+    met = px.join(grid.hint("shuffle_hash"), "plate_id").filter("x >= x_off AND x < x_end AND y >= y_off AND y < y_end")
+    write_pictures(met.select(F.col("tile_name").alias("name"), F.col("x").alias("x"), F.col("y").alias("y"), "v"), path)
+    return tables.tiled_pixels(tables.read_images(spark, [path]), grid.select("tile_name", "plate_id", "x_off", "y_off", "x_end", "y_end"))
+
+
+def write_pictures(pixels: DataFrame, path: str) -> int:
+    """Pictures from pixels (name, x, y, v), one file a name; their number."""
 
     def write(part: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
@@ -45,16 +69,10 @@ def s02_s03_images(spark: SparkSession, d: str) -> DataFrame:
         part = part.sort_values(["y", "x"])
         lines = [b"".join(bytes((v, 255 - v, v // 2)) for v in line["v"].tolist()) for _, line in part.groupby("y")]
         with store.open_output_stream(f"{at}/{name}.png") as f:
-            f.write(png(lines, int(part["x"].max()) + 1))
+            f.write(png(lines, int(part["x"].max() - part["x"].min()) + 1))
         return pd.DataFrame({"name": [name]})
 
-    bands = view(spark, d, "fx_gray").withColumn("name", F.concat_ws("_", F.lit("plate"), "plate_id", F.floor(F.col("y") / 16)))
-    written = bands.groupBy("name").applyInPandas(write, "name string").count()  # one picture of a bounded band each
-    catalog = tables.plate_catalog(spark, [path], "*.png")
-    images = tables.read_images(spark, [path])
-    if catalog.count() != written:
-        raise ValueError("pictures are missing")
-    return tables.to_pixels(images, band=7)
+    return pixels.select("name", "x", "y", "v").groupBy("name").applyInPandas(write, "name string").count()
 
 
 @query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import duck, view
 from ..operators import raster as R
+from ..operators.components import cut_lineage
 from . import jobs
 from .io_queries import stub_segmenter
 from .raster_queries import _BOX, gray_plates
@@ -132,15 +133,33 @@ def x02_measured_regions(spark: SparkSession, d: str) -> DataFrame:
     return rounded(rounded(out.select("plate_id", "det_seq", "area", "major", "minor", "perimeter", "length_mm", "method"), "major", "minor", "perimeter", digits=4), "length_mm", digits=3)
 
 
+def scene(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(pixels, plates) of the rasters with separate objects."""
+    px = cut_lineage(view(spark, d, "fx_scene"))
+    return px, px.groupBy("plate_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+
+
+@query(duck("fx_scene") + " SELECT plate_id, x, y, v FROM fx_scene")
+def s03_scene(spark: SparkSession, d: str) -> DataFrame:
+    """The raster that the proposal queries work on."""
+    return scene(spark, d)[0]
+
+
 @query()
 def x04_propose_cv(spark: SparkSession, d: str) -> DataFrame:
-    found = jobs.propose_cv(view(spark, d, "fx_gray"), gray_plates(spark, d), background=9, min_size=6, areas=(6, 3000))
+    found = jobs.propose_cv(*scene(spark, d), background=9, min_size=6, areas=(6, 3000))
     return rounded(found.select("plate_id", "rank", "area", "eccentricity", "solidity", "conf", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"), "eccentricity", "solidity", "conf")
 
 
 @query()
 def x05_propose_cv_fast(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(jobs.propose_cv_fast(view(spark, d, "fx_gray"), gray_plates(spark, d), background=3, scale=9.0, preset="any", ring=4, shrink=2, min_size=3, min_eccentricity=0.3), "eccentricity", "conf")
+    return rounded(jobs.propose_cv_fast(*scene(spark, d), background=9, scale=4.5, preset="any", ring=4, shrink=0, min_size=3, min_eccentricity=0.3), "eccentricity", "conf")
+
+
+@query()
+def x06_propose_multifeature(spark: SparkSession, d: str) -> DataFrame:
+    found = jobs.propose_multifeature(*scene(spark, d), ring=4, shrink=0, min_size=6, close=1, times=1, min_area=4, min_expanded=20)
+    return rounded(found.select("plate_id", "rank", "x1", "y1", "x2", "y2", "area", "eccentricity", "conf"), "eccentricity", "conf")
 
 
 @query()

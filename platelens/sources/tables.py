@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 # The columns of the files.
 DETECTION_CSV = "x1 double, y1 double, x2 double, y2 double, width double, height double, confidence double, class int"
@@ -44,6 +45,30 @@ def read_images(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", True).load(paths).select(stem("image.origin").alias("image_id"), "image.width", "image.height", "image.nChannels", "image.data")
 
 
+def own_areas(offsets: DataFrame, key: str = "plate_id") -> DataFrame:
+    """offsets (tile_name, key, x_off, y_off) and own_x, own_y: where the part of each tile begins that no tile to
+    its left or above it covers, in a grid of tiles of one size to a plate, x_end and y_end given. A row a tile."""
+    row, column = W.partitionBy(key, "y_off").orderBy("x_off"), W.partitionBy(key, "x_off").orderBy("y_off")
+    own_x, own_y = F.coalesce(F.lag("x_end").over(row), F.col("x_off")), F.coalesce(F.lag("y_end").over(column), F.col("y_off"))
+    return offsets.withColumn("own_x", own_x).withColumn("own_y", own_y)
+
+
+def tiled_pixels(images: DataFrame, offsets: DataFrame, key: str = "plate_id", band: int = 64) -> DataFrame:
+    """(key, y, x, r, g, b) of plates that are stored as tile files: images as of read_images, named by tile_name,
+    and the table of offsets (tile_name, key, x_off, y_off, x_end, y_end). A task decodes one tile at a time, so a
+    plate's size doesn't matter; of tiles that overlap, each pixel comes from the first, without a shuffle of
+    pixels."""
+    place = F.struct(F.col(key).alias("key"), "x_off", "y_off", "own_x", "own_y")
+    placed = own_areas(offsets, key).select(F.col("tile_name").alias("image_id"), F.to_json(place).alias("place"))
+    # the place rides on the name, so that what is joined is a row a tile and not a row a pixel
+    named = images.join(placed.hint("merge"), "image_id").withColumn("image_id", F.col("place")).drop("place")
+    kinds = {c: offsets.schema[c].dataType.simpleString() for c in (key, "x_off", "y_off")}
+    at = F.from_json("image_id", f"key {kinds[key]}, x_off {kinds['x_off']}, y_off {kinds['y_off']}, own_x long, own_y long")
+    px = to_pixels(named, band).withColumn("at", at)
+    y, x = F.col("y") + F.col("at.y_off"), F.col("x") + F.col("at.x_off")
+    return px.filter((x >= F.col("at.own_x")) & (y >= F.col("at.own_y"))).select(F.col("at.key").alias(key), y.alias("y"), x.alias("x"), "r", "g", "b")
+
+
 def to_pixels(images: DataFrame, band: int = 64) -> DataFrame:
     """(image_id, y, x, r, g, b) from BGR or gray bytes, in batches of `band` lines."""
 

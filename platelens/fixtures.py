@@ -71,7 +71,7 @@ FROM (SELECT vec_id, unnest(range(0, 64)) AS i, unnest(embedding) AS v FROM embe
 }
 #: RGB variant of the gray raster: green is shifted along x, blue along y.
 _RGB = """
-SELECT a.plate_id, a.x, a.y, a.v AS r, b.v AS g, c.v AS b FROM fx_gray a
+SELECT /*+ MERGE(b, c) */ a.plate_id, a.x, a.y, a.v AS r, b.v AS g, c.v AS b FROM fx_gray a
 JOIN fx_gray b ON a.plate_id = b.plate_id AND b.x = (a.x + 1) % 80 AND b.y = a.y
 JOIN fx_gray c ON a.plate_id = c.plate_id AND c.x = a.x AND c.y = (a.y + 1) % 40"""
 _NEEDS = {"fx_roi": ["fx_det"], "fx_gt": ["fx_det"], "fx_rgb": ["fx_gray"]}

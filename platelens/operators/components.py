@@ -37,22 +37,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (src, dst), component being the smallest node reachable.
 
-    Each round contracts: a node points to that of itself and its neighbours which comes first in an order by hash,
-    then to where that one points, and edges are drawn between what their ends point to. Edges within one node fall
-    away, repeated ones become one, and nodes without edges are settled, so the edge list shrinks by a factor each
-    round, whatever the ids' order: a chain of rising ids is as good as any. At the end the rounds are followed
-    backwards, and every component is named by its smallest node.
+    Each round contracts: a node points to its neighbour that comes first in an order by hash, and moves to the first
+    of that one and the one it points to; edges are drawn between where their ends have moved. Two nodes that point
+    to each other so move to one, the leaves of a star all to one, and of a chain, whatever its ids' order, some
+    third remains. Edges within one node fall away, repeated ones become one, and nodes without edges are settled, so
+    the edge list shrinks by a factor each round. At the end the rounds are followed backwards, and every component
+    is named by its smallest node.
     """
     left = cut_lineage(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).filter("src <> dst").distinct())
     rounds: list[DataFrame] = []
     for step in range(max_rounds):
         if left.isEmpty():
             break
-        first = lambda c: F.struct(F.xxhash64(F.lit(step), c).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
-        ends = left.select(F.col("src").alias("node"), F.least(first("src"), first("dst")).alias("to")).unionByName(left.select(F.col("dst").alias("node"), F.least(first("src"), first("dst")).alias("to")))
-        points = cut_lineage(ends.groupBy("node").agg(F.min("to").alias("to")).select("node", F.col("to.n").alias("to")))
-        onward = points.select(F.col("node").alias("to"), F.col("to").alias("last"))
-        hops = cut_lineage(points.join(onward.hint("merge"), "to").select("node", F.col("last").alias("root")))
+        named = lambda node, to: left.select(F.col(node).alias("node"), F.struct(F.xxhash64(F.lit(step), to).alias("h"), F.col(to).alias("n")).alias("to"))  # noqa: E731, B023
+        points = named("src", "dst").unionByName(named("dst", "src")).groupBy("node").agg(F.min("to").alias("to"))
+        onward = points.select(F.col("node").alias("over"), F.col("to").alias("next"))
+        hops = points.withColumn("over", F.col("to.n")).join(onward.hint("merge"), "over")
+        hops = cut_lineage(hops.select("node", F.least("to", "next").getField("n").alias("root")))
         rounds.append(hops)
         a, b = hops.select(F.col("node").alias("src"), F.col("root").alias("a")), hops.select(F.col("node").alias("dst"), F.col("root").alias("b"))
         moved = left.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").filter("a <> b")
@@ -64,8 +65,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     found = rounds[-1]
     for hops in reversed(rounds[:-1]):
         known = found.select(F.col("node").alias("root"), F.col("root").alias("last"))
-        found = cut_lineage(hops.join(known.hint("merge"), "root", "left").select("node", F.coalesce("last", "root").alias("root")))
-    names = cut_lineage(found.groupBy("root").agg(F.min("node").alias("component")))
+        found = hops.join(known.hint("merge"), "root", "left").select("node", F.coalesce("last", "root").alias("root"))
+    found = cut_lineage(found)
+    names = found.groupBy("root").agg(F.min("node").alias("component"))
     return cut_lineage(found.join(names.hint("merge"), "root").select("node", "component"))
 
 

@@ -458,6 +458,6 @@ def blob_log(px: DataFrame, sigmas: list[float], min_response: float = 0.01, ove
 def blob_to_box(blobs: DataFrame, plates: DataFrame, min_area: float = 1500, max_area: float = 100_000) -> DataFrame:
     """x1, y1, x2, y2 of blobs: half a side is int(2.5 * sigma * sqrt(2)), clipped; of areas within the limits."""
     half = (F.col("sigma") * math.sqrt(2) * 2.5).cast("int")
-    b = blobs.join(plates.select(KEY, "width", "height"), KEY)
+    b = blobs.join(plates.select(KEY, "width", "height").hint("merge"), KEY)
     b = b.select(*blobs.columns, F.greatest(F.lit(0), F.col("x").cast("int") - half).alias("x1"), F.greatest(F.lit(0), F.col("y").cast("int") - half).alias("y1"), F.least(F.col("width").cast("int"), F.col("x").cast("int") + half).alias("x2"), F.least(F.col("height").cast("int"), F.col("y").cast("int") + half).alias("y2"))
     return b.withColumn("area", (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))).filter(F.col("area").between(min_area, max_area))

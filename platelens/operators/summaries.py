@@ -21,7 +21,7 @@ def dataset_stats(labels: DataFrame, splits: list[str]) -> DataFrame:
     """Non-empty tiles and annotations of each split, with zeros for splits without any."""
     per = labels.groupBy("split").agg(F.count_distinct("plate_id", "tile_id").alias("tiles"), F.count(F.lit(1)).alias("annotations"))
     wanted = labels.sparkSession.createDataFrame([(s,) for s in splits], "split string")
-    return wanted.join(F.broadcast(per), "split", "left").select("split", F.coalesce("tiles", F.lit(0)).alias("tiles"), F.coalesce("annotations", F.lit(0)).alias("annotations"))
+    return wanted.join(per.hint("merge"), "split", "left").select("split", F.coalesce("tiles", F.lit(0)).alias("tiles"), F.coalesce("annotations", F.lit(0)).alias("annotations"))
 
 
 def measurement_summary(rows: DataFrame, unit: str = "um", key: str | None = "plate_id", overall: bool = False) -> DataFrame:

@@ -249,7 +249,7 @@ def j02_iou_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query(duck("fx_det") + _PAIRS + " SELECT plate_id, det_seq, r_det_seq, round(common / (total - common), 6) AS iou FROM pr WHERE common / (total - common) >= 0.25")
 def j02_iou_pairs_mixed_sizes(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(spatial.iou_pairs(view(spark, d, "fx_det"), 0.25, strict=False, cell=16, mixed_sizes=True), "iou")
+    return rounded(spatial.iou_pairs(view(spark, d, "fx_det"), 0.25, strict=False, cell=4, mixed_sizes=True), "iou")
 
 
 def crops(det: DataFrame, gray: DataFrame) -> DataFrame:

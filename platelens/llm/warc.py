@@ -82,7 +82,7 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 100, level:
 
     members = rows.mapInArrow(pack, "page_id long, url string, digest string, n long, member binary")
     joined = members.join(firsts.hint("merge"), F.col("digest") == F.col("g_digest"), "left").drop("g_digest")
-    joined.mapInArrow(finish, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\x00").text(path)
+    joined.mapInArrow(finish, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\x00").option("compression", "none").text(path)
 
 
 class _Window:

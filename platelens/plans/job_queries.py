@@ -11,6 +11,7 @@ from ..operators import labels, suppress, summaries, tiles
 from ..sources import tables
 from ..streaming import streams
 from . import jobs
+from .io_queries import folder
 from .registry import query, rounded
 from .table_queries import _grid_sql, _nms_sql, _ROI_TILES, roi_tiles
 
@@ -81,6 +82,22 @@ def m02_progress(spark: SparkSession, d: str) -> DataFrame:
     return streams.progress(events(spark, d), 1_000_000, "user_id")
 
 
+@query(
+    """WITH e AS (SELECT user_id, count(*) AS n, max(epoch_ms(ts)) AS last FROM events GROUP BY user_id), w AS (SELECT max(epoch_ms(ts)) - 600000 AS mark FROM events)
+    SELECT CAST(user_id AS VARCHAR) AS plate_id, 'open' AS status, n AS detections, 1::BIGINT AS updates FROM e
+    UNION ALL SELECT CAST(user_id AS VARCHAR), 'closed', n, 1 FROM e, w WHERE last + 600000 < mark"""
+)
+def m02_plate_states(spark: SparkSession, d: str) -> DataFrame:
+    """The events as one arrival: every plate opens, and those that the watermark has passed by ten minutes close."""
+    path, out = folder(spark, "arrivals"), folder(spark, "states")
+    events(spark, d).select("user_id", "ts").repartition(1).write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    states = streams.plate_states(stream, key="user_id", time="ts").writeStream.outputMode("update")
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    states.foreachBatch(write).option("checkpointLocation", folder(spark, "states-progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).drop("batch")
+
+
 @query('SELECT date_trunc(\'hour\', ts) AS start, date_trunc(\'hour\', ts) + INTERVAL 1 HOUR AS "end", count(*) AS n, round(sum(value), 4) AS organisms FROM events GROUP BY 1, 2')
 def m03_throughput(spark: SparkSession, d: str) -> DataFrame:
     return rounded(streams.throughput(events(spark, d)), "organisms", digits=4)

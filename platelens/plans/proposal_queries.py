@@ -158,7 +158,7 @@ def x05_propose_cv_fast(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def x06_propose_multifeature(spark: SparkSession, d: str) -> DataFrame:
-    found = jobs.propose_multifeature(*scene(spark, d), ring=4, shrink=0, min_size=6, close=1, times=1, min_area=4, min_expanded=20)
+    found = jobs.propose_multifeature(*scene(spark, d), threshold=110, ring=4, shrink=0, min_size=6, close=1, times=1, min_area=4, min_expanded=20)
     return rounded(found.select("plate_id", "rank", "x1", "y1", "x2", "y2", "area", "eccentricity", "conf"), "eccentricity", "conf")
 
 

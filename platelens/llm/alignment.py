@@ -33,7 +33,7 @@ from .common import discard, materialise
 
 STEP = "block long, place int, doc_id long, n_a long, n_b long, n_groups long, n_links long, n_overlaps long, groups string, pair long, docs binary, times binary"
 #: Documents of one block, by number and bytes (a longer text is a block of its own); stretches that a task remembers.
-_BLOCK_ROWS, _BLOCK_BYTES, _MEMORY = 16_384, 8 << 20, 700_000
+_BLOCK_ROWS, _BLOCK_BYTES, _MEMORY = 16_384, 4 << 20, 350_000
 #: Stretches that are encoded in one call, and their bytes that are multiplied together.
 _JOINED, _PRODUCT_BYTES = 128, 1 << 19
 #: An id pair as a number: A's id, then these bits for B's.
@@ -144,11 +144,26 @@ class Aligner:
         #: stretch k: id pairs pair[stop[k]:stop[k + 1]], each with its number of links, and groups as text
         self.stop, self.pair, self.times = np.zeros(1, np.int64), np.zeros(0, np.uint32), np.zeros(0, np.int32)
         self.groups: list[bytes] = []
+        self.blocks = np.zeros(0, np.int32)  # in how many blocks a stretch has come
+
+    def _forget_rare(self) -> None:
+        """Keep the stretches that came in several blocks, if they leave room for others."""
+        kept = np.flatnonzero(self.blocks > 1)
+        if len(kept) > _MEMORY // 2:
+            return self.forget()
+        names = list(self.numbers)  # in the order of their numbers
+        self.numbers = {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.groups = [self.groups[k] for k in kept.tolist()]
+        self.sums, self.blocks = self.sums[kept], np.ones(len(kept), np.int32)
+        self.pair, size = _gather(self.pair, self.stop, kept)
+        self.times, _ = _gather(self.times, self.stop, kept)
+        self.stop = np.concatenate([[0], np.cumsum(size)])
 
     def number(self, stretches: list[bytes]) -> np.ndarray:
-        if len(self.numbers) + len(stretches) > _MEMORY:
-            self.forget()
         new = [s for s in stretches if s not in self.numbers]
+        if len(self.numbers) + len(new) > _MEMORY and self.numbers:
+            self._forget_rare()
+            new = [s for s in stretches if s not in self.numbers]
         at, added = 0, []
         while at < len(new):
             upto, size = at, 0
@@ -162,7 +177,10 @@ class Aligner:
             self.sums = np.concatenate([self.sums, sums.astype(np.int32)])
             self.stop = np.concatenate([self.stop, self.stop[-1] + np.cumsum(size)])
             self.pair, self.times = np.concatenate([self.pair, pair.astype(np.uint32)]), np.concatenate([self.times, times.astype(np.int32)])
-        return np.fromiter(map(self.numbers.__getitem__, stretches), np.int64, len(stretches))
+            self.blocks = np.concatenate([self.blocks, np.zeros(len(self.sums) - len(self.blocks), np.int32)])
+        found = np.fromiter(map(self.numbers.__getitem__, stretches), np.int64, len(stretches))
+        self.blocks[found] += 1
+        return found
 
     def _encode(self, side: int, groups: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all stretches in a row, number of each stretch's ids, groups whose bytes come back and whose

@@ -82,7 +82,7 @@ def test_equals_whole_encodings(spark):
 def test_forgetting_and_small_blocks(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(texts()) if i < 60]
     aligner = Aligner(A, B)
-    monkeypatch.setattr(alignment, "_MEMORY", 40)
+    monkeypatch.setattr(alignment, "_MEMORY", 400)
     monkeypatch.setattr(alignment, "_PRODUCT_BYTES", 64)
     monkeypatch.setattr(alignment, "_JOINED", 3)
     byte_bpe = Tokenizer.from_file(A)

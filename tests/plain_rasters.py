@@ -210,3 +210,14 @@ def blobs(img, sigmas, least=0.01, most=0.5):
             if lens / (math.pi * b * b) > most:
                 gone.add(i if o > r or (o == r and u >= v) else j)
     return [(x, y, sigmas[s], v) for k, (s, y, x, v, _) in enumerate(found) if k not in gone]
+
+
+def perimeter(part):
+    """Weights by the codes of the border pixels: 2 for each neighbour on the border by a side, 10 by a corner."""
+    inside = set(part)
+    border = {(y, x) for y, x in part if not all(n in inside for n in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)))}
+    total = 0.0
+    for y, x in border:
+        code = 1 + sum(10 if i and j else 2 for j in (-1, 0, 1) for i in (-1, 0, 1) if (i or j) and (y + j, x + i) in border)
+        total += 1 if code in (5, 7, 15, 17, 25, 27) else math.sqrt(2) if code in (21, 33) else (1 + math.sqrt(2)) / 2 if code in (13, 23) else 0
+    return total

@@ -184,3 +184,22 @@ def test_batch_goes_on_where_the_model_fails(spark, px, plates):
     got = {r.plate_id: (r.status, r.organisms, r.error) for r in summary.collect()}
     assert got == {1: ("ok", 1, None), 2: ("failed", 0, "RuntimeError: no weights"), 7: ("missing", 0, None)}
     assert [(r.plate_id, r.method) for r in measured.collect()] == [(1, "fast")]
+
+
+def test_measure_from_masks(spark):
+    """A mask is one region, in one piece or not; a box without one is measured by its sides."""
+    masks = {(p, k): part for p, img in SCENES.items() for k, part in enumerate(P.components(img > 100))}
+    masks[1, 50] = sorted(masks[1, 0] + masks[1, 5])  # two pieces
+    px = spark.createDataFrame([(p, k, int(x), int(y)) for (p, k), part in masks.items() for y, x in part], "plate_id long, det_seq int, x long, y long")
+    runs = raster.to_runs(px.select(F.struct("plate_id", "det_seq").alias("plate_id"), "x", "y")).select("plate_id.plate_id", "plate_id.det_seq", "y", "x0", "x1")
+    boxes = spark.createDataFrame([(p, k, 0.0, 0.0, 9.0, 5.0) for p, k in [*masks, (2, 70)]], "plate_id long, det_seq int, x1 double, y1 double, x2 double, y2 double")
+    got = {(r.plate_id, r.det_seq): r for r in jobs.measure_from_masks(boxes, runs, F.lit(2.0)).collect()}
+    assert set(got) == {*masks, (2, 70)}
+    for at, part in masks.items():
+        want, r = P.props(part), got[at]
+        assert r.mask_available and (r.area, round(r.perimeter, 9)) == (want["area"], round(P.perimeter(part), 9))
+        for name in ("major", "minor", "eccentricity", "solidity"):
+            assert abs(r[name] - want[name]) < 1e-9, (at, name)
+        assert abs(r.length_um - 2 * want["major"]) < 1e-9 and abs(r.volume_um3 - math.pi * want["minor"] ** 2 * 2 * want["major"]) < 1e-6
+    r = got[2, 70]
+    assert (r.mask_available, r.area, r.major, r.minor, r.perimeter, r.solidity) == (False, 45.0, 9.0, 5.0, 28.0, 0.0)

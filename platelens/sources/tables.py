@@ -70,7 +70,8 @@ def tiled_pixels(images: DataFrame, offsets: DataFrame, key: str = "plate_id", b
 
 
 def to_pixels(images: DataFrame, band: int = 64) -> DataFrame:
-    """(image_id, y, x, r, g, b) from BGR or gray bytes, in batches of `band` lines."""
+    """(image_id, y, x, r, g, b) from BGR, BGRA or gray bytes, in batches of `band` lines. Where a picture is wholly
+    transparent it has no pixel."""
 
     def unpack(batches):
         import numpy as np
@@ -80,9 +81,9 @@ def to_pixels(images: DataFrame, band: int = 64) -> DataFrame:
                 px = np.frombuffer(data, np.uint8).reshape(h, w, n)
                 for top in range(0, h, band):
                     part = px[top : top + band]
-                    y, x = np.indices(part.shape[:2])
-                    colour = [part[:, :, c].ravel() for c in ((2, 1, 0) if n >= 3 else (0, 0, 0))]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * y.size), pa.array((y + top).ravel(), pa.int32()), pa.array(x.ravel(), pa.int32()), *(pa.array(c, pa.int32()) for c in colour)], ["image_id", "y", "x", "r", "g", "b"])
+                    y, x = np.nonzero(part[:, :, 3]) if n == 4 else (i.ravel() for i in np.indices(part.shape[:2]))
+                    colour = [part[y, x, c] for c in ((2, 1, 0) if n >= 3 else (0, 0, 0))]
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * y.size, pa.string()), pa.array(y + top, pa.int32()), pa.array(x, pa.int32()), *(pa.array(c, pa.int32()) for c in colour)], ["image_id", "y", "x", "r", "g", "b"])
 
     return images.select("image_id", "width", "height", "nChannels", "data").mapInArrow(unpack, "image_id string, y int, x int, r int, g int, b int")
 

@@ -19,6 +19,9 @@ _LABELS = """, e AS (SELECT a.plate_id, a.y AS ay, a.x0 AS ax, b.y AS by_, b.x0
   full_ AS (SELECT runs.*, lab.label FROM runs JOIN lab USING (plate_id, y, x0)),
   sizes AS (SELECT plate_id, label, sum(x1 - x0 + 1)::BIGINT AS area FROM full_ GROUP BY ALL)"""
 _SIZE = "SELECT DISTINCT plate_id, 80 AS width, 40 AS height FROM fx_gray"
+# the last plate may be smaller than the others, and ragged
+_SIZES = ", sz AS (SELECT plate_id, max(x) + 1 AS width, max(y) + 1 AS height FROM fx_gray GROUP BY plate_id)"
+_CIRCLES = _SIZES + ", ci AS (SELECT plate_id, width // 2 AS cx, height // 2 AS cy, CAST(trunc(least(width, height) * 0.48::DOUBLE) AS INT) AS radius FROM sz)"
 
 
 def runs(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +120,8 @@ def r01_normalize_brightness(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     duck("fx_gray")
-    + """, p AS (SELECT plate_id, s.side, CAST(trunc(40 + (19 + s.r) * cos(a * 2 * pi() / 36)) AS INT) AS x, CAST(trunc(20 + (19 + s.r) * sin(a * 2 * pi() / 36)) AS INT) AS y FROM (SELECT DISTINCT plate_id FROM fx_gray), range(0, 36) t(a), (SELECT unnest(['in', 'out']) AS side, unnest([-4, 4]) AS r) s),
+    + _CIRCLES
+    + """, p AS (SELECT plate_id, s.side, CAST(trunc(cx + (radius + s.r) * cos(a * 2 * pi() / 36)) AS INT) AS x, CAST(trunc(cy + (radius + s.r) * sin(a * 2 * pi() / 36)) AS INT) AS y FROM ci, range(0, 36) t(a), (SELECT unnest(['in', 'out']) AS side, unnest([-4, 4]) AS r) s),
   c AS (SELECT p.plate_id, abs(quantile_cont(v, 0.5) FILTER (side = 'in') - quantile_cont(v, 0.5) FILTER (side = 'out')) AS contrast FROM p JOIN fx_gray g ON p.plate_id = g.plate_id AND p.x = g.x AND p.y = g.y GROUP BY p.plate_id)
   SELECT plate_id, 40 AS cx, 20 AS cy, 19 AS radius, contrast, contrast < 10 AS low_contrast FROM c"""
 )
@@ -127,9 +131,10 @@ def r02_plate_circle(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     duck("fx_gray")
-    + """, b AS (SELECT plate_id, v FROM fx_gray WHERE y = 0 UNION ALL SELECT plate_id, v FROM fx_gray WHERE y = 39 UNION ALL SELECT plate_id, v FROM fx_gray WHERE x = 0 UNION ALL SELECT plate_id, v FROM fx_gray WHERE x = 79),
+    + _CIRCLES
+    + """, b AS (SELECT plate_id, v FROM fx_gray WHERE y = 0 UNION ALL SELECT plate_id, v FROM fx_gray JOIN sz USING (plate_id) WHERE y = height - 1 UNION ALL SELECT plate_id, v FROM fx_gray WHERE x = 0 UNION ALL SELECT plate_id, v FROM fx_gray JOIN sz USING (plate_id) WHERE x = width - 1),
   m AS (SELECT plate_id, CAST(trunc(quantile_cont(v, 0.5)) AS INT) AS m FROM b GROUP BY plate_id)
-  SELECT g.plate_id, x, y, CASE WHEN pow(x - 40, 2) + pow(y - 20, 2) > 19 * 19 THEN m ELSE v END AS v FROM fx_gray g JOIN m ON g.plate_id = m.plate_id"""
+  SELECT g.plate_id, x, y, CASE WHEN pow(x - cx, 2) + pow(y - cy, 2) > radius * radius THEN m ELSE v END AS v FROM fx_gray g JOIN m ON g.plate_id = m.plate_id JOIN ci ON ci.plate_id = g.plate_id"""
 )
 def r03_mask_plate(spark: SparkSession, d: str) -> DataFrame:
     px, plates = view(spark, d, "fx_gray"), gray_plates(spark, d)
@@ -211,8 +216,9 @@ def r09_local_std(spark: SparkSession, d: str) -> DataFrame:
 
 
 # the image with a frame of three pixels in which it is mirrored, edge pixels included
-_MIRRORED = """, mir AS (SELECT plate_id, a.p AS x, b.q AS y, v FROM range(-3, 83) a(p), range(-3, 43) b(q), fx_gray g
-    WHERE g.x = CASE WHEN p < 0 THEN -1 - p WHEN p >= 80 THEN 159 - p ELSE p END AND g.y = CASE WHEN q < 0 THEN -1 - q WHEN q >= 40 THEN 79 - q ELSE q END),
+_MIRRORED = _SIZES + """, mx AS (SELECT plate_id, p AS x, CASE WHEN m < width THEN m ELSE 2 * width - 1 - m END AS sx FROM (SELECT plate_id, width, p, ((p % (2 * width)) + 2 * width) % (2 * width) AS m FROM (SELECT plate_id, width, unnest(range(-3, width + 3)) AS p FROM sz))),
+  my AS (SELECT plate_id, p AS y, CASE WHEN m < height THEN m ELSE 2 * height - 1 - m END AS sy FROM (SELECT plate_id, height, p, ((p % (2 * height)) + 2 * height) % (2 * height) AS m FROM (SELECT plate_id, height, unnest(range(-3, height + 3)) AS p FROM sz))),
+  mir AS (SELECT g.plate_id, mx.x, my.y, v FROM fx_gray g JOIN mx ON mx.plate_id = g.plate_id AND mx.sx = g.x JOIN my ON my.plate_id = g.plate_id AND my.sy = g.y),
   win AS (SELECT a.plate_id, a.x, a.y, avg(b.v) AS m, avg(b.v * b.v) AS q, max(b.v) AS hi, min(b.v) AS lo,
     max(b.v) FILTER (pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 9) AS disc FROM fx_gray a JOIN mir b ON a.plate_id = b.plate_id AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.y BETWEEN a.y - 3 AND a.y + 3 GROUP BY ALL)"""
 

@@ -61,7 +61,8 @@ def mask_plate(px: DataFrame, circles: DataFrame, plates: DataFrame, channels: t
 
 def clahe(px: DataFrame, plates: DataFrame, clip: float = 2.0, grid: int = 8) -> DataFrame:
     """Contrast-limited adaptive equalisation (Zuiderveld 1994): each tile's clipped histogram gives a lookup
-    table, each pixel mixes those of its four nearest tiles. Tiles are cut by ceiling division."""
+    table, each pixel mixes those of its four nearest tiles, as far as they have pixels. Tiles are cut by ceiling
+    division."""
     sized = px.join(plates.select(KEY, "width", "height").hint("merge"), KEY).withColumn("tw", F.ceil(F.col("width") / grid).cast("int")).withColumn("th", F.ceil(F.col("height") / grid).cast("int"))
     tiled = sized.withColumn("tx", F.floor(F.col("x") / F.col("tw")).cast("int")).withColumn("ty", F.floor(F.col("y") / F.col("th")).cast("int"))
     tile = [KEY, "tx", "ty"]
@@ -84,11 +85,15 @@ def clahe(px: DataFrame, plates: DataFrame, clip: float = 2.0, grid: int = 8) ->
     inner = lambda c, last: F.greatest(F.lit(0), F.least(last, c))
     corners = placed.select(KEY, corner_x.alias("cx"), corner_y.alias("cy"), last_x.alias("last_x"), last_y.alias("last_y")).distinct()
     spread = corners.select(KEY, "cx", "cy", F.explode(F.array(*(F.struct(F.lit(2 * dy + dx).alias("k"), inner(F.col("cx") + dx, F.col("last_x")).alias("tx"), inner(F.col("cy") + dy, F.col("last_y")).alias("ty")) for dx in (0, 1) for dy in (0, 1)))).alias("t")).select(KEY, "cx", "cy", "t.*")
-    four = spread.join(tables.hint("merge"), tile).groupBy(KEY, "cx", "cy").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "table"))), lambda e: e["table"]).alias("tables"))
+    four = spread.join(tables.hint("merge"), tile).groupBy(KEY, "cx", "cy").agg(F.map_from_entries(F.collect_list(F.struct("k", "table"))).alias("tables"))
     met = placed.withColumn("cx", corner_x).withColumn("cy", corner_y).join(four.hint("merge"), [KEY, "cx", "cy"])
     wx, wy = F.col("fx") - F.floor("fx"), F.col("fy") - F.floor("fy")
-    parts = [(wx if dx else 1 - wx) * (wy if dy else 1 - wy) * F.get(F.get("tables", F.lit(2 * dy + dx)), F.col("v").cast("int")) for dx in (0, 1) for dy in (0, 1)]
-    return met.select(KEY, "x", "y", F.floor(F.round(parts[0] + parts[1] + parts[2] + parts[3], 6) + 0.5).cast("int").alias("v"))
+    zero = F.lit(0.0)
+    tables_ = [((wx if dx else 1 - wx) * (wy if dy else 1 - wy), F.try_element_at("tables", F.lit(2 * dy + dx))) for dx in (0, 1) for dy in (0, 1)]
+    # tiles in which a ragged image has no pixels have no table; a pixel's own has one, and a quarter of the weight
+    weight = sum((F.when(t.isNotNull(), w).otherwise(zero) for w, t in tables_), zero)
+    mixed = sum((F.when(t.isNotNull(), w * F.get(t, F.col("v").cast("int"))).otherwise(zero) for w, t in tables_), zero)
+    return met.select(KEY, "x", "y", F.floor(F.round(mixed / weight, 6) + 0.5).cast("int").alias("v"))
 
 
 def _extrema(px: DataFrame, k: int, column: str, pick: np.ufunc, border: str, plates: DataFrame | None) -> DataFrame:

@@ -143,12 +143,15 @@ def r03_mask_plate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     duck("fx_gray")
-    + """, h AS (SELECT plate_id, x // 20 AS tx, y // 10 AS ty, v, count(*) AS n FROM fx_gray GROUP BY ALL),
-  e AS (SELECT plate_id, tx, ty, sum(greatest(0, n - 1)) AS ex FROM h GROUP BY ALL),
-  f AS (SELECT e.plate_id, e.tx, e.ty, k.v, least(coalesce(h.n, 0), 1) + e.ex // 256 + (k.v < e.ex % 256)::INT AS n FROM e CROSS JOIN range(0, 256) k(v) LEFT JOIN h ON h.plate_id = e.plate_id AND h.tx = e.tx AND h.ty = e.ty AND h.v = k.v),
-  lut AS (SELECT plate_id, tx, ty, v, floor((sum(n) OVER (PARTITION BY plate_id, tx, ty ORDER BY v))::DOUBLE * 255 / 200 + 0.5::DOUBLE) AS o FROM f),
-  q AS (SELECT *, (x + 0.5::DOUBLE) / 20 - 0.5::DOUBLE AS fx, (y + 0.5::DOUBLE) / 10 - 0.5::DOUBLE AS fy FROM fx_gray),
-  s AS (SELECT plate_id, x, y, v, greatest(0, least(3, CAST(floor(fx) AS INT) + i)) AS tx, greatest(0, least(3, CAST(floor(fy) AS INT) + j)) AS ty,
+    + _SIZES
+    + """, ti AS (SELECT plate_id, CAST(ceil(width / 4.0::DOUBLE) AS INT) AS tw, CAST(ceil(height / 4.0::DOUBLE) AS INT) AS th, width, height FROM sz),
+  h AS (SELECT plate_id, x // tw AS tx, y // th AS ty, v, count(*) AS n FROM fx_gray JOIN ti USING (plate_id) GROUP BY ALL),
+  c AS (SELECT plate_id, tx, ty, sum(n) AS pixels, greatest(1, CAST(trunc(2.0::DOUBLE * sum(n) / 256) AS BIGINT)) AS lim FROM h GROUP BY ALL),
+  e AS (SELECT plate_id, tx, ty, pixels, lim, sum(greatest(0, n - lim)) AS ex FROM h JOIN c USING (plate_id, tx, ty) GROUP BY ALL),
+  f AS (SELECT e.plate_id, e.tx, e.ty, e.pixels, k.v, least(coalesce(h.n, 0), e.lim) + e.ex // 256 + (k.v < e.ex % 256)::INT AS n FROM e CROSS JOIN range(0, 256) k(v) LEFT JOIN h ON h.plate_id = e.plate_id AND h.tx = e.tx AND h.ty = e.ty AND h.v = k.v),
+  lut AS (SELECT plate_id, tx, ty, v, floor((sum(n) OVER (PARTITION BY plate_id, tx, ty ORDER BY v))::DOUBLE * 255 / pixels + 0.5::DOUBLE) AS o FROM f),
+  q AS (SELECT plate_id, x, y, v, (x + 0.5::DOUBLE) / tw - 0.5::DOUBLE AS fx, (y + 0.5::DOUBLE) / th - 0.5::DOUBLE AS fy, CAST(ceil(width / tw::DOUBLE) AS INT) - 1 AS lx, CAST(ceil(height / th::DOUBLE) AS INT) - 1 AS ly FROM fx_gray JOIN ti USING (plate_id)),
+  s AS (SELECT plate_id, x, y, v, greatest(0, least(lx, CAST(floor(fx) AS INT) + i)) AS tx, greatest(0, least(ly, CAST(floor(fy) AS INT) + j)) AS ty,
     CASE WHEN i = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END * CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END AS w FROM q, range(0, 2) a(i), range(0, 2) b(j))
   SELECT s.plate_id, x, y, CAST(floor(round(sum(w * o), 6) + 0.5::DOUBLE) AS INT) AS v FROM s JOIN lut l ON l.plate_id = s.plate_id AND l.tx = s.tx AND l.ty = s.ty AND l.v = s.v GROUP BY s.plate_id, x, y"""
 )

@@ -22,28 +22,40 @@ _CELLS = 1 << 20
 class Lines:
     """Lines side by side: get(column, fill) has the column's values at their places and `fill` elsewhere."""
 
-    def __init__(self, line: np.ndarray, position: np.ndarray, columns: Callable[[str], np.ndarray], k: int):
+    def __init__(self, line: np.ndarray, position: np.ndarray, columns: Callable[[str], np.ndarray], gap: int):
         n = int(line[-1]) + 1 if len(line) else 0
         low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
         np.minimum.at(low, line, position)
         np.maximum.at(high, line, position)
-        span = np.where(high >= low, high - low + 1 + k, 0)
-        self.at = k + (np.cumsum(span) - span - low)[line] + position
-        self.size, self.k, self._columns = k + int(span.sum()), k, columns
+        span = np.where(high >= low, high - low + 1 + gap, 0)
+        self._base = gap + np.cumsum(span) - span - low
+        self.at = self._base[line] + position
+        self.size, self._columns, self._first = gap + int(span.sum()), columns, self._base + low
 
     def get(self, column: str, fill: float) -> np.ndarray:
         out = np.full(self.size, fill)
         out[self.at] = self._columns(column)
         return out
 
+    def around(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, line, position) of the places without a pixel that have one of their line at most k away, where
+        lines lie 2k apart."""
+        own = np.zeros(self.size)
+        own[self.at] = 1
+        place = np.flatnonzero((running(own, k, np.maximum) > 0) & (own == 0))
+        line = np.searchsorted(self._first - k, place, side="right") - 1
+        return place, line, place - self._base[line]
 
-def along(px: DataFrame, axis: str, k: int, outputs: dict[str, T.DataType], change: Callable[[Lines], dict[str, np.ndarray]]) -> DataFrame:
-    """px with the columns `outputs` more (or instead), which change(lines) gives in the lines' places."""
+
+def along(px: DataFrame, axis: str, k: int, outputs: dict[str, T.DataType], change: Callable[[Lines], dict[str, np.ndarray]], beyond: bool = False) -> DataFrame:
+    """px with the columns `outputs` more (or instead), which change(lines) gives in the lines' places. beyond: a
+    column `__there` more, and rows in which it is false for places up to k away from a line's pixels at which there
+    is none. A window over the other axis needs them where lines differ in length or have gaps."""
     other = "y" if axis == "x" else "x"
     passed = [c for c in px.columns if c not in (KEY, other)]
     lines = px.groupBy(KEY, other).agg(F.collect_list(F.struct(*passed)).alias("cells"))
     kept = [c for c in passed if c not in outputs]
-    schema = T.StructType([T.StructField(c, px.schema[c].dataType) for c in (KEY, other, *kept)] + [T.StructField(c, t) for c, t in outputs.items()])
+    schema = T.StructType([T.StructField(c, px.schema[c].dataType) for c in (KEY, other, *kept)] + [T.StructField(c, t) for c, t in outputs.items()] + [T.StructField("__there", T.BooleanType())] * beyond)
 
     def slices(batch: pa.RecordBatch):
         cells = batch.column(2)
@@ -61,13 +73,18 @@ def along(px: DataFrame, axis: str, k: int, outputs: dict[str, T.DataType], chan
                 line = np.repeat(np.arange(b.num_rows), b.column(2).value_lengths().to_numpy(zero_copy_only=False))
                 # a null, of which Arrow's floats make NaN, is like a pixel that isn't there
                 values = lambda c, flat=flat: np.nan_to_num(flat.field(c).to_numpy(zero_copy_only=False).astype(np.float64))
-                lines_ = Lines(line, flat.field(axis).to_numpy(zero_copy_only=False).astype(np.int64), values, k)
+                lines_ = Lines(line, flat.field(axis).to_numpy(zero_copy_only=False).astype(np.int64), values, 2 * k if beyond else k)
                 made = change(lines_)
-                row = pa.array(line)
-                arrays = [b.column(0).take(row), b.column(1).take(row), *(flat.field(c) for c in kept)]
+                places = [(lines_.at, line, None), *([lines_.around(k)] if beyond else [])]
                 kinds = {c: pa.int32() if isinstance(t, T.IntegerType) else pa.int64() if isinstance(t, T.LongType) else pa.float64() for c, t in outputs.items()}
-                arrays += [pa.array(made[c][lines_.at]).cast(kinds[c], safe=False) for c in outputs]
-                yield pa.RecordBatch.from_arrays(arrays, [KEY, other, *kept, *outputs])
+                for place, of, position in places:
+                    row = pa.array(of)
+                    if position is None:
+                        passed_on = [flat.field(c) for c in kept]
+                    else:
+                        passed_on = [pa.array(position).cast(flat.field(c).type) if c == axis else pa.nulls(len(place), flat.field(c).type) for c in kept]
+                    arrays = [b.column(0).take(row), b.column(1).take(row), *passed_on, *(pa.array(made[c][place]).cast(kinds[c], safe=False) for c in outputs)]
+                    yield pa.RecordBatch.from_arrays(arrays + [pa.array(np.full(len(place), position is None))] * beyond, schema.names)
 
     return lines.mapInArrow(work, schema)
 
@@ -93,6 +110,19 @@ def running(values: np.ndarray, k: int, pick: np.ufunc) -> np.ndarray:
     return pick(right[:n], left[2 * k : 2 * k + n])
 
 
+def summed(values: np.ndarray, k: int) -> np.ndarray:
+    """Sums over k places to both sides, made up of blocks' sums from the left and from the right as in `running`, so
+    that no sum is longer than a window."""
+    width, n = 2 * k + 1, len(values)
+    padded = np.zeros(-(-(n + 2 * k) // width) * width)
+    padded[k : k + n] = values
+    blocks = padded.reshape(-1, width)
+    left, right = np.cumsum(blocks, axis=1).ravel(), np.cumsum(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    out = right[:n] + left[2 * k : 2 * k + n]
+    out[::width] = right[:n:width]  # a window that is a whole block
+    return out
+
+
 def running_ellipse(lines: Lines, columns: dict[int, str], halves: list[int], pick: np.ufunc) -> np.ndarray:
     """The extremum over lines up to len(halves) - 1 away, of which each has its own column by its half width."""
     fill, k = (-np.inf if pick is np.maximum else np.inf), len(halves) - 1

@@ -12,17 +12,11 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .components import connected_components, cut_lineage
-from .lines import along, running, running_ellipse, smoothed, within
+from .lines import along, running, running_ellipse, smoothed, summed, within
 
 KEY = "plate_id"
 
 
-def _line(axis: str, k: int):
-    """Frame of k pixels to both sides along an axis."""
-    other = "y" if axis == "x" else "x"
-    return W.partitionBy(KEY, other).orderBy(axis).rangeBetween(-k, k)
-
-
 def normalize_brightness(px: DataFrame, target: float = 50, threshold: float = 45, auto: bool = True) -> DataFrame:
     """Shift images whose median is below threshold (all, unless auto) to the target median."""
     med = px.groupBy(KEY).agg(F.percentile("v", 0.5).alias("__m"))
@@ -96,25 +90,30 @@ def clahe(px: DataFrame, plates: DataFrame, clip: float = 2.0, grid: int = 8) ->
     return met.select(KEY, "x", "y", F.floor(F.round(mixed / weight, 6) + 0.5).cast("int").alias("v"))
 
 
-def _extrema(px: DataFrame, k: int, column: str, pick: np.ufunc, border: str, plates: DataFrame | None) -> DataFrame:
+def _extrema(px: DataFrame, k: int, column: str, pick: np.ufunc, border: str, plates: DataFrame | None, gaps: str) -> DataFrame:
     kind = {column: px.schema[column].dataType}
     fill = -np.inf if pick is np.maximum else np.inf
-    one = lambda df, axis: along(df, axis, k, kind, lambda lines: {column: running(lines.get(column, fill), k, pick)})
-    return within(px, plates, border, k, lambda df: one(one(df, "x"), "y")).select(*px.columns)
+    if gaps not in ("square", "lines"):
+        raise ValueError(f"no such rule for gaps: {gaps}")
+    one = lambda df, axis, beyond=False: along(df, axis, k, kind, lambda lines: {column: running(lines.get(column, fill), k, pick)}, beyond)
+    square = lambda df: one(one(df, "x", True), "y").filter("__there").drop("__there")
+    return within(px, plates, border, k, square if gaps == "square" else lambda df: one(one(df, "x"), "y")).select(*px.columns)
 
 
-def dilate(px: DataFrame, k: int, column: str = "v", border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
-    """Maximum over a square of 2k+1 pixels; with border='reflect', of the image mirrored at its edges."""
-    return _extrema(px, k, column, np.maximum, border, plates)
+def dilate(px: DataFrame, k: int, column: str = "v", border: str = "shrink", plates: DataFrame | None = None, gaps: str = "square") -> DataFrame:
+    """Maximum over a square of 2k+1 pixels; with border='reflect', of the image mirrored at its edges. Where an image
+    has gaps or is ragged, over the pixels of the square that it has; gaps='lines' takes of them only those from which
+    a pixel of the same line leads to this one along its column."""
+    return _extrema(px, k, column, np.maximum, border, plates, gaps)
 
 
-def erode(px: DataFrame, k: int, column: str = "v", border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
-    return _extrema(px, k, column, np.minimum, border, plates)
+def erode(px: DataFrame, k: int, column: str = "v", border: str = "shrink", plates: DataFrame | None = None, gaps: str = "square") -> DataFrame:
+    return _extrema(px, k, column, np.minimum, border, plates, gaps)
 
 
-def morphology(px: DataFrame, op: str, k: int, border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:
+def morphology(px: DataFrame, op: str, k: int, border: str = "shrink", plates: DataFrame | None = None, gaps: str = "square") -> DataFrame:
     """erode, dilate, open, close, tophat (v - open) or blackhat (close - v) with a square."""
-    rule = {"border": border, "plates": plates}
+    rule = {"border": border, "plates": plates, "gaps": gaps}
     if op == "erode":
         return erode(px, k, **rule)
     if op == "dilate":
@@ -140,8 +139,8 @@ def morphology_ellipse(px: DataFrame, op: str, k: int, border: str = "shrink", p
     kind = px.schema["v"].dataType
 
     def disc(df: DataFrame) -> DataFrame:
-        wide = along(df, "x", k, {c: T.DoubleType() for c in columns.values()}, lambda lines: {c: running(lines.get("v", fill), h, pick) for h, c in columns.items()})
-        return along(wide, "y", k, {"v": kind}, lambda lines: {"v": running_ellipse(lines, columns, halves, pick)}).drop(*columns.values())
+        wide = along(df, "x", k, {c: T.DoubleType() for c in columns.values()}, lambda lines: {c: running(lines.get("v", fill), h, pick) for h, c in columns.items()}, beyond=True)
+        return along(wide, "y", k, {"v": kind}, lambda lines: {"v": running_ellipse(lines, columns, halves, pick)}).filter("__there").drop("__there", *columns.values())
 
     return within(px, plates, border, k, disc).select(*px.columns)
 
@@ -155,12 +154,12 @@ def close_mask(mask: DataFrame, px: DataFrame, k: int = 1, times: int = 1) -> Da
     return v.filter("v = 1").select(KEY, "x", "y")
 
 
-def subtract_background(px: DataFrame, op: str = "tophat", k: int = 25) -> DataFrame:
+def subtract_background(px: DataFrame, op: str = "tophat", k: int = 25, gaps: str = "square") -> DataFrame:
     """'tophat'/'blackhat' as such; 'opening': gray minus its opening, not below 0."""
     if op == "opening":
-        return morphology(px, "tophat", k).withColumn("v", F.greatest(F.lit(0), F.col("v")))
+        return morphology(px, "tophat", k, gaps=gaps).withColumn("v", F.greatest(F.lit(0), F.col("v")))
     if op in ("tophat", "blackhat"):
-        return morphology(px, op, k)
+        return morphology(px, op, k, gaps=gaps)
     raise ValueError(f"no such operation: {op}")
 
 
@@ -199,11 +198,7 @@ def local_mean(px: DataFrame, block: int, kernel: str = "box", sigma: float | No
     Gaussian is taken line by line, at a cost that doesn't grow with its width."""
     k = block // 2
     if kernel == "box":
-        def box(df: DataFrame) -> DataFrame:
-            rows = df.withColumn("__s", F.sum(column).over(_line("x", k))).withColumn("__n", F.count(column).over(_line("x", k)))
-            return rows.withColumn(name, F.sum("__s").over(_line("y", k)) / F.sum("__n").over(_line("y", k))).drop("__s", "__n")
-
-        return within(px, plates, border, k, box)
+        return _box_means(px, k, {name: F.col(column)}, border, plates)
     if kernel != "gaussian":
         raise ValueError(f"no such kernel: {kernel}")
     sigma = sigma or block / 6
@@ -219,11 +214,24 @@ def local_mean(px: DataFrame, block: int, kernel: str = "box", sigma: float | No
     return within(px, plates, border, k, gaussian).select(*px.columns, name)
 
 
+def _box_means(px: DataFrame, k: int, means: dict[str, Column], border: str, plates: DataFrame | None) -> DataFrame:
+    """px and the mean of each column over the pixels that there are of a square, all from one pass along each axis."""
+    kinds = {f"__{part}{i}": T.DoubleType() for i in range(len(means)) for part in "sn"}
+    step = lambda lines: {c: summed(lines.get(c, 0.0), k) for c in kinds}
+
+    def box(df: DataFrame) -> DataFrame:
+        start = df.withColumns({f"__s{i}": F.coalesce(c.cast("double"), F.lit(0.0)) for i, c in enumerate(means.values())} | {f"__n{i}": c.isNotNull().cast("double") for i, c in enumerate(means.values())})
+        sums = along(along(start, "x", k, kinds, step, beyond=True), "y", k, kinds, step).filter("__there")
+        return sums.withColumns({c: F.when(F.col(f"__n{i}") > 0, F.col(f"__s{i}") / F.col(f"__n{i}")) for i, c in enumerate(means)}).drop("__there", *kinds)
+
+    return within(px, plates, border, k, box).select(*px.columns, *means)
+
+
 def _moments(px: DataFrame, block: int, name: str, border: str, plates: DataFrame | None) -> DataFrame:
     """px and the variance over a square, as `name`."""
-    rule = {"border": border, "plates": plates}
-    both = local_mean(local_mean(px.withColumn("__q", F.col("v") * F.col("v")), block, name="__m", **rule), block, column="__q", name="__mq", **rule)
-    return both.withColumn(name, F.col("__mq") - F.col("__m") * F.col("__m")).drop("__q", "__m", "__mq")
+    v = F.col("v")
+    both = _box_means(px, block // 2, {"__m": v, "__mq": v * v}, border, plates)
+    return both.withColumn(name, F.col("__mq") - F.col("__m") * F.col("__m")).drop("__m", "__mq")
 
 
 def local_variance(px: DataFrame, block: int = 21, border: str = "shrink", plates: DataFrame | None = None) -> DataFrame:

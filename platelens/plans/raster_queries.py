@@ -166,12 +166,12 @@ def _window(f: str, k: int, src: str, out: str) -> str:
 
 @query(duck("fx_gray") + ", " + _window("min", 2, "fx_gray", "e") + ", " + _window("max", 2, "e", "o") + " SELECT g.plate_id, g.x, g.y, g.v - o.v AS v FROM fx_gray g JOIN o USING (plate_id, x, y)")
 def r05_tophat(spark: SparkSession, d: str) -> DataFrame:
-    return R.subtract_background(view(spark, d, "fx_gray"), "tophat", 2)
+    return R.subtract_background(view(spark, d, "fx_gray"), "tophat", 2, gaps="lines")
 
 
 @query(duck("fx_gray") + ", " + _window("max", 2, "fx_gray", "a") + ", " + _window("min", 2, "a", "b") + " SELECT plate_id, x, y, v FROM b")
 def r05_close(spark: SparkSession, d: str) -> DataFrame:
-    return R.morphology(view(spark, d, "fx_gray"), "close", 2)
+    return R.morphology(view(spark, d, "fx_gray"), "close", 2, gaps="lines")
 
 
 @query(duck("fx_gray") + " SELECT a.plate_id, a.x, a.y, max(b.v) AS v FROM fx_gray a JOIN fx_gray b ON a.plate_id = b.plate_id AND b.x BETWEEN a.x - 3 AND a.x + 3 AND b.y BETWEEN a.y - 3 AND a.y + 3 AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 9 GROUP BY ALL")

@@ -123,7 +123,7 @@ def r01_normalize_brightness(spark: SparkSession, d: str) -> DataFrame:
     + _CIRCLES
     + """, p AS (SELECT plate_id, s.side, CAST(trunc(cx + (radius + s.r) * cos(a * 2 * pi() / 36)) AS INT) AS x, CAST(trunc(cy + (radius + s.r) * sin(a * 2 * pi() / 36)) AS INT) AS y FROM ci, range(0, 36) t(a), (SELECT unnest(['in', 'out']) AS side, unnest([-4, 4]) AS r) s),
   c AS (SELECT p.plate_id, abs(quantile_cont(v, 0.5) FILTER (side = 'in') - quantile_cont(v, 0.5) FILTER (side = 'out')) AS contrast FROM p JOIN fx_gray g ON p.plate_id = g.plate_id AND p.x = g.x AND p.y = g.y GROUP BY p.plate_id)
-  SELECT plate_id, 40 AS cx, 20 AS cy, 19 AS radius, contrast, contrast < 10 AS low_contrast FROM c"""
+  SELECT plate_id, CAST(cx AS INT) AS cx, CAST(cy AS INT) AS cy, radius, contrast, coalesce(contrast < 10, true) AS low_contrast FROM ci LEFT JOIN c USING (plate_id)"""
 )
 def r02_plate_circle(spark: SparkSession, d: str) -> DataFrame:
     return R.plate_circle(view(spark, d, "fx_gray"), gray_plates(spark, d), ring=4)
@@ -153,7 +153,7 @@ def r03_mask_plate(spark: SparkSession, d: str) -> DataFrame:
   q AS (SELECT plate_id, x, y, v, (x + 0.5::DOUBLE) / tw - 0.5::DOUBLE AS fx, (y + 0.5::DOUBLE) / th - 0.5::DOUBLE AS fy, CAST(ceil(width / tw::DOUBLE) AS INT) - 1 AS lx, CAST(ceil(height / th::DOUBLE) AS INT) - 1 AS ly FROM fx_gray JOIN ti USING (plate_id)),
   s AS (SELECT plate_id, x, y, v, greatest(0, least(lx, CAST(floor(fx) AS INT) + i)) AS tx, greatest(0, least(ly, CAST(floor(fy) AS INT) + j)) AS ty,
     CASE WHEN i = 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END * CASE WHEN j = 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END AS w FROM q, range(0, 2) a(i), range(0, 2) b(j))
-  SELECT s.plate_id, x, y, CAST(floor(round(sum(w * o), 6) + 0.5::DOUBLE) AS INT) AS v FROM s JOIN lut l ON l.plate_id = s.plate_id AND l.tx = s.tx AND l.ty = s.ty AND l.v = s.v GROUP BY s.plate_id, x, y"""
+  SELECT s.plate_id, x, y, CAST(floor(round(sum(w * o) / sum(w), 6) + 0.5::DOUBLE) AS INT) AS v FROM s JOIN lut l ON l.plate_id = s.plate_id AND l.tx = s.tx AND l.ty = s.ty AND l.v = s.v GROUP BY s.plate_id, x, y"""
 )
 def r04_clahe(spark: SparkSession, d: str) -> DataFrame:
     return R.clahe(view(spark, d, "fx_gray"), gray_plates(spark, d), 2.0, 4)
@@ -260,7 +260,13 @@ def r10_gradient(spark: SparkSession, d: str) -> DataFrame:
     return R.gradient(view(spark, d, "fx_gray")).select("plate_id", "x", "y", F.col("gx").cast("long").alias("gx"), F.col("gy").cast("long").alias("gy"))
 
 
-@query(duck("fx_gray") + " SELECT plate_id, CAST(floor(x * 32.0::DOUBLE / 80) AS INT) AS x, CAST(floor(y * 16.0::DOUBLE / 40) AS INT) AS y, round(avg(v), 6) AS v FROM fx_gray GROUP BY ALL")
+@query(
+    duck("fx_gray")
+    + _SIZES
+    + """, sc AS (SELECT plate_id, width, height, CASE WHEN greatest(width, height) > 32 THEN 32::DOUBLE / greatest(width, height) ELSE 1.0::DOUBLE END AS s FROM sz),
+  nw AS (SELECT plate_id, width, height, greatest(1, round_even(width * s, 0)) AS w, greatest(1, round_even(height * s, 0)) AS h FROM sc)
+  SELECT plate_id, CAST(floor(x * w / width) AS INT) AS x, CAST(floor(y * h / height) AS INT) AS y, round(avg(v), 6) AS v FROM fx_gray JOIN nw USING (plate_id) GROUP BY ALL"""
+)
 def r18_downscale(spark: SparkSession, d: str) -> DataFrame:
     return rounded(R.downscale(view(spark, d, "fx_gray"), gray_plates(spark, d), 32), "v")
 

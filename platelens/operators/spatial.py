@@ -13,10 +13,10 @@ def _cell_range(low: Column, high: Column, cell: int) -> Column:
 
 
 def _size_class(x1: str, y1: str, x2: str, y2: str, cell: int) -> Column:
-    """Boxes of more than four cells a side get larger cells, twice as large a class, so that no box touches more
-    than 25 cells of its class."""
+    """Boxes of more than half a cell a side get larger cells, twice as large a class, so that no box touches more
+    than four cells of its class, and most touch one or two."""
     side = F.greatest(F.col(x2) - F.col(x1), F.col(y2) - F.col(y1), F.lit(1))
-    return F.greatest(F.lit(0), F.ceil(F.log2(side / (4 * cell)))).cast("int")
+    return F.greatest(F.lit(0), F.ceil(F.log2(2 * side / cell))).cast("int")
 
 
 def box_pairs(left: DataFrame, right: DataFrame, key: str = "plate_id", cell: int = 64) -> DataFrame:
@@ -48,7 +48,9 @@ def box_pairs(left: DataFrame, right: DataFrame, key: str = "plate_id", cell: in
         )
 
     larger_left = meet(spread(a, "", "__class", F.col("__class")), spread(b, "r_", "__r_class", F.explode(F.filter(classes, lambda k: k >= F.col("__r_class")))))
-    larger_right = meet(spread(a, "", "__class", F.explode(F.filter(classes, lambda k: k > F.col("__class")))), spread(b, "r_", "__r_class", F.col("__r_class")))
+    # the least class has no smaller boxes
+    upper = b.filter(F.col("__r_class") > F.array_min(classes))
+    larger_right = meet(spread(a, "", "__class", F.explode(F.filter(classes, lambda k: k > F.col("__class")))), spread(upper, "r_", "__r_class", F.col("__r_class")))
     return larger_left.unionByName(larger_right)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import duck, view
 from ..functions import geometry as G
 from ..operators import evaluate, filters, labels, spatial, summaries, suppress, tiles
+from ..operators.components import cut_lineage
 from .registry import query, rounded
 
 _GRID = """
@@ -374,15 +375,21 @@ _MATCH = """, cand AS (SELECT d.plate_id, d.det_seq, g.gt_id, d.conf,
 
 @query(duck("fx_det", "fx_gt") + _MATCH + " SELECT plate_id, det_seq, gt_id FROM m")
 def j08_match_ground_truth(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.match_ground_truth(view(spark, d, "fx_det"), view(spark, d, "fx_gt")).select("plate_id", "det_seq", "gt_id")
+    return evaluate.match_ground_truth(*_boxes(spark, d)).select("plate_id", "det_seq", "gt_id")
 
 
 _RATES = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 6) AS precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS recall,
     round(CASE WHEN 2 * tp + fp + fn > 0 AND tp > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END, 6) AS f1"""
 
 
+def _boxes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Detections, numbered once and written, and ground truth made of them."""
+    det = cut_lineage(view(spark, d, "fx_det").select("plate_id", "det_seq", "x1", "y1", "x2", "y2", "conf"))
+    return det, view(spark, d, "fx_gt", fx_det=det)
+
+
 def _matched(spark: SparkSession, d: str):
-    det, gt = view(spark, d, "fx_det"), view(spark, d, "fx_gt")
+    det, gt = _boxes(spark, d)
     return det, gt, evaluate.match_ground_truth(det, gt)
 
 
@@ -450,12 +457,12 @@ _THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
 @query(duck("fx_det", "fx_gt") + _MATCH_AT + " SELECT round(max(ap) FILTER (t = 0.5), 6) AS ap50, round(avg(ap), 6) AS ap50_95 FROM aps")
 def a11_map(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.mean_average_precision(view(spark, d, "fx_det"), view(spark, d, "fx_gt")), "ap50", "ap50_95")
+    return rounded(evaluate.mean_average_precision(*_boxes(spark, d)), "ap50", "ap50_95")
 
 
 @query(duck("fx_det", "fx_gt") + _MATCH_AT + " SELECT t AS threshold, round(ap, 6) AS ap FROM aps")
 def a11_average_precisions(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(evaluate.average_precisions(view(spark, d, "fx_det"), view(spark, d, "fx_gt"), _THRESHOLDS), "ap")
+    return rounded(evaluate.average_precisions(*_boxes(spark, d), _THRESHOLDS), "ap")
 
 
 @query(

@@ -158,3 +158,61 @@ def within(px: DataFrame, plates: DataFrame | None, border: str, k: int, work: C
     if border != "reflect" or plates is None:
         raise ValueError(f"no such rule for borders: {border}" if plates is not None else "mirroring needs the images' sizes")
     return work(mirrored(px, plates, k)).filter("__inside").drop("__inside")
+
+
+def first_of_component(block: np.ndarray, y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
+    """The number of the first run, by y and x0, of each run's component; runs are sorted by block, y and x0, and meet
+    in adjacent lines of one block if at most `reach` places lie between them."""
+    n = len(y)
+    if not n:
+        return np.zeros(0, np.int64)
+    line = np.cumsum(np.concatenate([[0], (block[1:] != block[:-1]) | (y[1:] != y[:-1])]))  # lines that have runs
+    start = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    follows = np.concatenate([[False], (block[start[1:]] == block[start[:-1]]) & (y[start[1:]] == y[start[:-1]] + 1)])
+    low = int(x0.min()) - reach
+    span = int(x1.max()) - low + 2 * reach + 2
+    first, last = line * span + (x0 - low), line * span + (x1 - low)
+    # in the line above: from the first run that ends far enough right to the last that begins far enough left
+    frm = np.searchsorted(last, first - span - reach, side="left")
+    to = np.searchsorted(first, last - span + reach, side="right")
+    above = np.maximum(line - 1, 0)
+    ends = np.append(start, n)
+    frm, to = np.maximum(frm, ends[above]), np.minimum(to, ends[above + 1])
+    count = np.where(follows[line], np.maximum(to - frm, 0), 0)
+    a = np.repeat(np.arange(n), count)
+    b = np.repeat(frm, count) + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+    root = np.arange(n)
+    while True:  # the larger root goes under the smaller one, then paths are cut short
+        ra, rb = root[a], root[b]
+        differ = ra != rb
+        if not differ.any():
+            return root
+        a, b, ra, rb = a[differ], b[differ], ra[differ], rb[differ]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+        while True:
+            onward = root[root]
+            if (onward == root).all():
+                break
+            root = onward
+
+
+def block_components(runs: DataFrame, block: tuple[str, ...], y: str, x0: str, x1: str, reach: int) -> DataFrame:
+    """runs with __ly and __la, the line and start of the first run of each run's component in its block. A block is
+    bounded by whoever dealt it out."""
+    kept = [c for c in runs.columns if c not in block]
+    grouped = runs.groupBy(*block).agg(F.collect_list(F.struct(*kept)).alias("runs"))
+    schema = T.StructType([T.StructField(c, runs.schema[c].dataType) for c in (*block, *kept)] + [T.StructField(c, T.LongType()) for c in ("__ly", "__la")])
+
+    def find(batches):
+        for b in batches:
+            column = b.column(len(block))
+            flat, of = column.flatten(), np.repeat(np.arange(b.num_rows), column.value_lengths().to_numpy(zero_copy_only=False))
+            line, start, end = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (y, x0, x1))
+            order = np.lexsort((start, line, of))
+            root = order[first_of_component(of[order], line[order], start[order], end[order], reach)]
+            first = np.empty(len(of), np.int64)
+            first[order] = root
+            row = pa.array(of)
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(row) for i in range(len(block))), *(flat.field(c) for c in kept), pa.array(line[first]), pa.array(start[first])], schema.names)
+
+    return grouped.mapInArrow(find, schema)

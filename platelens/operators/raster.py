@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .components import connected_components, cut_lineage
-from .lines import along, running, running_ellipse, smoothed, summed, within
+from .lines import along, block_components, running, running_ellipse, smoothed, summed, within
 
 KEY = "plate_id"
 
@@ -279,19 +279,35 @@ def to_pixels_of(runs: DataFrame) -> DataFrame:
     return runs.withColumn("x", F.explode(F.sequence("x0", "x1"))).drop("x0", "x1")
 
 
-def label_runs(runs: DataFrame, connectivity: int = 8, cell: int = 64) -> DataFrame:
-    """Adds label, the struct (y, x0) of the component's first run. Runs of adjacent lines meet by equality
-    on (image, line, cell of x), each pair in the cell where its overlap begins."""
-    reach = {4: 0, 8: 1}[connectivity]
-    runs = cut_lineage(runs)  # read several times below
-    wide = runs.select(KEY, "y", "x0", "x1").withColumn("__c", F.explode(F.sequence(F.floor((F.col("x0") - reach) / cell).cast("int"), F.floor((F.col("x1") + reach) / cell).cast("int"))))
-    upper = wide.select(KEY, (F.col("y") + 1).alias("y"), "__c", F.col("x0").alias("u0"), F.col("x1").alias("u1"))
-    touch = (F.col("x0") <= F.col("u1") + reach) & (F.col("x1") >= F.col("u0") - reach)
-    first = F.floor((F.greatest("x0", "u0") - reach) / cell) == F.col("__c")
-    met = wide.join(upper.hint("merge"), [KEY, "y", "__c"]).filter(touch & first)
-    links = met.select(F.struct(KEY, F.col("y").alias("y"), F.col("x0").alias("x0")).alias("src"), F.struct(KEY, (F.col("y") - 1).alias("y"), F.col("u0").alias("x0")).alias("dst"))
-    found = connected_components(links).select(F.col(f"node.{KEY}").alias(KEY), F.col("node.y").alias("y"), F.col("node.x0").alias("x0"), F.struct("component.y", "component.x0").alias("label"))
-    return runs.join(found.hint("merge"), [KEY, "y", "x0"], "left").withColumn("label", F.coalesce("label", F.struct(F.col("y").alias("y"), F.col("x0").alias("x0"))))
+def label_runs(runs: DataFrame, connectivity: int = 8, cell: int = 64, lines: int = 64, frame: int = 0) -> DataFrame:
+    """Adds label, the struct (y, x0) of the component's first run. Runs are cut into blocks of `lines` lines and
+    `4 * cell` columns, in which an Arrow pass finds components; only those that reach a block's border meet across it,
+    by equality on (image, line, cell of x) or (image, column), and are contracted as a graph. The blocks begin
+    `frame` pixels above and left of the image."""
+    reach, wide = {4: 0, 8: 1}[connectivity], 4 * cell
+    first, last = F.floor((F.col("x0") + frame) / wide), F.floor((F.col("x1") + frame) / wide)
+    pieces = runs.withColumn("__bx", F.explode(F.sequence(first.cast("long"), last.cast("long")))).withColumn("__by", F.floor((F.col("y") + frame) / lines))
+    pieces = pieces.withColumn("__a", F.greatest(F.col("x0").cast("long"), F.col("__bx") * wide - frame)).withColumn("__b", F.least(F.col("x1").cast("long"), (F.col("__bx") + 1) * wide - 1 - frame))
+    found = cut_lineage(block_components(pieces, (KEY, "__bx", "__by"), "y", "__a", "__b", reach))
+    at = F.struct("__ly", "__la")
+    top, bottom = F.pmod(F.col("y") + frame, F.lit(lines)) == 0, F.pmod(F.col("y") + frame + 1, F.lit(lines)) == 0
+    cells = F.explode(F.sequence(F.floor((F.col("__a") - reach) / cell), F.floor((F.col("__b") + reach) / cell)))
+    upper = found.filter(bottom).select(KEY, (F.col("y") + 1).alias("y"), cells.alias("__c"), F.col("__a").alias("u0"), F.col("__b").alias("u1"), at.alias("dst"))
+    lower = found.filter(top).select(KEY, "y", cells.alias("__c"), "__a", "__b", at.alias("src"))
+    touch = (F.col("__a") <= F.col("u1") + reach) & (F.col("__b") >= F.col("u0") - reach)
+    above = lower.join(upper.hint("merge"), [KEY, "y", "__c"]).filter(touch)
+    near = F.explode(F.array(*(F.col("y") + i for i in range(-reach, reach + 1))))
+    left = found.filter(F.pmod(F.col("__b") + frame + 1, F.lit(wide)) == 0).select(KEY, near.alias("y"), (F.col("__b") + 1).alias("__a"), at.alias("dst"))
+    beside = found.filter(F.pmod(F.col("__a") + frame, F.lit(wide)) == 0).select(KEY, "y", "__a", at.alias("src")).join(left.hint("merge"), [KEY, "y", "__a"])
+    links = above.select(KEY, "src", "dst").unionByName(beside.select(KEY, "src", "dst"))
+    node = lambda c: F.struct(KEY, F.col(f"{c}.__ly").alias("__ly"), F.col(f"{c}.__la").alias("__la"))
+    joined = connected_components(links.select(node("src").alias("src"), node("dst").alias("dst")))
+    # a run's first piece stands for it, and a component's first piece is its first run's
+    whole = found.filter("__a = x0").withColumn("label", F.struct(F.col("__ly").cast(runs.schema["y"].dataType).alias("y"), F.col("__la").cast(runs.schema["x0"].dataType).alias("x0")))
+    if joined.isEmpty():
+        return whole.select(*runs.columns, "label")
+    ends = joined.select(F.col(f"node.{KEY}").alias(KEY), F.col("node.__ly").alias("__ly"), F.col("node.__la").alias("__la"), F.struct(F.col("component.__ly").cast(runs.schema["y"].dataType).alias("y"), F.col("component.__la").cast(runs.schema["x0"].dataType).alias("x0")).alias("__to"))
+    return whole.join(ends.hint("merge"), [KEY, "__ly", "__la"], "left").withColumn("label", F.coalesce("__to", "label")).select(*runs.columns, "label")
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
@@ -317,7 +333,7 @@ def remove_small_holes(runs: DataFrame, plates: DataFrame, limit: int = 50, conn
     ends = F.concat(F.array(F.lit(-2)), F.coalesce(F.transform("r", lambda e: e["x1"].cast("int")), F.array().cast("array<int>")))
     starts = F.concat(F.coalesce(F.transform("r", lambda e: e["x0"].cast("int")), F.array().cast("array<int>")), F.array(F.col("width").cast("int") + 1))
     gaps = lines.select(KEY, "y", F.explode(F.arrays_zip(ends.alias("e"), starts.alias("s"))).alias("g")).select(KEY, "y", (F.col("g.e") + 1).alias("x0"), (F.col("g.s") - 1).alias("x1")).filter("x0 <= x1")
-    labelled = label_runs(gaps, connectivity)
+    labelled = label_runs(gaps, connectivity, frame=1)
     inner = component_sizes(labelled).filter((F.col("area") < limit) & (F.col("label.y") >= 0))
     holes = labelled.join(inner.hint("merge"), [KEY, "label"], "left_semi").select(KEY, "y", "x0", "x1")
     return to_runs(to_pixels_of(runs.select(KEY, "y", "x0", "x1").unionByName(holes)).distinct())

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import discard, materialise
+from .common import discard, materialise, release_memory
 from .shingles import shingle_sets
 
 SKETCHED = "doc_id long, n_shingles long, class binary, sketch binary, digest binary"
@@ -37,6 +37,7 @@ def sketches(docs: DataFrame, n: int, k: int) -> DataFrame:
     digest."""
 
     def sketch(batches):
+        release_memory()  # of the stages before
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 b = batch.slice(at, 512)

@@ -20,15 +20,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release_memory
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, ids binary"
 #: A word and what follows it can be encoded apart: the tokenizer splits between letters and signs. Of these
 #: letters the normaliser changes no more than the case.
 _LETTERS, _SIGNS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$", ".,!?;:%&*$#|()\"/+=<>-"
-_CACHE_PARTS = 600_000
+_CACHE_PARTS = 150_000
 #: Texts that are encoded together, by number and by bytes.
-_SLICE_ROWS, _SLICE_BYTES = 1024, 4 << 20
+_SLICE_ROWS, _SLICE_BYTES = 1024, 1 << 20
 
 
 class WordEncoder:
@@ -140,6 +140,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, separ
     """Rows of PIECE: every id of every document, separator included, in exactly one piece."""
 
     def cut(batches):
+        release_memory()  # of the stages before
         encoder = WordEncoder(tokenizer_path)
         for batch in batches:
             for b in _slices(batch, 1):
@@ -151,6 +152,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, window: int = 4096, separ
                 stops = np.concatenate([[0], np.cumsum(4 * length)]).astype(np.int32)
                 blob = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(stops), pa.py_buffer(ids.astype("<u4"))])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(start), pa.array(length), pa.array(n[row]), blob], ["doc_id", "start", "length", "doc_tokens", "ids"])
+                del ids, blob
+        del encoder
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECE)
 

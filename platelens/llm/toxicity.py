@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release_memory
 
 _RUN = re.compile(r"[^\W\d_]+|[^\w\s]+")
 _CACHE_WORDS = 200_000
@@ -210,6 +210,8 @@ def score_toxicity(docs: DataFrame, chain: ClassifierChain, names: list[str], pr
                 b = batch.slice(start, _SLICE)
                 p = model.predict([table.document(t) for t in b.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(p[:, i]) for i in range(len(names)))], [*fields, *(prefix + n for n in names)])
+        del model, table
+        release_memory()
 
     columns = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{prefix}{n}` double" for n in names])
     return docs.mapInArrow(score, columns)

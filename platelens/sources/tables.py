@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..operators.components import cut_lineage
+
 # The columns of the files.
 DETECTION_CSV = "x1 double, y1 double, x2 double, y2 double, width double, height double, confidence double, class int"
 ROI_CSV = "plate_id string, image_name string, x int, y int, w int, h int, roi_name string, roi_type string"
@@ -104,22 +106,22 @@ def missing_sides(found: DataFrame) -> DataFrame:
 
 def ingest_rois(spark: SparkSession, paths: list[str], decoder: Callable[[bytes], Iterator[dict]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(ROIs, quarantine, errors): archives decoded by a user's function from bytes to dicts with left, top,
-    width, height, name and type. A ROI without a side goes to quarantine, a bad archive to errors."""
+    width, height, name and type. A ROI without a side goes to quarantine, a bad archive to errors. Archives are
+    decoded once, one at a time, and what is in them is written to the shared folder; one may hold the ROIs of many
+    plates, told apart by their names."""
     schema = "path string, name string, left double, top double, width double, height double, type string, error string"
 
     def decode(batches):
+        kinds = [pa.string()] * 2 + [pa.float64()] * 4 + [pa.string()] * 2
         for b in batches:
-            rows = []
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
                 try:
-                    got = [(path, r.get("name"), *(None if r.get(k) is None else float(r[k]) for k in ("left", "top", "width", "height")), r.get("type"), None) for r in decoder(content)]
+                    got = [(path, r.get("name"), *(None if r.get(k) is None else float(r[k]) for k in ("left", "top", "width", "height")), r.get("type"), None) for r in decoder(content.as_py())]
                 except Exception as e:  # whatever a user's decoder raises
                     got = [(path, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
-                rows += got
-            kinds = [pa.string()] * 2 + [pa.float64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [f.split()[0] for f in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], k) for i, k in enumerate(kinds)], [f.split()[0] for f in schema.split(", ")])
 
-    rows = spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(decode, schema)
+    rows = cut_lineage(spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(decode, schema))
     ok = " AND ".join(f"{c} IS NOT NULL" for c in ("left", "top", "width", "height"))
     good = rows.filter(f"error IS NULL AND {ok}").select("path", F.col("name").alias("roi_name"), F.col("left").cast("int").alias("x"), F.col("top").cast("int").alias("y"), F.col("width").cast("int").alias("w"), F.col("height").cast("int").alias("h"), F.coalesce("type", F.lit("unknown")).alias("roi_type"))
     return good, rows.filter(f"error IS NULL AND NOT ({ok})").drop("error"), rows.filter("error IS NOT NULL").select("path", "error")
@@ -131,7 +133,10 @@ def image_of(path: Column) -> Column:
     return F.when(folder != "", folder).otherwise(F.regexp_replace(stem(path), "_detections$", ""))
 
 
-def read_detections(spark: SparkSession, path: str) -> DataFrame:
+def read_detections(spark: SparkSession, path: str, together: bool = False) -> DataFrame:
+    """Detection files of one image each, or, together, of many, with the image in a first column."""
+    if together:
+        return spark.read.schema(f"image_id string, {DETECTION_CSV}").option("header", True).csv(path)
     rows = spark.read.schema(DETECTION_CSV).option("header", True).option("recursiveFileLookup", True).csv(path)
     return rows.select(image_of(F.col("_metadata.file_path")).alias("image_id"), "*")
 
@@ -141,8 +146,14 @@ def detection_rows(det: DataFrame, *keep: str) -> DataFrame:
     return det.select(*keep, "x1", "y1", "x2", "y2", (F.col("x2") - F.col("x1")).alias("width"), (F.col("y2") - F.col("y1")).alias("height"), F.col("conf").alias("confidence"), "class")
 
 
-def write_detections(det: DataFrame, path: str, key: str = "image_id") -> None:
-    detection_rows(det, key).write.partitionBy(key).option("header", True).csv(path)
+def _write_images(rows: DataFrame, path: str, key: str, together: bool) -> None:
+    """CSV with a folder an image, which takes a file or more for each; or, together, files of many images, whose
+    number goes by the tasks that write them. Rows begin with the key."""
+    (rows.write if together else rows.write.partitionBy(key)).option("header", True).csv(path)
+
+
+def write_detections(det: DataFrame, path: str, key: str = "image_id", together: bool = False) -> None:
+    _write_images(detection_rows(det, key), path, key, together)
 
 
 def read_rois(spark: SparkSession, path: str) -> DataFrame:
@@ -158,8 +169,8 @@ def measurement_rows(rows: DataFrame, unit: str, *keep: str) -> DataFrame:
     return rows.select(*keep, *(F.col(c) if c in rows.columns else F.lit(None).cast("double").alias(c) for c in measurement_columns(unit)))
 
 
-def write_measurements(rows: DataFrame, path: str, unit: str, key: str = "image_id") -> None:
-    measurement_rows(rows, unit, key).write.partitionBy(key).option("header", True).csv(path)
+def write_measurements(rows: DataFrame, path: str, unit: str, key: str = "image_id", together: bool = False) -> None:
+    _write_images(measurement_rows(rows, unit, key), path, key, together)
 
 
 def read_calibration(spark: SparkSession, path: str) -> DataFrame:

@@ -13,11 +13,13 @@ from ..operators.suppress import nms_global
 from ..sources.tables import DETECTION_CSV, image_of
 
 
-def stream_detections(spark: SparkSession, path: str) -> DataFrame:
+def stream_detections(spark: SparkSession, path: str, together: bool = False) -> DataFrame:
     """Rows of detection files in a folder, with the place of their split in the file; a file is one complete
-    plate."""
-    rows = spark.readStream.schema(DETECTION_CSV).option("header", True).option("recursiveFileLookup", True).csv(path)
-    return rows.select(image_of(F.col("_metadata.file_path")).alias("plate_id"), "*", F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_path").alias("path"))
+    plate or, together, holds many complete ones, named in a first column."""
+    schema = f"plate_id string, {DETECTION_CSV}" if together else DETECTION_CSV
+    rows = spark.readStream.schema(schema).option("header", True).option("recursiveFileLookup", True).csv(path)
+    plate = [] if together else [image_of(F.col("_metadata.file_path")).alias("plate_id")]
+    return rows.select(*plate, "*", F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_modification_time").alias("arrived"), F.col("_metadata.file_path").alias("path"))
 
 
 def suppress_arrivals(stream: DataFrame, out: str, checkpoint: str, t: float = 0.5):

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .components import connected_components, cut_lineage
+from .crops import border_codes
 from .lines import along, block_components, running, running_ellipse, smoothed, summed, within
 
 KEY = "plate_id"
@@ -361,25 +362,24 @@ def region_props(runs: DataFrame, *keys: str) -> DataFrame:
 
 
 # Weights of the border-pixel codes in the perimeter estimator of Benkrid and Crookes.
-_STRAIGHT, _DIAGONAL, _MIXED = (5, 7, 15, 17, 25, 27), (21, 33), (13, 23)
+_KINDS = ((5, 7, 15, 17, 25, 27), (21, 33), (13, 23))
+_WEIGHTS = (1.0, math.sqrt(2), (1 + math.sqrt(2)) / 2)
 
 
 def perimeter(pixels: DataFrame, *keys: str) -> DataFrame:
     """Perimeter of each region (pixels with the key columns, x, y) by the codes of its border pixels."""
-    around = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j]
-
-    def neighbours(df: DataFrame, offsets: list, weights: list[int], name: str) -> DataFrame:
-        """Sum of the weights of those offsets at which df has a pixel, for each of its pixels."""
-        out = df.select(*keys, F.explode(F.array(*(F.struct((F.col("x") - i).alias("x"), (F.col("y") - j).alias("y"), F.lit(w).alias("w")) for (i, j), w in zip(offsets, weights)))).alias("p")).select(*keys, "p.*")
-        total = out.groupBy(*keys, "x", "y").agg(F.sum("w").alias(name))
-        return df.join(total.hint("merge"), [*keys, "x", "y"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
-
-    base = pixels.select(*keys, "x", "y")
-    cross = [(i, j) for i, j in around if not (i and j)]
-    border = neighbours(base, cross, [1] * 4, "n").filter("n < 4").drop("n")
-    coded = neighbours(border, around, [10 if i and j else 2 for i, j in around], "code").withColumn("code", F.col("code") + 1)
-    weight = F.when(F.col("code").isin(*_STRAIGHT), 1.0).when(F.col("code").isin(*_DIAGONAL), math.sqrt(2)).when(F.col("code").isin(*_MIXED), (1 + math.sqrt(2)) / 2).otherwise(0.0)
-    return coded.groupBy(*keys).agg(F.sum(weight).alias("perimeter"))
+    return perimeter_of_runs(pixels.select(*keys, "y", F.col("x").alias("x0"), F.col("x").alias("x1")), *keys)
+
+
+def perimeter_of_runs(runs: DataFrame, *keys: str, lines: int = 64) -> DataFrame:
+    """As perimeter, of regions given as runs. A region is dealt out in bands of `lines` lines, each with the two
+    lines above and below that its pixels' codes hang on; an Arrow pass counts the codes of a band."""
+    low, high = (F.floor((F.col("y") + i) / lines).cast("long") for i in (-2, 2))
+    cells = F.struct(*(F.col(c).cast("long").alias(c) for c in ("y", "x0", "x1")))
+    bands = runs.select(*keys, F.explode(F.sequence(low, high)).alias("__band"), cells.alias("r")).groupBy(*keys, "__band").agg(F.collect_list("r").alias("r"))
+    names = [f"__n{i}" for i in range(len(_KINDS))]
+    counted = border_codes(bands, keys, names, lines, _KINDS)
+    return counted.groupBy(*keys).agg(sum(F.sum(n) * w for n, w in zip(names, _WEIGHTS)).alias("perimeter"))
 
 
 def solidity(runs: DataFrame, *keys: str) -> DataFrame:

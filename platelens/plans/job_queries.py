@@ -219,7 +219,7 @@ def x03_measure_from_masks(spark: SparkSession, d: str) -> DataFrame:
     from ..operators import raster
 
     runs = raster.to_runs(mask.select(F.struct("plate_id", "det_seq").alias("plate_id"), "x", "y")).select("plate_id.plate_id", "plate_id.det_seq", "y", "x0", "x1")
-    boxes = mask.select("plate_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(20).cast("bigint"))).alias("det_seq")).distinct()
+    boxes = mask.select("plate_id").distinct().select("plate_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(20).cast("bigint"))).alias("det_seq"))
     x, y = F.col("det_seq") % 4 * 16, F.floor(F.col("det_seq") / 4) * 10
     boxes = boxes.select("plate_id", "det_seq", x.alias("x1"), y.alias("y1"), (x + 16).alias("x2"), (y + 10).alias("y2"))
     out = jobs.measure_from_masks(boxes, runs, F.lit(8.666))

@@ -110,7 +110,7 @@ def measure_from_masks(boxes: DataFrame, runs: DataFrame, scale: Column, unit: s
     """Each box's mask (runs keyed by key and seq) as one region; boxes without a mask are measured by their
     sides and have mask_available false."""
     props = raster.region_props(runs, key, seq).join(raster.solidity(runs, key, seq).select(key, seq, "solidity").hint("merge"), [key, seq])
-    props = props.join(raster.perimeter(raster.to_pixels_of(runs), key, seq).hint("merge"), [key, seq])
+    props = props.join(raster.perimeter_of_runs(runs, key, seq).hint("merge"), [key, seq])
     joined = boxes.select(key, seq, "x1", "y1", "x2", "y2").join(props.select(key, seq, "area", "major", "minor", "eccentricity", "solidity", "perimeter").hint("merge"), [key, seq], "left")
     return physical_measurements(with_fallback(joined), scale, unit)
 

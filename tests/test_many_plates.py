@@ -63,3 +63,19 @@ def test_stub_masks_are_every_other_line():
     b = pd.DataFrame({"plate_id": [1, 1, 2], "det_seq": [0, 1, 0], "x1": [2.0, 5.0, 1.0], "y1": [3.0, 4.0, 7.0], "x2": [6.0, 8.0, 2.0], "y2": [8.0, 4.0, 9.0]})
     (out,) = stub_segmenter(iter([b]))
     assert out.values.tolist() == [[1, 0, 3, 2, 5], [1, 0, 5, 2, 5], [1, 0, 7, 2, 5], [2, 0, 7, 1, 1]]
+
+
+def test_perimeters_go_by_bands(spark):
+    """Regions over several bands against plain loops; no pixel is joined with its neighbours."""
+    import random
+
+    from platelens.operators import raster
+    from tests.plain_rasters import perimeter
+
+    rng, parts = random.Random(3), {}
+    for k in range(6):
+        parts[k] = {(rng.randrange(-3, 40) + 900 * (k % 2), rng.randrange(-5, 200)) for _ in range(6000)}
+    rows = [(k, x, y) for k, p in parts.items() for x, y in p]
+    found = raster.perimeter(spark.createDataFrame(rows, "k int, x int, y int").repartition(3), "k")
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.k: round(r.perimeter, 6) for r in found.collect()} == {k: round(perimeter(p), 6) for k, p in parts.items()}

@@ -9,7 +9,8 @@ probability below 1e-9, and not at all while both sets have at most k values). S
 filtered by the estimate from the union's sketch and verified on the full sets.
 
 Lists are never expanded into all their pairs: in some rounds each list pairs its members with one hub, and what that links is one component. Members of a list that are still in different components are then compared
-block by block on their full sets, with only links leaving a task, so no link between components is missed.
+block by block on their full sets. What leaves a task are links enough to join what the links there join, so no
+components stay apart that a link joins, and rows grow with a group's size and not its square.
 
 Defined results: null text or text without words has an empty set, is linked with nothing and is its own
 component; rows of one set are linked; a null doc_id never names a component unless its class has no other;
@@ -108,10 +109,36 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int(np.count_nonzero(both[1:] == both[:-1]))
 
 
+def _joined(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The groups (a number below len(group) for each member) once the links (a, b) join them."""
+    while len(a) and (group[a] != group[b]).any():
+        x, y = group[a], group[b]
+        low = np.arange(len(group))
+        np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+        while (low[low] != low).any():
+            low = low[low]
+        group = low[group]
+    return group
+
+
+def _spanning(group: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of links that join the same groups as all of (a, b) do, fewer than there are groups: in each round a
+    group takes its first link to another one."""
+    kept = [np.zeros(0, np.int64)]
+    while len(apart := np.flatnonzero(group[a] != group[b])):
+        first = np.full(len(group), len(a))
+        np.minimum.at(first, group[a[apart]], apart)
+        np.minimum.at(first, group[b[apart]], apart)
+        kept.append(np.unique(first[first < len(a)]))
+        group = _joined(group, a[kept[-1]], b[kept[-1]])
+    return np.concatenate(kept)
+
+
 def _family_links(placed: DataFrame, mixed: DataFrame, sets: DataFrame, num: int, block: int = 256) -> DataFrame:
-    """Links (a, b) between members of one list that are in different components. Lists of one hub are one
-    family. A family is cut into blocks, and a task compares two blocks at a time on their full sets, so a
-    task holds at most 2 * `block` sets (on average) and only links leave it."""
+    """Links (a, b) that join the members of one list that are linked and in different components. Lists of one hub
+    are one family. A family is cut into blocks, and a task compares two blocks at a time on their full sets, so a
+    task holds at most 2 * `block` sets (on average). Of two blocks' links only those leave it that join what neither
+    components nor the links inside a block do, which the block's own task gives."""
     families = materialise(placed.join(mixed.select("value", "hub").hint("merge"), "value").select("hub", "class", "component").distinct(), "families")
     sizes = families.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     dealt = families.join(sizes.hint("merge"), "hub").withColumn("mine", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
@@ -136,9 +163,12 @@ def _family_links(placed: DataFrame, mixed: DataFrame, sets: DataFrame, num: int
         common = np.rint(common).astype(np.int64)
         near = 100 * common >= num * (sizes_[:, None] + sizes_[None, :] - common)
         mine, component, name = part["mine"].to_numpy(), pd.factorize(part["component"])[0], part["class"].to_numpy()
-        near &= component[:, None] != component[None, :]
-        near &= (mine[:, None] == i) & (mine[None, :] == j)
-        a, b = np.nonzero(near)
+        a, b = np.nonzero(near & (mine[:, None] == mine[None, :]))
+        group = component if i == j else _joined(component, a, b)
+        if i < j:
+            a, b = np.nonzero(near & (mine[:, None] == i) & (mine[None, :] == j))
+        chosen = _spanning(group, a, b)
+        a, b = a[chosen], b[chosen]
         lo = [min(name[p], name[q]) for p, q in zip(a, b)]
         hi = [max(name[p], name[q]) for p, q in zip(a, b)]
         return pd.DataFrame({"a": lo, "b": hi})

@@ -1,9 +1,10 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
-from platelens.llm.minhash import drop_near_duplicates, near_duplicates
+from platelens.llm.minhash import _family_links, drop_near_duplicates, near_duplicates
 
 
 def brute(rows, n, num):
@@ -63,3 +64,22 @@ def test_empty_null_ids_and_the_stage(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, digest long")
     assert sorted(r.digest for r in drop_near_duplicates(docs).collect()) == [2, 3, 4, 5, 6]
     assert drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_a_family_sends_no_more_links_than_join_it(spark):
+    rng = np.random.default_rng(3)
+    common = rng.integers(1, 2**62, 90)
+    sets = [np.unique(np.concatenate([common, rng.integers(1, 2**62, 4)])).astype("<u8") for _ in range(120)]  # all alike
+    chain = [np.arange(10**6 + d, 10**6 + d + 60).astype("<u8") for d in range(0, 200, 5)]  # each like its neighbours only
+    names = [bytes([i]) for i in range(len(sets) + len(chain))]
+    rows = [(n, s.tobytes(), len(s)) for n, s in zip(names, sets + chain)]
+    table = spark.createDataFrame(rows, "class binary, set binary, n_shingles long")
+    placed = table.selectExpr("7L AS value", "class", "class AS component")
+    mixed = spark.createDataFrame([(7, b"\0")], "value long, hub binary")
+    links = [(bytes(r.a)[0], bytes(r.b)[0]) for r in _family_links(placed, mixed, table, 80, block=16).collect()]
+    assert len(links) < 2 * len(rows)  # a link a pair would be 7,179
+    group = list(range(len(rows)))
+    for _ in rows:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    assert group == [0] * 120 + [120] * 40

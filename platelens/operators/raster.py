@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .blocks import closing, hull_areas, in_blocks, square_extrema, tile_tables
 from .components import connected_components, cut_lineage
 from .crops import border_codes
 from .lines import along, block_components, running, running_ellipse, smoothed, summed, within
@@ -18,6 +19,12 @@ from .lines import along, block_components, running, running_ellipse, smoothed,
 KEY = "plate_id"
 
 
+def with_images(px: DataFrame, images: DataFrame, broadcast_rows: int = 500_000) -> DataFrame:
+    """px joined to a table of a row an image, which is broadcast while it has at most broadcast_rows rows."""
+    written = cut_lineage(images)
+    return px.join(written.hint("broadcast" if written.count() <= broadcast_rows else "merge"), KEY)
+
+
 def normalize_brightness(px: DataFrame, target: float = 50, threshold: float = 45, auto: bool = True) -> DataFrame:
     """Shift images whose median is below threshold (all, unless auto) to the target median."""
     med = px.groupBy(KEY).agg(F.percentile("v", 0.5).alias("__m"))
@@ -58,25 +65,18 @@ def clahe(px: DataFrame, plates: DataFrame, clip: float = 2.0, grid: int = 8) ->
     """Contrast-limited adaptive equalisation (Zuiderveld 1994): each tile's clipped histogram gives a lookup
     table, each pixel mixes those of its four nearest tiles, as far as they have pixels. Tiles are cut by ceiling
     division."""
-    sized = px.join(plates.select(KEY, "width", "height").hint("merge"), KEY).withColumn("tw", F.ceil(F.col("width") / grid).cast("int")).withColumn("th", F.ceil(F.col("height") / grid).cast("int"))
+    sized = with_images(px, plates.select(KEY, "width", "height")).withColumn("tw", F.ceil(F.col("width") / grid).cast("int")).withColumn("th", F.ceil(F.col("height") / grid).cast("int"))
     tiled = sized.withColumn("tx", F.floor(F.col("x") / F.col("tw")).cast("int")).withColumn("ty", F.floor(F.col("y") / F.col("th")).cast("int"))
     tile = [KEY, "tx", "ty"]
     hist = tiled.groupBy(*tile, "v").agg(F.count(F.lit(1)).alias("n"))
     totals = hist.groupBy(*tile).agg(F.sum("n").alias("pixels"), F.collect_list(F.struct("v", "n")).alias("h"))  # 256 entries at most
-    limit = F.greatest(F.lit(1), (clip * F.col("pixels") / 256).cast("int"))
-    excess = F.aggregate("h", F.lit(0).cast("bigint"), lambda s, e: s + F.greatest(F.lit(0), e["n"] - F.col("limit")))
-    totals = totals.withColumn("limit", limit).withColumn("excess", excess).withColumn("counts", F.map_from_entries("h"))
-    bins = totals.select(*tile, "pixels", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("v"), "limit", "excess", "counts")
-    count = F.least(F.coalesce(F.element_at("counts", F.col("v")), F.lit(0)), F.col("limit")) + F.floor(F.col("excess") / 256) + F.when(F.col("v") < F.col("excess") % 256, 1).otherwise(0)
-    cdf = F.sum(count).over(W.partitionBy(*tile).orderBy("v"))
-    lut = bins.select(*tile, "v", F.floor(cdf * 255 / F.col("pixels") + 0.5).alias("out"))
     fx, fy = (F.col("x") + 0.5) / F.col("tw") - 0.5, (F.col("y") + 0.5) / F.col("th") - 0.5
     placed = sized.withColumn("fx", fx).withColumn("fy", fy)
     last_x, last_y = F.ceil(F.col("width") / F.col("tw")).cast("int") - 1, F.ceil(F.col("height") / F.col("th")).cast("int") - 1
     # a pixel's four nearest tiles are those around the corner of tiles that it is nearest to: the quarters of a tile
     # that share one share their four tables, which meet them in one row
     corner_x, corner_y = F.floor("fx").cast("int"), F.floor("fy").cast("int")
-    tables = lut.groupBy(KEY, "tx", "ty").agg(F.transform(F.array_sort(F.collect_list(F.struct("v", "out"))), lambda e: e["out"]).alias("table"))
+    tables = tile_tables(totals, tile, clip)
     inner = lambda c, last: F.greatest(F.lit(0), F.least(last, c))
     corners = placed.select(KEY, corner_x.alias("cx"), corner_y.alias("cy"), last_x.alias("last_x"), last_y.alias("last_y")).distinct()
     spread = corners.select(KEY, "cx", "cy", F.explode(F.array(*(F.struct(F.lit(2 * dy + dx).alias("k"), inner(F.col("cx") + dx, F.col("last_x")).alias("tx"), inner(F.col("cy") + dy, F.col("last_y")).alias("ty")) for dx in (0, 1) for dy in (0, 1)))).alias("t")).select(KEY, "cx", "cy", "t.*")
@@ -91,25 +91,36 @@ def clahe(px: DataFrame, plates: DataFrame, clip: float = 2.0, grid: int = 8) ->
     return met.select(KEY, "x", "y", F.floor(F.round(mixed / weight, 6) + 0.5).cast("int").alias("v"))
 
 
-def _extrema(px: DataFrame, k: int, column: str, pick: np.ufunc, border: str, plates: DataFrame | None, gaps: str) -> DataFrame:
-    kind = {column: px.schema[column].dataType}
-    fill = -np.inf if pick is np.maximum else np.inf
+def _extrema(px: DataFrame, k: int, column: str, picks: tuple[np.ufunc, ...], border: str, plates: DataFrame | None, gaps: str) -> DataFrame:
+    """Extrema over squares, one after the other."""
     if gaps not in ("square", "lines"):
         raise ValueError(f"no such rule for gaps: {gaps}")
-    one = lambda df, axis, beyond=False: along(df, axis, k, kind, lambda lines: {column: running(lines.get(column, fill), k, pick)}, beyond)
-    square = lambda df: one(one(df, "x", True), "y").filter("__there").drop("__there")
-    return within(px, plates, border, k, square if gaps == "square" else lambda df: one(one(df, "x"), "y")).select(*px.columns)
+
+    def square(df: DataFrame) -> DataFrame:
+        return in_blocks(df, column, k * len(picks), square_extrema(k, picks))
+
+    def by_lines(df: DataFrame) -> DataFrame:
+        for pick in picks:
+            for axis in "xy":
+                df = along(df, axis, k, {column: px.schema[column].dataType}, lambda lines, pick=pick: {column: running(lines.get(column, -np.inf if pick is np.maximum else np.inf), k, pick)})
+        return df
+
+    if border == "reflect":  # each is of the image mirrored anew
+        for pick in picks:
+            px = within(px, plates, border, k, lambda df, pick=pick: _extrema(df, k, column, (pick,), "shrink", None, gaps)).select(*px.columns)
+        return px
+    return within(px, plates, border, k, square if gaps == "square" else by_lines).select(*px.columns)
 
 
 def dilate(px: DataFrame, k: int, column: str = "v", border: str = "shrink", plates: DataFrame | None = None, gaps: str = "square") -> DataFrame:
     """Maximum over a square of 2k+1 pixels; with border='reflect', of the image mirrored at its edges. Where an image
     has gaps or is ragged, over the pixels of the square that it has; gaps='lines' takes of them only those from which
     a pixel of the same line leads to this one along its column."""
-    return _extrema(px, k, column, np.maximum, border, plates, gaps)
+    return _extrema(px, k, column, (np.maximum,), border, plates, gaps)
 
 
 def erode(px: DataFrame, k: int, column: str = "v", border: str = "shrink", plates: DataFrame | None = None, gaps: str = "square") -> DataFrame:
-    return _extrema(px, k, column, np.minimum, border, plates, gaps)
+    return _extrema(px, k, column, (np.minimum,), border, plates, gaps)
 
 
 def morphology(px: DataFrame, op: str, k: int, border: str = "shrink", plates: DataFrame | None = None, gaps: str = "square") -> DataFrame:
@@ -120,9 +131,9 @@ def morphology(px: DataFrame, op: str, k: int, border: str = "shrink", plates: D
     if op == "dilate":
         return dilate(px, k, **rule)
     if op == "open":
-        return dilate(erode(px, k, **rule), k, **rule)
+        return _extrema(px, k, "v", (np.minimum, np.maximum), border, plates, gaps)
     if op == "close":
-        return erode(dilate(px, k, **rule), k, **rule)
+        return _extrema(px, k, "v", (np.maximum, np.minimum), border, plates, gaps)
     if op == "tophat":
         return morphology(px.withColumn("__v", F.col("v")), "open", k, **rule).withColumn("v", F.col("__v") - F.col("v")).drop("__v")
     if op == "blackhat":
@@ -149,10 +160,9 @@ def morphology_ellipse(px: DataFrame, op: str, k: int, border: str = "shrink", p
 def close_mask(mask: DataFrame, px: DataFrame, k: int = 1, times: int = 1) -> DataFrame:
     """The mask's pixels (plate_id, x, y) with gaps closed by a disc of radius k, `times` times; px has the
     image's pixels."""
-    v = px.select(KEY, "x", "y").join(mask.select(KEY, "x", "y", F.lit(1).alias("v")).hint("merge"), [KEY, "x", "y"], "left").withColumn("v", F.coalesce("v", F.lit(0)))
-    for op in ["dilate"] * times + ["erode"] * times:
-        v = morphology_ellipse(v, op, k)
-    return v.filter("v = 1").select(KEY, "x", "y")
+    rows = px.select(KEY, "x", "y", F.lit(0).alias("v")).unionByName(mask.select(KEY, "x", "y", F.lit(1).alias("v")))
+    halves = [int(math.sqrt(k * k - d * d)) for d in range(k + 1)]
+    return in_blocks(rows, "v", 2 * k * times, closing(halves, times)).filter("v = 1").select(KEY, "x", "y")
 
 
 def subtract_background(px: DataFrame, op: str = "tophat", k: int = 25, gaps: str = "square") -> DataFrame:
@@ -179,7 +189,7 @@ def otsu_threshold(px: DataFrame) -> DataFrame:
 def threshold(px: DataFrame, method: str = "otsu", value: int = 127, block: int = 51, c: float = 2) -> DataFrame:
     """Foreground pixels (plate_id, x, y)."""
     if method == "otsu":
-        return px.join(otsu_threshold(px).hint("merge"), KEY).filter("v > threshold").select(KEY, "x", "y")
+        return with_images(px, otsu_threshold(px)).filter("v > threshold").select(KEY, "x", "y")
     if method == "adaptive":
         sigma = 0.3 * ((block - 1) / 2 - 1) + 0.8
         return local_mean(px, block, "gaussian", sigma).filter(F.col("v") > F.col("local_mean") - c).select(KEY, "x", "y")
@@ -384,39 +394,10 @@ def perimeter_of_runs(runs: DataFrame, *keys: str, lines: int = 64) -> DataFrame
 
 def solidity(runs: DataFrame, *keys: str) -> DataFrame:
     """area, hull_area (over pixel corners) and their ratio. Only each line's ends matter to the hull, so a
-    region is two points a line before the hull is folded."""
+    region is a few numbers a line, and an Arrow pass has the hulls of many regions at once."""
     lines = runs.groupBy(*keys, "y").agg(F.min("x0").alias("x0"), (F.max("x1") + 1).alias("x1"), F.sum(F.col("x1") - F.col("x0") + 1).alias("n"))
-    regions = lines.groupBy(*keys).agg(F.sum("n").alias("area"), F.array_sort(F.collect_list(F.struct("y", "x0", "x1"))).alias("l"))
-
-    def chain(points: Column, side: int) -> Column:
-        """Hull chain of points (y, x) sorted by y: those that keep turning to one side."""
-
-        def cross(p, q, r):
-            return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
-
-        kind = "array<struct<y:double,x:double>>"
-
-        def add(hull, r):
-            # drop from the end while the last turn is not to the right side: the longest prefix that is
-            size = F.size(hull)
-            good = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), size)), lambda k: (k == 1) | (side * cross(F.get(hull, k - 2), F.get(hull, k - 1), r) > 0))
-            # the tangent point is the last k such that all later points fall behind it
-            keep = F.aggregate(F.reverse(F.sequence(F.lit(1), F.greatest(F.lit(1), size))), F.lit(0), lambda found, k: F.when(found > 0, found).when(F.array_contains(good, k), k).otherwise(F.lit(0)))
-            return F.concat(F.slice(hull, 1, F.when(size > 0, keep).otherwise(0)), F.array(r)).cast(kind)
-
-        return F.aggregate(points, F.array().cast(kind), add)
-
-    def corners(field: str) -> Column:
-        point = lambda y, x: F.struct(y.cast("double").alias("y"), x.cast("double").alias("x"))
-        return F.flatten(F.transform("l", lambda e: F.array(point(e["y"], e[field]), point(e["y"] + 1, e[field]))))
-
-    hulls = regions.select(*keys, "area", chain(corners("x0"), -1).alias("a"), chain(corners("x1"), 1).alias("b"))
-    # shoelace over the left chain upwards and the right one back
-    ring = F.concat("a", F.reverse("b"))
-    hulls = hulls.select(*keys, "area", ring.alias("ring"))
-    n = F.size("ring")
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, k: s + F.get("ring", k)["x"] * F.get("ring", (k + 1) % n)["y"] - F.get("ring", (k + 1) % n)["x"] * F.get("ring", k)["y"])
-    return hulls.select(*keys, "area", (F.abs(total) / 2).alias("hull_area")).withColumn("solidity", F.when(F.col("hull_area") > 0, F.col("area") / F.col("hull_area")).otherwise(0.0))
+    regions = lines.groupBy(*keys).agg(F.sum("n").alias("area"), F.collect_list(F.struct("y", "x0", "x1")).alias("l"))
+    return hull_areas(regions, keys).withColumn("solidity", F.when(F.col("hull_area") > 0, F.col("area") / F.col("hull_area")).otherwise(0.0))
 
 
 def saliency(maps: DataFrame, weights: dict[str, float]) -> DataFrame:
@@ -424,7 +405,7 @@ def saliency(maps: DataFrame, weights: dict[str, float]) -> DataFrame:
 
     def normalised(df: DataFrame, columns: list[str]) -> DataFrame:
         ends = df.groupBy(KEY).agg(*(f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))))
-        out = df.join(ends.hint("merge"), KEY)
+        out = with_images(df, ends)
         for c in columns:
             lo, hi = F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
             out = out.withColumn(c, F.when(hi > lo, (F.col(c) - lo) / (hi - lo)).otherwise(0.0))

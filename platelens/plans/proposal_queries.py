@@ -136,7 +136,7 @@ def x02_measured_regions(spark: SparkSession, d: str) -> DataFrame:
 def scene(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(pixels, plates) of the rasters with separate objects."""
     px = cut_lineage(view(spark, d, "fx_scene"))
-    return px, px.groupBy("plate_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height"))
+    return px, cut_lineage(px.groupBy("plate_id").agg((F.max("x") + 1).alias("width"), (F.max("y") + 1).alias("height")))
 
 
 @query(duck("fx_scene") + " SELECT plate_id, x, y, v FROM fx_scene")

@@ -105,6 +105,14 @@ def _by_number(number: np.ndarray):
         yield int(number[order[a]]), order[a:z]
 
 
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+
+
+def _expanded(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
 def _packed_batches(docs: DataFrame, batch_bytes: int) -> DataFrame:
     def pack(batches):
         texts, ids, size = [], [], 0
@@ -129,15 +137,22 @@ def _binary_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
 
 
 def _distinct_hashes(batch: Batch, length: int, q: int):
-    """(stretches, sorted distinct hashes, stretches of each, which of them are in two documents of the batch)."""
+    """(stretches, sorted distinct hashes, stretches of each, which of them are in two documents of the batch, which of
+    them each stretch has)."""
     starts, count, low, doc = batch.stretches(length, q)
-    order = np.lexsort((doc, low))
-    hashes, first, often = np.unique(low[order], return_index=True, return_counts=True)
-    many = np.zeros(len(hashes), bool)
-    if len(hashes):
+    order = np.argsort(low)
+    by_hash = low[order]
+    new = np.ones(len(order), bool)
+    new[1:] = by_hash[1:] != by_hash[:-1]
+    first = np.flatnonzero(new)
+    stop = np.append(first[1:], len(order)) if len(first) else first
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    many = np.zeros(len(first), bool)
+    if len(first):
         d = doc[order]
         many = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
-    return (starts, count, low, doc), hashes, often, many
+    return (starts, count, low, doc), by_hash[first], stop - first, many, place
 
 
 def _with_answers(batches: DataFrame, answers: DataFrame, name: str) -> DataFrame:
@@ -185,7 +200,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 24, batch_bytes:
     def ask(rows):
         for b in rows:
             for number, ids, sizes, blob in zip(*(b.column(i).to_pylist() for i in range(4))):
-                _, hashes, often, many = _distinct_hashes(Batch(ids, sizes, blob), length, q)
+                _, hashes, often, many, _ = _distinct_hashes(Batch(ids, sizes, blob), length, q)
                 out = []
                 for part, at in _by_number(_shard(hashes, parts)):
                     # the lower 48 bits tell hashes of a group apart, and counts end at 255: chance costs work, not results
@@ -216,13 +231,12 @@ def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 24, batch_bytes:
         for b in rows:
             for number, ids, sizes, blob, bits in zip(*(b.column(i).to_pylist() for i in range(5))):
                 batch = Batch(ids, sizes, blob)
-                (starts, count, low, doc), hashes, _, _ = _distinct_hashes(batch, length, q)
+                (starts, count, low, doc), hashes, _, _, place = _distinct_hashes(batch, length, q)
                 shared, full = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
                 said = {x["part"]: x["bits"] for x in bits or []}
                 for part, at in _by_number(_shard(hashes, parts)):
                     got = np.frombuffer(said[part], np.uint8).reshape(2, -1)
                     shared[at], full[at] = (np.unpackbits(g, count=len(at)).astype(bool) for g in got)
-                place = np.searchsorted(hashes, low)
                 keep = np.flatnonzero(shared[place])
                 split = full[place[keep]]
                 starts, count, low, doc = starts[keep], count[keep], low[keep], doc[keep]
@@ -245,7 +259,7 @@ def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 24, batch_bytes:
                         rows_[np.arange(length + width - 1) >= size[:, None]] = _BREAK
                         rows_, owner, which = _distinct_rows(rows_, batch.ids[doc[at]])
                         names.append(shard % per_part)
-                        pieces += [zlib.compress(rows_.tobytes(), 1), owner.tobytes(), zlib.compress(b"".join(x.astype(np.int64).tobytes() for x in (which, batch.ids[doc[at]], starts[at])), 1)]
+                        pieces += [_squeezed(rows_.tobytes()), owner.tobytes(), _squeezed(b"".join(x.astype(np.int64).tobytes() for x in (which, batch.ids[doc[at]], starts[at])))]
                     out.append((number, part, names, pieces))
                 if out:
                     yield _binary_rows(out, ["batch", "part", "shards", "pieces"])
@@ -259,12 +273,12 @@ def repeated_ranges(docs: DataFrame, length: int = 50, q: int = 24, batch_bytes:
         found: list[list[np.ndarray]] = [[] for _ in range(len(part))]
         pieces = part["pieces"].tolist()
         for members in inside.values():  # one shard after the other
-            texts = [np.frombuffer(zlib.decompress(pieces[k][3 * i]), np.uint8).reshape(-1, wide) for k, i in members]
+            texts = [np.frombuffer(_expanded(pieces[k][3 * i]), np.uint8).reshape(-1, wide) for k, i in members]
             base = np.cumsum([0] + [len(x) for x in texts])
             rows_, owner, which = _distinct_rows(np.concatenate(texts), np.concatenate([np.frombuffer(pieces[k][3 * i + 1], np.int64) for k, i in members]))
             least = shared_windows(rows_, (rows_ != _BREAK).sum(1), owner, length)
             for at, (k, i) in zip(base, members):
-                row, ids, starts = np.frombuffer(zlib.decompress(pieces[k][3 * i + 2]), np.int64).reshape(3, -1)
+                row, ids, starts = np.frombuffer(_expanded(pieces[k][3 * i + 2]), np.int64).reshape(3, -1)
                 again = least[which[at + row]] < ids[:, None]
                 edge = np.diff(np.pad(again, ((0, 0), (1, 1))).astype(np.int8), axis=1)
                 r, a = np.nonzero(edge == 1)
@@ -294,7 +308,7 @@ def _distinct_rows(rows: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.
     wide[:, : rows.shape[1]] = rows
     for k in range(wide.shape[1] // 8):
         h = mix(h ^ np.ascontiguousarray(wide[:, 8 * k : 8 * k + 8]).view(np.uint64).ravel())
-    order = np.argsort(h, kind="stable")
+    order = np.argsort(h)
     new = np.ones(len(rows), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (key[order][1:] != key[order][:-1])
     first = np.flatnonzero(new)

@@ -88,7 +88,7 @@ def _rank_names(names: np.ndarray, depth: int) -> np.ndarray:
     while True:
         key = (rank + 1) * (n + 1)
         key[: n - k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal names may come in any order
         sorted_key = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])

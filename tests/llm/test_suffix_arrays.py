@@ -68,3 +68,13 @@ def test_edges(spark):
     # every least hash a hot one, many shards in few groups
     assert got(cut_repeats(docs, batch_bytes=700, hot=0, shard_bytes=50, group_bytes=4000)) == brute(rows)
     assert cut_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_stretches_of_a_batch_name_their_hashes():
+    from platelens.llm.substring_dedup import Batch, _distinct_hashes
+
+    texts = [(b"abcdefghij" * 9)[i : i + 70] for i in range(4)] + [bytes(range(65, 140)), b"short"]
+    (starts, count, low, doc), hashes, often, many, place = _distinct_hashes(Batch(*Batch.pack(texts, list(range(6)))[1:]), 50, 24)
+    assert (hashes[place] == low).all() and (np.diff(hashes.astype(object)) > 0).all()
+    assert often.tolist() == [int((low == h).sum()) for h in hashes]
+    assert many.tolist() == [len(set(doc[low == h].tolist())) > 1 for h in hashes]

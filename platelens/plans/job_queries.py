@@ -39,7 +39,8 @@ def s09_measurement_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("WITH kept AS (" + _nms_sql(0.5, "true") + ")" + (duck("fx_plate", "fx_det") + _grid_sql(256, 64)).replace("WITH RECURSIVE", ",", 1) + " SELECT p.plate_id, (SELECT count(*) FROM tiles t WHERE t.plate_id = p.plate_id) AS num_tiles, (SELECT count(*) FROM fx_det f WHERE f.plate_id = p.plate_id) AS before, (SELECT count(*) FROM kept f WHERE f.plate_id = p.plate_id) AS after, CAST(p.plate_id AS VARCHAR) AS image, width FROM fx_plate p")
 def s10_run_metadata(spark: SparkSession, d: str) -> DataFrame:
-    plates, det = view(spark, d, "fx_plate"), view(spark, d, "fx_det")
+    # numbering detections sorts and shuffles them, so they are written once for all that looks at them
+    plates, det = view(spark, d, "fx_plate"), suppress.cut_lineage(view(spark, d, "fx_det").select("plate_id", "det_seq", "x1", "y1", "x2", "y2", "conf"))
     counts = summaries.nms_counts(det, suppress.nms_global(det), tiles.tile_grid(plates, 256, 64))
     doc = tables.run_metadata(plates, counts, 256, 64, 0.6, 0.5)
     parsed = F.from_json("json", "image string, image_size array<int>, num_tiles long, detections_before_nms long, detections_after_nms long")

@@ -79,3 +79,10 @@ def test_perimeters_go_by_bands(spark):
     found = raster.perimeter(spark.createDataFrame(rows, "k int, x int, y int").repartition(3), "k")
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r.k: round(r.perimeter, 6) for r in found.collect()} == {k: round(perimeter(p), 6) for k, p in parts.items()}
+
+
+def test_run_metadata_numbers_detections_once(spark):
+    from platelens.plans.job_queries import s10_run_metadata
+
+    plan = s10_run_metadata(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan  # detections are read as written, not made of lineitem again

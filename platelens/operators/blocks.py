@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from .lines import summed
 
 KEY = "plate_id"
 Change = Callable[[tuple[np.ndarray, np.ndarray], np.ndarray, tuple[int, int]], np.ndarray]
@@ -21,12 +24,20 @@ Change = Callable[[tuple[np.ndarray, np.ndarray], np.ndarray, tuple[int, int]],
 def in_blocks(px: DataFrame, column: str, reach: int, change: Change, side: int = 256) -> DataFrame:
     """px with `column` made anew by change(places, values, shape), which gets the rows of a block and of `reach`
     pixels around it, their places being (line, column) in an array of that shape, and gives each row's new value."""
+    return made_in_blocks(px, (column,), {column: px.schema[column].dataType}, reach, lambda at, values, shape: {column: change(at, values[column], shape)}, side)
+
+
+def made_in_blocks(px: DataFrame, columns: tuple[str, ...], outputs: dict[str, T.DataType], reach: int, change: Callable[..., dict[str, np.ndarray]], side: int = 256) -> DataFrame:
+    """px with the columns `outputs` more (or instead), which change(places, values, shape) gives for the rows of a
+    block and of `reach` pixels around it from the values of `columns`, of which nulls are 0; where it gives NaN they
+    are null."""
     across = lambda c: F.explode(F.sequence(F.floor(F.col(c) / side).cast("long"), F.floor((F.col(c) + 2 * reach) / side).cast("long")))
     dealt = px.select("*", across("x").alias("__bx")).select("*", across("y").alias("__by"))
     block = [KEY, "__bx", "__by"]
     ordered = dealt.repartition(*block).sortWithinPartitions(*block)
-    schema = T.StructType(px.schema.fields)
-    names, at = px.columns, px.columns.index(column)
+    names = [*px.columns, *(c for c in outputs if c not in px.columns)]
+    schema = T.StructType([T.StructField(c, outputs[c]) if c in outputs else px.schema[c] for c in names])
+    kinds = {c: to_arrow_type(t) for c, t in outputs.items()}
 
     def edges(table: pa.Table) -> np.ndarray:
         """Where blocks begin, and the end."""
@@ -38,14 +49,15 @@ def in_blocks(px: DataFrame, column: str, reach: int, change: Change, side: int
 
     def made(table: pa.Table, stops: np.ndarray) -> pa.Table:
         x, y, bx, by = (table.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "__bx", "__by"))
-        values = np.nan_to_num(table.column(column).to_numpy().astype(np.float64))
+        given = {c: np.nan_to_num(table.column(c).to_numpy().astype(np.float64)) for c in columns}
+        found = {c: np.empty(table.num_rows) for c in outputs}
         for a, z in zip(stops.tolist(), stops[1:].tolist()):
             u, v = x[a:z] - x[a:z].min(), y[a:z] - y[a:z].min()
-            values[a:z] = change((v, u), values[a:z], (int(v.max()) + 1, int(u.max()) + 1))
+            for c, values in change((v, u), {c: g[a:z] for c, g in given.items()}, (int(v.max()) + 1, int(u.max()) + 1)).items():
+                found[c][a:z] = values
         own = pa.array(((x + reach) // side == bx) & ((y + reach) // side == by))
-        kept = table.select(names)
-        kept = kept.set_column(at, column, pa.array(values).cast(kept.schema.field(column).type, safe=False))
-        return kept.filter(own).combine_chunks()
+        arrays = [pa.array(found[c], from_pandas=True).cast(kinds[c], safe=False) if c in outputs else table.column(c) for c in names]
+        return pa.table(arrays, names).filter(own).combine_chunks()
 
     def work(batches):
         rest = None  # rows of a block that may go on in the next batch
@@ -118,6 +130,74 @@ def closing(halves: list[int], times: int) -> Change:
     return change
 
 
+def thin_edges(low: float, weights: np.ndarray) -> Callable[..., dict[str, np.ndarray]]:
+    """m: the Sobel gradient of v smoothed by the kernel (half of which `weights` has, from its middle on), where it is
+    over `low` and no less than at the two neighbours across the edge, else null. w is 1 where v has a value. Lines are
+    smoothed first, columns then, each over the pixels that there are; a gradient needs all eight neighbours."""
+
+    def smooth(a: np.ndarray) -> np.ndarray:
+        k = len(weights) - 1
+        wide = np.pad(a, ((0, 0), (k, k)))
+        out = weights[0] * a
+        for i in range(1, k + 1):  # both sides at once, so that mirrored places have the same sum
+            out = out + weights[i] * (wide[:, k - i : wide.shape[1] - k - i] + wide[:, k + i : wide.shape[1] - k + i])
+        return out
+
+    def change(at, values, shape):
+        sums = []
+        for c in "vw":
+            a = np.zeros(shape)
+            a[at] = values[c]
+            lines = np.zeros(shape)
+            lines[at] = smooth(a)[at]
+            sums.append(smooth(lines.T).T[at])
+        soft = np.full((shape[0] + 2, shape[1] + 2), np.nan)
+        inner = at[0] + 1, at[1] + 1
+        with np.errstate(invalid="ignore", divide="ignore"):
+            soft[inner] = np.where(sums[1] > 0, sums[0] / sums[1], np.nan)
+        around = lambda a, dy, dx: a[inner[0] + dy, inner[1] + dx]
+        s = {(dy, dx): around(soft, dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
+        gx = (s[-1, 1] - s[-1, -1]) + 2 * (s[0, 1] - s[0, -1]) + (s[1, 1] - s[1, -1])
+        gy = (s[1, 1] + 2 * s[1, 0] + s[1, -1]) - (s[-1, 1] + 2 * s[-1, 0] + s[-1, -1])
+        strength = np.hypot(gx, gy)
+        m = np.zeros_like(soft)
+        m[inner] = np.nan_to_num(strength)
+        turn = np.nan_to_num(np.floor(np.degrees(np.arctan2(gy, gx)) / 45 + 0.5)).astype(np.int64) % 4
+        dy, dx = np.array([0, 1, 1, -1])[turn], np.array([1, 1, 0, 1])[turn]
+        best = np.maximum(around(m, dy, dx), around(m, -dy, -dx))
+        return {"m": np.where((strength > low) & (strength >= best), strength, np.nan)}
+
+    return change
+
+
+def edges_and_variances(variance: int, deviation: int) -> Callable[..., dict[str, np.ndarray]]:
+    """Of rows with mark 0, an image's pixels, and 1, edges: whether a pixel is next to an edge or on one, and the
+    variance and standard deviation of v over squares of 2k+1 places, of those where v has a value (w = 1)."""
+
+    def squares(a: np.ndarray, k: int) -> np.ndarray:
+        for _ in range(2):  # lines lie behind each other with gaps of k places
+            wide = np.pad(a, ((0, 0), (k, k)))
+            a = summed(wide.ravel(), k).reshape(wide.shape)[:, k : k + a.shape[1]].T
+        return a
+
+    def change(at, values, shape):
+        image = values["mark"] == 0
+        own = at[0][image], at[1][image]
+        v, w, edge = np.zeros(shape), np.zeros(shape), np.zeros(shape)
+        v[own], w[own] = values["v"][image], values["w"][image]
+        edge[at[0][~image], at[1][~image]] = 1
+        out = {"e": disc_extremum(edge, [1, 1], np.maximum)[at]}
+        for name, k in (("local_variance", variance), ("local_std", deviation)):
+            n, s, q = (squares(a, k)[at] for a in (w, v, v * v))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                mean = s / n
+                out[name] = q / n - mean * mean  # not a number without pixels
+        out["local_std"] = np.sqrt(np.fmax(0.0, out["local_std"]))
+        return out
+
+    return change
+
+
 def tile_tables(hist: DataFrame, tile: list[str], clip: float) -> DataFrame:
     """(tile, table): lookup tables of 256 entries from histograms (tile, pixels, h: (v, n)) clipped at `clip` times
     the mean, what is cut off being dealt out evenly."""

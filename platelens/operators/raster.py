@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .blocks import closing, hull_areas, in_blocks, square_extrema, tile_tables
+from .blocks import closing, edges_and_variances, hull_areas, in_blocks, made_in_blocks, square_extrema, thin_edges, tile_tables
 from .components import connected_components, cut_lineage
 from .crops import border_codes
 from .lines import along, block_components, running, running_ellipse, smoothed, summed, within
@@ -41,7 +41,10 @@ def plate_circle(px: DataFrame, plates: DataFrame, ratio: float = 0.48, ring: in
     points = base.select("*", steps).select("*", F.explode(F.array(F.struct(F.lit("in").alias("side"), (F.col("radius") - ring).alias("r")), F.struct(F.lit("out").alias("side"), (F.col("radius") + ring).alias("r")))).alias("p"))
     theta = F.col("a") * (2 * math.pi / angles)
     at = points.select(KEY, "p.side", (F.col("cx") + F.col("p.r") * F.cos(theta)).cast("int").alias("x"), (F.col("cy") + F.col("p.r") * F.sin(theta)).cast("int").alias("y"))
-    seen = at.join(px.select(KEY, "x", "y", "v").hint("merge"), [KEY, "x", "y"])
+    off = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
+    # a point is cut to whole numbers, so its pixel is less than 1.5 off its circle; the others go before the shuffle
+    rim = with_images(px.select(KEY, "x", "y", "v"), base).filter((F.abs(off - F.abs(F.col("radius") - ring)) < 2) | (F.abs(off - F.abs(F.col("radius") + ring)) < 2))
+    seen = at.join(rim.select(KEY, "x", "y", "v").hint("merge"), [KEY, "x", "y"])
     contrast = seen.groupBy(KEY).agg(F.abs(F.percentile(F.when(F.col("side") == "in", F.col("v")), 0.5) - F.percentile(F.when(F.col("side") == "out", F.col("v")), 0.5)).alias("contrast"))
     return base.join(contrast.hint("merge"), KEY, "left").withColumn("low_contrast", F.coalesce(F.col("contrast") < min_contrast, F.lit(True)))
 
@@ -261,28 +264,39 @@ def gradient(px: DataFrame) -> DataFrame:
     return d.drop("__d", "__s").filter("gx IS NOT NULL AND gy IS NOT NULL")
 
 
+def edge_lines(px: DataFrame, low: float = 30, high: float = 100, blur: int = 5) -> DataFrame:
+    """Edge pixels one wide (Canny 1986): smoothed gradient, thinned across it in a pass over blocks, weak pixels kept
+    where their component has a strong one."""
+    weights = np.exp(-(np.arange(blur // 2 + 1) ** 2) / (2 * 1.1 * 1.1))
+    rows = px.select(KEY, "x", "y", F.col("v").cast("double").alias("v"), F.col("v").isNotNull().cast("int").alias("w"))
+    thin = made_in_blocks(rows, ("v", "w"), {"m": T.DoubleType()}, blur // 2 + 2, thin_edges(low, weights)).filter("m IS NOT NULL")
+    labels = label_runs(to_runs(thin, F.max("m").alias("m")), 8)
+    strong = labels.groupBy(KEY, "label").agg(F.max("m").alias("m")).filter(F.col("m") > high)
+    return to_pixels_of(labels.join(strong.hint("merge"), [KEY, "label"], "left_semi")).select(KEY, "x", "y")
+
+
 def edges(px: DataFrame, low: float = 30, high: float = 100, blur: int = 5) -> DataFrame:
-    """Edge pixels (Canny 1986): smoothed gradient, thinned across it, weak pixels kept where their component
-    has a strong one, and widened by one pixel."""
-    soft = local_mean(px, blur, "gaussian", 1.1).withColumn("v", F.col("local_mean")).drop("local_mean")
-    g = gradient(soft).withColumn("m", F.hypot("gx", "gy"))
-    turn = F.pmod(F.floor(F.degrees(F.atan2("gy", "gx")) / 45 + 0.5), F.lit(4))
-    g = g.select(KEY, "x", "y", "m", F.when(turn == 2, 0).otherwise(1).alias("dx"), F.when(turn == 0, 0).when(turn == 3, -1).otherwise(1).alias("dy"))
-    near = g.select(KEY, F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("m").alias("nm"))
-    sides = g.select("*", F.explode(F.array(F.lit(-1), F.lit(1))).alias("s")).withColumn("nx", F.col("x") + F.col("s") * F.col("dx")).withColumn("ny", F.col("y") + F.col("s") * F.col("dy"))
-    thin = sides.join(near.hint("merge"), [KEY, "nx", "ny"], "left").groupBy(KEY, "x", "y", "m").agg(F.max(F.coalesce("nm", F.lit(0.0))).alias("best")).filter(f"m >= best AND m > {low}")
-    thin = cut_lineage(thin)
-    labels = cut_lineage(label_runs(to_runs(thin), 8))
-    strong = to_pixels_of(labels).join(thin.filter(F.col("m") > high).select(KEY, "x", "y").hint("merge"), [KEY, "x", "y"], "left_semi").select(KEY, "label").distinct()
-    kept = to_pixels_of(labels).join(strong.hint("merge"), [KEY, "label"], "left_semi").select(KEY, "x", "y")
+    """edge_lines, widened by one pixel."""
+    kept = edge_lines(px, low, high, blur)
     grown = kept.select(KEY, F.explode(F.array(*(F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i in (-1, 0, 1) for j in (-1, 0, 1)))).alias("p")).select(KEY, "p.*").distinct()
     return grown.join(px.select(KEY, "x", "y").hint("merge"), [KEY, "x", "y"], "left_semi")
 
 
-def to_runs(mask: DataFrame) -> DataFrame:
-    """Foreground pixels as horizontal runs (plate_id, y, x0, x1), both ends included."""
+def feature_maps(px: DataFrame, edge: DataFrame, variance: int = 21, deviation: int = 15) -> DataFrame:
+    """plate_id, x, y, e (1 on edge_lines' pixels and next to them, else 0), local_variance and local_std, as the
+    functions of these names have them, all from one pass over blocks."""
+    rows = px.select(KEY, "x", "y", F.col("v").cast("double").alias("v"), F.col("v").isNotNull().cast("int").alias("w"), F.lit(0).alias("mark"))
+    rows = rows.unionByName(edge.select(KEY, "x", "y", F.lit(0.0).alias("v"), F.lit(0).alias("w"), F.lit(1).alias("mark")))
+    made = edges_and_variances(variance // 2, deviation // 2)
+    found = made_in_blocks(rows, ("v", "w", "mark"), {c: T.DoubleType() for c in ("e", "local_variance", "local_std")}, max(1, variance // 2, deviation // 2), made)
+    return found.filter("mark = 0").select(KEY, "x", "y", "e", "local_variance", "local_std")
+
+
+def to_runs(mask: DataFrame, *more: Column) -> DataFrame:
+    """Foreground pixels as horizontal runs (plate_id, y, x0, x1), both ends included, and `more` aggregates of them."""
     island = F.col("x") - F.row_number().over(W.partitionBy(KEY, "y").orderBy("x"))
-    return mask.select(KEY, "y", "x").withColumn("__i", island).groupBy(KEY, "y", "__i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("__i")
+    rows = mask if more else mask.select(KEY, "y", "x")
+    return rows.withColumn("__i", island).groupBy(KEY, "y", "__i").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), *more).drop("__i")
 
 
 def to_pixels_of(runs: DataFrame) -> DataFrame:

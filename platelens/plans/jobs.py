@@ -195,8 +195,7 @@ def _suppressed(rows: DataFrame) -> DataFrame:
 def propose_multifeature(px: DataFrame, plates: DataFrame, threshold: int = 40, scale: float = 1.5, ring: int = 100, shrink: float = 50, min_size: int = 100, close: int = 2, times: int = 2, low: float = 30, high: float = 100, **shape) -> DataFrame:
     """Boxes of salient regions inside the plate that the shape filter keeps, with their mean saliency as
     confidence: edges, local variance and local contrast weighted into one map. shape: limits of shape_keep."""
-    edge = raster.edges(px, low, high).withColumn("e", F.lit(1.0))
-    maps = raster.local_std(raster.local_variance(px, 21), 15).join(edge.hint("merge"), ["plate_id", "x", "y"], "left").select("plate_id", "x", "y", F.coalesce("e", F.lit(0.0)).alias("e"), "local_variance", "local_std")
+    maps = suppress.cut_lineage(raster.feature_maps(px, raster.edge_lines(px, low, high), 21, 15))  # looked at three times
     map_ = suppress.cut_lineage(raster.saliency(maps, {"local_variance": 0.5, "e": 0.3, "local_std": 0.2}))
     circle = raster.plate_circle(px, plates, ring=ring)
     salient = filters.inside_plate(map_.filter(F.col("v") > threshold).join(circle.select("plate_id", "cx", "cy", "radius").hint("merge"), "plate_id"), "cx", "cy", "radius", shrink)

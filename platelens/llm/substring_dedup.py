@@ -26,7 +26,6 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-import zlib
 
 import numpy as np
 import pandas as pd
@@ -39,6 +38,8 @@ from .shingles import mix
 from .suffix_array import permuted_prefixes, suffix_array
 
 _NULL = np.iinfo(np.int64).max
+#: Windows that are hashed together.
+_CHUNK = 1 << 14
 #: Never a byte of UTF-8.
 _BREAK = 0xFF
 
@@ -48,13 +49,13 @@ class Batch:
 
     def __init__(self, ids: bytes, sizes: bytes, blob: bytes):
         self.ids, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
-        self.text = np.frombuffer(zlib.decompress(blob), np.uint8)
+        self.text = np.frombuffer(_expanded(blob), np.uint8)
         self.ends = np.cumsum(self.sizes)
 
     @staticmethod
     def pack(texts: list[bytes], ids: list[int | None]) -> tuple[int, bytes, bytes, bytes]:
         number = int.from_bytes(os.urandom(8), "little") >> 1
-        return number, np.array([_NULL if i is None else i for i in ids], np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), zlib.compress(b"".join(texts), 1)
+        return number, np.array([_NULL if i is None else i for i in ids], np.int64).tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), _squeezed(b"".join(texts))
 
     def stretches(self, length: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first window, windows, least hash, document) of each stretch, of at most length - q + 1 windows."""
@@ -64,21 +65,25 @@ class Batch:
             return none, none, none.astype(np.uint64), none
         padded = np.concatenate([self.text, np.zeros(8, np.uint8)])
         view = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
-        h = np.zeros(n - q + 1, np.uint64)
-        for k in [*range(0, q - 8, 8), q - 8]:
-            h = mix(h ^ view[k : k + len(h)])
-        span = 1
-        low = h
-        while span < width:  # sliding minimum by doubling
-            step = min(span, width - span)
-            low = np.minimum(low[: len(low) - step], low[step:])
-            span += step
         windows = n - length + 1
-        low = low[:windows]
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[:windows]
-        inside = np.arange(windows) + length <= self.ends[doc]
+        low = np.empty(windows, np.uint64)
+        for a in range(0, windows, _CHUNK):  # what a step makes stays in the processor's cache
+            z = min(a + _CHUNK, windows)
+            h = np.zeros(z - a + width - 1, np.uint64)
+            for k in [*range(0, q - 8, 8), q - 8]:
+                h = mix(h ^ view[a + k : a + k + len(h)])
+            span = 1
+            while span < width:  # sliding minimum by doubling
+                step = min(span, width - span)
+                h = np.minimum(h[: len(h) - step], h[step:])
+                span += step
+            low[a:z] = h
+        within = np.maximum(self.sizes - length + 1, 0)  # a document's windows come before the places that begin none
+        inside = np.repeat(np.tile([True, False], len(self.sizes)), np.stack([within, self.sizes - within], axis=1).ravel())[:windows]
         begin = np.ones(windows, bool)
-        begin[1:] = (low[1:] != low[:-1]) | ~inside[:-1] | (doc[1:] != doc[:-1])
+        begin[1:] = (low[1:] != low[:-1]) | ~inside[:-1]
+        firsts = self.ends - self.sizes
+        begin[firsts[firsts < windows]] = True
         starts = np.flatnonzero(begin & inside)
         if not len(starts):
             return none, none, none.astype(np.uint64), none
@@ -89,7 +94,7 @@ class Batch:
             which = np.repeat(np.arange(len(starts)), pieces)
             step = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             starts, count = starts[which] + step * width, np.minimum(width, count[which] - step * width)
-        return starts, count, low[starts], doc[starts]
+        return starts, count, low[starts], np.searchsorted(self.ends, starts, side="right")
 
 
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -169,19 +174,24 @@ def shared_windows(rows: np.ndarray, sizes: np.ndarray, owner: np.ndarray, lengt
     text = np.concatenate([rows, np.zeros((len(rows), 1), np.uint8)], axis=1)
     text[np.arange(len(rows)), sizes] = _BREAK
     t = text[used]
-    row = np.repeat(np.arange(len(rows)), sizes + 1)
-    offset = np.arange(len(t)) - np.repeat(np.cumsum(sizes + 1) - sizes - 1, sizes + 1)
     sa = suffix_array(t, depth=length + 2)
-    whole = offset[sa] + length <= sizes[row[sa]]
+    # only suffixes that hold a window are compared
+    count = sizes - length + 1
+    row = np.repeat(np.arange(len(rows)), count)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    place = np.repeat(np.cumsum(sizes + 1) - sizes - 1, count) + offset
+    number = np.full(len(t), -1, np.int64)
+    number[place] = np.arange(len(place))
     # a suffix that holds a window follows at once on those that share it
-    joined = permuted_prefixes(t, sa, _BREAK)[sa] >= length
-    group = np.cumsum(~joined | ~whole)[whole]
-    at = sa[whole]
+    joined = permuted_prefixes(t, sa, _BREAK, place) >= length
+    which = number[sa]
+    which = which[which >= 0]
+    row, offset = row[which], offset[which]
+    first = np.flatnonzero(~joined[which])
     out = np.full((len(rows), width), _NULL, np.int64)
-    if len(at):
-        first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-        least = np.minimum.reduceat(owner[row[at]], first)
-        out[row[at], offset[at]] = np.repeat(least, np.diff(np.append(first, len(at))))
+    if len(which):
+        least = np.minimum.reduceat(owner[row], first)
+        out[row, offset] = np.repeat(least, np.diff(np.append(first, len(which))))
     return out
 
 

@@ -83,16 +83,20 @@ def _induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray) -> np.ndarray:
 
 
 def _rank_names(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of a string of names by doubling, told apart within `depth` names at least."""
+    """Order of the suffixes of a string of names by doubling (trebling, as long as three ranks go into one integer),
+    told apart within `depth` names at least."""
     n, rank, k = len(names), names.astype(np.int64), 1
+    parts = 3 if n < 1 << 20 else 2
     while True:
-        key = (rank + 1) * (n + 1)
-        key[: n - k] += rank[k:] + 1
+        key = rank + 1
+        for i in range(1, parts):
+            key *= n + 1
+            key[: max(0, n - i * k)] += rank[i * k :] + 1
         order = np.argsort(key)  # equal names may come in any order
         sorted_key = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
-        rank, k = new, 2 * k
+        rank, k = new, parts * k
         if k >= n or k >= depth or int(rank[order[-1]]) == n - 1:
             return order
 
@@ -127,30 +131,35 @@ def suffix_array(t: np.ndarray, depth: int | None = None) -> np.ndarray:
     name = np.empty(n, np.int64)
     name[ordered] = np.concatenate([[0], np.cumsum(differ)])
     if int(name[ordered[-1]]) + 1 < len(lms):
-        ordered = lms[_rank_names(name[lms], len(lms) if depth is None else depth)]
+        # a name stands for two letters at least
+        ordered = lms[_rank_names(name[lms], len(lms) if depth is None else depth // 2 + 1)]
     return _induce(t, smaller, ordered)
 
 
-def permuted_prefixes(t: np.ndarray, sa: np.ndarray, stop: int) -> np.ndarray:
-    """For each place in t: how many letters its suffix shares with the suffix before it in sa, up to the first
-    letter `stop` (letters `stop` end every text in t, so the work is bounded by the longest text). The order
-    is permuted: prefixes are looked up by the place in t, each with its predecessor there."""
+def permuted_prefixes(t: np.ndarray, sa: np.ndarray, stop: int, places: np.ndarray | None = None) -> np.ndarray:
+    """For each place in t (or each of `places`): how many letters its suffix shares with the suffix before it in sa, up
+    to the first letter `stop` (letters `stop` end every text in t, so the work is bounded by the longest text). The
+    order is permuted: prefixes are looked up by the place in t, each with its predecessor there."""
     n = len(t)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
     ends = np.append(np.flatnonzero(t == stop), n)
     padded = np.concatenate([t, np.zeros(8, np.uint8)])
     view = np.ndarray((n + 1,), "<u8", padded, strides=(1,))
-    out = np.zeros(n, np.int64)
-    at = np.flatnonzero(before >= 0)
-    left, k = np.minimum(ends[np.searchsorted(ends, at)] - at, n - before[at]), 0
+    places = np.arange(n) if places is None else places
+    out = np.zeros(len(places), np.int64)
+    own = np.flatnonzero(before[places] >= 0)
+    at = places[own]
+    last = before[at]
+    left, k = np.minimum(ends[np.searchsorted(ends, at)] - at, n - last), 0
     while len(at):
-        unlike = view[at + k] ^ view[before[at] + k]
+        unlike = view[at + k] ^ view[last + k]
         same = unlike == 0
         low = np.bitwise_count(~unlike[~same] & (unlike[~same] - np.uint64(1))).astype(np.int64) // 8  # equal bytes in front
-        out[at[~same]] = np.minimum(k + low, left[~same])
+        out[own[~same]] = np.minimum(k + low, left[~same])
         done = same & (left <= k + 8)
-        out[at[done]] = left[done]
+        out[own[done]] = left[done]
         k += 8
-        at, left = at[same & ~done], left[same & ~done]
+        on = same & ~done
+        own, at, last, left = own[on], at[on], last[on], left[on]
     return out

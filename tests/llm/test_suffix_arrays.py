@@ -78,3 +78,44 @@ def test_stretches_of_a_batch_name_their_hashes():
     assert (hashes[place] == low).all() and (np.diff(hashes.astype(object)) > 0).all()
     assert often.tolist() == [int((low == h).sum()) for h in hashes]
     assert many.tolist() == [len(set(doc[low == h].tolist())) > 1 for h in hashes]
+
+
+def test_stretches_do_not_hang_on_what_is_hashed_together(monkeypatch):
+    from platelens.llm import substring_dedup as S
+
+    rng = np.random.default_rng(6)
+    sizes = [0, 49, 50, 51, 0, 0, 700, 3, 120, 0]
+    texts = [bytes(rng.integers(97, 100, n).astype(np.uint8)) for n in sizes]
+    batch = S.Batch(*S.Batch.pack(texts, list(range(len(texts))))[1:])
+    whole = batch.stretches(50, 24)
+    monkeypatch.setattr(S, "_CHUNK", 7)
+    assert all((a == b).all() for a, b in zip(whole, batch.stretches(50, 24)))
+    starts, count, low, doc = whole
+    windows = [(d, a + i) for d, (a, z) in enumerate(zip(batch.ends - batch.sizes, batch.ends)) for i in range(max(0, z - a - 49))]
+    assert [(d, s + i) for d, s, n in zip(doc, starts, count) for i in range(n)] == windows
+    grams = {w: batch.text[w : w + 24].tobytes() for w in range(len(batch.text) - 23)}
+    least = {}
+    for d, s, n, h in zip(doc, starts, count, low):  # every window of a stretch has one gram in common, that of its hash
+        common = set.intersection(*({grams[w + i] for i in range(27)} for w in range(s, s + n)))
+        least[int(h)] = least.get(int(h), common) & common
+    assert all(least.values())
+
+
+def test_names_are_ranked_in_few_sorts_and_prefixes_counted_where_asked(monkeypatch):
+    from platelens.llm import suffix_array as A
+
+    rng = np.random.default_rng(7)
+    names = np.tile(rng.integers(0, 3, 500), 4)
+    sorts = []
+    argsort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: sorts.append(1) or argsort(*a, **k))
+    order = A._rank_names(names, 27)
+    assert len(sorts) <= 3
+    monkeypatch.undo()
+    cut = [tuple(names[i : i + 27]) for i in order]
+    assert cut == sorted(cut)
+    assert A._rank_names(names, len(names)).tolist() == sorted(range(len(names)), key=lambda i: tuple(names[i:]))
+    t = np.concatenate([names, [9], names[3:400], [9]]).astype(np.uint8)
+    sa = suffix_array(t)
+    every, places = permuted_prefixes(t, sa, 9), np.array([0, 3, 700, 1990, 2001, 2005])
+    assert permuted_prefixes(t, sa, 9, places).tolist() == every[places].tolist()

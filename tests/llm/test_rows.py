@@ -4,9 +4,10 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from platelens.llm.decontaminate import drop_leaks, find_leaks
+from platelens.llm.decontaminate import Block, drop_leaks, find_leaks, fit_block, word_hashes as leak_words
 from platelens.llm.packing import piece_digests
 from platelens.llm.queries import tokenizer_path
 from platelens.llm.shingles import word_hashes, word_values
@@ -82,3 +83,29 @@ def test_packed_rows_against_the_tokenizer(spark):
         assert r.offset == used.get(r.sequence_id, 0) and r.offset + r.length <= 4096
         used[r.sequence_id] = r.offset + r.length
     assert len(used) <= sum(used.values()) / 4096 * 1.05 + 2
+
+
+def test_the_latent_basis_is_of_all_documents(spark):
+    """Most rows have no id, texts end within a passage: the basis has what the best one of its rank has of all passages."""
+    rng = np.random.default_rng(6)
+    names = [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiouy"]
+    items = [(i, " ".join(rng.choice(names[:30], 10))) for i in range(6)] + [(9, " ".join(names))]
+    rows = [(d, " ".join(rng.choice(names[:12], rng.integers(1, 200)))) for d in range(20)] + [(None, " ".join(rng.choice(names[30 + 5 * (k % 4) :][:9], rng.integers(1, 200)))) for k in range(80)]
+    block = Block(items, 8)
+    fit_block(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block, 6)
+    place = {int(next(leak_words([w.encode()]))[1][0]): w for w in names}
+    column = {place[int(h)]: k for k, h in enumerate(block.hashes)}
+
+    def lines(texts, window):
+        for t in texts:
+            w = t.split()
+            starts = list(range(0, max(1, len(w) - window // 2), window))
+            for s, e in zip(starts, [*starts[1:], len(w)]):
+                a = np.bincount([column[x] for x in w[s:e]], minlength=len(column)) * block.idf
+                yield a / np.linalg.norm(a)
+
+    corpus, mine = (np.array(list(lines([t for _, t in x], n))) for x, n in ((rows, 48), (items, 1000)))
+    corpus, mine = corpus.T @ corpus, mine.T @ mine
+    both = corpus + max(1.0, np.linalg.norm(corpus) / np.linalg.norm(mine)) * mine
+    assert block.basis.T @ block.basis == pytest.approx(np.eye(6), abs=1e-4)
+    assert np.trace(block.basis.T @ both @ block.basis) > 0.97 * np.linalg.eigvalsh(both)[-6:].sum()

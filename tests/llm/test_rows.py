@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+from platelens.llm import decontaminate
 from platelens.llm.decontaminate import Block, drop_leaks, find_leaks, fit_block, word_hashes as leak_words
 from platelens.llm.packing import piece_digests
 from platelens.llm.queries import tokenizer_path
@@ -85,15 +87,19 @@ def test_packed_rows_against_the_tokenizer(spark):
     assert len(used) <= sum(used.values()) / 4096 * 1.05 + 2
 
 
-def test_the_latent_basis_is_of_all_documents(spark):
-    """Most rows have no id, texts end within a passage: the basis has what the best one of its rank has of all passages."""
+NAMES = [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiouy"]
+
+
+def many_rows_without_ids():
+    """(items, rows): texts end within a passage, and rows without an id have words of their own together."""
     rng = np.random.default_rng(6)
-    names = [f"{a}{b}" for a in "bcdfghjklm" for b in "aeiouy"]
-    items = [(i, " ".join(rng.choice(names[:30], 10))) for i in range(6)] + [(9, " ".join(names))]
-    rows = [(d, " ".join(rng.choice(names[:12], rng.integers(1, 200)))) for d in range(20)] + [(None, " ".join(rng.choice(names[30 + 5 * (k % 4) :][:9], rng.integers(1, 200)))) for k in range(80)]
-    block = Block(items, 8)
-    fit_block(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block, 6)
-    place = {int(next(leak_words([w.encode()]))[1][0]): w for w in names}
+    items = [(i, " ".join(rng.choice(NAMES[:30], 10))) for i in range(6)] + [(9, " ".join(NAMES))]
+    return items, [(d, " ".join(rng.choice(NAMES[:12], rng.integers(1, 200)))) for d in range(20)] + [(None, " ".join(rng.choice(NAMES[30 + 5 * (k % 4) :][:9], rng.integers(1, 200)))) for k in range(80)]
+
+
+def share_of_the_best(block, items, rows, rank):
+    """What the basis has of all passages, as a share of what the best one of its rank has."""
+    place = {int(next(leak_words([w.encode()]))[1][0]): w for w in NAMES}
     column = {place[int(h)]: k for k, h in enumerate(block.hashes)}
 
     def lines(texts, window):
@@ -107,5 +113,28 @@ def test_the_latent_basis_is_of_all_documents(spark):
     corpus, mine = (np.array(list(lines([t for _, t in x], n))) for x, n in ((rows, 48), (items, 1000)))
     corpus, mine = corpus.T @ corpus, mine.T @ mine
     both = corpus + max(1.0, np.linalg.norm(corpus) / np.linalg.norm(mine)) * mine
-    assert block.basis.T @ block.basis == pytest.approx(np.eye(6), abs=1e-4)
-    assert np.trace(block.basis.T @ both @ block.basis) > 0.97 * np.linalg.eigvalsh(both)[-6:].sum()
+    basis = block.basis[:, :rank]
+    assert basis.T @ basis == pytest.approx(np.eye(rank), abs=1e-4)
+    return np.trace(basis.T @ both @ basis) / np.linalg.eigvalsh(both)[-rank:].sum()
+
+
+def test_the_latent_basis_is_of_all_documents(spark):
+    items, rows = many_rows_without_ids()
+    block = Block(items, 8)
+    fit_block(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), block, 6)
+    assert share_of_the_best(block, items, rows, 6) > 0.97
+
+
+def test_the_pipelines_basis_is_of_all_documents(spark, tmp_path, monkeypatch):
+    items, rows = many_rows_without_ids()
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    fitted = []
+
+    def small(docs, block, rank, *rest):
+        fit_block(docs, block, 6, *rest)
+        fitted.append(block)
+
+    monkeypatch.setattr(decontaminate, "fit_block", small)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).count() <= len(rows)
+    assert len(fitted) == 1 and share_of_the_best(fitted[0], items, rows, 6) > 0.97
